@@ -22,11 +22,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, the one of smallest doc_id. Five words a
-    shingle and at most 3 of 64 bits apart, which texts of similarity 0.8 or more are with few words changed."""
-    groups = simhash.near_duplicates(docs, width=5, budget=3).select(F.col("doc_id").alias("__id"), "component_id")
-    stays = groups.where(F.col("__id") == F.col("component_id")).select("__id").distinct()
-    return docs.join(stays, docs["doc_id"] == stays["__id"], "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates, the one of smallest doc_id: shingles of five
+    words, a similarity of 0.8 or more. Rows without doc_id stay; of rows that repeat a doc_id one stays."""
+    groups = materialize(simhash.similar_texts(docs, 0.8, 5), "groups")
+    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(stays, docs["doc_id"] == stays["__id"], "left_semi")
+    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null")
+    return kept if nameless.isEmpty() else kept.unionByName(nameless)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
