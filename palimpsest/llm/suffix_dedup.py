@@ -8,8 +8,8 @@ one anchor, the least hash among its k-grams, which only its own bytes decide. S
 anchor form a segment; segments meet by anchor hash. Where all segments of an anchor are equal, the
 first keeps its bytes and the others lose theirs. Where they differ, one segment of each kind goes
 with its bytes into a suffix array: previous and next smaller positions in suffix order give every
-start's earlier match. Anchors of very many kinds of segment are settled start by start instead, by an
-aggregation on string hashes that splits over all tasks.
+start's earlier match. Anchors of very many kinds of segment are dealt out string by string instead, by
+hashes of the strings, so their starts spread over all tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 
 LENGTH = 100
-ANCHOR = 20
+ANCHOR = 36
 PIECE = 4 << 20
 HOT = 4096
 BUFFER = 2 << 20
@@ -207,39 +208,59 @@ def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, _FOUND)
 
 
-def _strings(batches: Iterator[pa.RecordBatch], length: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted segments of each document, or (not whole) hashes of all their strings."""
+_MET = "key long, sub long, doc long, at long, known boolean, body binary"
+
+
+def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Wanted segments of each document: their bytes by anchor, or where the anchor is hot, each of their
+    strings by its hash. A string that the batch has earlier in the corpus is known."""
     for batch in batches:
         rows: list[tuple] = []
+        single: list[tuple] = []
         held = 0
         for doc, text, wanted in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("wanted")):
             body = text_bytes(text.as_py())
             for w in wanted.as_py():
                 at, count = w["at"] >> _POS_BITS, w["shape"] >> 8
-                if whole:
-                    rows.append((w["anchor"], doc, w["at"], body[at : at + count + length - 1]))
+                if not w["hot"]:
+                    rows.append((w["anchor"], 0, doc, w["at"], False, body[at : at + count + length - 1]))
                     held += count + length
-                else:
-                    for s in range(at, at + count):
-                        high, low = divmod(xxhash.xxh3_128_intdigest(body[s : s + length]), 1 << 64)
-                        rows.append((high - (1 << 63), low - (1 << 63), doc, w["at"] + ((s - at) << _POS_BITS)))
-                if len(rows) >= 50000 or held > 4 << 20:
-                    yield _rows(rows, whole)
-                    rows, held = [], 0
+                    if held > 4 << 20:
+                        yield _rows(rows)
+                        rows, held = [], 0
+                    continue
+                for s in range(at, at + count):
+                    high, low = divmod(xxhash.xxh3_128_intdigest(body[s : s + length]), 1 << 64)
+                    single.append((high - (1 << 63), low - (1 << 63), doc, w["at"] + ((s - at) << _POS_BITS)))
         if rows:
-            yield _rows(rows, whole)
+            yield _rows(rows)
+        if single:
+            high, low, doc, at = (np.array(c, np.int64) for c in zip(*single))
+            order = np.lexsort((at, doc, low, high))
+            known = np.zeros(order.size, bool)
+            known[order] = after_first(high[order], low[order], doc[order], at[order])
+            arrays = [pa.array(x) for x in (high, low, doc, at, known)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(at.size, pa.binary())], names=["key", "sub", "doc", "at", "known", "body"])
 
 
-def _rows(rows: list[tuple], whole: bool) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if whole else pa.int64())
-    names = ["anchor", "doc", "at", "body"] if whole else ["high", "low", "doc", "at"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+def after_first(high: np.ndarray, low: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For rows sorted by all four, whether a row's place is beyond the first of its (high, low)."""
+    same = np.zeros(high.size, bool)
+    same[1:] = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(high.size)))
+    return (doc != doc[lead]) | (at != at[lead])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["key", "sub", "doc", "at", "known", "body"])
 
 
 def _previous(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Removed ranges (doc, at, stop) of segments that come sorted by anchor, in bounded buffers."""
+    """Removed ranges (doc, at, n) from rows that come sorted by key, sub, doc and at, in bounded buffers."""
     held: list[tuple[int, int, int, bytes]] = []
     size, last = 0, None
+    lead: tuple[int, int, int, int] | None = None
 
     def settle() -> pa.RecordBatch:
         data = np.frombuffer(b"".join(h[3] for h in held), np.uint8)
@@ -263,11 +284,22 @@ def _previous(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         mine = np.searchsorted(np.cumsum(count + 1), s, "right")
         shift = (np.cumsum(count + 1) - (count + 1))[mine]
         low = at[mine] + ((s - shift) << _POS_BITS)
-        return pa.RecordBatch.from_arrays([pa.array(doc[mine]), pa.array(low), pa.array((e - s).astype(np.int64))], names=["doc", "at", "n"])
+        return _ranges(doc[mine], low, e - s)
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("anchor", "doc", "at", "body")]
-        for row in zip(*columns):
+        lone = batch.filter(pc.is_null(batch.column("body")))
+        if lone.num_rows:
+            rows = [lone.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sub", "doc", "at")]
+            known = lone.column("known").to_numpy(zero_copy_only=False)
+            if lead is not None:  # the first of a string may have come in an earlier batch
+                rows = [np.concatenate([[x], r]) for x, r in zip(lead, rows)]
+                known = np.concatenate([[False], known])
+            late = after_first(*rows) | known
+            yield _ranges(rows[2][late], rows[3][late], np.ones(int(late.sum()), np.int64))
+            same = np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]))[0]
+            lead = tuple(int(r[same]) for r in rows)
+        whole = batch.filter(pc.is_valid(batch.column("body")))
+        for row in zip(*(whole.column(c).to_pylist() for c in ("key", "doc", "at", "body"))):
             if size >= BUFFER and row[0] != last:
                 yield settle()
                 held, size = [], 0
@@ -278,6 +310,10 @@ def _previous(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         yield settle()
 
 
+def _ranges(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, at, n)], names=["doc", "at", "n"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -325,30 +361,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         "turn", F.rank().over(W.partitionBy("anchor", "segment").orderBy("doc", "at"))
     )
     fresh = fresh.withColumn("kinds", F.max("kind").over(W.partitionBy("anchor")))
-    kept = fresh.where("turn > 1 or kinds > 1").select("anchor", "doc", "at", "shape", (F.col("turn") > 1).alias("later"), "kinds")
+    kept = fresh.where("turn > 1 or kinds > 1").select("anchor", "doc", "at", "shape", (F.col("turn") > 1).alias("later"), (F.col("kinds") > hot).alias("hot"))
     kept = materialize(kept, "segments")
     later = kept.where("later").select("doc", "at", F.expr("shiftright(shape, 8)").cast("long").alias("n"))
     heads = kept.where("not later").dropDuplicates(["anchor", "doc", "at"])
-
-    def wanted(rows: DataFrame) -> DataFrame:
-        low = F.col("at").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-        return rows.groupBy("doc", low.alias("mark")).agg(F.collect_list(F.struct("anchor", "at", "shape")).alias("wanted"))
-
-    base = ready.select("doc_id", "doc", "mark", "text").repartition(n, "doc", "mark")
-
-    def texts(rows: DataFrame) -> DataFrame:
-        return base.join(wanted(rows), ["doc", "mark"]).select("doc", "text", "wanted")
-
-    bodies = texts(heads.where(F.col("kinds") <= hot)).mapInArrow(lambda b: _strings(b, length, True), "anchor long, doc long, at long, body binary")
-    bodies = bodies.repartition(n, "anchor").sortWithinPartitions("anchor")
-    spans = later.unionByName(bodies.mapInArrow(lambda b: _previous(b, length), "doc long, at long, n long"))
-    if not heads.where(F.col("kinds") > hot).isEmpty():
-        each = texts(heads.where(F.col("kinds") > hot)).mapInArrow(lambda b: _strings(b, length, False), "high long, low long, doc long, at long")
-        each = materialize(each, "strings")
-        first = each.groupBy("high", "low").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
-        dup = each.join(first.select("high", "low", "first"), ["high", "low"]).where(F.struct("doc", "at") > F.col("first"))
-        spans = spans.unionByName(dup.select("doc", "at", F.lit(1).cast("long").alias("n")))
     low = F.col("at").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
+    wanted = heads.groupBy("doc", low.alias("mark")).agg(F.collect_list(F.struct("anchor", "at", "shape", "hot")).alias("wanted"))
+    # Both joins below read this one exchange of the texts; doc_id is kept in the first to that end.
+    base = ready.select("doc_id", "doc", "mark", "text").repartition(n, "doc", "mark")
+    met = base.join(wanted, ["doc", "mark"]).select("doc_id", "doc", "text", "wanted").mapInArrow(lambda b: _strings(b, length), _MET)
+    met = met.repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "doc", "at")
+    spans = later.unionByName(met.mapInArrow(lambda b: _previous(b, length), "doc long, at long, n long"))
     by_doc = spans.groupBy("doc", low.alias("mark")).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     joined = base.join(by_doc, ["doc", "mark"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(
