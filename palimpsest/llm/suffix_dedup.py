@@ -172,7 +172,7 @@ def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     """(anchor, segment, doc, at, shape, known) of all segments of docs(doc, text, mark).
 
     at is the first start and 24 bits that tell texts of one identifier apart; shape is the number of
-    starts and the anchor's place. A segment that the task has seen earlier in the corpus is known.
+    starts and the anchor's place. A segment whose like the same bytes of input have earlier is known.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +200,17 @@ def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
                 lead = order[head]
                 known = np.zeros(order.size, bool)
                 known[order] = (doc[order] != doc[lead]) | (where[order] != where[lead])
+                shape = count << 8 | offset
+                # Known segments need not meet others: those that touch become one row with a key of its own.
+                touch = known[1:] & known[:-1] & (text[1:] == text[:-1]) & (first[1:] == first[:-1] + count[:-1])
+                head = np.flatnonzero(np.concatenate([[True], ~touch]))
+                total = np.add.reduceat(count, head)
+                own = _mix(doc[head].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + where[head].view(np.uint64))
+                lone = known[head]
+                key = np.where(lone, own, h[head])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(doc), pa.array(where), pa.array((count << 8 | offset).astype(np.int32)), pa.array(known)],
+                    [pa.array(key.view(np.int64)), pa.array(segment[head].view(np.int64)), pa.array(doc[head]), pa.array(where[head]),
+                     pa.array(np.where(lone, total << 8, shape[head]).astype(np.int32)), pa.array(lone)],
                     names=["anchor", "segment", "doc", "at", "shape", "known"],
                 )
 
@@ -361,7 +370,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         "turn", F.rank().over(W.partitionBy("anchor", "segment").orderBy("doc", "at"))
     )
     fresh = fresh.withColumn("kinds", F.max("kind").over(W.partitionBy("anchor")))
-    kept = fresh.where("turn > 1 or kinds > 1").select("anchor", "doc", "at", "shape", (F.col("turn") > 1).alias("later"), (F.col("kinds") > hot).alias("hot"))
+    later = F.col("known") | (F.col("turn") > 1)
+    kept = fresh.where(later | (F.col("kinds") > 1)).select("anchor", "doc", "at", "shape", later.alias("later"), (F.col("kinds") > hot).alias("hot"))
     kept = materialize(kept, "segments")
     later = kept.where("later").select("doc", "at", F.expr("shiftright(shape, 8)").cast("long").alias("n"))
     heads = kept.where("not later").dropDuplicates(["anchor", "doc", "at"])
