@@ -68,46 +68,46 @@ def compact(targets: DataFrame, config: Config = Config(), user_text: DataFrame
     A block has one method, the first that applies of dedup, diff, read-diff, graph, disclosure,
     bm25-trim, the row's own rewrite, and redact. (request_id, ord) must be unique.
     """
-    rows = targets
+    key = ["request_id", "ord"]
+    rows = targets.withColumn("__raw", F.col("text")).withColumn("redactions", F.lit(0).cast("long"))
     if config.redact:
-        clean, count = redact.redact(F.col("text"), config.redact_mode)
-        rows = rows.withColumn("__raw", F.col("text")).withColumn("redactions", count).withColumn("text", clean)
-    else:
-        rows = rows.withColumn("__raw", F.col("text")).withColumn("redactions", F.lit(0).cast("long"))
+        clean, count = redact.redact(F.col("__raw"), config.redact_mode)
+        rows = rows.withColumn("redactions", count).withColumn("text", clean)
     rows = rows.withColumn("skip", F.coalesce("skip", F.when(F.col("text").isNull(), "empty")))
-    usable = F.when(F.col("skip").isNull(), F.col("text"))
-    steps: list[tuple[str, Column]] = []
+    # Every stage starts from these rows and gives (request_id, ord, replacement) of the few it applies
+    # to, so stages do not stack up in each other's plans.
+    usable = rows.where("skip is null").select(*key, "session_key", "ts", "path", "text")
+    steps: list[tuple[str, DataFrame]] = []
     if config.has("dedup"):
-        rows = crossrow.dedup_within(rows.withColumn("__u", usable), "request_id", "ord", "__u").drop("first_ord")
-        steps.append(("dedup", F.when(F.col("is_dup"), F.col("marker"))))
+        found = crossrow.dedup_within(usable.select(*key, "text"), "request_id", "ord").where("is_dup")
+        steps.append(("dedup", found.select(*key, F.col("marker").alias("__new"))))
     if config.has("diff"):
-        open_ = rows.where("skip is null") if not config.has("dedup") else rows.where("skip is null and not is_dup")
-        patch = similarity.first_base(open_.select("request_id", "ord", "text"), "request_id", "ord")
-        rows = rows.join(patch.select("request_id", "ord", F.col("base").alias("__base"), F.col("patch").alias("__patch")), ["request_id", "ord"], "left")
-        steps.append(("diff", F.when(F.col("__patch").isNotNull(), F.format_string("[diff from message block %d]:\n%s", F.col("__base").cast("long"), F.col("__patch")))))
+        patch = similarity.first_base(usable.select(*key, "text"), "request_id", "ord")
+        steps.append(("diff", patch.select(*key, F.format_string("[diff from message block %d]:\n%s", F.col("base").cast("long"), F.col("patch")).alias("__new"))))
     if config.has("read-diff"):
-        rows = crossrow.prior_version(rows, ["session_key", "path"], "ts", "text", "ord")
-        known = F.col("path").isNotNull() & F.col("session_key").isNotNull() & (F.col("prior") != F.col("text"))
-        rows = rows.withColumn("__read", F.when(known, similarity.hunks("prior", "text")))
-        good = js_len(F.col("__read")) < 0.5 * js_len(F.col("text"))
-        steps.append(("read-diff", F.when(good, F.concat(F.lit("[diff from prior read of "), F.col("path"), F.lit("]:\n"), F.col("__read")))))
+        seen = crossrow.prior_version(usable.where("path is not null and session_key is not null"), ["session_key", "path"], "ts", "text", "ord")
+        seen = seen.where("prior <> text").withColumn("__hunks", similarity.hunks("prior", "text")).where(js_len(F.col("__hunks")) < 0.5 * js_len(F.col("text")))
+        steps.append(("read-diff", seen.select(*key, F.concat(F.lit("[diff from prior read of "), F.col("path"), F.lit("]:\n"), F.col("__hunks")).alias("__new"))))
     if config.has("graph"):
-        rows = crossrow.graph_refs(rows.withColumn("__order", F.struct("ts", "request_id", "ord")), "session_key", "__order").drop("__order")
-        ref = F.format_string('<text-ref id="%d" sha="%s" size="%d"/>', F.col("ref_id"), F.col("sha"), js_len(F.col("text")).cast("long"))
-        steps.append(("graph", F.when(F.col("is_ref") & F.col("session_key").isNotNull(), ref)))
+        refs = crossrow.graph_refs(usable.where("session_key is not null").withColumn("__order", F.struct("ts", "request_id", "ord")), "session_key", "__order").where("is_ref")
+        mark = F.format_string('<text-ref id="%d" sha="%s" size="%d"/>', F.col("ref_id"), F.col("sha"), js_len(F.col("text")).cast("long"))
+        steps.append(("graph", refs.select(*key, mark.alias("__new"))))
     if user_text is not None and (config.has("disclosure") or config.has("bm25-trim")):
-        rows = rows.join(user_text, "request_id", "left").withColumn("__calm", classify.task_type(F.col("user_text")) != "dangerous")
+        calm = user_text.where(classify.task_type(F.col("user_text")) != "dangerous")
+        large = usable.where(F.octet_length("text") >= min(config.disclosure_bytes, config.trim_bytes)).join(calm, "request_id")
         if config.has("disclosure"):
-            folded = disclosure.summarize(rows.select("request_id", "ord", "text"), least=config.disclosure_bytes)
-            rows = rows.join(folded.select("request_id", "ord", "summary"), ["request_id", "ord"], "left")
-            steps.append(("disclosure", F.when(F.col("__calm"), F.col("summary"))))
+            folded = disclosure.summarize(large, least=config.disclosure_bytes).where(js_len(F.col("summary")) < js_len(F.col("text")))
+            steps.append(("disclosure", folded.select(*key, F.col("summary").alias("__new"))))
         if config.has("bm25-trim"):
-            gate = F.col("__calm") & (F.length("user_text") > 0) & (F.octet_length("text") > config.trim_bytes)
-            cut = trim.trim_udf(config.trim_tokens)(F.when(gate, F.col("text")), F.col("user_text"), F.col("path"))["trimmed"]
-            steps.append(("bm25-trim", cut))
+            cut = trim.trim_udf(config.trim_tokens)("text", "user_text", "path")["trimmed"]
+            long = large.where((F.octet_length("text") > config.trim_bytes) & (F.length("user_text") > 0))
+            steps.append(("bm25-trim", long.select(*key, cut.alias("__new")).where("__new is not null")))
+    for k, (_, found) in enumerate(steps):
+        rows = rows.join(found.withColumnRenamed("__new", f"__new{k}"), key, "left")
+    chosen = [(name, F.col(f"__new{k}")) for k, (name, _) in enumerate(steps)]
     rows = rewrite_rows(rows, config)
-    steps.append(("row", F.col("compressed")))
-    choice = F.coalesce(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("method"), c.alias("text"))) for n, c in steps])
+    chosen.append(("row", F.col("compressed")))
+    choice = F.coalesce(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("method"), c.alias("text"))) for n, c in chosen])
     rows = rows.withColumn("__c", F.when(F.col("skip").isNull(), choice))
     own = F.when(F.col("__c.method") == "row", F.col("method")).otherwise(F.col("__c.method"))
     rows = rows.withColumn("method", F.coalesce(own, F.when((F.col("redactions") > 0) & F.col("skip").isNull(), "redact")))

@@ -738,14 +738,15 @@ def ext_outer_anti(spark, sf_dir):
 
 @query()
 def stream_session_refs(spark, sf_dir):
-    """Graph references over a stream of the documents table, run to its end."""
+    """Graph references over a stream of the documents table, as one batch: time-outs keep an
+    available-now query at work for ever."""
     import uuid
 
     schema = table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern, so a file does as well as a folder
     rows = docs.select(F.col("source").alias("session_key"), F.col("doc_id").alias("ord"), "text")
     name = f"refs_{uuid.uuid4().hex}"
-    run = sessions.stream_graph_refs(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run = sessions.stream_graph_refs(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(once=True).start()
     run.awaitTermination()
     return spark.table(name)
 
