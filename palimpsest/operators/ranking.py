@@ -25,12 +25,14 @@ def tokens(c: Column) -> Column:
     joined = F.regexp_replace(F.regexp_replace(c, joint, "$1_$2"), joint, "$1_$2")
 
     def of(word: Column) -> Column:
+        # Only words with an underscore or a change of case have parts; most texts have few of them.
+        several = word.rlike("_|[a-z0-9][A-Z]|[A-Z]{2}[a-z]")
         spaced = F.regexp_replace(F.regexp_replace(word, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
-        parts = F.split(F.regexp_replace(spaced, "_+", " "), " ", -1)
-        own = F.when(F.size(parts) >= 2, parts).otherwise(F.array().cast("array<string>"))
-        return F.transform(F.filter(F.concat(F.array(word), own), lambda x: F.length(x) >= 2), F.lower)
+        parts = F.split(F.lower(spaced), "[ _]+", -1)
+        return F.when(several, F.concat(F.array(F.lower(word)), parts)).otherwise(F.array(F.lower(word)))
 
-    return F.coalesce(F.flatten(F.transform(F.split(joined, "[^A-Za-z0-9_]+", -1), of)), F.array().cast("array<string>"))
+    every = F.flatten(F.transform(F.split(joined, "[^A-Za-z0-9_]+", -1), of))
+    return F.coalesce(F.filter(every, lambda w: F.length(w) >= 2), F.array().cast("array<string>"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str, query_id: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -44,9 +46,11 @@ def bm25(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str,
     sizes = toked.groupBy(target).agg(F.count("*").alias("n_lines"), F.avg("dl").alias("avgdl"))
     terms = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
     wanted = terms.select("term").distinct()
-    tf = toked.select(target, line, "dl", F.explode("toks").alias("term")).join(wanted, "term", "left_semi")
-    tf = tf.groupBy(target, line, "dl", "term").agg(F.count("*").alias("f"))
-    df = tf.groupBy(target, "term").agg(F.count("*").alias("df"))
+    # The outer form, as the inner one makes the scan below filter by the tokens and so find them twice.
+    each = toked.select(target, line, "dl", F.explode_outer("toks").alias("term")).where("term is not null")
+    tf = each.join(wanted, "term", "left_semi").groupBy(target, line, "dl", "term").agg(F.count("*").alias("f"))
+    # Counting by f keeps both readers of tf on one exchange.
+    df = tf.groupBy(target, "term").agg(F.count_if(F.col("f") > 0).alias("df"))
     scored = tf.join(df, [target, "term"]).join(sizes, target)
     idf = F.log(1 + (F.col("n_lines") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * (F.col("dl") / F.col("avgdl")))))

@@ -34,6 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a small file of one row group is one
+    task otherwise. Inputs of many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def strict(spark: SparkSession) -> None:
     """JSON with duplicate keys is valid; the parser has to be told so."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -138,7 +145,7 @@ _CLASS = "CASE WHEN regexp_matches({0}, '^\\s*\\w{{1,64}}\\[\\d{{1,15}}\\][{{:]'
 def classify_content(spark, sf_dir):
     strict(spark)
     parts = (("document", "doc_id", "text", "documents"), ("page", "page_id", "html", "pages"), ("event", "event_id", "props", "events"))
-    frames = [table(spark, sf_dir, t).select(F.lit(k).alias("kind"), F.col(i).cast("long").alias("id"), classify.content_class(F.col(c)).alias("content_class")) for k, i, c, t in parts]
+    frames = [spread(table(spark, sf_dir, t).select(i, c)).select(F.lit(k).alias("kind"), F.col(i).cast("long").alias("id"), classify.content_class(F.col(c)).alias("content_class")) for k, i, c, t in parts]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
@@ -223,7 +230,7 @@ def _redact_sql(mode: str) -> str:
 
 
 def _redacted(spark, sf_dir, mode):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(fx.frame(spark, fx.SECRETS, "id long, text string").withColumn("id", F.col("id") + 1000000))
+    rows = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).unionByName(fx.frame(spark, fx.SECRETS, "id long, text string").withColumn("id", F.col("id") + 1000000))
     text, count = redact.redact(F.col("text"), mode)
     return rows.select("id", text.alias("text"), count.alias("n"))
 
@@ -305,7 +312,7 @@ _DIALECT_SQL = "CASE " + " ".join(
 
 @query(f"SELECT id, {_DIALECT_SQL} AS dialect FROM {fx.values(fx.COMMANDS, 'id, body')} UNION ALL SELECT 1000000 + doc_id, {_DIALECT_SQL} FROM (SELECT doc_id, text AS body FROM documents)")
 def rewriter_dispatch(spark, sf_dir):
-    rows = fx.frame(spark, fx.COMMANDS, "id long, body string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000000).alias("id"), F.col("text").alias("body")))
+    rows = fx.frame(spark, fx.COMMANDS, "id long, body string").unionByName(spread(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000000).alias("id"), F.col("text").alias("body"))))
     return rows.select("id", commands.dialect(F.col("body")).alias("dialect"))
 
 
@@ -361,7 +368,7 @@ p AS (SELECT a.id AS a, b.id AS b, count(*) AS both FROM l a JOIN l b ON a.line
 SELECT p.a, p.b, p.both / (x.k + y.k - p.both) AS similarity FROM p JOIN c x ON x.id = p.a JOIN c y ON y.id = p.b JOIN t u ON u.id = p.a JOIN t v ON v.id = p.b
 WHERE abs(u.n - v.n) <= greatest(u.n, v.n) * 0.5 AND p.both / (x.k + y.k - p.both) > 0.5""")
 def line_jaccard_pairs(spark, sf_dir):
-    return similarity.similar_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return similarity.similar_pairs(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query()
@@ -435,25 +442,25 @@ def memo_by_text(spark, sf_dir):
 
 # Ranking
 
-_BM25_SQL = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS toks FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g'), '_+', ' ', 'g') AS text FROM documents)),
-q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[^a-z0-9]+'), lambda x: length(x) >= 2))) AS term FROM benchmark),
+def _tokens_sql(c: str) -> str:
+    joint = "'([A-Za-z0-9])[._\\-]+([A-Za-z0-9])', '\\1_\\2', 'g'"
+    words = f"regexp_split_to_array(regexp_replace(regexp_replace({c}, {joint}), {joint}), '[^A-Za-z0-9_]+')"
+    parts = "regexp_split_to_array(lower(regexp_replace(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[ _]+')"
+    each = f"list_transform({words}, lambda w: CASE WHEN regexp_matches(w, '_|[a-z0-9][A-Z]|[A-Z]{{2}}[a-z]') THEN list_concat([lower(w)], {parts}) ELSE [lower(w)] END)"
+    return f"list_filter(flatten({each}), lambda x: length(x) >= 2)"
+
+
+_BM25_SQL = f"""WITH d AS (SELECT doc_id, {_tokens_sql('text')} AS toks FROM documents), q AS (SELECT item_id, unnest(list_distinct({_tokens_sql('text')})) AS term FROM benchmark),
 z AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d), e AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d),
 f AS (SELECT doc_id, dl, term, count(*) AS f FROM e WHERE term IN (SELECT term FROM q) GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM f GROUP BY term)
 SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (f * 2.5 / (f + 1.5 * (0.25 + 0.75 * (dl / avgdl))))), 6) AS score FROM f JOIN g USING (term) JOIN q USING (term), z GROUP BY item_id, doc_id"""
 
 
-def _plain(spark, sf_dir):
-    """Documents as lines of one target, with words only of ASCII lower case, so that tokens have no parts."""
-    words = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_]+", " "), "_+", " "))
-    docs = table(spark, sf_dir, "documents").select(F.lit(1).alias("target"), "doc_id", words("text").alias("text"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")).alias("q"))
-    return docs, items
-
-
 @query(_BM25_SQL)
 def bm25_scores(spark, sf_dir):
-    docs, items = _plain(spark, sf_dir)
-    scored = ranking.bm25(docs, items, "target", "doc_id", "text", "item_id", "q")
+    """Documents as the lines of one target, benchmark items as queries."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("target", F.lit(1))
+    scored = ranking.bm25(docs, table(spark, sf_dir, "benchmark"), "target", "doc_id", "text", "item_id", "text")
     return scored.select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -501,7 +508,7 @@ def bm25_rerank(spark, sf_dir):
 def trim_budget(spark, sf_dir):
     """Documents of 4 KiB and more, trimmed to 512 tokens for the first benchmark item's words."""
     ask = table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("q"))
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") >= 4096).join(F.broadcast(ask))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.octet_length("text") >= 4096).join(F.broadcast(ask))
     cut = trim.trim_udf(512)("text", "q", F.lit(None).cast("string"))
     return docs.withColumn("cut", cut).select("doc_id", "cut.kept_lines", "cut.dropped_lines", "cut.tokens", "cut.trimmed_tokens", F.sha2("cut.trimmed", 256).alias("sha"))
 
@@ -683,7 +690,7 @@ def lcs_ratio(spark, sf_dir):
 
 def _targets(spark, sf_dir):
     """Documents as blocks: a source is a session and its language a request."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return docs.select(
         F.concat_ws("/", "source", "lang").alias("request_id"), F.col("source").alias("session_key"), F.timestamp_seconds(F.col("doc_id")).alias("ts"), F.col("doc_id").alias("ord"),
         F.concat(F.lit("/doc/"), (F.col("doc_id") % 50).cast("string")).alias("path"), "text", F.lit(None).cast("string").alias("skip"),

@@ -168,9 +168,9 @@ def test_scores_match_relational(spark):
     got = ranking.rerank(whole, "t", "line", "text", "score", ranking.tokens(F.lit(ask))).orderBy("line").collect()
     assert [r.score for r in got] == pytest.approx(trim.score_lines(lines, ask, rerank=False))
     assert [r.reranked for r in got] == pytest.approx(trim.score_lines(lines, ask))
-    some = ["getHTTPResponse_code", "a.b-c", "x", "", "snake_case camelCase"]
+    some = ["É straße ISO-8859 XMLParser __init__ HTTPserver v2Beta3", "getHTTPResponse_code", "a.b-c", "x", "", "snake_case camelCase"]
     toks = spark.createDataFrame([(s,) for s in some], "x string").select(ranking.tokens(F.col("x")).alias("t")).collect()
-    assert [r.t for r in toks] == [trim.tokenize(s) for s in some]
+    assert [sorted(r.t) for r in toks] == [sorted(trim.tokenize(s)) for s in some]
 
 
 def test_retrieval_quality(spark):
