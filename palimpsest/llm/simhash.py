@@ -258,7 +258,7 @@ def signature(text: str | None, width: int = 5) -> bytes:
     return np.packbits(votes * 2 > hashes.size).tobytes()
 
 
-def bits_apart(similarity: float, slack: float = 1.5) -> int:
+def bits_apart(similarity: float, slack: float = 2.0) -> int:
     """Signature bits by which texts of this Jaccard similarity differ, with `slack` deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(SIGNATURE_BITS * share + slack * math.sqrt(SIGNATURE_BITS * share * (1 - share)))
