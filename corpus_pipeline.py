@@ -17,8 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language. Profiles come from the labelled documents that are not
     held out; a text that is null or has no letter is rejected, whatever its label says."""
     training = docs.where(~language_id.held_out(F.col("doc_id")))
-    named = language_id.identify(docs, language_id.learn(training))
-    return named.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.identified(docs, language_id.learn(training))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

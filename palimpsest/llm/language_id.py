@@ -144,6 +144,17 @@ def learn(labelled: DataFrame, size: int = PROFILE) -> Profiles:
     return Profiles([(r.lang, r.code, r.n) for r in top.select("lang", "code", "n").collect()], size)
 
 
+def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The rows of docs(text, ...) whose text has a language, with all their columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [profiles.predict(t.as_py())[0] != UNKNOWN for t in batch.column("text")]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     code, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return code, np.bincount(place, np.concatenate([p[1] for p in parts]), code.size).astype(np.int64)

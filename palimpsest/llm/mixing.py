@@ -95,6 +95,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as the mix takes it."""
-    rows = mix(docs, **options).where("copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """The mix itself: the columns of docs, whatever their names, each row as often as the mix takes it."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    taken = mix(rows, **options).where("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")

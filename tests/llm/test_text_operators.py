@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, exact_dedup, language_id, mixing, secrets, sharding, simhash, suffix_dedup, url_filter
+from palimpsest.llm import decontaminate, exact_dedup, html_text, language_id, mixing, secrets, sharding, simhash, suffix_dedup, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -368,7 +368,48 @@ def test_decontaminate(spark):
 @pytest.mark.parametrize("run", [
     lambda d: suffix_dedup.remove_repeats(d), lambda d: mixing.mix(d), lambda d: simhash.near_duplicates(d), lambda d: exact_dedup.dedup(d),
     lambda d: sharding.shard(d), lambda d: language_id.identify(d, language_id.learn(d)),
-    lambda d: secrets.scan_secrets(d.selectExpr("doc_id", "source owner", "lang repository", "text")),
+    lambda d: secrets.scan_secrets(d.selectExpr("doc_id", "source owner", "lang repository", "text")), lambda d: simhash.similar_texts(d),
+    lambda d: mixing.mixed(d), lambda d: decontaminate.find_leaks(d, d.selectExpr("doc_id item_id", "text")), lambda d: decontaminate.clean(d, d.selectExpr("doc_id item_id", "text")),
+    lambda d: html_text.main_text(d.selectExpr("doc_id page_id", "source url", "text html")), lambda d: url_filter.filter_urls(d.selectExpr("doc_id page_id", "text url"), ["a/"], []),
 ])
 def test_empty(spark, run):
     assert run(spark.createDataFrame([], DOCS)).count() == 0
+
+
+CLASHING = ("size", "target", "taken", "copies", "source_size", "lang_pred", "score", "shard", "slot", "law", "fp", "component_id", "sig", "keep_id", "spans", "id", "node", "a", "b", "u", "v")
+
+
+def test_clashing_columns(spark, corpus):
+    """Columns named like an operator's own change no result, and rows that pass through keep them."""
+    import corpus_pipeline
+
+    rows = [r for r in corpus if r[0] is not None]
+    plain = spark.createDataFrame(rows, DOCS)
+    more = plain
+    for c in CLASHING:
+        more = more.withColumn(c, F.lit(f"kept {c}"))
+    bench = spark.createDataFrame([(1, "nothing of this is there at all")], "item_id long, text string")
+    for run in (
+        suffix_dedup.remove_repeats, simhash.near_duplicates, simhash.similar_texts, exact_dedup.dedup, lambda d: decontaminate.find_leaks(d, bench),
+        lambda d: mixing.mix(d).select("doc_id", "size", "target", "taken"), lambda d: sharding.shard(d).select("doc_id", "size", "shard", "slot"),
+    ):
+        assert sorted(map(str, run(more).collect())) == sorted(map(str, run(plain).collect()))
+    for run in (mixing.mixed, lambda d: decontaminate.clean(d, bench), lambda d: corpus_pipeline.language(spark, d, ""), lambda d: corpus_pipeline.near_dedup(spark, d, "")):
+        out = run(more)
+        assert out.columns == more.columns
+        got = out.collect()
+        assert got and all(r[c] == f"kept {c}" for r in got for c in CLASHING)
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in run(plain).collect())
+
+
+def test_long_text(spark):
+    """A text of some megabytes beside short ones, its second half a copy of the first."""
+    rng = random.Random(8)
+    half = words(rng, 60_000)
+    rows = [(1, "short text", "en", "a"), (2, half + " " + half, "en", "a"), (3, half[:200], "en", "b")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got[2].n_removed >= len(half) - 100 and got[3].n_removed == 200 and got[1].n_removed == 0
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.near_duplicates(df).collect()} == {r[0]: brute_simhash(r[1]) for r in rows}
+    assert mixing.mix(df).count() == exact_dedup.dedup(df).count() == sharding.shard(df).count() == 3
+    assert {r.lang_pred for r in language_id.identify(df, language_id.learn(df)).collect()} == {"en"}
