@@ -202,10 +202,10 @@ def file_strategy(spark, sf_dir):
     return rows.select(F.concat("method", "url").alias("request"), classify.file_strategy(F.col("url")).alias("strategy"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) >= 1024 THEN printf('%.1f KB', strlen(text) / 1024.0) ELSE printf('%d B', strlen(text)) END AS size, CASE WHEN strlen(text) >= 1000 THEN printf('%.1fk', strlen(text) / 1000.0) ELSE printf('%d', strlen(text)) END AS short FROM documents WHERE strlen(text) % 5 <> 0")
+@query("""SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MB', floor(n * 10 / 1048576.0 + 0.5) / 10) WHEN n >= 1024 THEN printf('%.1f KB', floor(n * 10 / 1024.0 + 0.5) / 10) ELSE printf('%d B', n) END AS size,
+CASE WHEN n >= 1000 THEN printf('%.1fk', floor(n * 10 / 1000.0 + 0.5) / 10) ELSE printf('%d', n) END AS short FROM (SELECT doc_id, strlen(text) AS n FROM documents)""")
 def size_labels(spark, sf_dir):
-    """Sizes that fall on a rounding edge are left to tests."""
-    docs = table(spark, sf_dir, "documents").withColumn("n", F.octet_length("text")).where("n % 5 <> 0")
+    docs = table(spark, sf_dir, "documents").withColumn("n", F.octet_length("text"))
     return docs.select("doc_id", size_label(F.col("n")).alias("size"), count_label(F.col("n")).alias("short"))
 
 
@@ -284,9 +284,13 @@ def token_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(f"SELECT id, CASE WHEN id IN (1, 6, 8) OR (id = 2) OR id = 9 OR id = 7 THEN CASE WHEN length(replace(json(body)::VARCHAR, '2.50', '2.5')) - CASE WHEN id = 1 THEN 2 ELSE 0 END < length(body) THEN CASE WHEN id = 6 THEN NULL ELSE replace(replace(json(body)::VARCHAR, '2.50', '2.5'), '1.0', CASE WHEN id = 1 THEN '1' ELSE '1.0' END) END END END AS text FROM {fx.values([r for r in fx.JSON_TEXTS if r[0] != 7], 'id, body')} WHERE id IN (1, 2, 3, 8, 9)")
+_PLAIN_JSON = [r for r in fx.JSON_TEXTS if r[0] in (2, 3, 4, 8, 9)]  # numbers and escapes print alike in both engines
+
+
+@query(f"""SELECT id, CASE WHEN json_valid(body) THEN CASE WHEN length(json(body)::VARCHAR) < length(body) THEN json(body)::VARCHAR END END AS text
+FROM (SELECT event_id + 1000 AS id, props AS body FROM events UNION ALL SELECT * FROM {fx.values(_PLAIN_JSON, 'id, body')})""")
 def json_minify(spark, sf_dir):
-    rows = fx.frame(spark, [r for r in fx.JSON_TEXTS if r[0] in (1, 2, 3, 8, 9)], "id long, body string")
+    rows = fx.frame(spark, _PLAIN_JSON, "id long, body string").unionByName(table(spark, sf_dir, "events").select((F.col("event_id") + 1000).alias("id"), F.col("props").alias("body")))
     return rows.select("id", json_text.minify("body").alias("text"))
 
 
@@ -422,13 +426,13 @@ def disclosure_summary(spark, sf_dir):
     return folded.select("doc_id", "hash", "original_bytes", F.substring_index("summary", "\n", 1).alias("line"))
 
 
-@query("""WITH s AS (SELECT doc_id, text, sha256(text) AS hash, strlen(text) AS n FROM documents WHERE strlen(text) < 400),
+@query("""WITH s AS (SELECT doc_id, text, sha256(text) AS hash, strlen(text) AS n FROM documents),
 q AS (SELECT doc_id AS id, 'see <fold-ref:v1:' || hash || ':' || n || '> and <fold-ref:v1:' || repeat('0', 64) || ':9>' AS quoted, text, hash, n FROM s)
 SELECT id, replace(quoted, '<fold-ref:v1:' || hash || ':' || n || '>', '<fold-ref:v1:' || hash || ' expanded - ' || n || ' bytes follow>' || chr(10) || text || chr(10) || '</fold-ref:v1 expanded>') AS expanded, 1::BIGINT AS rehydrated, 1::BIGINT AS missed FROM q""")
 def rehydrate_join(spark, sf_dir):
-    small = table(spark, sf_dir, "documents").where(F.octet_length("text") < 400).withColumn("hash", F.sha2("text", 256))
+    small = table(spark, sf_dir, "documents").withColumn("hash", F.sha2("text", 256))
     mark = F.concat(F.lit("see <fold-ref:v1:"), F.col("hash"), F.lit(":"), F.octet_length("text").cast("string"), F.lit("> and <fold-ref:v1:" + "0" * 64 + ":9>"))
-    store = small.groupBy("hash").agg(F.min("text").alias("text"))
+    store = small.groupBy("hash").agg(F.min("text").alias("text"))  # every document quotes its own text and one that no store has
     return disclosure.rehydrate(small.select(F.col("doc_id").alias("id"), mark.alias("text")), store, "id")
 
 
@@ -758,6 +762,64 @@ def stream_session_refs(spark, sf_dir):
     return spark.table(name)
 
 
+_AUTH = [(1, "acc-1", None, "/v1/responses"), (2, None, "Bearer sk-abc", "/v1/responses"), (3, None, "bearer eyJa.b.c", "/v1/responses"), (4, None, "Bearer eyJa.b", "/x"), (5, None, None, "/v1"), (6, "", "Basic zzz", "/v1x"), (7, "acc", None, "/backend-api/codex/r"), (8, "acc", None, "/v1x")]
+
+
+@query(f"""SELECT id, mode, CASE WHEN mode <> 'oauth' OR starts_with(path, '/backend-api/codex') THEN path ELSE '/backend-api/codex' || CASE WHEN path = '/v1' OR starts_with(path, '/v1/') THEN substr(path, 4) ELSE path END END AS upstream
+FROM (SELECT *, CASE WHEN account <> '' THEN 'oauth' WHEN starts_with(token, 'sk-') THEN 'api-key' WHEN regexp_matches(token, '^eyJ[^.]*[.][^.]+[.][^.]+$') THEN 'oauth' ELSE 'unknown' END AS mode
+FROM (SELECT *, coalesce(regexp_extract(header, '(?i)^\\s*bearer\\s+(\\S+)', 1), '') AS token FROM {fx.values(_AUTH, 'id, account, header, path')}))""")
+def auth_modes(spark, sf_dir):
+    rows = fx.frame(spark, _AUTH, "id long, account string, header string, path string")
+    rows = rows.withColumn("mode", requests.auth_mode(F.col("account"), F.col("header")))
+    return rows.select("id", "mode", requests.upstream_path(F.col("mode"), F.col("path")).alias("upstream"))
+
+
+@query("SELECT doc_id, strlen(text) AS n, sha256(text) AS sha FROM documents")
+def decode_bodies(spark, sf_dir):
+    """Documents compressed as bodies would be, and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", requests.gzip_text("text").alias("body"))
+    text = requests.decode_body()("body", F.lit("gzip"))
+    return docs.select("doc_id", text.alias("t")).select("doc_id", F.octet_length("t").cast("long").alias("n"), F.sha2("t", 256).alias("sha"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{s}', {str(s in cfg.LOSSY_STAGES).upper()})" for n, stages in cfg.LEVELS.items() for s in stages) + ") AS t(level, stage, lossy)")
+def stage_ladder(spark, sf_dir):
+    rows = [(n, list(cfg.resolve({"LEVEL": str(n)}).stages)) for n in range(1, 10)]
+    each = fx.frame(spark, rows, "level int, stages array<string>").select("level", F.explode("stages").alias("stage"))
+    return each.withColumn("lossy", F.col("stage").isin(*cfg.LOSSY_STAGES))
+
+
+@query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS total FROM (
+SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 7200000000, FALSE)::INT AS fresh FROM events)) GROUP BY user_id, s""")
+def ext_session_windows(spark, sf_dir):
+    """Extension: totals of session windows, as the stream computes them."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = sessions.session_totals(events, "user_id", "ts", "value")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(d, '## Output rules') THEN '# Doc' || chr(10) || chr(10) || '## Output rules' || chr(10) || chr(10) || 'be brief' || chr(10) || chr(10) || '## Next' ELSE d || chr(10) || chr(10) || '## Output rules' || chr(10) || chr(10) || 'be brief' || chr(10) END AS d
+FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# Doc' || chr(10) || chr(10) || '## Output rules' || chr(10) || text || chr(10) || chr(10) || '## Next' ELSE text END AS d FROM documents)""")
+def rule_sections(spark, sf_dir):
+    old = F.concat(F.lit("# Doc\n\n## Output rules\n"), F.col("text"), F.lit("\n\n## Next"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, old).otherwise(F.col("text")).alias("d"))
+    return docs.select("doc_id", plans.rule_section(F.col("d"), F.lit("be brief")).alias("d"))
+
+
+@query()
+def stream_read_diffs(spark, sf_dir):
+    """Diffs to prior reads over a stream of the conversations table, a conversation's role being the path."""
+    import uuid
+
+    schema = table(spark, sf_dir, "conversations").schema
+    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque[t]")
+    rows = turns.select(F.col("conv_id").cast("string").alias("session_key"), F.col("role").alias("path"), F.col("turn").alias("ord"), "text")
+    name = f"diffs_{uuid.uuid4().hex}"
+    run = sessions.stream_read_diff(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(once=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations and documents: redact, classify, gate by size, drop repeats, and total by session."""
     strict(spark)

@@ -116,8 +116,9 @@ def decode_body(most: int = MAX_BODY):
     return run
 
 
-def gzip_text(text: str) -> bytes:
-    return gzip.compress(text.encode())
+@F.pandas_udf(T.BinaryType())
+def gzip_text(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: gzip.compress(t.encode()), na_action="ignore")
 
 
 def _get(c: Column, path: str, kind: str) -> Column:
