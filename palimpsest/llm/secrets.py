@@ -50,7 +50,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1, m[0]) for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2, m[0]) for m in HEX.finditer(text)]
-    return sorted(found)
+    return sorted(found, key=lambda x: (x[0], x[2]))
 
 
 def bare_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
@@ -60,7 +60,7 @@ def bare_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans))
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2])))
 
 
 _SPAN = "struct<start: int, end: int, kind: int, value_hash: string, random: boolean>"
