@@ -22,7 +22,7 @@ from .common import connected_components, materialize, partitions
 
 NODE_SIZE = 8192
 MAX_DEPTH = 14
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 
 
 def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -230,8 +230,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, node_size:
 
 # Fixed by this module: signatures of many bits, of which bands are walked and the whole is compared.
 SIGNATURE_BITS = 512
-BANDS, BAND_BITS, BAND_BUDGET = 24, 28, 2
-BAND_NODE_SIZE = 1 << 20
+BAND_BITS, BAND_BUDGET, BAND_MISS = 28, 2, 0.008
+BAND_NODE_SIZE = 1 << 16
 
 
 def signature(text: str | None, width: int = 5) -> bytes:
@@ -258,9 +258,22 @@ def signature(text: str | None, width: int = 5) -> bytes:
     return np.packbits(votes * 2 > hashes.size).tobytes()
 
 
+def bit_share(similarity: float) -> float:
+    """Share of signature bits by which texts of a Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def bands_needed(depth: int, similarity: float, miss: float = BAND_MISS) -> int:
+    """Bands that leave at most `miss` of the pairs at a similarity in no band's node together with few
+    enough differing bits, where nodes are `depth` levels down."""
+    p, rest = bit_share(similarity), BAND_BITS - depth
+    hit = (1 - p) ** depth * sum(math.comb(rest, k) * p**k * (1 - p) ** (rest - k) for k in range(BAND_BUDGET + 1))
+    return math.ceil(math.log(miss) / math.log(1 - hit))
+
+
 def bits_apart(similarity: float, slack: float = 2.0) -> int:
     """Signature bits by which texts of this Jaccard similarity differ, with `slack` deviations."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = bit_share(similarity)
     return int(SIGNATURE_BITS * share + slack * math.sqrt(SIGNATURE_BITS * share * (1 - share)))
 
 
@@ -277,10 +290,11 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
     that a chain of texts alike reaches.
 
     Texts at a Jaccard similarity of 0.8 differ in some 15% of their SimHash bits, too many for a trie
-    walk over whole fingerprints. So signatures have 512 bits, and each of 24 bands of 28 bits has its
-    own trie, walked with a budget of 2 bits; some band brings a pair at 0.8 together in 99 of 100
-    cases, and nearly always above. Pairs found so are compared on all 512 bits in the same task, where
-    they join a forest; only its links leave the task.
+    walk over whole fingerprints. So signatures have 512 bits, and each band of 28 of them has its own
+    trie, walked with a budget of 2 bits. Where signatures are many, a task walks one subtree of a band
+    with itself: pairs then have to agree down to that node, so bands are added until 99.2 of 100 pairs
+    at the similarity meet in one, at every size of input. Pairs that meet are compared on all 512 bits
+    in the same task and join a forest; only its links leave the task.
     """
     marked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -293,8 +307,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
     distinct = materialize(marked.groupBy("sig").agg(F.min("doc_id").alias("id")), "distinct")
     n = distinct.count()
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n) / node_size))))
-    masks = np.array(node_masks(depth, BAND_BUDGET), np.int64)
-    apart = bits_apart(similarity)
+    bands, apart = bands_needed(depth, similarity), bits_apart(similarity)
 
     def bytes_of(batch: pa.RecordBatch) -> np.ndarray:
         return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE_BITS // 8)
@@ -304,28 +317,19 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 sigs = bytes_of(part)
-                for band in range(BANDS):
+                for band in range(bands):
                     value = band_values(sigs, band)
-                    top = (value >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(value.size, np.int64)
-                    for mask in masks.tolist():
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(value.size, band, np.int32)), pa.array(np.minimum(top, top ^ mask)), pa.array(np.full(value.size, mask, np.int64)), part.column("id"), part.column("sig")],
-                            names=["band", "low", "mask", "id", "sig"],
-                        )
+                    node = (value >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(value.size, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(value.size, band, np.int32)), pa.array(node), part.column("id"), part.column("sig")], names=["band", "node", "id", "sig"])
 
     def settle(key: tuple, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
-        band, low, mask = key
+        band = key[0]
         ids, sigs = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         value = band_values(sigs, band)
         order = np.lexsort((ids, value))
         ids, sigs, value = ids[order], np.ascontiguousarray(sigs[order]).view(np.uint64), value[order]
         forest = Forest(ids.size)
-        first = second = np.arange(ids.size)
-        if mask and depth:
-            lower = (value >> np.uint64(64 - depth)).astype(np.int64) == low
-            first, second = np.flatnonzero(lower), np.flatnonzero(~lower)
-        for i, j in trie_pairs(value[first], value[second], BAND_BUDGET, not (mask and depth), bits=BAND_BITS):
-            i, j = first[i], second[j]
+        for i, j in trie_pairs(value, value, BAND_BUDGET, True, bits=BAND_BITS):
             for at in range(0, i.size, 1 << 16):
                 x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
                 new = forest.parent[x] != forest.parent[y]
@@ -343,7 +347,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "low", "mask")])
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "node")])
             ids, sigs = batch.column("id").to_numpy(zero_copy_only=False), bytes_of(batch)
             edges = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
             for s, e in zip([0, *edges.tolist()], [*edges.tolist(), ids.size]):
@@ -356,8 +360,8 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
         if held and (found := settle(key, held)):
             yield found
 
-    dealt = distinct.mapInArrow(spread, "band int, low long, mask long, id long, sig binary")
-    dealt = dealt.repartition(max(BANDS, partitions(docs.sparkSession)), "band", "low", "mask").sortWithinPartitions("band", "low", "mask")
+    dealt = distinct.mapInArrow(spread, "band int, node long, id long, sig binary")
+    dealt = dealt.repartition(max(bands, partitions(docs.sparkSession)), "band", "node").sortWithinPartitions("band", "node")
     roots = connected_components(dealt.mapInArrow(walk, "a long, b long"))
     placed = distinct.join(roots, distinct["id"] == roots["node"], "left").select("sig", F.coalesce("root", "id").alias("component_id"))
     return marked.join(placed, "sig").select("doc_id", "component_id")
