@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BUCKETS = 4096
+SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -49,48 +52,63 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return stepped.select("source", "source_size", F.round(share, 6).alias("target"))
 
 
+def limits(rows: DataFrame, weights: tuple[int, ...], most: int, buckets: int) -> DataFrame:
+    """One row a source of rows(source, doc_id, size, u): source_size, target, whole copies, odds of one
+    more, and where its sample ends: the bucket __cut of the Pareto order and the last key __last taken
+    in it, null if none is.
+
+    The cut is found among bucket sums, and only the bucket that holds it is ordered row by row. Rows of
+    one key, which repeat a doc_id, are taken or left together; those that cross the need are taken if
+    that comes nearer to it.
+    """
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = goal.withColumn("__whole", F.least(F.floor(rate), F.lit(most)).cast("long")).withColumn("__odds", rate - F.col("__whole"))
+    goal = goal.withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size")).withColumnRenamed("source", "__source")
+    ranked = rows.join(goal, rows["source"].eqNullSafe(goal["__source"])).withColumn("__bucket", bucket(F.col("u"), F.col("__odds"), buckets))
+    sums = ranked.groupBy("__source", "__need", "__bucket").agg(F.sum("size").alias("__n"))
+    run = W.partitionBy("__source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("__from", F.coalesce(F.sum("__n").over(run), F.lit(0)))
+    cut = sums.where("__need > 0 and __from < __need and __from + __n >= __need").select(F.col("__source").alias("__s"), F.col("__bucket").alias("__cut"), "__from")
+    inside = ranked.join(cut, ranked["__source"].eqNullSafe(cut["__s"]) & (ranked["__bucket"] == cut["__cut"]))
+    peers = inside.groupBy("__source", "__need", "__from", key(F.col("u"), F.col("doc_id"), F.col("size")).alias("__key")).agg(F.sum("size").alias("__n"))
+    done = F.col("__from") + F.sum("__n").over(W.partitionBy("__source").orderBy("__key").rowsBetween(W.unboundedPreceding, W.currentRow))
+    near = (done <= F.col("__need")) | (done - F.col("__need") < F.col("__need") - (done - F.col("__n")))
+    last = peers.withColumn("__near", near).where("__near").groupBy(F.col("__source").alias("__t")).agg(F.max("__key").alias("__last"))
+    out = goal.join(cut.drop("__from"), goal["__source"].eqNullSafe(cut["__s"]), "left").drop("__s")
+    return out.join(last, out["__source"].eqNullSafe(last["__t"]), "left").drop("__t")
+
+
+def bucket(u: Column, odds: Column, buckets: int) -> Column:
+    """Place of a row's Pareto ratio, its random odds over its inclusion odds, among equal parts."""
+    odds = F.least(F.greatest(odds, F.lit(1e-12)), F.lit(1 - 1e-12))
+    ratio = (u / (1 - u)) / (odds / (1 - odds))
+    return F.least(F.floor(ratio / (1 + ratio) * buckets), F.lit(buckets - 1)).cast("int")
+
+
+def key(u: Column, doc_id: Column, size: Column) -> Column:
+    """Order within a source, where inclusion odds are one and so ratios follow the random numbers."""
+    return F.struct(u.alias("u"), doc_id.isNull().alias("n"), doc_id.cast("string").alias("i"), size.alias("s"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", buckets: int = BUCKETS) -> DataFrame:
     """One row per row of docs: its columns and size, source_size, target, copies and taken.
 
-    Null texts have size 0 and take no words; a null source is a source of its own, last in order.
-    Repeated rows are rows of their own that rank together. The cut of a source is found among bucket
-    sums of the Pareto order, and only the bucket that holds the cut is ordered row by row, so a hot
-    source is never sorted in one task.
+    Null texts have size 0 and take no words; a null source is a source of its own, last in order. Only
+    identifiers and sizes are shuffled to find where each source's sample ends; the rows themselves then
+    meet one row a source, broadcast while there are at most SOURCES of them and joined otherwise.
     """
     names = ("size", "source_size", "target", "copies", "taken")
     own = [c for c in docs.columns if c not in names]
-    held = docs.select(*own, word_count(F.col("text")).alias("size"))
-    goal = targets(held.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    # One row a source: small beside the documents, yet of no proven bound, so the optimizer sizes the join.
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.least(F.floor(rate), F.lit(most)).cast("long")
-    goal = goal.withColumn("__whole", whole).withColumn("__odds", rate - F.col("__whole"))
-    goal = goal.withColumn("__need", F.col("target") - F.col("__whole") * F.col("source_size"))
-    goal = goal.withColumnRenamed("source", "__source")
-    joined = held.join(goal, held["source"].eqNullSafe(goal["__source"]))
-    u = uniform(F.col("doc_id"), seed)
-    odds = F.greatest(F.col("__odds"), F.lit(1e-12))
-    ratio = (u / (1 - u)) / (odds / (1 - F.least(odds, F.lit(1 - 1e-12))))
-    ranked = joined.withColumn("__u", ratio / (1 + ratio))
-    ranked = ranked.withColumn("__bucket", F.least(F.floor(F.col("__u") * buckets), F.lit(buckets - 1)).cast("int"))
-    sums = ranked.groupBy("__source", "__need", "__bucket").agg(F.sum("size").alias("__n"))
-    run = W.partitionBy("__source").orderBy("__bucket")
-    sums = sums.withColumn("__from", F.coalesce(F.sum("__n").over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    cut = sums.where("__need > 0 and __from < __need and __from + __n >= __need").select(
-        F.col("__source").alias("__s"), F.col("__bucket").alias("__cut"), "__from"
-    )
-    marked = ranked.join(cut, ranked["__source"].eqNullSafe(cut["__s"]), "left").drop("__s")
-    edge = F.col("__bucket") == F.col("__cut")
-    inside = marked.where(edge)
-    order = W.partitionBy("__source").orderBy("__u", F.col("doc_id").asc_nulls_last(), "size")
-    done = F.col("__from") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    # The row that crosses the need is taken only if that comes nearer to it.
-    near = (done <= F.col("__need")) | (done - F.col("__need") < F.col("__need") - (done - F.col("size")))
-    inside = inside.withColumn("__more", near.cast("long"))
-    rest = marked.where(~F.coalesce(edge, F.lit(False)))
-    before = (F.col("__bucket") < F.col("__cut")) & F.col("__cut").isNotNull()
-    rest = rest.withColumn("__more", F.coalesce(before, F.lit(False)).cast("long"))
-    all_rows = inside.unionByName(rest).withColumn("copies", F.least(F.col("__whole") + F.col("__more"), F.lit(most)).cast("long"))
+    held = docs.select(*own, word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("__u"))
+    ends = materialize(limits(held.select("source", "doc_id", "size", F.col("__u").alias("u")), weights, most, buckets), "mix")
+    if ends.count() <= SOURCES:
+        ends = F.broadcast(ends)
+    joined = held.join(ends, held["source"].eqNullSafe(F.col("__source")))
+    place = bucket(F.col("__u"), F.col("__odds"), buckets)
+    more = (place < F.col("__cut")) | ((place == F.col("__cut")) & (key(F.col("__u"), F.col("doc_id"), F.col("size")) <= F.col("__last")))
+    copies = F.least(F.col("__whole") + F.coalesce(more, F.lit(False)).cast("long"), F.lit(most)).cast("long")
+    all_rows = joined.withColumn("copies", copies)
     return all_rows.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

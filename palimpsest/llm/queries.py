@@ -112,10 +112,10 @@ h AS (SELECT *, least(floor(rate), 3)::BIGINT AS whole FROM r),
 k AS (SELECT *, target - whole * source_size AS need FROM h),
 o AS (
   SELECT d.doc_id, d.size, k.source_size, k.target, k.whole, k.need,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.doc_id NULLS LAST, d.size ROWS UNBOUNDED PRECEDING) AS done
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.doc_id::VARCHAR NULLS LAST, d.size RANGE UNBOUNDED PRECEDING) AS done, sum(d.size) OVER (PARTITION BY d.source, u, d.doc_id, d.size) AS peers
   FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
-SELECT doc_id, size, source_size, target, least(3, whole + CASE WHEN need > 0 AND done - size < need
-  AND (done <= need OR done - need < need - (done - size)) THEN 1 ELSE 0 END) * size AS taken
+SELECT doc_id, size, source_size, target, least(3, whole + CASE WHEN need > 0 AND done - peers < need
+  AND (done <= need OR done - need < need - (done - peers)) THEN 1 ELSE 0 END) * size AS taken
 FROM o
 """,
     "op8_url_filter": """
