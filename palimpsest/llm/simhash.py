@@ -9,6 +9,7 @@ tasks; a task hands on a spanning forest of its links, never all pairs of a grou
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -230,21 +231,30 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, node_size:
 
 # Fixed by this module: signatures of many bits, of which bands are walked and the whole is compared.
 SIGNATURE_BITS = 512
-BAND_BITS, BAND_BUDGET, BAND_MISS = 28, 2, 0.008
+BAND_BITS, BAND_BUDGET, BAND_MISS = 28, 2, 1e-4
 BAND_NODE_SIZE = 1 << 16
+#: Texts of at most so many shingles also meet by the shingles themselves, as few votes make odd signatures.
+FEW_SHINGLES = 64
+#: Shingles that one task compares; groups of more are split into blocks and compared block by block.
+BLOCK_SHINGLES = 1 << 21
+BROADCAST_ROWS = 1 << 21
 
 
-def signature(text: str | None, width: int = 5) -> bytes:
-    """SimHash of 512 bits of a text's distinct shingles of `width` words; zero without words."""
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles of `width` words; a text of fewer words is one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(SIGNATURE_BITS // 8)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     width = min(width, len(words))
     starts = [0, *(ends[: len(words) - width] + 1).tolist()]
     digest = xxhash.xxh3_64_intdigest
-    hashes = np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64))
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64))
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """SimHash of 512 bits of a text's distinct shingles; zero without any."""
     votes = np.zeros(SIGNATURE_BITS, np.int64)
     lanes = np.arange(1, SIGNATURE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for part in range(0, hashes.size, 255 * 64):
@@ -271,8 +281,9 @@ def bands_needed(depth: int, similarity: float, miss: float = BAND_MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - hit))
 
 
-def bits_apart(similarity: float, slack: float = 2.0) -> int:
-    """Signature bits by which texts of this Jaccard similarity differ, with `slack` deviations."""
+def bits_apart(similarity: float, slack: float = 6.0) -> int:
+    """Signature bits by which texts of this Jaccard similarity differ, with `slack` deviations: no
+    decision, only what is worth an exact comparison."""
     share = bit_share(similarity)
     return int(SIGNATURE_BITS * share + slack * math.sqrt(SIGNATURE_BITS * share * (1 - share)))
 
@@ -285,26 +296,83 @@ def band_values(signatures: np.ndarray, band: int) -> np.ndarray:
     return (bits.astype(np.uint64) * weight[None, :]).sum(axis=1, dtype=np.uint64)
 
 
+def least_prefix(n: int, similarity: float) -> int:
+    """Shingles, the first in any one order of all, of which two sets at the similarity share one."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join exactly the sets that a chain of Jaccard similarities of at least
+    `similarity` joins. Rare elements come first; sets are compared once they share one of their
+    first elements, and only while nothing joins them yet."""
+    sizes = [s.size for s in sets]
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(count.size, np.int64)
+    place[np.argsort(count, kind="stable")] = np.arange(count.size)
+    ends = np.cumsum(sizes)
+    ordered = [np.sort(place[code[e - n : e]]) for n, e in zip(sizes, ends.tolist())]
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    found, held, trees = [], defaultdict(list), 0
+    for x in sorted(range(len(sets)), key=lambda k: sizes[k]):
+        first = ordered[x][: least_prefix(sizes[x], similarity)].tolist() if sizes[x] else []
+        seen: set[int] = set()
+        joined = 0
+        for y in (y for token in first for y in held[token]):
+            if joined == trees:
+                break
+            if y in seen:
+                continue
+            seen.add(y)
+            if sizes[y] < similarity * sizes[x] - 1e-9 or (r := root(y)) == (own := root(x)):
+                continue
+            small, large = ordered[y], ordered[x]
+            at = np.searchsorted(large, small)
+            both = int((large[np.minimum(at, large.size - 1)] == small).sum())
+            if both / (sizes[x] + sizes[y] - both) >= similarity:
+                parent[own] = r
+                found.append((x, y))
+                joined += 1
+        trees += 1 - joined
+        for token in first:
+            held[token].append(x)
+    return found
+
+
 def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node_size: int = BAND_NODE_SIZE) -> DataFrame:
     """(doc_id, component_id) for every row of docs with a doc_id: component_id is the smallest doc_id
-    that a chain of texts alike reaches.
+    that a chain of texts alike reaches. Texts are alike when the Jaccard similarity of their sets of
+    shingles is at least `similarity`; texts without words are alike.
 
-    Texts at a Jaccard similarity of 0.8 differ in some 15% of their SimHash bits, too many for a trie
+    Signatures only find what to compare. Texts at a Jaccard similarity of 0.8 differ in some 15% of their SimHash bits, too many for a trie
     walk over whole fingerprints. So signatures have 512 bits, and each band of 28 of them has its own
     trie, walked with a budget of 2 bits. Where signatures are many, a task walks one subtree of a band
-    with itself: pairs then have to agree down to that node, so bands are added until 99.2 of 100 pairs
-    at the similarity meet in one, at every size of input. Pairs that meet are compared on all 512 bits
-    in the same task and join a forest; only its links leave the task.
+    with itself: pairs then have to agree down to that node, so bands are added until 9,999 of 10,000
+    pairs at the similarity meet in one, at every size of input. Pairs that meet and are within six
+    deviations on all 512 bits join a loose forest; only its links leave the task.
+
+    The texts of each loose group, and besides the texts of at most FEW_SHINGLES shingles that share one
+    of their first shingles, then meet with all their shingles, and only pairs at the similarity link.
     """
     marked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(t.as_py(), width) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "sig"])
-
-    marked = materialize(marked.mapInArrow(sign, "doc_id long, sig binary"), "signatures")
-    distinct = materialize(marked.groupBy("sig").agg(F.min("doc_id").alias("id")), "distinct")
+            sets = [shingles(t.as_py(), width) for t in batch.column("text")]
+            first = [h[: least_prefix(h.size, similarity)].view(np.int64) if 0 < h.size <= FEW_SHINGLES else np.zeros(0, np.int64) for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([signature(h) for h in sets], pa.binary()), pa.array([h.size for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))],
+                names=["doc_id", "sig", "n", "first"],
+            )
+
+    texts = marked
+    marked = materialize(marked.mapInArrow(sign, "doc_id long, sig binary, n long, first array<long>"), "signatures")
+    distinct = materialize(marked.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")), "distinct")
     n = distinct.count()
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n) / node_size))))
     bands, apart = bands_needed(depth, similarity), bits_apart(similarity)
@@ -360,8 +428,50 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
         if held and (found := settle(key, held)):
             yield found
 
-    dealt = distinct.mapInArrow(spread, "band int, node long, id long, sig binary")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), width) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([signature(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "sig", "shingles"]
+            )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1 and (links := alike(sets, similarity)):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("kind", "key", "low", "high")))
+            for now, i, held in zip(keys, batch.column("id").to_pylist(), batch.column("shingles")):
+                if now != key:
+                    yield from found()
+                    key, ids, sets = now, [], []
+                ids.append(i)
+                sets.append(np.frombuffer(held.as_py(), np.uint64))
+        yield from found()
+
+    dealt = distinct.select("id", "sig").mapInArrow(spread, "band int, node long, id long, sig binary")
     dealt = dealt.repartition(max(bands, partitions(docs.sparkSession)), "band", "node").sortWithinPartitions("band", "node")
-    roots = connected_components(dealt.mapInArrow(walk, "a long, b long"))
+    loose = connected_components(dealt.mapInArrow(walk, "a long, b long"))
+    close = distinct.join(loose, distinct["id"] == loose["node"]).select(F.lit(0).alias("kind"), F.col("root").alias("key"), "sig", "id", "n")
+    few = distinct.select(F.lit(1).alias("kind"), F.explode("first").alias("key"), "sig", "id", "n")
+    shared = few.groupBy("key").count().where("count > 1").select("key")
+    met = materialize(close.unionByName(few.join(shared, "key", "left_semi").select(*close.columns)), "met")
+    wanted = met.select(F.col("id").alias("__id")).distinct()
+    if met.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = texts.join(wanted, texts["doc_id"] == wanted["__id"], "left_semi").mapInArrow(gather, "doc_id long, sig binary, shingles binary")
+    sets = materialize(sets.groupBy("doc_id", "sig").agg(F.first("shingles").alias("shingles")), "shingles")
+
+    # A group of more shingles than one task should hold meets as pairs of blocks.
+    large = met.groupBy("kind", "key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1")
+    cells = met.join(large, ["kind", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("sig"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("kind", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("id").alias("doc_id"), "sig")
+    cells = cells.join(sets, ["doc_id", "sig"]).select("kind", "key", "low", "high", F.col("doc_id").alias("id"), "shingles")
+    cells = cells.repartition(partitions(docs.sparkSession), "kind", "key", "low", "high").sortWithinPartitions("kind", "key", "low", "high")
+    roots = connected_components(cells.mapInArrow(compare, "a long, b long"))
     placed = distinct.join(roots, distinct["id"] == roots["node"], "left").select("sig", F.coalesce("root", "id").alias("component_id"))
     return marked.join(placed, "sig").select("doc_id", "component_id")

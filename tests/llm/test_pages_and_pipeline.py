@@ -84,6 +84,40 @@ def test_similar_texts(spark, node_size):
     assert got[1001] == got[1000] == 1000 and len(got) == len(rows) - 1
 
 
+def edited(base, n):
+    """base with n words changed in places five or more apart, away from both ends."""
+    own = list(base)
+    for k in range(n):
+        own[4 + 5 * k] = f"edit{k}"
+    return own
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("block", [1 << 21, 300])
+def test_similar_texts_at_the_threshold(spark, monkeypatch, block):
+    """Pairs just below 0.8 stay apart and pairs at 0.8 join, for short and long texts."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    rng = random.Random(3)
+    pairs = []
+    for k in range(20):
+        base = words(rng, 8).split()
+        pairs += [(base, [*base, f"more{k}"], True), (base[:7], [*base[:7], f"less{k}"], False)]
+        long = words(rng, 364 + k).split()
+        pairs += [(long, edited(long, 8), True), (long, edited(long, 9), False)]
+    rows, expected = [], []
+    for k, (a, b, same) in enumerate(pairs):
+        a, b = [f"p{k}" + w for w in a], [f"p{k}" + w for w in b]
+        assert (jaccard(a, b) >= 0.8) == same
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        expected += [(2 * k, 2 * k), (2 * k + 1, 2 * k + (not same))]
+    got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == expected
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(9)
     items = [(i, words(rng, 25)) for i in range(6)]
