@@ -120,7 +120,8 @@ def leaks_in(words: list[bytes], seeds: Seeds, common: frozenset[int], least: fl
     found = []
     for item, hits in by_item.items():
         own = seeds.coded[item]
-        slack = max(4, own.size // 4)
+        # The most words that a match may gain or lose and still score `least`: all others match.
+        slack = max(4, int(2 * own.size * (1 - least) + 1e-9))
         hits.sort()
         k = 0
         best = None

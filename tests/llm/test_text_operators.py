@@ -365,6 +365,20 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {d[0] for d in docs} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("size, inserted", [(20, 9), (20, 16), (20, 17), (38, 17), (38, 30), (38, 31), (12, 5)])
+def test_blocks_inserted_and_left_out(size, inserted):
+    """Items with a block put into their middle, or taken out of it, score as in a whole alignment."""
+    item = [f"w{k}".encode() for k in range(size)]
+    seeds = decontaminate.Seeds([(1, " ".join(w.decode() for w in item))])
+    other = [b"x%d" % k for k in range(60)]
+    half = size // 2
+    for passage in (item[:half] + other[:inserted] + item[half:], item[: half - size // 10] + item[half + size // 10 :]):
+        text = other + passage + other
+        score = decontaminate.smith_waterman(seeds.coded[1], np.array([seeds.word.get(w, 0) for w in text]))[0]
+        got = decontaminate.leaks_in(text, seeds, frozenset(), 0.6)
+        assert [x[1] for x in got] == ([score] if score >= 0.6 else [])
+
+
 @pytest.mark.parametrize("run", [
     lambda d: suffix_dedup.remove_repeats(d), lambda d: mixing.mix(d), lambda d: simhash.near_duplicates(d), lambda d: exact_dedup.dedup(d),
     lambda d: sharding.shard(d), lambda d: language_id.identify(d, language_id.learn(d)),
