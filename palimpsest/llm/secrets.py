@@ -2,8 +2,9 @@
 
 Candidates are found in whole texts: assignments, access keys, long hexadecimal strings (the base
 kinds) and, besides, bare random-looking tokens. Their values are hashed and the hashes counted by
-distinct repository and owner over the corpus. A value that few owners have and that looks random is
-owner-specific, and so live-looking; one that many have is a widely copied example.
+distinct repository and owner over the whole corpus. A value that few owners and few repositories have
+and that looks random is owner-specific, and so live-looking; one that many owners have, or that was
+pasted into many repositories, is a widely copied example.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +30,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST = 8
 KINDS = ("assign", "access", "hex", "bare")
 
-BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{24,}")
+BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}")
 BARE_ENTROPY = 3.5
+#: A value of more owners or more repositories than these is a widely copied one.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 8
 
 
 def entropy(value: str) -> float:
@@ -55,8 +60,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def bare_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Bare random-looking tokens that touch no base span."""
-    found = [(m.start(), m.end(), 3, m[0]) for m in BARE.finditer(text)]
-    return [x for x in found if looks_random(x[3]) and all(x[1] <= b[0] or b[1] <= x[0] for b in base)]
+    found = [(m.start(), m.end(), 3, m[0]) for m in BARE.finditer(text) if looks_random(m[0])]
+    starts, ends = [b[0] for b in base], [b[1] for b in base]
+    furthest = list(accumulate(ends, max))  # base spans come by start, and those of several kinds may overlap
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return not before or furthest[before - 1] <= start
+
+    return [x for x in found if free(x[0], x[1])]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -101,40 +113,44 @@ def ownership(found: DataFrame) -> DataFrame:
     Distinct pairs come first, with partial aggregation, so a value on every page of a hot source is a
     handful of rows before any task gathers it. A null owner or repository is one more of its kind.
     """
-    owner, repository = F.coalesce("owner", F.lit("")), F.coalesce("repository", F.lit(""))
-    pairs = found.select("value_hash", owner.alias("o"), repository.alias("r")).distinct()
-    repositories = pairs.groupBy("value_hash", "o").agg(F.count("*").alias("n"))
+    pairs = found.select("value_hash", "owner", "repository").distinct()
+    repositories = pairs.groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
     return repositories.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, max_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row per row of docs(doc_id, owner, repository, text): doc_id, n_assign, n_access, n_hex,
-    base_sha256, spans, n_live (owner-specific live-looking values) and n_copied (values of more than
-    max_owners owners).
+    base_sha256, spans, n_live (spans of owner-specific live-looking values), n_copied (spans of values
+    of more than max_owners owners or max_repositories repositories), and n_owners and n_repositories,
+    the most that one of the row's values has.
 
-    spans holds every base span and the bare ones that are live-looking. A null text counts as empty;
-    repeated rows count once in ownership and get equal results.
+    spans holds every base span and the bare ones that are live-looking. A null text counts as empty.
+    Every row counts in ownership, whatever doc_id or text it shares with others; a repository is one of
+    its owner, and rows of equal text get equal spans.
     """
     ready = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("owner").cast("string").alias("owner"),
         F.col("repository").cast("string").alias("repository"), F.col("text").cast("string").alias("text"),
     )
     rows = materialize(candidates(ready), "secrets")
-    single = rows.where("text_hash <> ''").select("doc_id", "owner", "repository", "text_hash", "found").dropDuplicates(["doc_id", "text_hash"])
-    each = single.withColumn("s", F.explode("found")).select("doc_id", "text_hash", "owner", "repository", "s.*")
-    counts = ownership(each.select("value_hash", "owner", "repository"))
-    judged = each.join(counts, "value_hash").withColumn("copied", F.col("n_owners") > max_owners)
+    bearing = rows.where("text_hash <> ''")
+    # Owners and repositories of each text first: a text in many rows is exploded once.
+    places = bearing.select("text_hash", "owner", "repository").distinct()
+    texts = bearing.groupBy("text_hash").agg(F.first("found").alias("found"))
+    each = texts.withColumn("s", F.explode("found")).select("text_hash", "s.*")
+    counts = ownership(each.select("text_hash", "value_hash").distinct().join(places, "text_hash"))
+    judged = each.join(counts, "value_hash").withColumn("copied", (F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories))
     live = F.col("random") & ~F.col("copied")
     kept = F.when((F.col("kind") < 3) | live, F.struct("start", "kind", "end"))
-    summed = judged.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_list(kept)).alias("kept"), F.count_if(live).alias("n_live"), F.count_if("copied").alias("n_copied")
+    summed = judged.groupBy("text_hash").agg(
+        F.array_sort(F.collect_list(kept)).alias("kept"), F.count_if(live).alias("n_live"), F.count_if("copied").alias("n_copied"),
+        F.max("n_owners").alias("n_owners"), F.max("n_repositories").alias("n_repositories"),
     )
     names = F.array(*[F.lit(k) for k in KINDS])
     one = F.transform("kept", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string")))
-    summed = summed.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.array_join(one, ",").alias("spans"), "n_live", "n_copied")
-    joined = rows.join(summed, rows["doc_id"].eqNullSafe(summed["d"]) & (rows["text_hash"] == summed["h"]), "left")
-    zero = F.lit(0).cast("long")
-    return joined.select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"),
-        F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"),
-    )
+    numbers = ("n_live", "n_copied", "n_owners", "n_repositories")
+    summed = summed.select("text_hash", F.array_join(one, ",").alias("spans"), *numbers)
+    own = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    # Rows without spans, most of a corpus, need no join.
+    zero = [F.lit(0).cast("long").alias(c) for c in numbers]
+    return bearing.join(summed, "text_hash").select(*own, "spans", *numbers).unionByName(rows.where("text_hash = ''").select(*own, F.lit("").alias("spans"), *zero))
