@@ -32,7 +32,10 @@ ANCHOR = 36
 PIECE = 4 << 20
 HOT = 4096
 BUFFER = 2 << 20
+SINGLES = 1 << 18
 _POS_BITS = 24
+#: A place is a byte position and below it these bits of the text's second hash.
+_TAG_BITS = 32
 
 
 def text_bytes(text: str | None) -> bytes:
@@ -165,21 +168,21 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_FOUND = "anchor long, segment long, doc long, at long, shape int, known boolean"
+_FOUND = "anchor long, segment long, doc long, mark long, at long, shape int, known boolean"
 
 
 def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(anchor, segment, doc, at, shape, known) of all segments of docs(doc, text, mark).
+    """(anchor, segment, doc, mark, at, shape, known) of all segments of docs(doc, mark, tag, text).
 
-    at is the first start and 24 bits that tell texts of one identifier apart; shape is the number of
-    starts and the anchor's place. A segment whose like the same bytes of input have earlier is known.
+    doc, mark and tag are a text's identity; at is the first start above the tag; shape is the number of
+    starts and the anchor's place. A segment whose like the same batch has earlier is known.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            marks = batch.column("mark").to_numpy(zero_copy_only=False)
+            marks, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mark", "tag"))
             bodies = [text_bytes(t.as_py()) for t in batch.column("text")]
             for data, parts in pieces(bodies, length):
                 starts = np.concatenate([np.arange(p[1], p[1] + p[2]) for p in parts])
@@ -191,98 +194,112 @@ def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
                 raw = data.tobytes()
                 tails = (first + count + length - 1).tolist()
                 segment = np.array([digest(raw[a:b], o) for a, b, o in zip(first.tolist(), tails, offset.tolist())], np.uint64)
-                doc, where = ids[text], (at << _POS_BITS) | marks[text]
-                order = np.lexsort((where, doc, segment, h))
+                doc, mark, where = ids[text], marks[text], (at << _TAG_BITS) | tags[text]
+                order = np.lexsort((where, mark, doc, segment, h))
                 same = np.zeros(order.size, bool)
                 a, b = order[1:], order[:-1]
                 same[1:] = (h[a] == h[b]) & (segment[a] == segment[b])
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(order.size)))
                 lead = order[head]
                 known = np.zeros(order.size, bool)
-                known[order] = (doc[order] != doc[lead]) | (where[order] != where[lead])
+                known[order] = (doc[order] != doc[lead]) | (mark[order] != mark[lead]) | (where[order] != where[lead])
                 shape = count << 8 | offset
                 # Known segments need not meet others: those that touch become one row with a key of its own.
                 touch = known[1:] & known[:-1] & (text[1:] == text[:-1]) & (first[1:] == first[:-1] + count[:-1])
                 head = np.flatnonzero(np.concatenate([[True], ~touch]))
                 total = np.add.reduceat(count, head)
-                own = _mix(doc[head].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + where[head].view(np.uint64))
+                own = _mix((doc[head] ^ mark[head]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + where[head].view(np.uint64))
                 lone = known[head]
                 key = np.where(lone, own, h[head])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(segment[head].view(np.int64)), pa.array(doc[head]), pa.array(where[head]),
+                    [pa.array(key.view(np.int64)), pa.array(segment[head].view(np.int64)), pa.array(doc[head]), pa.array(mark[head]), pa.array(where[head]),
                      pa.array(np.where(lone, total << 8, shape[head]).astype(np.int32)), pa.array(lone)],
-                    names=["anchor", "segment", "doc", "at", "shape", "known"],
+                    names=["anchor", "segment", "doc", "mark", "at", "shape", "known"],
                 )
 
     return docs.mapInArrow(run, _FOUND)
 
 
-_MET = "key long, sub long, doc long, at long, known boolean, body binary"
+_MET = "key long, sub long, doc long, mark long, at long, known boolean, body binary"
+_MET_NAMES = ["key", "sub", "doc", "mark", "at", "known", "body"]
 
 
 def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Wanted segments of each document: their bytes by anchor, or where the anchor is hot, each of their
     strings by its hash. A string that the batch has earlier in the corpus is known."""
+    rows: list[tuple] = []
+    single: list[np.ndarray] = []
+    held = count_single = 0
+
+    def strings() -> pa.RecordBatch:
+        high, low, doc, mark, at = np.concatenate(single, axis=1)
+        order = np.lexsort((at, mark, doc, low, high))
+        known = np.zeros(order.size, bool)
+        known[order] = after_first(high[order], low[order], doc[order], mark[order], at[order])
+        arrays = [pa.array(x) for x in (high, low, doc, mark, at, known)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.nulls(at.size, pa.binary())], names=_MET_NAMES)
+
     for batch in batches:
-        rows: list[tuple] = []
-        single: list[tuple] = []
-        held = 0
-        for doc, text, wanted in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("wanted")):
+        for doc, mark, text, wanted in zip(batch.column("doc").to_pylist(), batch.column("mark").to_pylist(), batch.column("text"), batch.column("wanted")):
             body = text_bytes(text.as_py())
             for w in wanted.as_py():
-                at, count = w["at"] >> _POS_BITS, w["shape"] >> 8
+                at, count = w["at"] >> _TAG_BITS, w["shape"] >> 8
                 if not w["hot"]:
-                    rows.append((w["anchor"], 0, doc, w["at"], False, body[at : at + count + length - 1]))
+                    rows.append((w["anchor"], 0, doc, mark, w["at"], False, body[at : at + count + length - 1]))
                     held += count + length
                     if held > 4 << 20:
                         yield _rows(rows)
                         rows, held = [], 0
                     continue
-                for s in range(at, at + count):
-                    high, low = divmod(xxhash.xxh3_128_intdigest(body[s : s + length]), 1 << 64)
-                    single.append((high - (1 << 63), low - (1 << 63), doc, w["at"] + ((s - at) << _POS_BITS)))
-        if rows:
-            yield _rows(rows)
-        if single:
-            high, low, doc, at = (np.array(c, np.int64) for c in zip(*single))
-            order = np.lexsort((at, doc, low, high))
-            known = np.zeros(order.size, bool)
-            known[order] = after_first(high[order], low[order], doc[order], at[order])
-            arrays = [pa.array(x) for x in (high, low, doc, at, known)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(at.size, pa.binary())], names=["key", "sub", "doc", "at", "known", "body"])
-
-
-def after_first(high: np.ndarray, low: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For rows sorted by all four, whether a row's place is beyond the first of its (high, low)."""
+                digests = b"".join(xxhash.xxh3_128_digest(body[s : s + length]) for s in range(at, at + count))
+                pair = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2).T
+                place = w["at"] + (np.arange(count, dtype=np.int64) << _TAG_BITS)
+                single.append(np.stack([*pair, np.full(count, doc), np.full(count, mark), place]))
+                count_single += count
+                if count_single > SINGLES:
+                    yield strings()
+                    single, count_single = [], 0
+    if rows:
+        yield _rows(rows)
+    if single:
+        yield strings()
+
+
+def after_first(high: np.ndarray, low: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For rows sorted by all five, whether a row's place is beyond the first of its (high, low)."""
     same = np.zeros(high.size, bool)
     same[1:] = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
     lead = np.maximum.accumulate(np.where(same, 0, np.arange(high.size)))
-    return (doc != doc[lead]) | (at != at[lead])
+    return (doc != doc[lead]) | (mark != mark[lead]) | (at != at[lead])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["key", "sub", "doc", "at", "known", "body"])
+    kinds = (*[pa.int64()] * 5, pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=_MET_NAMES)
 
 
 def _previous(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Removed ranges (doc, at, n) from rows that come sorted by key, sub, doc and at, in bounded buffers."""
-    held: list[tuple[int, int, int, bytes]] = []
+    """Removed ranges (doc, mark, at, n) from rows that come sorted by key, sub, doc, mark and at, in
+    bounded buffers."""
+    held: list[tuple[int, int, int, int, bytes]] = []
     size, last = 0, None
-    lead: tuple[int, int, int, int] | None = None
+    lead: tuple[int, ...] | None = None
 
     def settle() -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(h[3] for h in held), np.uint8)
-        width = np.array([len(h[3]) for h in held])
+        data = np.frombuffer(b"".join(h[4] for h in held), np.uint8)
+        width = np.array([len(h[4]) for h in held])
         base = np.cumsum(width) - width
         count = width - length + 1
         owner = np.repeat(np.arange(count.size), count)
         inner = np.arange(owner.size) - np.repeat(np.cumsum(count) - count, count)
         starts = base[owner] + inner
-        doc, at = np.array([h[1] for h in held]), np.array([h[2] for h in held])
-        where = at[owner] + (inner << _POS_BITS)
-        order = np.lexsort((where, doc[owner]))
-        step = np.concatenate([[0], ((np.diff(doc[owner][order]) != 0) | (np.diff(where[order]) != 0)).astype(np.int64)])
+        doc, mark, at = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 3))
+        where = at[owner] + (inner << _TAG_BITS)
+        order = np.lexsort((where, mark[owner], doc[owner]))
+        moved = np.zeros(max(0, order.size - 1), bool)
+        for x in (doc[owner], mark[owner], where):
+            moved |= x[order][1:] != x[order][:-1]
+        step = np.concatenate([[0], moved.astype(np.int64)])
         place = np.empty(order.size, np.int64)
         place[order] = np.cumsum(step)
         flags = has_previous(data, starts, place, length)
@@ -292,35 +309,35 @@ def _previous(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         s, e = runs(spread)
         mine = np.searchsorted(np.cumsum(count + 1), s, "right")
         shift = (np.cumsum(count + 1) - (count + 1))[mine]
-        low = at[mine] + ((s - shift) << _POS_BITS)
-        return _ranges(doc[mine], low, e - s)
+        low = at[mine] + ((s - shift) << _TAG_BITS)
+        return _ranges(doc[mine], mark[mine], low, e - s)
 
     for batch in batches:
         lone = batch.filter(pc.is_null(batch.column("body")))
         if lone.num_rows:
-            rows = [lone.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sub", "doc", "at")]
+            rows = [lone.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sub", "doc", "mark", "at")]
             known = lone.column("known").to_numpy(zero_copy_only=False)
             if lead is not None:  # the first of a string may have come in an earlier batch
                 rows = [np.concatenate([[x], r]) for x, r in zip(lead, rows)]
                 known = np.concatenate([[False], known])
             late = after_first(*rows) | known
-            yield _ranges(rows[2][late], rows[3][late], np.ones(int(late.sum()), np.int64))
+            yield _ranges(rows[2][late], rows[3][late], rows[4][late], np.ones(int(late.sum()), np.int64))
             same = np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]))[0]
             lead = tuple(int(r[same]) for r in rows)
         whole = batch.filter(pc.is_valid(batch.column("body")))
-        for row in zip(*(whole.column(c).to_pylist() for c in ("key", "doc", "at", "body"))):
+        for row in zip(*(whole.column(c).to_pylist() for c in ("key", "doc", "mark", "at", "body"))):
             if size >= BUFFER and row[0] != last:
                 yield settle()
                 held, size = [], 0
             last = row[0]
             held.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if held:
         yield settle()
 
 
-def _ranges(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, at, n)], names=["doc", "at", "n"])
+def _ranges(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, mark, at, n)], names=["doc", "mark", "at", "n"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -329,7 +346,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans")):
             body = text_bytes(text.as_py())
             merged: list[list[int]] = []
-            for span in sorted((s["at"] >> _POS_BITS, (s["at"] >> _POS_BITS) + s["n"] + length - 1) for s in spans.as_py() or ()):
+            for span in sorted((s["at"] >> _TAG_BITS, (s["at"] >> _TAG_BITS) + s["n"] + length - 1) for s in spans.as_py() or ()):
                 if merged and span[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], span[1])
                 else:
@@ -352,38 +369,42 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     A null text counts as empty, a null doc_id as smaller than all others. Rows that repeat a doc_id
     and text are one document listed twice, neither earlier than the other; different texts of one
-    doc_id are different documents in an order of their own. `hot` only chooses between the two exact
-    ways of settling an anchor.
+    doc_id, or without any, are different documents in an order of their own. These are told apart by
+    95 bits of two hashes of the text, beside the doc_id. `hot` only chooses between the two exact ways
+    of settling an anchor.
     """
     if anchor < 8 or length <= anchor or length - anchor >= 256:
         raise ValueError("anchors have at least 8 bytes and fewer than the strings, by up to 255")
     spark = docs.sparkSession
     n = partitions(spark)
-    text = F.col("text").cast("string")
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    whole = F.coalesce(text, F.lit(""))
+    mark = F.xxhash64(whole).bitwiseAND(F.lit((1 << 63) - 1))
     ready = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text"),
-        F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("mark"),
+        doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("doc"), text.alias("text"),
+        F.when(doc_id.isNull(), -1 - mark).otherwise(mark).alias("mark"),  # null comes before the smallest number too
+        F.xxhash64(F.lit("second"), whole).bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).alias("tag"),
     )
-    found = anchors(ready.select("doc", "text", "mark"), length, anchor).repartition(n, "anchor")
+    found = anchors(ready.select("doc", "mark", "tag", "text"), length, anchor).repartition(n, "anchor")
     # Equal segments of one task are known already, so an anchor has few rows a task and kind.
     fresh = found.withColumn("kind", F.dense_rank().over(W.partitionBy("anchor").orderBy("segment"))).withColumn(
-        "turn", F.rank().over(W.partitionBy("anchor", "segment").orderBy("doc", "at"))
+        "turn", F.rank().over(W.partitionBy("anchor", "segment").orderBy("doc", "mark", "at"))
     )
     fresh = fresh.withColumn("kinds", F.max("kind").over(W.partitionBy("anchor")))
     later = F.col("known") | (F.col("turn") > 1)
-    kept = fresh.where(later | (F.col("kinds") > 1)).select("anchor", "doc", "at", "shape", later.alias("later"), (F.col("kinds") > hot).alias("hot"))
+    kept = fresh.where(later | (F.col("kinds") > 1)).select("anchor", "doc", "mark", "at", "shape", later.alias("later"), (F.col("kinds") > hot).alias("hot"))
     kept = materialize(kept, "segments")
-    later = kept.where("later").select("doc", "at", F.expr("shiftright(shape, 8)").cast("long").alias("n"))
-    heads = kept.where("not later").dropDuplicates(["anchor", "doc", "at"])
-    low = F.col("at").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    wanted = heads.groupBy("doc", low.alias("mark")).agg(F.collect_list(F.struct("anchor", "at", "shape", "hot")).alias("wanted"))
+    later = kept.where("later").select("doc", "mark", "at", F.expr("shiftright(shape, 8)").cast("long").alias("n"))
+    heads = kept.where("not later").dropDuplicates(["anchor", "doc", "mark", "at"])
+    tag = F.col("at").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).alias("tag")
+    wanted = heads.groupBy("doc", "mark", tag).agg(F.collect_list(F.struct("anchor", "at", "shape", "hot")).alias("wanted"))
     # Both joins below read this one exchange of the texts; doc_id is kept in the first to that end.
-    base = ready.select("doc_id", "doc", "mark", "text").repartition(n, "doc", "mark")
-    met = base.join(wanted, ["doc", "mark"]).select("doc_id", "doc", "text", "wanted").mapInArrow(lambda b: _strings(b, length), _MET)
-    met = met.repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "doc", "at")
-    spans = later.unionByName(met.mapInArrow(lambda b: _previous(b, length), "doc long, at long, n long"))
-    by_doc = spans.groupBy("doc", low.alias("mark")).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    joined = base.join(by_doc, ["doc", "mark"], "left").select("doc_id", "text", "spans")
+    base = ready.select("doc_id", "doc", "mark", "tag", "text").repartition(n, "doc", "mark", "tag")
+    met = base.join(wanted, ["doc", "mark", "tag"]).select("doc_id", "doc", "mark", "text", "wanted").mapInArrow(lambda b: _strings(b, length), _MET)
+    met = met.repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "doc", "mark", "at")
+    spans = later.unionByName(met.mapInArrow(lambda b: _previous(b, length), "doc long, mark long, at long, n long"))
+    by_doc = spans.groupBy("doc", "mark", tag).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    joined = base.join(by_doc, ["doc", "mark", "tag"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(
         lambda b: _cut(b, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
     )
