@@ -1,15 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the test items are seeds. Their document frequency over the whole corpus tells rare
-seeds from common ones: one rare seed, or two common ones on nearby diagonals, make a candidate pair
-of document and item. Each candidate's passage is aligned locally with the item, word by word, so a
-paraphrased or edited copy scores by how much of the item it keeps.
+Pairs of neighbouring words of the test items are seeds. An alignment that scores `least` keeps at
+least `needed` of an item's pairs whole, so one of its rarest pairs, by document frequency over the
+corpus, is among them: those are its triggers, and the most frequent ones are none. A document that
+holds a trigger, and enough of the item's pairs within the reach of an alignment, is aligned with the
+item word by word, so a paraphrased or edited copy scores by how much of the item it keeps. Both
+filters follow from the score, so no pair of document and item that scores `least` is lost.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED_WORDS = 3
+from .common import union_all
+
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.6
 MAX_ITEM_BYTES = 64 << 20
@@ -31,48 +33,96 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split()
 
 
-class Seeds:
-    """All n-grams of the items as codes over the items' words, with the places they come from."""
+def needed(n: int, least: float) -> int:
+    """Neighbouring words of an item of n words that an alignment of this score keeps side by side.
 
-    def __init__(self, items: list[tuple[int, str | None]], n: int = SEED_WORDS) -> None:
-        self.n = n
-        self.items = {i: w for i, t in items if i is not None and (w := words_of(t))}
-        vocabulary = sorted({w for ws in self.items.values() for w in ws})
-        self.base = len(vocabulary) + 1
+    With m words matched in k blocks and at least k - 1 edits, 2m - (k - 1) >= 2n * least, so m - k is at
+    least (2 * least - 1) * n - 1. Where that is no more than 0, blocks may be of one word each, and then
+    all words of the item are matched.
+    """
+    return max(0, math.ceil((2 * least - 1) * n - 1 - 1e-9))
+
+
+def reach(n: int, least: float) -> int:
+    """Words of a document that an alignment of this score with an item of n words can cover."""
+    return n + int((MATCH - MATCH * least) * n + 1e-9)
+
+
+def ragged(ptr: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into rows, value) of all values of the rows chosen of a table of lists."""
+    count = ptr[rows + 1] - ptr[rows]
+    of = np.repeat(np.arange(rows.size), count)
+    return of, values[ptr[rows][of] + np.arange(of.size) - np.repeat(np.cumsum(count) - count, count)]
+
+
+def lists(pairs: list[tuple[int, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, values) of the table of n lists with these (row, value) pairs."""
+    table = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
+    return np.searchsorted(table[:, 0], np.arange(n + 1)), table[:, 1]
+
+
+class Seeds:
+    """The distinct items as word codes, and their seeds: codes of word pairs, and of single words for
+    items so short that no pair need be left whole."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], least: float = LEAST_SCORE) -> None:
+        if not 0.5 < least <= 1:
+            raise ValueError("the least score is above 0.5 and at most 1")
+        ids: dict[tuple[bytes, ...], set] = {}
+        for i, text in items:
+            if words := tuple(words_of(text)):
+                ids.setdefault(words, set()).add(i)
+        self.least = least
+        self.ids = [sorted(x, key=lambda i: (i is None, i)) for x in ids.values()]
+        vocabulary = sorted({w for words in ids for w in words})
         self.word = {w: k + 1 for k, w in enumerate(vocabulary)}
-        self.coded = {i: np.array([self.word[w] for w in ws], np.int64) for i, ws in self.items.items()}
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, list[int]] = defaultdict(list)  # items of fewer words, by length
-        for i, ids in self.coded.items():
-            if ids.size < n:
-                self.short[ids.size].append(i)
-            for at, code in enumerate(self.code(ids).tolist()):
-                places[code].append((i, at))
-        self.codes = np.array(sorted(places), np.int64)
-        self.places = [places[c] for c in self.codes.tolist()]
-
-    def code(self, ids: np.ndarray) -> np.ndarray:
-        """One code for each n-gram of word codes, in order; 0 where a word is in no item."""
-        if ids.size < self.n:
-            return np.zeros(0, np.int64)
-        out = np.zeros(ids.size - self.n + 1, np.int64)
-        live = np.ones(out.size, bool)
-        for k in range(self.n):
-            part = ids[k : k + out.size]
-            out = out * self.base + part
-            live &= part > 0
-        return np.where(live, out, 0)
+        self.base = len(vocabulary) + 1
+        self.coded = [np.array([self.word[w] for w in words], np.int64) for words in ids]
+        self.needed = np.array([max(1, needed(x.size, least)) for x in self.coded], np.int64)
+        self.reach = np.array([reach(x.size, least) for x in self.coded], np.int64)
+        own = [(code, k) for k, x in enumerate(self.coded) for code in self.of_item(x)]
+        self.codes = np.array(sorted({code for code, _ in own}), np.int64)
+        number = {code: k for k, code in enumerate(self.codes.tolist())}
+        self.ptr, self.items = lists([(number[code], k) for code, k in own], self.codes.size)
+        self.single = bool(self.codes.size) and int(self.codes[0]) < self.base
+        self.rank(np.zeros(self.codes.size, np.int64))
+
+    def of_item(self, coded: np.ndarray) -> list[int]:
+        pairs = (coded[:-1] * self.base + coded[1:]).tolist()
+        return pairs + coded.tolist() if not needed(coded.size, self.least) else pairs
+
+    def rank(self, frequency: np.ndarray) -> None:
+        """Choose the triggers of every item by the document frequency of each seed."""
+        triggers = []
+        for k, x in enumerate(self.coded):
+            codes = self.of_item(x)
+            at = np.searchsorted(self.codes, np.array(codes, np.int64))
+            pairs, words = at[: x.size - 1], at[x.size - 1 :]
+            spare = int(self.needed[k]) - 1  # so many of the pairs that stay whole may be no triggers
+            kinds, count = np.unique(pairs, return_counts=True)
+            for seed, n in sorted(zip(kinds.tolist(), count.tolist()), key=lambda s: (-frequency[s[0]], s[0])):
+                if n <= spare:
+                    spare -= n
+                else:
+                    triggers.append((seed, k))
+            if words.size:  # all words are matched where no pair is whole: the rarest will do
+                triggers.append((min(words.tolist(), key=lambda s: (frequency[s], s)), k))
+        self.trigger_ptr, self.trigger_items = lists(triggers, self.codes.size)
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word codes, places in the document, seed numbers) of the seeds in a document."""
         get = self.word.get
         ids = np.array([get(w, 0) for w in words], np.int64)
-        code = self.code(ids)
-        if not code.size or not self.codes.size:
-            return ids, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(code)
-        seed = np.minimum(np.searchsorted(self.codes, code[at]), self.codes.size - 1)
-        real = self.codes[seed] == code[at]
+        none = np.zeros(0, np.int64)
+        if not ids.size or not self.codes.size:
+            return ids, none, none
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        code = ids[at] * self.base + ids[at + 1]
+        if self.single:
+            own = np.flatnonzero(ids)
+            at, code = np.concatenate([at, own]), np.concatenate([code, ids[own]])
+        seed = np.minimum(np.searchsorted(self.codes, code), self.codes.size - 1)
+        real = self.codes[seed] == code
         return ids, at[real], seed[real]
 
 
@@ -109,59 +159,56 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
     return best / (MATCH * item.size), best_start, best_end
 
 
-def leaks_in(words: list[bytes], seeds: Seeds, common: frozenset[int], least: float) -> list[tuple[int, float, int, int, int]]:
-    """(item, score, start word, end word, seeds) of the items that a document holds."""
+def leaks_in(words: list[bytes], seeds: Seeds) -> list[tuple[int, float, int, int, int]]:
+    """(number of the item, score, start word, end word, seeds) of the items that a document holds."""
     ids, at, seed = seeds.hits(words)
-    by_item: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
-    for place, number in zip(at.tolist(), seed.tolist()):
-        rare = number not in common
-        for item, start in seeds.places[number]:
-            by_item[item].append((place - start, place, rare))
+    if not at.size:
+        return []
+    wanted = np.unique(ragged(seeds.trigger_ptr, seeds.trigger_items, seed)[1])
+    if not wanted.size:
+        return []
+    of, item = ragged(seeds.ptr, seeds.items, seed)
+    chosen = np.zeros(len(seeds.coded), bool)
+    chosen[wanted] = True
+    chosen = chosen[item]
+    # A pair and a single word may be seeds at one place, which counts once.
+    key = np.unique(item[chosen] * np.int64(ids.size + 1) + at[of[chosen]])
+    item, place = key // (ids.size + 1), key % (ids.size + 1)
+    last = np.arange(key.size) + seeds.needed[item] - 1
+    fits = last < key.size
+    fits[fits] = (item[last[fits]] == item[fits]) & (place[last[fits]] - place[fits] < seeds.reach[item[fits]])
     found = []
-    for item, hits in by_item.items():
-        own = seeds.coded[item]
-        # The most words that a match may gain or lose and still score `least`: all others match.
-        slack = max(4, int(2 * own.size * (1 - least) + 1e-9))
-        hits.sort()
-        k = 0
+    first = np.flatnonzero(fits)
+    for k in np.unique(item[first]).tolist():
+        own, span = seeds.coded[k], int(seeds.reach[k])
+        mine = first[item[first] == k]
+        low = np.maximum(place[mine] - span, 0)
+        high = np.minimum(place[last[mine]] + span + 1, ids.size)
+        cut = np.flatnonzero(np.concatenate([[True], low[1:] > np.maximum.accumulate(high)[:-1]]))
         best = None
-        while k < len(hits):  # hits on nearby diagonals are one passage
-            end = k + 1
-            while end < len(hits) and hits[end][0] - hits[end - 1][0] <= slack:
-                end += 1
-            group = hits[k:end]
-            k = end
-            if not any(h[2] for h in group) and len(group) < 2:
-                continue
-            # The whole run of diagonals is aligned in stretches that overlap by more than an item.
-            low, high = max(0, group[0][0] - slack), min(ids.size, group[-1][0] + own.size + slack)
-            step = 4 * own.size + 4 * slack
-            for s in range(low, max(high - own.size - 2 * slack, low + 1), step):
-                e = min(high, s + step + own.size + 2 * slack)
-                score, a, b = smith_waterman(own, ids[s:e])
-                if score >= least and (best is None or score > best[1]):
-                    best = (item, score, s + a, s + b, len(group))
+        for s, e in zip(low[cut].tolist(), np.maximum.reduceat(high, cut).tolist()):
+            passage = ids[s:e]
+            if np.isin(own, passage).sum() < seeds.least * own.size - 1e-9:
+                continue  # too few of the item's words are there at all
+            score, a, b = smith_waterman(own, passage)
+            if score >= seeds.least - 1e-12 and (best is None or score > best[1]):
+                inside = int(((item == k) & (place >= s + a) & (place < s + b)).sum())
+                best = (k, score, s + a, s + b, inside)
         if best:
             found.append(best)
-    for n, items in seeds.short.items():
-        code = {tuple(seeds.coded[i].tolist()): i for i in items}
-        seen = set()
-        for p in range(ids.size - n + 1):
-            if (i := code.get(tuple(ids[p : p + n].tolist()))) is not None and i not in seen:
-                seen.add(i)
-                found.append((i, 1.0, p, p + n, 1))
-    return sorted(found)
+    return found
 
 
-def load_items(benchmark: DataFrame, bound: int = MAX_ITEM_BYTES) -> list[tuple[int, str | None]]:
-    """The test items, once their total size is found to be within bound."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > bound:
-        raise ValueError(f"test items of {size} bytes; the bound is {bound}: run them in parts")
-    return sorted(((r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()), key=str)
+def parts_of(benchmark: DataFrame, bound: int) -> list[list[tuple[int | None, str | None]]]:
+    """The test items in parts of at most about `bound` bytes, which are searched for one after the other."""
+    held = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, math.ceil(size / bound))
+    of = F.pmod(F.xxhash64("text"), F.lit(n))
+    return ([(r.item_id, r.text) for r in (held.where(of == k) if n > 1 else held).collect()] for k in range(n))
 
 
-def seed_frequency(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
+def seed_frequency(docs: DataFrame, seeds: Seeds) -> np.ndarray:
     """Documents that hold each seed, over the whole corpus; at most one row a seed comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,49 +221,62 @@ def seed_frequency(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(total[live])], names=["seed", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seed long, n long")
-    return {r.seed: r.n for r in counted.groupBy("seed").agg(F.sum("n").alias("n")).collect()}
+    out = np.zeros(seeds.codes.size, np.int64)
+    for r in counted.groupBy("seed").agg(F.sum("n").alias("n")).collect():
+        out[r.seed] = r.n
+    return out
 
 
-def prepare(docs: DataFrame, benchmark: DataFrame, rare_share: float, n: int) -> tuple[Seeds, frozenset[int]]:
-    """The seeds and the numbers of the common ones: those in more than max(2, rare_share of all)
-    documents. Every seed stays in use; a common one needs a second beside it."""
-    seeds = Seeds(load_items(benchmark), n)
-    limit = max(2, math.ceil(rare_share * docs.count()))
-    return seeds, frozenset(k for k, c in seed_frequency(docs, seeds).items() if c > limit)
+def prepared(docs: DataFrame, benchmark: DataFrame, least: float, bound: int) -> Iterator[Seeds]:
+    """The seeds of each part of the items, with triggers chosen by their frequency in docs."""
+    for part in parts_of(benchmark, bound):
+        seeds = Seeds(part, least)
+        seeds.rank(seed_frequency(docs, seeds))
+        yield seeds
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_share: float = 1e-4, n: int = SEED_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, bound: int = MAX_ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word, n_seeds): the best alignment of every pair of
-    document and test item that scores at least `least`.
+    document and test item that scores at least `least`, which is above 0.5.
 
-    Null texts and empty items hold nothing. Items of fewer words than a seed are matched whole.
-    Repeated rows give repeated results; a null item_id is left out, having nothing to be reported by.
+    Null and empty texts hold nothing. Items of equal words are each reported by their item_id, a null
+    one too; an item listed twice is reported once. Repeated documents give repeated results. Items of
+    more than `bound` bytes in all take further passes over docs.
     """
-    seeds, common = prepare(docs, benchmark, rare_share, n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                (doc, *leak)
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"))
-                for leak in leaks_in(words_of(text.as_py()), seeds, common, least)
-            ]
-            columns = list(zip(*rows)) or [()] * 6
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-            names = ["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+    def search(seeds: Seeds) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [
+                    (doc, i, *leak[1:])
+                    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"))
+                    for leak in leaks_in(words_of(text.as_py()), seeds)
+                    for i in seeds.ids[leak[0]]
+                ]
+                columns = list(zip(*rows)) or [()] * 6
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+                names = ["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        return ready.mapInArrow(run, "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long")
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ready.mapInArrow(run, "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long")
+    return union_all([search(seeds) for seeds in prepared(docs, benchmark, least, bound)])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_share: float = 1e-4, n: int = SEED_WORDS) -> DataFrame:
-    """docs without the rows whose text holds a test item; all columns stay and nothing is shuffled."""
-    seeds, common = prepare(docs, benchmark, rare_share, n)
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, bound: int = MAX_ITEM_BYTES) -> DataFrame:
+    """docs without the rows whose text holds a test item, named or not; all columns stay and nothing is
+    shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [not leaks_in(words_of(t.as_py()), seeds, common, least) for t in batch.column("text")]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def without(rows: DataFrame, seeds: Seeds) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [not leaks_in(words_of(t.as_py()), seeds) for t in batch.column("text")]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    out = docs
+    for seeds in prepared(docs, benchmark, least, bound):
+        out = without(out, seeds)
+    return out
