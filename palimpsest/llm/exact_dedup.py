@@ -1,10 +1,11 @@
 """Exact deduplication with Patricia tries over (length, content hash) partitions.
 
 Every map task first inserts its own texts in a trie, which leaves one row a distinct text and task,
-so a hot group is small before the shuffle. Rows then meet by length and content hash, where full byte
-strings go into a compressed radix trie whose terminal nodes hold the smallest and largest identifier
-and the count. Input comes sorted by (length, hash): a subtree is complete when the next key begins,
-and once the trie holds `budget` bytes its finished subtrees are written out and freed.
+so a hot group is small before the shuffle. Rows are then dealt out by length and content hash, and
+each partition inserts its full byte strings into a compressed radix trie whose terminal nodes hold
+the smallest and largest identifier and the count. A partition comes in order of length and bytes, so
+every subtree left of the last insertion is complete: once the trie holds `budget` bytes these are
+written out and freed, and only the path to the last string stays.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,28 @@ class PatriciaTrie:
                 yield key, node[2]
             stack.extend((node[1][b], key) for b in sorted(node[1], reverse=True))
 
+    def finished(self) -> Iterator[tuple[bytes, list]]:
+        """Write out and free what is complete where strings come in byte order: all but the path of the
+        last one."""
+        node, prefix, path = self.root, b"", []
+        while node[1]:
+            path.append((node, prefix))
+            last = max(node[1])
+            node, prefix = node[1][last], prefix + node[1][last][0]
+        self.held = 0
+        for node, prefix in path:
+            if node[2] is not None:
+                yield prefix, node[2]  # a string that others continue; its like would have come before them
+                node[2] = None
+            last = max(node[1])
+            for b in sorted(node[1]):
+                if b != last:
+                    part = PatriciaTrie()
+                    part.root = node[1].pop(b)
+                    for key, owner in part.terminals():
+                        yield prefix + key, owner
+            self.held += len(node[1][last][0]) + 200
+
 
 def common_prefix(a: bytes, b: bytes) -> int:
     """Bytes that a and b share at their start."""
@@ -94,100 +118,89 @@ def _owner(old: list | None, low, high, count: int) -> list:
 _PARTIAL = pa.schema(
     [("n_bytes", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("group_size", pa.int64())]
 )
-_CLASSES = pa.schema(
-    [("n_bytes", pa.int64()), ("digest", pa.binary()), ("mark", pa.binary()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("group_size", pa.int64())]
-)
-_HEAD = 8
+_CLASSES = pa.schema([("sha256", pa.binary()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("group_size", pa.int64())])
 
 
-def mark(body: bytes) -> bytes:
-    """A second digest, which tells apart texts that share length and content hash."""
-    return hashlib.blake2b(body, digest_size=16).digest()
+def content_hash(body: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(body)
 
 
-def _flush(trie: PatriciaTrie, width: int, whole: bool) -> Iterator[pa.RecordBatch]:
+def _rows(found: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded bytes."""
     rows: list[tuple] = []
     held = 0
-    for key, owner in trie.terminals():
-        head, digest, body = key[:_HEAD], key[_HEAD : _HEAD + width], key[_HEAD + width :]
-        rows.append((int.from_bytes(head, "big"), digest, body if whole else mark(body), *owner))
-        held += len(body) if whole else 0
+    for row in found:
+        rows.append(row)
+        held += size(row)
         if len(rows) >= 20000 or held >= 8 << 20:
-            yield _batch(rows, whole)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
             rows, held = [], 0
     if rows:
-        yield _batch(rows, whole)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
-def _batch(rows: list[tuple], whole: bool) -> pa.RecordBatch:
-    schema = _PARTIAL if whole else _CLASSES
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-
-
-def classes(docs: DataFrame, hash_fn: Callable[[bytes], bytes] = sha256, budget: int = BUDGET) -> DataFrame:
-    """(n_bytes, digest, mark, first_id, last_id, group_size) of every distinct normalised text of
-    docs(doc_id, text). hash_fn must give digests of one width; equal digests of different texts do
-    no harm, for the trie compares whole texts."""
-    width = len(hash_fn(b""))
+def classes(docs: DataFrame, hash_fn: Callable[[bytes], bytes] = content_hash, budget: int = BUDGET) -> DataFrame:
+    """(sha256, first_id, last_id, group_size) of every normalised text of docs(doc_id, text) that more
+    than one row has. hash_fn only deals texts out: equal hashes of different texts do no harm, for the
+    trie compares whole texts."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PatriciaTrie()
-        for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                body = normalise(text.as_py())
-                node = trie.insert(len(body).to_bytes(_HEAD, "big") + hash_fn(body) + body)
-                node[2] = _owner(node[2], i, i, 1)
-                if trie.held > budget:
-                    yield from _flush(trie, width, True)
-                    trie = PatriciaTrie()
-        yield from _flush(trie, width, True)
+        def found() -> Iterator[tuple]:
+            trie = PatriciaTrie()
+            for batch in batches:
+                for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                    node = trie.insert(normalise(text.as_py()))
+                    node[2] = _owner(node[2], i, i, 1)
+                    if trie.held > budget:
+                        yield from trie.terminals()
+                        trie = PatriciaTrie()
+            yield from trie.terminals()
+
+        yield from _rows(((len(body), hash_fn(body), body, *owner) for body, owner in found()), _PARTIAL, lambda r: r[0])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, last = PatriciaTrie(), None
-        for batch in batches:
-            names = ("n_bytes", "digest", "first_id", "last_id", "group_size")
-            columns = [batch.column(c).to_pylist() for c in names]
-            for n, digest, low, high, count, body in zip(*columns, batch.column("body")):
-                if trie.held > budget and (n, digest) != last:
-                    yield from _flush(trie, width, False)
-                    trie = PatriciaTrie()
-                last = n, digest
-                node = trie.insert(n.to_bytes(_HEAD, "big") + digest + body.as_py())
-                node[2] = _owner(node[2], low, high, count)
-        yield from _flush(trie, width, False)
+        def found() -> Iterator[tuple]:
+            trie, last = PatriciaTrie(), None
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in ("n_bytes", "first_id", "last_id", "group_size")]
+                for n, low, high, count, body in zip(*columns, batch.column("body")):
+                    if n != last:
+                        yield from trie.terminals()
+                        trie, last = PatriciaTrie(), n
+                    elif trie.held > budget:
+                        yield from trie.finished()
+                    node = trie.insert(body.as_py())
+                    node[2] = _owner(node[2], low, high, count)
+            yield from trie.terminals()
+
+        yield from _rows(((sha256(body), *owner) for body, owner in found() if owner[2] > 1), _CLASSES, lambda r: 100)
 
     partial = "n_bytes long, digest binary, body binary, first_id long, last_id long, group_size long"
-    final = "n_bytes long, digest binary, mark binary, first_id long, last_id long, group_size long"
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = ready.mapInArrow(local, partial).repartition(partitions(docs.sparkSession), "n_bytes", "digest")
-    return met.sortWithinPartitions("n_bytes", "digest").mapInArrow(meet, final)
+    met = ready.mapInArrow(local, partial).repartition(partitions(docs.sparkSession), "n_bytes", "digest").drop("digest")
+    return met.sortWithinPartitions("n_bytes", "body").mapInArrow(meet, "sha256 binary, first_id long, last_id long, group_size long")
 
 
-def dedup(docs: DataFrame, keep: str = "last", hash_fn: Callable[[bytes], bytes] = sha256, budget: int = BUDGET) -> DataFrame:
+def dedup(docs: DataFrame, keep: str = "last", hash_fn: Callable[[bytes], bytes] = content_hash, budget: int = BUDGET) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept and text_sha256.
 
     keep is "first" or "last": the smallest or largest doc_id of a group stays. Rows that repeat a
     doc_id with an equal text are one document listed twice: each counts in group_size, and all carry
     the same kept. A null doc_id never wins over another; where a group has only nulls, keep_id is
-    null and its rows are kept.
+    null and its rows are kept. Rows meet their group, settled by whole texts, by the SHA-256 that they return.
     """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [normalise(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(b) for b in bodies], pa.int64()), pa.array([hash_fn(b) for b in bodies], pa.binary()),
-                 pa.array([mark(b) for b in bodies], pa.binary()), pa.array([hashlib.sha256(b).hexdigest() for b in bodies])],
-                names=["doc_id", "n_bytes", "digest", "mark", "text_sha256"],
-            )
+            digests = pa.array([sha256(normalise(t.as_py())) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests], names=["doc_id", "sha256"])
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = ready.mapInArrow(members, "doc_id long, n_bytes long, digest binary, mark binary, text_sha256 string")
-    groups = classes(docs, hash_fn, budget).where("group_size > 1")
-    groups = groups.select("n_bytes", "digest", "mark", F.col("first_id" if keep == "first" else "last_id").alias("__keep"), "group_size")
-    joined = rows.join(groups, ["n_bytes", "digest", "mark"], "left")
+    rows = ready.mapInArrow(members, "doc_id long, sha256 binary")
+    groups = classes(docs, hash_fn, budget).select("sha256", F.col("first_id" if keep == "first" else "last_id").alias("__keep"), "group_size")
+    joined = rows.join(groups, "sha256", "left")
     chosen = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("__keep"))
     return joined.select(
         "doc_id", chosen.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.col("doc_id").eqNullSafe(chosen).alias("kept"), "text_sha256",
+        F.col("doc_id").eqNullSafe(chosen).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256"),
     )
