@@ -20,10 +20,14 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a folder of this process."""
-    set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Where that is unset and Spark runs in this process alone, as
+    in tests, a folder of this process; executors elsewhere could not see one."""
+    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         path = tempfile.mkdtemp(prefix="palimpsest-")
@@ -51,11 +55,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure(df: DataFrame, **types: str) -> DataFrame:
-    """df with exactly these columns, absent ones as nulls and all cast to the type named."""
-    return df.select(*[(df[c] if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge list of longs; root is the smallest node reachable.
 

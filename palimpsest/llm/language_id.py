@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 PROFILE = 400
 UNKNOWN = "und"
+#: A text that scores less is in none of the languages: its n-grams are mostly absent from every profile.
+LEAST_SCORE = 0.3
 _LETTER: list[np.ndarray] = []
 
 
@@ -103,7 +105,7 @@ class Profiles:
         theirs = self.place[:, at]
         apart = np.where(theirs < 0, float(self.size), np.abs(theirs - place[None, :]))
         distance = apart.mean(axis=1) / self.size
-        best = int(np.argmin(distance))
+        best = int(np.argmin(distance))  # of languages as near the first by name
         return self.langs[best], float(min(1.0, max(0.0, 1.0 - distance[best])))
 
 
@@ -144,12 +146,25 @@ def learn(labelled: DataFrame, size: int = PROFILE) -> Profiles:
     return Profiles([(r.lang, r.code, r.n) for r in top.select("lang", "code", "n").collect()], size)
 
 
-def identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows of docs(text, ...) whose text has a language, with all their columns as they are."""
+def accepted(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE, wanted: frozenset[str] | None = None) -> DataFrame:
+    """The rows of docs(text, lang, ...) whose text is of a wanted language, by default of any that has a
+    profile, with all their columns; a null lang becomes the language found.
+
+    The out-of-place distance decides: a row goes where even the nearest profile is so far that its
+    score is below `least`, or where that language is not wanted. So do texts that are null or without a
+    letter. Without any profile nothing can be told apart, and every text with a letter stays as it is.
+    """
+    at = docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [profiles.predict(t.as_py())[0] != UNKNOWN for t in batch.column("text")]
+            if profiles.langs:
+                found = [profiles.predict(t.as_py()) for t in batch.column("text")]
+                keep = [lang != UNKNOWN and score >= least and (wanted is None or lang in wanted) for lang, score in found]
+                named = [own if own is not None else lang for own, (lang, _) in zip(batch.column("lang").to_pylist(), found)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(named, batch.schema.field(at).type))
+            else:
+                keep = [ngrams(t.as_py())[0].size > 0 for t in batch.column("text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, partitions
@@ -237,7 +237,7 @@ BAND_NODE_SIZE = 1 << 16
 FEW_SHINGLES = 64
 #: Shingles that one task compares; groups of more are split into blocks and compared block by block.
 BLOCK_SHINGLES = 1 << 21
-BROADCAST_ROWS = 1 << 21
+BROADCAST_ROWS = 1 << 19
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -345,34 +345,40 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
 
 
 def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node_size: int = BAND_NODE_SIZE) -> DataFrame:
-    """(doc_id, component_id) for every row of docs with a doc_id: component_id is the smallest doc_id
-    that a chain of texts alike reaches. Texts are alike when the Jaccard similarity of their sets of
-    shingles is at least `similarity`; texts without words are alike.
-
-    Signatures only find what to compare. Texts at a Jaccard similarity of 0.8 differ in some 15% of their SimHash bits, too many for a trie
-    walk over whole fingerprints. So signatures have 512 bits, and each band of 28 of them has its own
-    trie, walked with a budget of 2 bits. Where signatures are many, a task walks one subtree of a band
-    with itself: pairs then have to agree down to that node, so bands are added until 9,999 of 10,000
-    pairs at the similarity meet in one, at every size of input. Pairs that meet and are within six
-    deviations on all 512 bits join a loose forest; only its links leave the task.
+    """(doc_id, t1, t2, component_id, stays) for every row of docs: t1 and t2 are hashes of the text,
+    component_id is the smallest doc_id that a chain of texts alike reaches, null if all are null, and
+    stays marks the row of each group with the smallest doc_id and, of one doc_id, the smallest t1 and
+    t2. So different texts of one doc_id, and of none, are documents of their own; rows that repeat
+    doc_id and text are one document listed twice. Texts are alike when the Jaccard similarity of their
+    sets of shingles is at least `similarity`; texts without words are alike.
+
+    Signatures only find what to compare. Texts at a Jaccard similarity of 0.8 differ in some 15% of
+    their SimHash bits, too many for a trie walk over whole fingerprints. So signatures have 512 bits,
+    and each band of 28 of them has its own trie, walked with a budget of 2 bits. Where signatures are
+    many, a task walks one subtree of a band with itself: pairs then have to agree down to that node, so
+    bands are added until 9,999 of 10,000 pairs at the similarity meet in one, at every size of input.
+    Pairs that meet and are within six deviations on all 512 bits join a loose forest; only its links
+    leave the task.
 
     The texts of each loose group, and besides the texts of at most FEW_SHINGLES shingles that share one
     of their first shingles, then meet with all their shingles, and only pairs at the similarity link.
     """
-    marked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_hashes(F.col("text")), F.col("text").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), width) for t in batch.column("text")]
             first = [h[: least_prefix(h.size, similarity)].view(np.int64) if 0 < h.size <= FEW_SHINGLES else np.zeros(0, np.int64) for h in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([signature(h) for h in sets], pa.binary()), pa.array([h.size for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))],
-                names=["doc_id", "sig", "n", "first"],
+                [*(batch.column(c) for c in row), pa.array([signature(h) for h in sets], pa.binary()), pa.array([h.size for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))],
+                names=[*row, "sig", "n", "first"],
             )
 
-    texts = marked
-    marked = materialize(marked.mapInArrow(sign, "doc_id long, sig binary, n long, first array<long>"), "signatures")
-    distinct = materialize(marked.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")), "distinct")
+    row = ("doc_id", "t1", "t2")
+    who = F.struct(F.col("doc_id").isNull().alias("none"), *row)
+    marked = materialize(texts.mapInArrow(sign, "doc_id long, t1 long, t2 long, sig binary, n long, first array<long>"), "signatures")
+    distinct = marked.groupBy("sig").agg(F.min(who).alias("who"), F.first("n").alias("n"), F.first("first").alias("first"))
+    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")  # written once, so identifiers stay
     n = distinct.count()
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n) / node_size))))
     bands, apart = bands_needed(depth, similarity), bits_apart(similarity)
@@ -432,7 +438,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
         for batch in batches:
             sets = [shingles(t.as_py(), width) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([signature(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "sig", "shingles"]
+                [batch.column("id"), pa.array([h.tobytes() for h in sets], pa.binary())], names=["id", "shingles"]
             )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,23 +461,34 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
     dealt = distinct.select("id", "sig").mapInArrow(spread, "band int, node long, id long, sig binary")
     dealt = dealt.repartition(max(bands, partitions(docs.sparkSession)), "band", "node").sortWithinPartitions("band", "node")
     loose = connected_components(dealt.mapInArrow(walk, "a long, b long"))
-    close = distinct.join(loose, distinct["id"] == loose["node"]).select(F.lit(0).alias("kind"), F.col("root").alias("key"), "sig", "id", "n")
-    few = distinct.select(F.lit(1).alias("kind"), F.explode("first").alias("key"), "sig", "id", "n")
+    close = distinct.join(loose, distinct["id"] == loose["node"]).select(F.lit(0).alias("kind"), F.col("root").alias("key"), "id", "n")
+    few = distinct.select(F.lit(1).alias("kind"), F.explode("first").alias("key"), "id", "n")
     shared = few.groupBy("key").count().where("count > 1").select("key")
     met = materialize(close.unionByName(few.join(shared, "key", "left_semi").select(*close.columns)), "met")
-    wanted = met.select(F.col("id").alias("__id")).distinct()
-    if met.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, texts["doc_id"] == wanted["__id"], "left_semi").mapInArrow(gather, "doc_id long, sig binary, shingles binary")
-    sets = materialize(sets.groupBy("doc_id", "sig").agg(F.first("shingles").alias("shingles")), "shingles")
+    chosen = distinct.join(met.select("id").distinct(), "id").select("id", F.col("who.doc_id").alias("__d"), F.col("who.t1").alias("__1"), F.col("who.t2").alias("__2"))
+    chosen = materialize(chosen, "chosen")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    same = (F.col("t1") == F.col("__1")) & (F.col("t2") == F.col("__2")) & F.col("doc_id").eqNullSafe(F.col("__d"))
+    sets = texts.join(chosen, same).select("id", "text").mapInArrow(gather, "id long, shingles binary")
+    sets = materialize(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
 
     # A group of more shingles than one task should hold meets as pairs of blocks.
     large = met.groupBy("kind", "key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1")
     cells = met.join(large, ["kind", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("sig"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("kind", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("id").alias("doc_id"), "sig")
-    cells = cells.join(sets, ["doc_id", "sig"]).select("kind", "key", "low", "high", F.col("doc_id").alias("id"), "shingles")
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("kind", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id")
+    cells = cells.join(sets, "id").select("kind", "key", "low", "high", "id", "shingles")
     cells = cells.repartition(partitions(docs.sparkSession), "kind", "key", "low", "high").sortWithinPartitions("kind", "key", "low", "high")
     roots = connected_components(cells.mapInArrow(compare, "a long, b long"))
-    placed = distinct.join(roots, distinct["id"] == roots["node"], "left").select("sig", F.coalesce("root", "id").alias("component_id"))
-    return marked.join(placed, "sig").select("doc_id", "component_id")
+    placed = distinct.join(roots, distinct["id"] == roots["node"], "left").select("sig", "who", F.coalesce("root", "id").alias("root"))
+    placed = materialize(placed, "placed")
+    lowest = placed.groupBy("root").agg(F.min("who").alias("low"))
+    placed = placed.join(lowest, "root").select("sig", "low")
+    return marked.join(placed, "sig").select(*row, F.col("low.doc_id").alias("component_id"), (who == F.col("low")).alias("stays"))
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """t1 and t2, hashes of a text of 64 bits each; a null text counts as empty."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit("second"), whole).alias("t2")
