@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, html_text, language_id, mixing, secrets, sharding, simhash, suffix_dedup, url_filter
+from . import pipeline as stages
 from .common import scan
 
 # The rules of op8.
@@ -67,9 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {
@@ -90,10 +89,10 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 ORACLE_SQL = {
     "op3_pareto_mix": """
-WITH d AS (
+WITH i AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM documents),
+    coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) AS who FROM documents),
+d AS (SELECT *, (('0x' || substr(md5('mix:' || who), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM i),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
@@ -110,11 +109,23 @@ r AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM g),
 h AS (SELECT *, least(floor(rate), 3)::BIGINT AS whole FROM r),
 k AS (SELECT *, target - whole * source_size AS need FROM h),
+-- Inclusion odds are one for the sizes above the largest whose odds fit, and c a word for the others.
+f AS (
+  SELECT source, size, (coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS above,
+    (sum(size * size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS squares
+  FROM (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY source, size)),
+e AS (
+  SELECT f.source, arg_max((need - above) / squares, size) FILTER ((need - above) / squares * size <= 1) AS c
+  FROM f JOIN k ON f.source IS NOT DISTINCT FROM k.source GROUP BY f.source),
+q AS (
+  SELECT d.*, k.source_size, k.target, k.whole, k.need, coalesce(e.c, 0.0) * d.size AS odds
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+p AS (
+  SELECT *, CASE WHEN odds >= 1 THEN 0.0 WHEN odds > 0 THEN (u / (1 - u)) / (odds / (1 - odds)) END AS ratio FROM q),
 o AS (
-  SELECT d.doc_id, d.size, k.source_size, k.target, k.whole, k.need,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.doc_id::VARCHAR NULLS LAST, d.size RANGE UNBOUNDED PRECEDING) AS done, sum(d.size) OVER (PARTITION BY d.source, u, d.doc_id, d.size) AS peers
-  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
-SELECT doc_id, size, source_size, target, least(3, whole + CASE WHEN need > 0 AND done - peers < need
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ratio NULLS LAST, who, size RANGE UNBOUNDED PRECEDING) AS done, sum(size) OVER (PARTITION BY source, ratio, who, size) AS peers
+  FROM p)
+SELECT doc_id, size, source_size, target, least(3, whole + CASE WHEN need > 0 AND ratio IS NOT NULL AND done - peers < need
   AND (done <= need OR done - need < need - (done - peers)) THEN 1 ELSE 0 END) * size AS taken
 FROM o
 """,
