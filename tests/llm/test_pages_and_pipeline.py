@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+import time
+
 import pytest
 
 import corpus_pipeline
-from palimpsest.llm import html_text, mixing, sharding, simhash
+from palimpsest.llm import decontaminate, html_text, mixing, pipeline, sharding, simhash
 
 
 def page(lang, title, body, nav="a b", extra=""):
@@ -46,13 +48,105 @@ def test_wrapper_without_article(spark):
     assert {r.page_id: r.text for r in got} == {i: f"Story {i}\n\nTale number {i} is long." for i in range(12)}
 
 
+def pages_of(spark, host, sources):
+    rows = [(i, f"http://{host}/{i}", html) for i, html in enumerate(sources)]
+    return {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_inside_the_article(spark):
+    """What a host says in each article goes, and what varies stays; without alignment it would stay."""
+    notice = "<p>You have read one of five free stories this month.</p>"
+    tales = [f"<article><h1>Story {i}</h1>{notice}<p>Tale number {i} is {'long ' * (20 + i)}and told.</p><p>Our desk writes every day.</p></article>" for i in range(9)]
+    want = {i: f"Story {i}\n\nTale number {i} is {'long ' * (20 + i)}and told." for i in range(9)}
+    assert pages_of(spark, "n.example", tales) == want
+    alone = html_text.extract(tales[3], html_text.Wrapper(None))
+    assert "free stories" in alone and "every day" in alone
+    # An odd, an empty or a missing first page of the host changes nothing.
+    odd = [None, "", "<frameset><frame></frameset>"]
+    got = pages_of(spark, "n.example", odd + tales)
+    assert {i: got[i + 3] for i in want} == want and got[0] == got[1] == ""
+
+
+def test_copies_are_no_template(spark):
+    """Pages that repeat the reference, wholly or nearly, keep their text."""
+    body = "<article><h1>The one</h1><p>Said once.</p><p>And again.</p></article>"
+    more = [f"<article><h1>Other {i}</h1><p>Only {i}.</p></article>" for i in range(3)]
+    near = [f"<article><h1>The one {i}</h1><p>Said once.</p><p>And again.</p></article>" for i in range(6)]
+    got = pages_of(spark, "c.example", [body] * 8 + more + near)
+    assert all(got[i] == "The one\n\nSaid once.\n\nAnd again." for i in range(8))
+    assert all(got[11 + i] == f"The one {i}\n\nSaid once.\n\nAnd again." for i in range(6))
+
+
+def test_parts_beside_the_article():
+    text = lambda html: html_text.extract(html, html_text.Wrapper(None))
+    assert text("<body><main><h1>Title</h1><p>Lead.</p><article><p>Body.</p></article><div>3 replies</div></main></body>") == "Title\n\nLead.\n\nBody."
+    teasers = '<article><h2><a href="/1">Other story</a></h2></article>'
+    assert text(f"<div><p>The long story itself is here.</p></div>{teasers}") == "The long story itself is here."
+    assert text(f"<article><p>The long story itself is here, with all that is in it.</p></article>{teasers * 3}") == "The long story itself is here, with all that is in it."
+    assert text("<section class=comments><article><p>First!</p></article></section><article><p>Main.</p></article>") == "Main."
+    for names in ("content no-sidebar", "share-price", "page-with-nav", "related-works", "entry social-science", "breaking-news"):
+        assert text(f'<article><div class="{names}"><p>Kept.</p></div></article>') == "Kept."
+        assert text(f'<div class="{names}"><p>Kept.</p></div>') == "Kept."
+    for names in ("sidebar", "main-nav", "cookie-notice", "site_footer", "ad-slot-3", "comments-area", "share-buttons", "related-posts", "x sidebar y"):
+        assert text(f'<article><p>Kept.</p><div class="{names}"><p>Gone.</p></div></article>') == "Kept."
+    assert text("<form><article><p>All in a form.</p></article></form>") == "All in a form."
+
+
+def test_deep_and_wide_pages():
+    deep = "<div>" * 5000 + "<p>deep"
+    wide = "<ul>" + "".join(f"<li class=c{i % 7}><a>x{i}</a>" + "<b>q</b>" * (i % 5) + "</li>" for i in range(5000)) + "</ul>"
+    other = "<ul>" + "".join(f"<li class=c{i % 5}><a>x{i}</a>" + "<b>q</b>" * (i % 3) + "</li>" for i in range(5000)) + "</ul>"
+    for page, reference in ((deep, "<div>" * 4000 + "<p>x"), ("<b>" * 5000 + "x", "<b>" * 3000), (wide, other), ("</i>" * 5000 + "x", deep)):
+        began = time.perf_counter()
+        assert html_text.extract(page, html_text.Wrapper(reference, [1]))
+        assert time.perf_counter() - began < 3
+
+
+def brute_matching(a, b):
+    if a.label() != b.label():
+        return 0
+    x, y = a.kids, b.kids
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + brute_matching(x[i], y[j]))
+    return 1 + table[-1][-1]
+
+
 def test_tree_matching():
-    a = html_text.parse("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>")
-    b = html_text.parse("<div><ul><li>x</li></ul><p>2</p></div>")
-    size, pairs = html_text.match(a, b)
-    assert size == len(pairs) == 5
-    assert [x.label() for x, _ in pairs] == [y.label() for _, y in pairs]
-    assert html_text.match(a, html_text.parse("<p>"))[0] == 1
+    rng = random.Random(5)
+
+    def tree(depth):
+        tag = rng.choice(["div", "section", "span", "b"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(4) if depth else 0)) + f"</{tag}>"
+
+    for _ in range(150):
+        a, b = (html_text.mark(html_text.parse("".join(tree(3) for _ in range(rng.randrange(5))))) for _ in range(2))
+        size, pairs = html_text.match(a, b)
+        assert size == len(pairs) == brute_matching(a[0], b[0])
+        assert len({x.at for x, _ in pairs}) == len({y.at for _, y in pairs}) == size
+        assert all(x.label() == y.label() for x, y in pairs)
+        up = {x.at: y.at for x, y in pairs}
+        assert all(up[x.parent.at] == y.parent.at for x, y in pairs if x.parent)
+        assert sorted(up.values()) == [up[k] for k in sorted(up)]  # page order is kept
+    a = html_text.mark(html_text.parse("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>"))
+    assert html_text.match(a, html_text.mark(html_text.parse("<p>")))[0] == 1
+
+
+def test_large_references(spark, monkeypatch):
+    """Hosts whose references are too many to broadcast lead their pages in an exchange, with equal results."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        host = f"h{min(5, rng.randrange(12))}.example"
+        rows.append((i, f"http://{host}/{i}", f"<div><p>Rights of {host}</p></div><div><h1>Story {i}</h1><p>{words(rng, 9)}</p></div>"))
+    rows += [(300, None, "<p>no host"), (301, "http://h5.example/x", None), (None, "http://h5.example/y", "<div><p>Rights of h5.example</p></div><p>z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    here = sorted(map(str, html_text.main_text(df).collect()))
+    monkeypatch.setattr(html_text, "REFERENCE_BYTES", 10)
+    monkeypatch.setattr(html_text, "HOT_SHARE", 5)
+    assert sorted(map(str, html_text.main_text(df).collect())) == here
+    assert not any("Rights" in r for r in here)
 
 
 def words(rng, n):
@@ -71,17 +165,21 @@ def test_similar_texts(spark, node_size):
                 own[rng.randrange(len(own))] = "edit"
             family[len(rows)] = g
             rows.append((len(rows), " ".join(own)))
-    rows += [(1000, None), (1001, ""), (None, "x")]
-    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), node_size=node_size).collect()}
-    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows if t and i is not None}
-    for a in family:
-        for b in family:
-            same = len(grams[a] & grams[b]) / len(grams[a] | grams[b])
-            if same >= 0.85:
+    rows += [(1000, None), (1001, ""), (None, "x y z"), (None, rows[3][1]), (None, "x y z"), (5, "another text of this id"), (None, "all alone")]
+    found = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), node_size=node_size).collect()
+    got = {r.doc_id: r.component_id for r in found if r.doc_id in family and r.doc_id != 5}
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows if t and i in family}
+    for a in got:
+        for b in got:
+            if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8:
                 assert got[a] == got[b]
             if family[a] != family[b]:
                 assert got[a] != got[b]
-    assert got[1001] == got[1000] == 1000 and len(got) == len(rows) - 1
+    assert {r.component_id for r in found if r.doc_id in (1000, 1001)} == {1000} and len(found) == len(rows)
+    assert len([r for r in found if r.doc_id == 5 and r.stays]) == 1 + (got.get(5, 5) == 5 and family[5] not in {family[i] for i in range(5)})
+    # Of texts without an id each stays once, but not the copy of a named one.
+    assert Counter(r.stays for r in found if r.doc_id is None) == {True: 3, False: 1}
+    assert sum(r.stays for r in found if r.doc_id is not None and r.doc_id != 5) == len({v for k, v in got.items()} - {5}) + 1
 
 
 def edited(base, n):
@@ -115,7 +213,44 @@ def test_similar_texts_at_the_threshold(spark, monkeypatch, block):
         rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
         expected += [(2 * k, 2 * k), (2 * k + 1, 2 * k + (not same))]
     got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.component_id) for r in got) == expected
+    assert sorted((r.doc_id, r.component_id) for r in got) == expected and all(r.stays == (r.doc_id == r.component_id) for r in got)
+
+
+def test_recall_of_near_copies(spark):
+    """Planted copies at similarities from 0.8 to 0.95: no pair at 0.8 or more is lost, none below joins."""
+    rng = random.Random(13)
+    rows, pairs = [], []
+    for g in range(150):
+        base = [f"{w}x{g}" for w in words(rng, rng.randrange(80, 400)).split()]
+        n = len(base) - 4
+        most = int(n * (1 - 0.8) / (1 + 0.8) / 5 * 1.2)
+        own = edited(base, rng.randrange(1, most + 2))
+        same = jaccard(base, own)
+        pairs.append((2 * g, same))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(own))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [(i, s) for i, s in pairs if s >= 0.8]
+    caught = sum(got[i + 1] == i for i, _ in near)
+    assert len(near) > 80 and caught >= 0.98 * len(near)
+    assert all(got[i + 1] == i + 1 for i, s in pairs if s < 0.8) and any(s < 0.8 for _, s in pairs)
+
+
+def test_near_dedup_stage(spark):
+    """Rows that share a doc_id, or have none, are told apart by their texts; a row listed twice stays once."""
+    rng = random.Random(2)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "y"), (None, c, "z"), (None, d, "z"), (None, c, "w"), (3, d, "v"), (4, words(rng, 50), "q"), (4, None, "q"), (5, "", "q")]
+    rows += [(4, rows[7][1], "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter((r.doc_id, r.text) for r in pipeline.near_dedup(spark, df, "").collect())
+    assert got == Counter([(1, a), (1, b), (None, c), (3, d), (4, rows[7][1]), (4, None)])
+
+
+def test_unlabelled_pipeline(spark, tmp_path):
+    rows = [(i, words(random.Random(i), 40), None, "s", 1) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of it is here at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == set(range(30))
 
 
 def test_pipeline(spark, tmp_path):
@@ -139,8 +274,10 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     first = {}
     for d in docs[:80]:
-        first.setdefault(d[1], d)
+        if not any(jaccard(d[1].split(), t.split()) >= 0.8 for t in first):
+            first[d[1]] = d
     kept = [d for d in first.values() if not any(t in d[1] for _, t in items)]
+    assert {d[0] for d in first.values()} - {d[0] for d in kept} <= leaked
     taken = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(kept, schema)).collect()}
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
