@@ -1,66 +1,5 @@
-"""Corpus pipeline: five stages from raw documents to shards.
+"""The corpus pipeline, five stages from raw documents to shards; see palimpsest/llm/pipeline.py."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
-"""
+from palimpsest.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from palimpsest.llm import decontaminate, language_id, mixing, sharding, simhash
-from palimpsest.llm.common import materialize, scan
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an identified language. Profiles come from the labelled documents that are not
-    held out; a text that is null or has no letter is rejected, whatever its label says."""
-    training = docs.where(~language_id.held_out(F.col("doc_id")))
-    return language_id.identified(docs, language_id.learn(training))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of smallest doc_id: shingles of five
-    words, a similarity of 0.8 or more. Rows without doc_id stay; of rows that repeat a doc_id one stays."""
-    groups = materialize(simhash.similar_texts(docs, 0.8, 5), "groups")
-    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stays, docs["doc_id"] == stays["__id"], "left_semi")
-    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    return kept if nameless.isEmpty() else kept.unionByName(nameless)
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item, nor an edited copy of one."""
-    return decontaminate.clean(docs, scan(spark, sf_dir, "benchmark"))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix at target weights: a document is repeated as often as the mix takes it."""
-    return mixing.mixed(docs)
-
-
-def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with size, text_crc32, law, shard, slot and grown_shard."""
-    return sharding.shard(docs)
-
-
-STAGES = [
-    ("language_id", language),
-    ("simhash_near_dedup", near_dedup),
-    ("benchmark_decontamination", decontaminated),
-    ("mix_to_weights", mixed),
-    ("shard", sharded),
-]
-
-#: The first three stages have no SQL form; tests hold the pipeline against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scan(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
