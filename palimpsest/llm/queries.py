@@ -59,8 +59,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sharding.shard(scan(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharding.shard(scan(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -497,6 +497,7 @@ def test_sharding(spark, corpus):
     for r in got:
         key = xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little", signed=True), 42) if r.doc_id is not None else 42
         assert (r.shard, r.grown_shard) == (scalar(key, 8), scalar(key, 9))
+    assert sharding.shard(df, carry=["doc_id"]).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     keys = np.arange(20000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     a, b = sharding.jump_hash(keys, 8), sharding.jump_hash(keys, 9)
     assert ((a == b) | (b == 8)).all() and 0.09 < (a != b).mean() < 0.13 and np.bincount(a).min() > 2200
