@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as cfg
 from . import fixtures as fx
+from . import queries_requests  # noqa: F401  registers its queries
+from .catalogue import ORACLE_SQL, QUERIES, query, spread, strict, table
 from .functions import classify, commands, json_text, metrics, redact, rewrite
 from .functions.text import count_label, js_len, size_label, token_estimate
 from .operators import crossrow, disclosure, ranking, similarity, stats, trim
@@ -16,54 +16,11 @@ from .plans import compact as plans
 from .sources import requests
 from .streaming import sessions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores: a small file of one row group is one
-    task otherwise. Inputs of many files are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def strict(spark: SparkSession) -> None:
-    """JSON with duplicate keys is valid; the parser has to be told so."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-
-
 TOKENS = "greatest(1, ceil(length({0}) / 4.0))::BIGINT"
 
 
 # Sources
 
-@query(f"""SELECT method, url, p AS provider, CASE
-  WHEN p = 'openai' AND starts_with(url, '/chat/completions') THEN '/v1' || url WHEN p = 'openai-responses' AND starts_with(url, '/responses') THEN '/v1' || url
-  WHEN p = 'kimi' AND starts_with(url, '/kimi/coding/v1/') THEN substr(url, 6) WHEN p = 'kimi' AND starts_with(url, '/kimi/v1/') THEN '/coding' || substr(url, 6)
-  WHEN p = 'moonshot' AND starts_with(url, '/moonshot/v1/') THEN substr(url, 10) WHEN p = 'moonshot' AND starts_with(url, '/moonshot/chat/completions') THEN '/v1' || substr(url, 10) ELSE url END AS upstream
-FROM (SELECT method, url, CASE WHEN method <> 'POST' THEN NULL WHEN starts_with(url, '/v1/messages') THEN 'anthropic'
-  WHEN starts_with(url, '/v1/chat/completions') OR starts_with(url, '/chat/completions') THEN 'openai' WHEN starts_with(url, '/v1/responses') OR starts_with(url, '/responses') THEN 'openai-responses'
-  WHEN contains(url, 'generateContent') THEN 'gemini' WHEN regexp_matches(url, '^(/coding/v1|/kimi/v1|/kimi/coding/v1)/chat/completions') THEN 'kimi'
-  WHEN regexp_matches(url, '^/moonshot(/v1)?/chat/completions') THEN 'moonshot' END AS p FROM {fx.values(fx.URLS, 'method, url')})""")
-def provider_route(spark, sf_dir):
-    df = fx.frame(spark, fx.URLS, "method string, url string").withColumn("provider", requests.provider(F.col("method"), F.col("url")))
-    return df.withColumn("upstream", requests.normal_url(F.col("provider"), F.col("url")))
-
-
 @query(f"""WITH b AS (SELECT * FROM {fx.values([r for r in fx.BODIES if r[1] in ('anthropic', 'openai') and r[0] in ('r1', 'r2', 'r3')], 'request_id, provider, body')}),
 m AS (SELECT request_id, provider, g.i::INT AS msg_idx, json_extract(body, '$.messages[' || g.i || ']') AS m FROM b, LATERAL (SELECT unnest(range(json_array_length(body, '$.messages')::BIGINT)) AS i) g),
 w AS (SELECT request_id, provider, msg_idx, -1 AS block_idx, -1 AS sub_idx, m->>'$.role' AS role, m->>'$.content' AS text, NULL AS skip FROM m WHERE json_type(m, '$.content') = 'VARCHAR'
@@ -83,52 +40,6 @@ def extract_messages(spark, sf_dir):
     return found.select("request_id", "provider", "msg_idx", "block_idx", "sub_idx", "role", "text", "skip")
 
 
-@query()
-def extract_all_families(spark, sf_dir):
-    strict(spark)
-    return requests.extract(fx.frame(spark, fx.BODIES, "request_id string, provider string, body string"))
-
-
-@query()
-def cache_safe_families(spark, sf_dir):
-    strict(spark)
-    bodies = fx.frame(spark, fx.BODIES, "request_id string, provider string, body string")
-    return requests.newest_only(requests.extract(bodies), requests.last_other(bodies))
-
-
-@query("""SELECT conv_id, turn, role, length(text)::INT AS n FROM conversations
-QUALIFY turn > coalesce(max(CASE WHEN role <> 'user' THEN turn END) OVER (PARTITION BY conv_id), -1) AND role = 'user'""")
-def cache_safe_scope(spark, sf_dir):
-    """The trailing run of user turns of each conversation."""
-    turns = table(spark, sf_dir, "conversations")
-    other = turns.where("role <> 'user'").groupBy("conv_id").agg(F.max("turn").alias("other"))
-    kept = turns.where("role = 'user'").join(other, "conv_id", "left").where("turn > coalesce(other, -1)")
-    return kept.select("conv_id", "turn", "role", F.length("text").alias("n"))
-
-
-@query("SELECT conv_id, arg_max(text, turn) AS user_text FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id")
-def last_user_text(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
-    return turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("user_text"))
-
-
-@query("SELECT * FROM (VALUES ('r1', 't1', 'body one', '/a.py'), ('r1', 't2', NULL, '/b.txt'), ('r2', 't9', 'sub a', NULL), ('r2', 't9', 'sub b', NULL)) AS t(request_id, tool_use_id, text, path)")
-def tool_path_join(spark, sf_dir):
-    strict(spark)
-    bodies = fx.frame(spark, fx.BODIES, "request_id string, provider string, body string")
-    found = requests.with_paths(requests.extract(bodies).where("provider = 'anthropic' and tool_use_id is not null"), bodies)
-    return found.select("request_id", "tool_use_id", "text", "path")
-
-
-@query()
-def write_back_bodies(spark, sf_dir):
-    strict(spark)
-    bodies = fx.frame(spark, fx.BODIES, "request_id string, provider string, body string")
-    changed = requests.extract(bodies).withColumn("compressed", F.when(F.col("was_object"), F.lit('{"small":1}')).otherwise(F.upper("text")))
-    hints = bodies.select("request_id", F.lit("be brief").alias("hint"))
-    return requests.write_back(bodies, changed, hints)
-
-
 @query("SELECT doc_id, strlen(text) <= 4096 AS within FROM documents")
 def body_size_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", requests.within_limit(F.col("text"), 4096).alias("within"))
@@ -762,18 +673,6 @@ def stream_session_refs(spark, sf_dir):
     return spark.table(name)
 
 
-_AUTH = [(1, "acc-1", None, "/v1/responses"), (2, None, "Bearer sk-abc", "/v1/responses"), (3, None, "bearer eyJa.b.c", "/v1/responses"), (4, None, "Bearer eyJa.b", "/x"), (5, None, None, "/v1"), (6, "", "Basic zzz", "/v1x"), (7, "acc", None, "/backend-api/codex/r"), (8, "acc", None, "/v1x")]
-
-
-@query(f"""SELECT id, mode, CASE WHEN mode <> 'oauth' OR starts_with(path, '/backend-api/codex') THEN path ELSE '/backend-api/codex' || CASE WHEN path = '/v1' OR starts_with(path, '/v1/') THEN substr(path, 4) ELSE path END END AS upstream
-FROM (SELECT *, CASE WHEN account <> '' THEN 'oauth' WHEN starts_with(token, 'sk-') THEN 'api-key' WHEN regexp_matches(token, '^eyJ[^.]*[.][^.]+[.][^.]+$') THEN 'oauth' ELSE 'unknown' END AS mode
-FROM (SELECT *, coalesce(regexp_extract(header, '(?i)^\\s*bearer\\s+(\\S+)', 1), '') AS token FROM {fx.values(_AUTH, 'id, account, header, path')}))""")
-def auth_modes(spark, sf_dir):
-    rows = fx.frame(spark, _AUTH, "id long, account string, header string, path string")
-    rows = rows.withColumn("mode", requests.auth_mode(F.col("account"), F.col("header")))
-    return rows.select("id", "mode", requests.upstream_path(F.col("mode"), F.col("path")).alias("upstream"))
-
-
 @query("SELECT doc_id, strlen(text) AS n, sha256(text) AS sha FROM documents")
 def decode_bodies(spark, sf_dir):
     """Documents compressed as bodies would be, and decoded again."""
