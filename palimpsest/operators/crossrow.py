@@ -74,26 +74,53 @@ def store_entries(df: DataFrame, text: str, access: str, least: int = STORE_LEAS
     return last.select("hash", F.substring("hash", 1, 2).alias("shard"), "text", F.octet_length("text").cast("long").alias("bytes"), "last_access")
 
 
+def store_lookup(entries: DataFrame, asked: DataFrame, access: str) -> tuple[DataFrame, DataFrame]:
+    """(found, touched): asked(hash, access, ...) with text, null where the store has no such hash, and
+    entries with last_access moved on to the latest hit."""
+    found = asked.join(entries.select("hash", "text"), "hash", "left")
+    hits = found.where("text is not null").groupBy("hash").agg(F.max(access).alias("__at"))
+    touched = entries.join(hits, "hash", "left").withColumn("last_access", F.greatest("last_access", "__at")).drop("__at")
+    return found, touched
+
+
 def store_evict(entries: DataFrame, budget: int = STORE_BUDGET, buckets: int = 1024) -> DataFrame:
     """Entries with kept: by last access, newest first, as many as fit the budget; ties by hash.
 
-    Sums of ranges of last_access come first and only the range that holds the cut is ordered row by
-    row, so the store is never sorted in one task.
+    The cut is closed in on by sums of ranges, each a few rows: ranges of last_access, finer ranges
+    within the one that holds the cut, and there, for each time left, ranges of the hash, so a store
+    loaded at one time is no single range either. Only the last range is ordered row by row.
     """
-    low, high = F.min("last_access"), F.max("last_access")
-    bounds = entries.agg(low.cast("double").alias("__lo"), high.cast("double").alias("__hi"))
-    spread = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-9))
-    bucket = F.least(F.floor((F.col("__hi") - F.col("last_access").cast("double")) / spread * buckets), F.lit(buckets - 1)).cast("int")
-    placed = entries.join(F.broadcast(bounds)).withColumn("__b", bucket).drop("__lo", "__hi")  # one row of bounds
-    sums = placed.groupBy("__b").agg(F.sum("bytes").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("__from", before).withColumn("__edge", (F.col("__from") < budget) & (F.col("__from") + F.col("__n") > budget))
-    joined = placed.join(F.broadcast(sums.select("__b", "__from", "__n", "__edge")), "__b")  # at most `buckets` rows
-    edge = joined.where("__edge")
-    run = F.sum("bytes").over(W.orderBy(F.col("last_access").desc(), "hash").rowsBetween(W.unboundedPreceding, W.currentRow))
-    edge = edge.withColumn("running", F.col("__from") + run).withColumn("kept", F.col("running") <= budget)
-    rest = joined.where("not __edge").withColumn("running", F.lit(None).cast("long")).withColumn("kept", F.col("__from") + F.col("__n") <= budget)
-    return edge.unionByName(rest).drop("__b", "__from", "__n", "__edge", "running")
+    rows = entries.withColumn("__t", F.col("last_access").cast("double"))
+    inside, used = rows, F.lit(0).cast("long")
+    for k in range(2):
+        bounds = inside.agg(F.min("__t").alias(f"__lo{k}"), F.max("__t").alias(f"__hi{k}"))
+        width = F.greatest(F.col(f"__hi{k}") - F.col(f"__lo{k}"), F.lit(1e-9))
+        place = F.least(F.floor((F.col(f"__hi{k}") - F.col("__t")) / width * buckets), F.lit(buckets - 1)).cast("long")
+        spread = lambda df, b=bounds, p=place, k=k: df.crossJoin(F.broadcast(b)).withColumn(f"__b{k}", p)  # noqa: E731  one row
+        rows, inside = spread(rows), spread(inside)
+        edge = _edge(inside, f"__b{k}", used, budget, k)
+        rows, inside = rows.crossJoin(F.broadcast(edge)), inside.crossJoin(F.broadcast(edge)).where(f"__b{k} = __e{k}")
+        used = F.col(f"__from{k}")
+    place = F.struct((-F.col("__t")).alias("t"), F.substring("hash", 1, 3).alias("h"))
+    rows, inside = rows.withColumn("__b2", place), inside.withColumn("__b2", place)
+    edge = _edge(inside, "__b2", used, budget, 2)
+    rows, inside = rows.crossJoin(F.broadcast(edge)), inside.crossJoin(F.broadcast(edge)).where("__b2 = __e2")
+    before, at = F.lit(False), F.lit(True)  # whether a row is before, or in, the range that holds the cut
+    for k in range(3):
+        before = before | (at & F.coalesce(F.col(f"__b{k}") < F.col(f"__e{k}"), F.lit(True)))
+        at = at & F.coalesce(F.col(f"__b{k}") == F.col(f"__e{k}"), F.lit(False))
+    run = F.sum("bytes").over(W.partitionBy("__b2").orderBy("hash").rowsBetween(W.unboundedPreceding, W.currentRow))
+    names = entries.columns
+    return rows.where(~at).select(*names, before.alias("kept")).unionByName(inside.select(*names, (F.col("__from2") + run <= budget).alias("kept")))
+
+
+def _edge(rows: DataFrame, place: str, used: Column, budget: int, k: int) -> DataFrame:
+    """One row: the first range of rows(place, bytes) that does not fit the budget whole, and what comes
+    before it; nulls if all fit. The sums of ranges are few rows."""
+    sums = rows.groupBy(place).agg(F.sum("bytes").alias("__n"), F.first(used).alias("__used"))
+    before = F.col("__used") + F.coalesce(F.sum("__n").over(W.orderBy(place).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = sums.withColumn("__from", before).where(F.col("__from") + F.col("__n") > budget).agg(F.min(F.struct(F.col(place).alias("b"), "__from")).alias("x"))
+    return first.select(F.col("x.b").alias(f"__e{k}"), F.col("x.__from").alias(f"__from{k}"))
 
 
 def sessions(df: DataFrame, key: str, time: str, tie: str, idle: int = IDLE_SECONDS) -> DataFrame:

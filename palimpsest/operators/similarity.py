@@ -20,30 +20,46 @@ def line_jaccard(a: Column, b: Column) -> Column:
     return F.when(apart, 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def similar_pairs(df: DataFrame, key: str, text: str = "text", least: float = LEAST_SIMILARITY) -> DataFrame:
-    """(a, b, similarity) of the pairs a < b of distinct texts whose line sets are over `least` alike.
+def distinct_texts(df: DataFrame, key: str, text: str, group: str | None) -> DataFrame:
+    """(g, id, text, last, hash): one row for each distinct text of a group, id its smallest key and last
+    its largest. A null group is one of its own; without a group all rows are one."""
+    own = F.lit(None).cast("string") if group is None else F.col(group)
+    held = df.where(F.col(text).isNotNull()).select(own.alias("g"), F.col(key).alias("k"), F.col(text).alias("text"), F.sha2(F.col(text), 256).alias("hash"))
+    return held.groupBy("g", "hash").agg(F.min("k").alias("id"), F.max("k").alias("last"), F.first("text").alias("text"))
+
+
+def similar_pairs(df: DataFrame, key: str, text: str = "text", least: float = LEAST_SIMILARITY, group: str | None = None) -> DataFrame:
+    """(a, b, similarity) of the pairs a < b of distinct texts whose line sets are over `least` alike,
+    preceded by the group where one is named: texts are compared within their group alone.
 
     Copies collapse to their smallest key before the join. Lines are ordered by how few texts hold
     them, and two sets that alike share one of the first |A| - floor(least |A|) lines of each (prefix
     filter); only such pairs are compared in full. A line that all texts share is never in a prefix
-    unless a text has few others.
+    unless a text has few others. Keys are unique within a group.
     """
-    held = df.where(F.col(text).isNotNull()).withColumn("__h", F.xxhash64(text)).groupBy("__h", text).agg(F.min(key).alias("id"))
-    sets = held.select("id", F.col(text).alias("t"), js_len(F.col(text)).alias("len"), F.array_distinct(lines(F.col(text))).alias("lines"))
-    hashed = sets.select("id", "len", F.size("lines").alias("n"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"))
-    each = hashed.select("id", "len", "n", F.explode("hs").alias("h"))
+    out = pairs_of(distinct_texts(df, key, text, group), least)
+    return out.drop("g") if group is None else out.withColumnRenamed("g", group)
+
+
+def pairs_of(texts: DataFrame, least: float) -> DataFrame:
+    """(g, a, b, similarity) over distinct texts(g, id, text)."""
+    sets = texts.select("g", "id", js_len(F.col("text")).alias("len"), F.array_distinct(lines(F.col("text"))).alias("lines"))
+    hashed = sets.select("g", "id", "len", F.size("lines").alias("n"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"))
+    each = hashed.select("g", "id", "len", "n", F.explode("hs").alias("h"))
     rarity = each.groupBy("h").agg(F.count("*").alias("df"))
-    placed = each.join(rarity, "h").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "h")))
-    prefix = placed.where(F.col("r") <= F.col("n") - F.floor(F.col("n") * least)).select("id", "len", "n", "h")
+    placed = each.join(rarity, "h").withColumn("r", F.row_number().over(W.partitionBy("g", "id").orderBy("df", "h")))
+    prefix = placed.where(F.col("r") <= F.col("n") - F.floor(F.col("n") * least)).select("g", "id", "len", "n", "h")
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("a.id") < F.col("b.id")) & (F.abs(F.col("a.len") - F.col("b.len")) <= F.greatest("a.len", "b.len") * 0.5)
     fits = fits & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least)
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    x, y = sets.select(F.col("id").alias("a"), F.col("lines").alias("la")), sets.select(F.col("id").alias("b"), F.col("lines").alias("lb"))
-    scored = pairs.join(x, "a").join(y, "b")
+    same = (F.col("a.h") == F.col("b.h")) & F.col("a.g").eqNullSafe(F.col("b.g"))
+    pairs = a.join(b, same & fits).select(F.col("a.g").alias("g"), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    one = sets.select(F.col("g").alias("ga"), F.col("id").alias("ia"), F.col("lines").alias("la"))
+    two = sets.select(F.col("g").alias("gb"), F.col("id").alias("ib"), F.col("lines").alias("lb"))
+    scored = pairs.join(one, F.col("g").eqNullSafe(F.col("ga")) & (F.col("a") == F.col("ia"))).join(two, F.col("g").eqNullSafe(F.col("gb")) & (F.col("b") == F.col("ib")))
     both = F.size(F.array_intersect("la", "lb"))
     scored = scored.withColumn("similarity", both / (F.size("la") + F.size("lb") - both))
-    return scored.where(F.col("similarity") > least).select("a", "b", "similarity")
+    return scored.where(F.col("similarity") > least).select("g", "a", "b", "similarity")
 
 
 def edit_script(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
@@ -136,19 +152,27 @@ def hunks(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([unified_hunks(a, b) if a is not None and b is not None else None for a, b in zip(old, new)])
 
 
+@F.pandas_udf(T.StringType())
+def restored(old: pd.Series, patch: pd.Series) -> pd.Series:
+    return pd.Series([apply_hunks(a, p) if a is not None and p is not None else None for a, p in zip(old, patch)])
+
+
 def first_base(df: DataFrame, group: str, order: str, text: str = "text") -> DataFrame:
-    """(order, base, similarity, patch) of rows that a diff replaces: the first earlier row of the group
-    over half but not wholly alike whose hunks are under half the text. Needs order unique in a group."""
-    rows = df.where(F.col(text).isNotNull())
-    pairs = similar_pairs(rows.select(F.struct(group, order).alias("k"), text), "k", text)
-    # Copies stand for each other only within one group: expand by text, then keep pairs of one group.
-    held = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("t"))
-    id_of = held.groupBy("t").agg(F.min(F.struct(F.col("g").alias(group), F.col("o").alias(order))).alias("k"))
-    named = held.join(id_of, "t")
-    both = pairs.select("a", "b", "similarity").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    one = named.select(F.col("k").alias("a"), F.col("g").alias("g1"), F.col("o").alias("base"), F.col("t").alias("old"))
-    two = named.select(F.col("k").alias("b"), F.col("g").alias("g2"), F.col("o").alias("ord"), F.col("t").alias("new")).where(js_len(F.col("new")) >= DIFF_LEAST)
-    found = both.join(one, "a").join(two, "b").where("g1 <=> g2 and base < ord")
-    tried = found.withColumn("patch", hunks("old", "new")).where(js_len(F.col("patch")) < DIFF_SHARE * js_len(F.col("new")))
-    best = tried.groupBy("g2", "ord").agg(F.min_by(F.struct("base", "similarity", "patch"), "base").alias("x"))
-    return best.select(F.col("g2").alias(group), F.col("ord").alias(order), "x.base", "x.similarity", "x.patch")
+    """(group, order, base, similarity, patch) of rows that a diff replaces: the first earlier row of the
+    group over half but not wholly alike whose hunks are under half the text. Needs order unique in a group.
+
+    Only texts of one group are paired, and each pair of distinct texts is diffed once: the base of a
+    row is the first row that has a text, and whether a text serves as base is the pair's matter alone.
+    """
+    texts = distinct_texts(df, order, text, group)
+    pairs = pairs_of(texts, LEAST_SIMILARITY)
+    both = pairs.select("g", "a", "b", "similarity").union(pairs.select("g", F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    old = texts.select(F.col("g").alias("ga"), F.col("id").alias("ia"), F.col("text").alias("old"))
+    new = texts.select(F.col("g").alias("gb"), F.col("id").alias("ib"), "last", "hash", F.col("text").alias("new")).where(js_len(F.col("new")) >= DIFF_LEAST)
+    tried = both.join(new, F.col("g").eqNullSafe(F.col("gb")) & (F.col("b") == F.col("ib"))).where("a < last")
+    tried = tried.join(old, F.col("g").eqNullSafe(F.col("ga")) & (F.col("a") == F.col("ia"))).withColumn("patch", hunks("old", "new"))
+    bases = tried.where(js_len(F.col("patch")) < DIFF_SHARE * js_len(F.col("new"))).select(F.col("g").alias("gb"), "hash", F.struct(F.col("a").alias("base"), "similarity", "patch").alias("x"))
+    bases = bases.groupBy("gb", "hash").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.sha2(F.col(text), 256).alias("h"))
+    found = rows.join(bases, F.col("g").eqNullSafe(F.col("gb")) & (F.col("h") == F.col("hash"))).withColumn("x", F.get("xs", 0)).where("x.base < o")
+    return found.select(F.col("g").alias(group), F.col("o").alias(order), "x.base", "x.similarity", "x.patch")

@@ -286,10 +286,27 @@ def line_jaccard_pairs(spark, sf_dir):
     return similarity.similar_pairs(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
-@query()
+_SAME = [f"line {k} of the listing stays the same in each of its revisions" for k in range(8)]
+
+
+@query(f"""WITH d AS (SELECT doc_id // 8 AS request, doc_id, min(doc_id) OVER (PARTITION BY doc_id // 8) AS base FROM documents)
+SELECT doc_id, base, 0.8 AS similarity, '@@ -1,2 +1,2 @@' || chr(10) || '-id ' || base || ' of the listing' || chr(10) || '+id ' || doc_id || ' of the listing' || chr(10) || ' {_SAME[0]}' AS patch FROM d WHERE doc_id > base""")
 def diff_first_base(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("all", F.lit(1)).select("all", "doc_id", "text")
-    return similarity.first_base(docs, "all", "doc_id").select("doc_id", "base", F.round("similarity", 6).alias("similarity"), F.length("patch").alias("patch_len"))
+    """Eight revisions a request, each of a document's number over lines that stay: all differ from the first."""
+    text = F.concat(F.lit("id "), F.col("doc_id"), F.lit(" of the listing\n" + "\n".join(_SAME)))
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("request"), "doc_id", text.alias("text"))
+    return similarity.first_base(rows, "request", "doc_id").select("doc_id", "base", F.round("similarity", 6).alias("similarity"), "patch")
+
+
+@query("""SELECT doc_id, sha256(text) AS sha FROM documents WHERE text IS NOT NULL""")
+def diff_round_trip(spark, sf_dir):
+    """Every document restored from its hunks to the one before it of its source."""
+    from pyspark.sql import Window as W
+
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", "text")
+    prior = F.coalesce(F.lag("text").over(W.partitionBy("source").orderBy("doc_id")), F.lit(""))
+    restored = similarity.restored("old", similarity.hunks("old", "text"))
+    return docs.withColumn("old", prior).select("doc_id", F.sha2(restored, 256).alias("sha"))
 
 
 @query("""SELECT event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 7200000000 THEN lag(props) OVER w END AS prior FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
