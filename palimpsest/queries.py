@@ -675,19 +675,18 @@ def ext_outer_anti(spark, sf_dir):
     return lone.unionByName(other.select(F.lit(-1).cast("long").alias("c_custkey"), F.lit("orders without customer").alias("c_name"), "orders"))
 
 
-@query()
-def stream_session_refs(spark, sf_dir):
-    """Graph references over a stream of the documents table, as one batch: time-outs keep an
-    available-now query at work for ever."""
-    import uuid
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern, so a file does as well as a folder
+
 
-    schema = table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern, so a file does as well as a folder
-    rows = docs.select(F.col("source").alias("session_key"), F.col("doc_id").alias("ord"), "text")
-    name = f"refs_{uuid.uuid4().hex}"
-    run = sessions.stream_graph_refs(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(once=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+@query("""WITH d AS (SELECT source AS session_key, doc_id AS ord, CASE WHEN length(text) >= 512 THEN substr(sha256(text), 1, 12) END AS sha FROM documents),
+f AS (SELECT session_key, sha, min(ord) AS first, row_number() OVER (PARTITION BY session_key ORDER BY min(ord)) AS ref_id FROM d WHERE sha IS NOT NULL GROUP BY session_key, sha)
+SELECT d.session_key, d.ord, d.sha, f.ref_id, coalesce(d.ord > f.first, FALSE) AS is_ref FROM d LEFT JOIN f USING (session_key, sha)""")
+def stream_session_refs(spark, sf_dir):
+    """Graph references over a stream of the documents table, as the batch operator gives them."""
+    rows = _stream(spark, sf_dir, "documents").select(F.col("source").alias("session_key"), F.col("doc_id").alias("ord"), "text")
+    return sessions.drained(sessions.stream_graph_refs(rows), "refs")
 
 
 @query("SELECT doc_id, strlen(text) AS n, sha256(text) AS sha FROM documents")
@@ -722,18 +721,14 @@ def rule_sections(spark, sf_dir):
     return docs.select("doc_id", plans.rule_section(F.col("d"), F.lit("be brief")).alias("d"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT (doc_id // 8)::VARCHAR AS session_key, doc_id AS ord, lag(doc_id) OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS before FROM documents)
+SELECT session_key, '/listing' AS path, ord, '[diff from prior read of /listing]:' || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || '-id ' || before || ' of the listing' || chr(10) || '+id ' || ord || ' of the listing' || chr(10) || ' {_SAME[0]}' AS compressed FROM d""")
 def stream_read_diffs(spark, sf_dir):
-    """Diffs to prior reads over a stream of the conversations table, a conversation's role being the path."""
-    import uuid
-
-    schema = table(spark, sf_dir, "conversations").schema
-    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque[t]")
-    rows = turns.select(F.col("conv_id").cast("string").alias("session_key"), F.col("role").alias("path"), F.col("turn").alias("ord"), "text")
-    name = f"diffs_{uuid.uuid4().hex}"
-    run = sessions.stream_read_diff(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(once=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    """Eight reads a session of one file, each with a document's number over lines that stay, as a stream."""
+    text = F.concat(F.lit("id "), F.col("doc_id"), F.lit(" of the listing\n" + "\n".join(_SAME)))
+    docs = _stream(spark, sf_dir, "documents")
+    rows = docs.select(F.floor(F.col("doc_id") / 8).cast("string").alias("session_key"), F.lit("/listing").alias("path"), F.col("doc_id").alias("ord"), text.alias("text"))
+    return sessions.drained(sessions.stream_read_diff(rows), "diffs")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,84 +1,148 @@
 """Session-scoped stages over streams: references to texts seen before, diffs to prior reads, totals.
 
 State lives with its session key and goes after two idle hours. Bounds on how many sessions a single
-process holds have no counterpart here: state is partitioned, and time alone ends it. Rows that come
-later than the watermark still find their session's state if it is there.
+process holds have no counterpart here: state is partitioned, and time alone ends it. What a session
+has seen is a map in the state store, of which a row touches its own entry only.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import js_len
 from ..operators.similarity import unified_hunks
+from ..workdir import new_path
 
 IDLE_MS = 7_200_000
 GRAPH_LEAST = 512
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_graph_refs(rows: DataFrame, least: int = GRAPH_LEAST, idle_ms: int = IDLE_MS) -> DataFrame:
-    """(session_key, ord, sha, ref_id, is_ref) of a stream of rows(session_key, ord, text)."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen = json.loads(state.get[0]) if state.exists else {}
-        every = pd.concat(list(batches)).sort_values("ord", kind="stable")
-        out = []
-        for ord_, text in zip(every["ord"], every["text"]):
-            if text is None or len(text.encode("utf-16-le")) // 2 < least:
-                out.append((key[0], ord_, None, None, False))
-                continue
-            sha = hashlib.sha256(text.encode()).hexdigest()[:12]
-            known = sha in seen
-            out.append((key[0], ord_, sha, seen.setdefault(sha, len(seen) + 1), known))
-        state.update((json.dumps(seen),))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["session_key", "ord", "sha", "ref_id", "is_ref"]).astype({"ref_id": "Int64"})
+class _Idle(StatefulProcessor):
+    """A processor whose state of a key ends with the last of its timers."""
 
-    schema = "session_key string, ord long, sha string, ref_id long, is_ref boolean"
-    return rows.select("session_key", "ord", "text").groupBy("session_key").applyInPandasWithState(run, schema, "seen string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    idle_ms = IDLE_MS
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
 
-def stream_read_diff(rows: DataFrame, idle_ms: int = IDLE_MS, share: float = 0.5) -> DataFrame:
-    """(session_key, path, ord, compressed) of a stream of rows(session_key, path, ord, text): hunks to
-    the session's last text of the same path where they are under half of the new one, else null."""
+    def touch(self, now: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(now + self.idle_ms)
+
+    def close(self) -> None:
+        pass
+
+
+class _References(_Idle):
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.seen = handle.getMapState("seen", "sha string", "ref_id long")
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        every = pd.concat(list(rows)).sort_values("ord", kind="stable")  # numbers and hashes, no texts
+        n = self.count.get()[0] if self.count.exists() else 0
         out = []
-        for ord_, text in pd.concat(list(batches)).sort_values("ord", kind="stable")[["ord", "text"]].itertuples(index=False):
-            patch = unified_hunks(last, text) if last is not None and text is not None and last != text else None
-            out.append((key[0], key[1], ord_, f"[diff from prior read of {key[1]}]:\n{patch}" if patch is not None and len(patch) < share * len(text) else None))
-            last = text if text is not None else last
+        for ord_, sha in zip(every["ord"], every["sha"]):
+            known = sha is not None and self.seen.containsKey((sha,))
+            ref = self.seen.getValue((sha,))[0] if known else None
+            if sha is not None and not known:
+                n += 1
+                ref = n
+                self.seen.updateValue((sha,), (n,))
+            out.append((key[0], ord_, sha, ref, known))
+        self.count.update((n,))
+        self.touch(timerValues.getCurrentProcessingTimeInMs())
+        yield pd.DataFrame(out, columns=["session_key", "ord", "sha", "ref_id", "is_ref"]).astype({"ref_id": "Int64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.seen.clear()
+        self.count.clear()
+        return iter([])
+
+
+class _Diffs(_Idle):
+    def __init__(self, idle_ms: int, share: float) -> None:
+        self.idle_ms, self.share = idle_ms, share
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "text string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get()[0] if self.last.exists() else None
+        for batch in rows:
+            out = []
+            for ord_, text in batch.sort_values("ord", kind="stable")[["ord", "text"]].itertuples(index=False):
+                patch = unified_hunks(last, text) if last is not None and text is not None and last != text else None
+                out.append((key[0], key[1], ord_, f"[diff from prior read of {key[1]}]:\n{patch}" if patch is not None and len(patch) < self.share * len(text) else None))
+                last = text if text is not None else last
+            yield pd.DataFrame(out, columns=["session_key", "path", "ord", "compressed"])
         if last is not None:
-            state.update((last,))
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["session_key", "path", "ord", "compressed"])
+            self.last.update((last,))
+        self.touch(timerValues.getCurrentProcessingTimeInMs())
 
-    schema = "session_key string, path string, ord long, compressed string"
-    keyed = rows.select("session_key", "path", "ord", "text").groupBy("session_key", "path")
-    return keyed.applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter([])
 
 
-def session_totals(events: DataFrame, key: str, time: str, value: str, idle: str = "2 hours") -> DataFrame:
+def stream_graph_refs(rows: DataFrame, least: int = GRAPH_LEAST, idle_ms: int = IDLE_MS) -> DataFrame:
+    """(session_key, ord, sha, ref_id, is_ref) of a stream of rows(session_key, ord, text): texts of
+    `least` or more units are numbered in their session as first seen, and repeats refer to that number.
+    Texts are hashed before the exchange, so neither it nor the state holds them."""
+    sha = F.when(js_len(F.col("text")) >= least, F.substring(F.sha2("text", 256), 1, 12))
+    keyed = rows.select(F.col("session_key").cast("string").alias("session_key"), F.col("ord").cast("long").alias("ord"), sha.alias("sha")).groupBy("session_key")
+    schema = "session_key string, ord long, sha string, ref_id long, is_ref boolean"
+    return keyed.transformWithStateInPandas(_References(idle_ms), schema, "append", "ProcessingTime")
+
+
+def stream_read_diff(rows: DataFrame, idle_ms: int = IDLE_MS, share: float = 0.5) -> DataFrame:
+    """(session_key, path, ord, compressed) of a stream of rows(session_key, path, ord, text): hunks to
+    the session's last text of the same path where they are under half of the new one, else null. Of
+    each key and trigger, rows are taken in order within an Arrow batch, one batch at a time."""
+    keyed = rows.select("session_key", "path", F.col("ord").cast("long").alias("ord"), "text").groupBy("session_key", "path")
+    return keyed.transformWithStateInPandas(_Diffs(idle_ms, share), "session_key string, path string, ord long, compressed string", "append", "ProcessingTime")
+
+
+def drained(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """All that a stream gives for what its source holds now, added to the table at path, or to a new
+    one; a table's state is kept beside it. Time-outs keep a
+    stateful query at work for ever, so it is stopped after two triggers without new rows; a
+    single one may be what an earlier run left unfinished."""
+    spark: SparkSession = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    path = path or new_path(spark, name)
+    run = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").start()
+    try:
+        while run.isActive and not (len(seen := run.recentProgress) > 1 and not seen[-1]["numInputRows"] and not seen[-2]["numInputRows"]):
+            time.sleep(0.2)
+        if failed := run.exception():
+            raise failed
+    finally:
+        run.stop()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def session_totals(events: DataFrame, key: str, at: str, value: str, idle: str = "2 hours") -> DataFrame:
     """Count and sum of each session window of a key, batch or stream, with a watermark of `idle`."""
-    marked = events.withWatermark(time, idle)
-    window = F.session_window(time, idle)
+    marked = events.withWatermark(at, idle)
+    window = F.session_window(at, idle)
     return marked.groupBy(key, window.alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
-def tumbling_totals(events: DataFrame, time: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+def tumbling_totals(events: DataFrame, at: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count and sum of each window of fixed width, batch or stream."""
-    marked = events.withWatermark(time, late)
-    return marked.groupBy(F.window(time, width).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+    marked = events.withWatermark(at, late)
+    return marked.groupBy(F.window(at, width).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")

@@ -5,6 +5,7 @@ import gzip
 import itertools
 import json
 import math
+import hashlib
 import random
 import zlib
 
@@ -94,6 +95,37 @@ def test_store(spark):
     assert crossrow.store_evict(entries.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 3, 500])
+def test_eviction_of_a_bulk_load(spark, times):
+    """Few access times, as after a load: the hash decides within one."""
+    rows = [(hashlib.sha256(str(i).encode()).hexdigest(), 10 + i % 7, (i * 7919) % times) for i in range(500)]
+    entries = spark.createDataFrame(rows, "hash string, bytes long, last_access long")
+    for budget in (0, 9, 1000, 3500, 10**6):
+        used, want = 0, {}
+        for h, n, t in sorted(rows, key=lambda r: (-r[2], r[0])):
+            used += n
+            want[h] = used <= budget
+        assert {r.hash: r.kept for r in crossrow.store_evict(entries, budget, buckets=4).collect()} == want
+
+
+def test_store_lookup(spark):
+    entries = spark.createDataFrame([("h1", "one", 3, 10), ("h2", "two", 3, 20)], "hash string, text string, bytes long, last_access long")
+    found, touched = crossrow.store_lookup(entries, spark.createDataFrame([("h1", 15), ("h1", 30), ("h2", 5), ("h3", 9)], "hash string, at long"), "at")
+    assert {(r.hash, r.at): r.text for r in found.collect()} == {("h1", 15): "one", ("h1", 30): "one", ("h2", 5): "two", ("h3", 9): None}
+    assert {r.hash: r.last_access for r in touched.collect()} == {"h1": 30, "h2": 20}
+
+
+def test_similarity_stays_in_its_group(spark):
+    """Alike texts of other groups are no pairs, a null group is one of its own, and copies are diffed once."""
+    same = "\n".join(f"a line of some words number {k}" for k in range(12))
+    rows = [(g, k, f"head {g} {k % 3}\n{same}") for g in ("x", "y", None) for k in range(6)]
+    df = spark.createDataFrame(rows, "g string, k long, text string")
+    pairs = similarity.similar_pairs(df, "k", group="g").collect()
+    assert sorted((str(r.g), r.a, r.b) for r in pairs) == sorted((str(g), a, b) for g in ("x", "y", None) for a, b in ((0, 1), (0, 2), (1, 2)))
+    base = {(r.g, r.k): r.base for r in similarity.first_base(df, "g", "k").collect()}
+    assert base == {(g, k): (0 if k % 3 else 1) for g in ("x", "y", None) for k in range(6) if k not in (0,)}
+
+
 def test_prior_and_sessions(spark):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     df = spark.createDataFrame([("k", at(0), 1, "a"), ("k", at(7200), 2, "b"), ("k", at(14401), 3, "c")], "k string, ts timestamp, id int, text string")
@@ -298,9 +330,8 @@ def run_stream(spark, build, rows, schema, tmp_path, name):
         source = spark.readStream.schema(schema).parquet(str(tmp_path / "all"))
         for f in (tmp_path / f"in{k}").glob("*.parquet"):
             f.rename(tmp_path / "all" / f"{k}-{f.name}")
-        run = build(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / name)).trigger(once=True).start()
-        run.awaitTermination()
-    return spark.read.parquet(str(tmp_path / name)).collect()
+        out = sessions.drained(build(source), name, str(tmp_path / name))
+    return out.collect()
 
 
 def test_stream_refs_survive_restart(spark, tmp_path):
@@ -309,6 +340,14 @@ def test_stream_refs_survive_restart(spark, tmp_path):
     assert got == {1: (1, False), 2: (2, False), 3: (1, False), 4: (1, True), 5: (None, False), 6: (3, False)}
 
 
+def test_idle_sessions_end(spark, tmp_path):
+    """State goes once a session has been idle: a text seen before is new again."""
+    rows = [[("s", 1, "a" * 600)], [("s", 2, "a" * 600)]]
+    build = lambda source: sessions.stream_graph_refs(source, idle_ms=1)
+    got = {r.ord: (r.ref_id, r.is_ref) for r in run_stream(spark, build, rows, "session_key string, ord long, text string", tmp_path, "idle")}
+    assert got == {1: (1, False), 2: (1, False)}
+
+
 def test_stream_read_diff(spark, tmp_path):
     old = "\n".join(f"line {i} of the file" for i in range(30))
     new = old.replace("line 7 of", "line seven of")
