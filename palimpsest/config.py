@@ -21,6 +21,19 @@ _STEPS = (
     ("textpress", "br-cache"), ("disclosure", "bm25-trim"), ("graph", "foundation-models"),
 )
 LEVELS = {n: tuple(s for step in _STEPS[:n] for s in step) for n in range(1, 10)}
+# The configurations of a sweep besides the presets, a baseline, stages left out of the
+# aggressive preset one at a time, and a ladder of its own.
+SWEEP_BASELINE = ("minify", "toon", "strip-lines", "whitespace", "llmlingua", "dedup", "diff", "prune")
+SWEEP_LEFT_OUT = ("cmd-strip", "read-diff", "br-cache", "disclosure", "bm25-trim")
+_RUNGS = (
+    ("minify",), ("whitespace", "strip-lines"), ("cmd-strip",), ("dedup", "diff"), ("read-diff", "prune", "toon"), ("llmlingua",), ("graph", "br-cache"),
+    ("strip-comments", "textpress"), ("foundation-models", "disclosure", "bm25-trim"),
+)
+SWEEP = (
+    {f"preset:{name}": (None, stages) for name, (stages, level) in PRESETS.items() if level} | {"baseline": (None, SWEEP_BASELINE)}
+    | {f"without:{drop}": (None, tuple(s for s in _AGGRESSIVE if s != drop)) for drop in SWEEP_LEFT_OUT}
+    | {f"L{n}": (n, tuple(s for rung in _RUNGS[:n] for s in rung)) for n in range(1, 10)}
+)
 ALIASES = {"conservative": 4, "balanced": 5, "aggressive": 8, "max": 9}
 DEFAULT_LEVEL = 5
 OUTPUT_MODES = ("conservative", "balanced", "aggressive")

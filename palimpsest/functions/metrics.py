@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import let
+
 # What counts as an entity of each kind, and as a verb of action.
 ENTITIES = {
     "names": "[A-Z][a-z]+(?: [A-Z][a-z]+)+", "numbers": "[0-9]+(?:\\.[0-9]+)?%?", "paths": "/[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+",
@@ -20,10 +22,14 @@ def words(c: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Distinct n-grams of an array of tokens."""
-    count = F.size(tokens) - n + 1
-    some = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(count >= 1, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+    """Distinct n-grams of an array of tokens, which is worked out once."""
+
+    def of(t: Column) -> Column:
+        count = F.size(t) - n + 1
+        some = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(count >= 1, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, of)
 
 
 def overlap(original: Column, kept: Column, n: int = 1) -> tuple[Column, Column, Column]:
@@ -36,9 +42,15 @@ def overlap(original: Column, kept: Column, n: int = 1) -> tuple[Column, Column,
 
 
 def char_trigrams(c: Column) -> Column:
-    count = F.length(c) - 2
-    some = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    return F.when(count >= 1, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of three characters, by places in an array of them: a place in a string is a walk."""
+
+    def of(t: Column) -> Column:
+        at = lambda i, k: F.element_at(t, i + k)
+        count = F.size(t) - 2
+        some = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.concat(at(i, 0), at(i, 1), at(i, 2)))
+        return F.when(count >= 1, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), of)
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import token_estimate
+
 T_95 = 2.776  # two-sided 95 % quantile of Student's t with four degrees of freedom, for five runs
 REQUESTS, COMPRESSIBLE = 200, 0.6
 
@@ -62,15 +67,37 @@ def weighted_savings(arms: DataFrame, control: str = "control", treated: str = "
     )
 
 
-def sweep(measured: DataFrame, configs: DataFrame) -> DataFrame:
-    """(config, level, original, saved, percent) of configs(config, level, stages) over
-    measured(stage, saved, original), what each stage saves on its own: a configuration saves what its
-    stages do. Both sides are aggregated before they meet, by stage."""
-    by_stage = measured.groupBy("stage").agg(F.sum("saved").alias("s"))
-    total = measured.select("item", "original").distinct().agg(F.sum("original").alias("original"))
-    each = configs.select("config", "level", F.explode_outer("stages").alias("stage")).join(by_stage, "stage", "left")
-    sums = each.groupBy("config", "level").agg(F.coalesce(F.sum("s"), F.lit(0)).alias("saved"))
-    return sums.join(F.broadcast(total)).withColumn("percent", F.round(100.0 * F.col("saved") / F.col("original"), 6))  # one row of totals
+def sweep(scenarios: DataFrame, configs: dict[str, tuple[int | None, tuple[str, ...]]], rewrite: Callable[[DataFrame, tuple[str, ...]], DataFrame], counts: tuple[str, ...]) -> DataFrame:
+    """(config, level, original, compressed, percent, token_percent): what each configuration of name ->
+    (level, stages) makes of scenarios(text), by rewriting them: rewrite(scenarios, stages) adds
+    compressed, null where a text stays. counts names the stages that rewrite looks at; configurations
+    alike in these are rewritten once."""
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for name, (_, stages) in configs.items():
+        alike.setdefault(tuple(s for s in counts if s in stages), []).append(name)
+    frames = []
+    for stages, names in alike.items():
+        kept = F.coalesce("compressed", "text")
+        done = rewrite(scenarios, stages).select(
+            F.octet_length("text").alias("a"), F.octet_length(kept).alias("b"), token_estimate(F.col("text")).alias("c"), token_estimate(kept).alias("d")
+        )
+        sums = done.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "abcd"])
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("config"), F.lit(configs[n][0]).cast("int").alias("level")) for n in names])).alias("x")
+        frames.append(sums.select(each, *"abcd"))
+    share = lambda before, after: F.round(100.0 * F.coalesce(F.try_divide(F.col(before) - F.col(after), F.col(before)), F.lit(0.0)), 6)
+    return reduce(DataFrame.unionByName, frames).select("x.config", "x.level", F.col("a").alias("original"), F.col("b").alias("compressed"), share("a", "b").alias("percent"), share("c", "d").alias("token_percent"))
+
+
+def survival(trimmed: DataFrame, kept: str, gold: str, definitions: str) -> DataFrame:
+    """trimmed with recall and definition_recall, the shares of gold and defining lines (arrays of texts)
+    that the kept text still has, and no_trim. Where nothing was trimmed there is nothing to find: both
+    are 0. No gold lines are all found."""
+
+    def share(lines: str) -> Column:
+        found = F.size(F.filter(lines, lambda x: F.contains(F.col(kept), F.trim(x))))
+        return F.when(F.col(kept).isNull(), 0.0).otherwise(F.coalesce(F.try_divide(found, F.size(lines)), F.lit(1.0)))
+
+    return trimmed.withColumn("recall", share(gold)).withColumn("definition_recall", share(definitions)).withColumn("no_trim", F.col(kept).isNull())
 
 
 def monotonic(levels: DataFrame, level: str = "level", value: str = "percent", slack: float = 0.01) -> DataFrame:
@@ -97,6 +124,13 @@ def majority(votes: DataFrame, group: list[str], passed: str = "passed", need: i
     return votes.groupBy(*group).agg(F.count_if(passed).alias("yes")).withColumn("agreed", F.col("yes") >= need)
 
 
+def gated(runs: DataFrame, lost: int = 1) -> DataFrame:
+    """runs(control, treated, savings) with gate and score: savings count where at most `lost` fewer
+    answers pass with the treatment, and 0 otherwise."""
+    gate = F.col("treated") >= F.col("control") - lost
+    return runs.withColumn("gate", gate).withColumn("score", F.when(gate, F.round("savings", 2)).otherwise(0.0))
+
+
 def file_totals(files: DataFrame) -> DataFrame:
     """Totals over files(original, compressed, error): a file not compressed keeps its size."""
     kept = F.sum(F.coalesce("compressed", "original"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import config as cfg
 from . import fixtures as fx
 from . import queries_requests  # noqa: F401  registers its queries
+from .queries_requests import quoted as requests_json
 from .catalogue import ORACLE_SQL, QUERIES, query, spread, strict, table
 from .functions import classify, commands, json_text, metrics, redact, rewrite
 from .functions.text import count_label, js_len, size_label, token_estimate
@@ -100,16 +101,18 @@ def task_type(spark, sf_dir):
 
 
 @query("""SELECT page_id, CASE WHEN contains(url, '?') THEN split_part(url, '?', 1) || '?' || list_aggregate(list_transform(string_split(substr(url, instr(url, '?') + 1), '&'),
-  lambda p: CASE WHEN contains(p, '=') AND regexp_matches(split_part(p, '=', 1), '(?i)key|token|secret|password|passwd|sig|auth|session|credential|ref') AND NOT split_part(p, '=', 1) = 'ref' THEN split_part(p, '=', 1) || '=REDACTED' ELSE p END), 'string_agg', '&')
+  lambda p: CASE WHEN contains(p, '=') AND regexp_matches(split_part(p, '=', 1), '(?i)key|token|secret|password|passwd|sig|auth|session|credential') THEN split_part(p, '=', 1) || '=REDACTED' ELSE p END), 'string_agg', '&')
   ELSE url END AS url FROM (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&api_key=1&Token' ELSE '' END AS url FROM pages)""")
 def url_redact(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.when(F.col("url").contains("?"), "&api_key=1&Token").otherwise("")).alias("url"))
     return pages.select("page_id", classify.redact_url(F.col("url")).alias("url"))
 
 
-@query(f"SELECT method || url AS request, CASE WHEN contains(lower(url), 'claude.md') THEN 'rules' WHEN ends_with(lower(url), '.md') THEN 'markdown' WHEN ends_with(lower(url), '.json') THEN 'json' ELSE 'text' END AS strategy FROM {fx.values([*fx.URLS, ('', 'a/CLAUDE.md'), ('', 'b.MD'), ('', 'c.json')], 'method, url')}")
+@query(f"SELECT method || url AS request, CASE WHEN contains(lower(url), 'claude.md') THEN 'rules' WHEN ends_with(lower(url), '.md') THEN 'markdown' WHEN ends_with(lower(url), '.json') THEN 'json' ELSE 'text' END AS strategy FROM (SELECT * FROM {fx.values([*fx.URLS, ('', 'a/CLAUDE.md'), ('', 'b.MD'), ('', 'c.json')], 'method, url')} UNION ALL SELECT page_id::VARCHAR, url || ['/CLAUDE.md', '.md', '.JSON', '.txt'][(page_id % 4 + 1)::INT] FROM pages)")
 def file_strategy(spark, sf_dir):
-    rows = fx.frame(spark, [*fx.URLS, ("", "a/CLAUDE.md"), ("", "b.MD"), ("", "c.json")], "method string, url string")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("/CLAUDE.md", ".md", ".JSON", ".txt")]), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("method"), F.concat("url", suffix).alias("url"))
+    rows = fx.frame(spark, [*fx.URLS, ("", "a/CLAUDE.md"), ("", "b.MD"), ("", "c.json")], "method string, url string").unionByName(pages)
     return rows.select(F.concat("method", "url").alias("request"), classify.file_strategy(F.col("url")).alias("strategy"))
 
 
@@ -122,6 +125,16 @@ def size_labels(spark, sf_dir):
 
 # Rewrites of single texts
 
+#: Documents without quotes, comment marks and brackets, a line each at least; scenarios put their own around them.
+_PLAIN_SQL = "regexp_replace(translate(text, '\"''`#/\\*<>{}[]' || chr(13), ''), '\\n+', chr(10), 'g')"
+_REMARK = " " * 40 + "// a remark on the line" + " " * 20
+
+
+def _plain(spark, sf_dir):
+    text = F.regexp_replace(F.translate("text", "\"'`#/\\*<>{}[]\r", ""), "\n+", "\n")
+    return spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.alias("text")))
+
+
 _RULES_SQL = [(label, pattern) for label, pattern in (
     ("aws-access-key", "\\b(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[0-9A-Z]{16}\\b"), ("github-token", "\\bgh[pousr]_[A-Za-z0-9]{36,}\\b"), ("github-pat", "\\bgithub_pat_[A-Za-z0-9_]{60,}\\b"),
     ("anthropic-key", "\\bsk-ant-[A-Za-z0-9_-]{20,}\\b"), ("openai-key", "\\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}\\b"), ("google-api-key", "\\bAIza[0-9A-Za-z_-]{35}\\b"), ("slack-token", "\\bxox[baprs]-[A-Za-z0-9-]{10,}\\b"),
@@ -160,9 +173,14 @@ _STRIP_SQL = """CASE WHEN len(nums) >= 2 AND len(list_filter(range(2, len(nums)
 
 
 @query(f"""SELECT id, {_STRIP_SQL} AS text FROM (SELECT id, body, ls, list_transform(list_filter(ls[1:5], lambda l: regexp_matches(l, '^ +\\d+[\t→]')), lambda l: regexp_extract(l, '(\\d+)', 1)::BIGINT) AS nums
-FROM (SELECT id, body, string_split(body, chr(10)) AS ls FROM {fx.values(fx.NUMBERED, 'id, body')}))""")
+FROM (SELECT id, body, string_split(body, chr(10)) AS ls FROM (SELECT * FROM {fx.values(fx.NUMBERED, 'id, body')} UNION ALL
+SELECT 1000000 + doc_id, list_aggregate(list_transform(string_split(text, chr(10)), lambda l, i: lpad(i::VARCHAR, 6, ' ') || chr(9) || l), 'string_agg', chr(10)) FROM documents WHERE text IS NOT NULL)))""")
 def strip_line_numbers(spark, sf_dir):
-    return fx.frame(spark, fx.NUMBERED, "id long, body string").select("id", rewrite.strip_line_numbers(F.col("body")).alias("text"))
+    """Listings of all kinds, and every document with numbered lines."""
+    numbered = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.lpad((i + 1).cast("string"), 6, " "), F.lit("\t"), x)), "\n")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select((F.col("doc_id") + 1000000).alias("id"), numbered.alias("body"))
+    rows = fx.frame(spark, fx.NUMBERED, "id long, body string").unionByName(docs)
+    return rows.select("id", rewrite.strip_line_numbers(F.col("body")).alias("text"))
 
 
 _SPACE_SQL = "regexp_replace(list_aggregate(list_transform(string_split({0}, chr(10)), lambda l: rtrim(l, ' ' || chr(9))), 'string_agg', chr(10)), '\n{{3,}}', '\n\n', 'g')"
@@ -179,14 +197,19 @@ def strip_html_comments(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", rewrite.strip_markup_comments(F.col("html")).alias("html"))
 
 
-@query()
+@query(f"""SELECT * FROM (VALUES (0, ''), (1, 'function parseToken(input) {{'), (2, '  const value = input.trim()'), (3, '  return value'), (4, '}}'), (5, ''), (6, 'export class TokenStore {{'), (7, '  read() {{ return this.token }}'), (8, '}}'), (9, ''), (10, 'let other = 1'), (11, 'token')) AS t(id, line)
+UNION ALL SELECT 1000000 + doc_id, list_aggregate(list_transform(string_split(text, chr(10)), lambda l: rtrim(l)), 'string_agg', chr(10)) FROM (SELECT doc_id, {_PLAIN_SQL} AS text FROM documents WHERE text IS NOT NULL)""")
 def strip_code_comments(spark, sf_dir):
-    return fx.frame(spark, fx.CODE, "id long, line string").select("id", rewrite.strip_comments(F.col("line")).alias("line"))
+    """A short program, and every document with a remark behind each line, a block before it and markup behind it."""
+    noisy = F.concat(F.lit("/* a block\nof two lines */"), F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(x, F.lit("  # a 'quoted' remark"))), "\n"), F.lit("<!-- note\nmore -->"))
+    rows = fx.frame(spark, fx.CODE, "id long, line string").unionByName(_plain(spark, sf_dir).select((F.col("doc_id") + 1000000).alias("id"), noisy.alias("line")))
+    return rows.select("id", rewrite.strip_comments(F.col("line")).alias("line"))
 
 
-@query(f"SELECT id, length(s) < 0.9 * length(body) AS accepted, length(s)::INT AS n FROM (SELECT id, body, {_SPACE_SQL.format('body')} AS s FROM {fx.values(fx.SPACED, 'id, body')})")
+@query(f"SELECT id, length(s) < 0.9 * length(body) AS accepted, length(s)::INT AS n FROM (SELECT id, body, {_SPACE_SQL.format('body')} AS s FROM (SELECT * FROM {fx.values(fx.SPACED, 'id, body')} UNION ALL SELECT 1000000 + doc_id, text || repeat(' ', (doc_id % 300)::INT) FROM documents))")
 def normalize_accept(spark, sf_dir):
-    rows = fx.frame(spark, fx.SPACED, "id long, body string").withColumn("s", rewrite.normalize_whitespace(F.col("body")))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000000).alias("id"), F.concat("text", F.repeat(F.lit(" "), (F.col("doc_id") % 300).cast("int"))).alias("body"))
+    rows = fx.frame(spark, fx.SPACED, "id long, body string").unionByName(docs).withColumn("s", rewrite.normalize_whitespace(F.col("body")))
     return rows.select("id", rewrite.accepted(F.col("body"), F.col("s")).alias("accepted"), js_len(F.col("s")).alias("n"))
 
 
@@ -205,14 +228,25 @@ def json_minify(spark, sf_dir):
     return rows.select("id", json_text.minify("body").alias("text"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES (1, '{"b":1,"a":[1,2.5,true,null]}'), (2, '[1,2]'), (3, NULL), (4, NULL), (5, NULL), (6, '{"s":"é\\nA"}'), (7, '{"name":"left-pad","integrity":"high"}'),
+(8, '[{"id":1,"name":"ann"},{"id":2,"name":"bob"},{"id":3,"name":"cy d"}]'), (9, '{"_id":"507f1f77","shasum":"no"}'), (10, NULL)) AS t(id, text) UNION ALL
+SELECT 1000000 + doc_id, CASE WHEN length(short) < 0.95 * length(raw) THEN short END FROM (SELECT doc_id, '{"name":' || to_json(source) || ',"n":' || doc_id || '}' AS short,
+'{"name":' || to_json(source) || ',"_id":"left-pad@1.3.0","n":' || doc_id || ',"_resolved":"https://registry.example/' || doc_id || '"}' AS raw FROM documents)""")
 def json_prune(spark, sf_dir):
-    return fx.frame(spark, fx.JSON_TEXTS, "id long, body string").select("id", json_text.prune("body").alias("text"))
+    """Texts of all kinds, and metadata of a package for every document."""
+    packed = F.concat(F.lit('{"name":"'), F.col("source"), F.lit('","_id":"left-pad@1.3.0","n":'), F.col("doc_id"), F.lit(',"_resolved":"https://registry.example/'), F.col("doc_id"), F.lit('"}'))
+    rows = fx.frame(spark, fx.JSON_TEXTS, "id long, body string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000000).alias("id"), packed.alias("body")))
+    return rows.select("id", json_text.prune("body").alias("text"))
 
 
-@query()
+@query("""SELECT 8 AS id, '[3]{id,name}:' || chr(10) || '1,ann' || chr(10) || '2,bob' || chr(10) || '3,cy d' AS text UNION ALL
+SELECT 1000000 + doc_id, '[2]{id,lang}:' || chr(10) || doc_id || ',' || lang || chr(10) || (doc_id + 1) || ',"true"' FROM documents WHERE lang IS NOT NULL""")
 def columnar_encode(spark, sf_dir):
-    return fx.frame(spark, fx.JSON_TEXTS, "id long, body string").select("id", json_text.encode_table("body").alias("text"))
+    """An array of objects alike, by itself and for every document; a value that looks like a keyword is quoted."""
+    pair = F.concat(F.lit('[{"id":'), F.col("doc_id"), F.lit(',"lang":"'), F.col("lang"), F.lit('"},{"id":'), F.col("doc_id") + 1, F.lit(',"lang":"true"}]'))
+    some = fx.frame(spark, [r for r in fx.JSON_TEXTS if r[0] == 8], "id long, body string")
+    rows = some.unionByName(table(spark, sf_dir, "documents").where("lang is not null").select((F.col("doc_id") + 1000000).alias("id"), pair.alias("body")))
+    return rows.select("id", json_text.encode_table("body").alias("text"))
 
 
 # Command output
@@ -241,12 +275,14 @@ def _cmd_sql(name: str) -> str:
     joined = "list_aggregate(list_filter(f, lambda l, i: NOT (trim(l) = '' AND i > 1 AND trim(coalesce(f[i - 1], 'x')) = '')), 'string_agg', chr(10))"
     if name == "jest":
         joined = f"CASE WHEN NOT regexp_matches(body, '{_sql_pattern(commands.JEST_FAILED)}') AND regexp_matches(body, '{_sql_pattern(commands.JEST_PASSED)}') THEN {joined} ELSE body END"
-    return f"SELECT id, coalesce({joined}, '') AS text FROM (SELECT id, body, list_filter(string_split(body, chr(10)), lambda l: NOT ({cond})) AS f FROM {fx.values(fx.COMMANDS, 'id, body')})"
+    return f"SELECT id, coalesce({joined}, '') AS text FROM (SELECT id, body, list_filter(string_split(body, chr(10)), lambda l: NOT ({cond})) AS f FROM (SELECT * FROM {fx.values(fx.COMMANDS, 'id, body')} UNION ALL SELECT 1000000 + doc_id, text FROM documents WHERE text IS NOT NULL))"
 
 
 def _command_query(name: str) -> None:
     def run(spark, sf_dir):
-        return fx.frame(spark, fx.COMMANDS, "id long, body string").select("id", commands.strip_dialect(F.col("body"), name).alias("text"))
+        docs = table(spark, sf_dir, "documents").where("text is not null").select((F.col("doc_id") + 1000000).alias("id"), F.col("text").alias("body"))
+        rows = fx.frame(spark, fx.COMMANDS, "id long, body string").unionByName(docs)
+        return rows.select("id", commands.strip_dialect(F.col("body"), name).alias("text"))
 
     run.__name__ = f"cmdstrip_{name}"
     query(_cmd_sql(name))(run)
@@ -256,10 +292,21 @@ for _name in commands.DROPPED:
     _command_query(_name)
 
 
-@query()
+_COLLAPSED = "list_aggregate(list_filter(f, lambda l, i: NOT (trim(l) = '' AND i > 1 AND trim(coalesce(f[i - 1], 'x')) = '')), 'string_agg', chr(10))"
+
+
+@query(f"""WITH g(id, dialect, text) AS (VALUES (9, 'npm', 'npm install' || chr(10) || 'added 3 packages' || chr(10) || chr(10) || 'npm ERR! broken'),
+(10, 'pip', 'Collecting Requests' || chr(10) || 'Successfully installed requests' || chr(10) || 'ERROR: no match'),
+(11, 'git', 'Cloning into ''x''...' || chr(10) || 'remote: Counting objects: 99%' || chr(10) || 'Receiving objects: 100%' || chr(10) || 'fatal: not found'),
+(12, 'wget-curl', '100  100 100 100 0 0 10 0 --:--' || chr(10) || 'curl: (22) error')),
+d AS (SELECT doc_id, string_split({_PLAIN_SQL}, chr(10)) AS f FROM documents WHERE text IS NOT NULL)
+SELECT id, dialect, g.text, (strlen(body) - strlen(g.text))::BIGINT AS saved FROM g JOIN {fx.values(fx.COMMANDS, 'id, body')} USING (id)
+UNION ALL SELECT 1000000 + doc_id, 'pip', 'Collecting Requests' || chr(10) || {_COLLAPSED} || chr(10) || 'Collecting idna' || chr(10) || 'ERROR: no match', 20 + 33 + 30 FROM d""")
 def cmdstrip_stateful(spark, sf_dir):
-    """npm, pip, git and wget-curl."""
-    rows = fx.frame(spark, fx.COMMANDS, "id long, body string").withColumn("dialect", commands.dialect(F.col("body"))).where(F.col("dialect").isin(*commands.STATEFUL))
+    """npm, pip, git and wget-curl; and every document as what an installer says between its progress."""
+    noisy = F.concat(F.lit("Collecting Requests\n"), F.col("text"), F.lit("\nCollecting requests\n  Downloading idna-3.whl (62 kB)\n████████ 100%\nCollecting idna\nERROR: no match"))
+    rows = fx.frame(spark, [r for r in fx.COMMANDS if 9 <= r[0] <= 12], "id long, body string").unionByName(_plain(spark, sf_dir).select((F.col("doc_id") + 1000000).alias("id"), noisy.alias("body")))
+    rows = rows.withColumn("dialect", F.when(F.col("id") < 1000000, commands.dialect(F.col("body"))).otherwise("pip"))
     rows = rows.withColumn("text", commands.strip_command(F.col("body"), F.col("dialect")))
     return rows.select("id", "dialect", "text", commands.saved_bytes(F.col("body"), F.col("text")).alias("saved"))
 
@@ -426,36 +473,61 @@ def recall_budget(spark, sf_dir):
     return found.select("item_id", F.round("recall", 6).alias("recall"))
 
 
-@query()
+_ASK = "where is parseToken and the token store of them"
+_DEFINES_SQL = "(?:^|[^A-Za-z0-9_])(?:export\\s+(?:default\\s+)?)?(?:async\\s+)?(?:function|class|def|const|let|var|type|interface|enum|struct|impl|trait|fn|func|module|namespace)\\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+
+
+@query(f"""WITH d AS (SELECT 'code' AS target, id AS line, body AS text FROM {fx.values(fx.CODE, 'id, body')} UNION ALL SELECT source, doc_id, text FROM documents), t AS (SELECT *, {_tokens_sql('text')} AS toks FROM d),
+z AS (SELECT target, count(*) AS n, avg(len(toks)) AS avgdl FROM t GROUP BY target), q AS (SELECT unnest(list_distinct({_tokens_sql(f"'{_ASK}'")})) AS term), e AS (SELECT target, line, len(toks) AS dl, unnest(toks) AS term FROM t),
+f AS (SELECT target, line, dl, term, count(*) AS f FROM e WHERE term IN (SELECT term FROM q) GROUP BY ALL), g AS (SELECT target, term, count(*) AS df FROM f GROUP BY ALL),
+s AS (SELECT target, line, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (f * 2.5 / (f + 1.5 * (0.25 + 0.75 * (dl / avgdl))))) AS score FROM f JOIN g USING (target, term) JOIN z USING (target) GROUP BY target, line),
+w AS (SELECT target, line, text, coalesce(score, 0.0) AS score, regexp_extract(text, '{_DEFINES_SQL}', 1) AS name FROM d LEFT JOIN s USING (target, line)),
+m AS (SELECT *, score * CASE WHEN name <> '' AND len(list_intersect({_tokens_sql('name')}, (SELECT list(term) FROM q))) > 0 THEN 1.6 ELSE 1.0 END * CASE WHEN regexp_matches(text, '^\\s*(?://|#|\\*|/\\*|--|<!--|;)') THEN 0.6 ELSE 1.0 END AS own FROM w)
+SELECT target, line, round(score, 6) AS score, round(own + 0.25 * greatest(coalesce(lag(own) OVER o, 0.0), coalesce(lead(own) OVER o, 0.0)), 6) AS reranked FROM m WINDOW o AS (PARTITION BY target ORDER BY line)""")
 def bm25_rerank(spark, sf_dir):
-    lines = fx.frame(spark, fx.CODE, "line long, text string").withColumn("target", F.lit(1))
-    ask = fx.frame(spark, [(1, "where is parseToken and the token store")], "qid int, q string")
+    """A short program, and the documents of each source, as lines for one question."""
+    code = fx.frame(spark, fx.CODE, "line long, text string").withColumn("target", F.lit("code"))
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), "text", F.col("source").alias("target")))
+    lines = code.unionByName(docs)
+    ask = fx.frame(spark, [(1, _ASK)], "qid int, q string")
     scored = ranking.bm25(lines, ask, "target", "line", "text", "qid", "q").select("target", "line", "score")
     whole = lines.join(scored, ["target", "line"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    done = ranking.rerank(whole, "target", "line", "text", "score", ranking.tokens(F.lit("where is parseToken and the token store")))
-    return done.select("line", F.round("score", 6).alias("score"), F.round("reranked", 6).alias("reranked"))
+    done = ranking.rerank(whole, "target", "line", "text", "score", ranking.tokens(F.lit(_ASK)))
+    return done.select("target", "line", F.round("score", 6).alias("score"), F.round("reranked", 6).alias("reranked"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT doc_id, {TOKENS.format('text')} AS tokens, len(string_split(text, chr(10)))::INT AS n FROM documents WHERE strlen(text) >= 4096)
+SELECT doc_id, tokens, n AS lines, tokens > 512 AND n >= 10 AS may, TRUE AS fits, TRUE AS in_order FROM b""")
 def trim_budget(spark, sf_dir):
-    """Documents of 4 KiB and more, trimmed to 512 tokens for the first benchmark item's words."""
-    ask = table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("q"))
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.octet_length("text") >= 4096).join(F.broadcast(ask))
-    cut = trim.trim_udf(512)("text", "q", F.lit(None).cast("string"))
-    return docs.withColumn("cut", cut).select("doc_id", "cut.kept_lines", "cut.dropped_lines", "cut.tokens", "cut.trimmed_tokens", F.sha2("cut.trimmed", 256).alias("sha"))
-
-
-@query()
+    """Documents of 4 KiB and more, trimmed to 512 tokens for a benchmark item's words each: what is kept
+    and dropped adds up, fits the budget but for its markers, and keeps first line, last line and order."""
+    asks = table(spark, sf_dir, "benchmark").agg(F.array_sort(F.collect_list("text")).alias("asks"))  # a benchmark's items, bounded
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").where(F.octet_length("text") >= 4096)).join(F.broadcast(asks))
+    docs = docs.withColumn("q", F.element_at("asks", (F.col("doc_id") % F.size("asks") + 1).cast("int"))).drop("asks")
+    cut = docs.withColumn("cut", trim.trim_udf(512)("text", "q", F.lit(None).cast("string")))
+    n = F.size(F.split("text", "\n", -1))
+    may, trimmed = (token_estimate(F.col("text")) > 512) & (n >= 10), F.col("cut.trimmed")
+    parts = F.split(trimmed, "\n", -1)
+    # First and last lines stay even where they alone are over the budget.
+    fits = trimmed.isNull() | ((F.col("cut.kept_lines") + F.col("cut.dropped_lines") == n) & ((F.col("cut.used") <= 512) | (F.col("cut.kept_lines") <= 3)))
+    ends = trimmed.isNull() | ((F.get(parts, 0) == F.get(F.split("text", "\n", -1), 0)) & (F.element_at(parts, -1) == F.element_at(F.split("text", "\n", -1), -1)))
+    return cut.select("doc_id", token_estimate(F.col("text")).alias("tokens"), n.alias("lines"), may.alias("may"), (fits & (may | trimmed.isNull())).alias("fits"), ends.alias("in_order"))
+
+
+@query("""WITH g(id, parents) AS (VALUES (1, [-1, -1, 1, 1, -1, -1, -1, 6, -1, -1, -1, -1]), (2, [-1, 0, 1, 0, 0, -1]), (3, [-1]), (4, [-1])) SELECT id, (i - 1)::INT AS line, parents[i] AS parent FROM g, LATERAL (SELECT unnest(range(1, len(parents) + 1)) AS i)
+UNION ALL SELECT 1000000 + doc_id, (i - 1)::INT, CASE WHEN i = 1 OR i = n + 2 THEN -1 ELSE 0 END FROM (SELECT doc_id, len(string_split(""" + _PLAIN_SQL + """, chr(10))) AS n FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, n + 3)) AS i)""")
 def block_parent(spark, sf_dir):
+    """Short programs, and every document's lines as the body of one block."""
     text = "\n".join(line for _, line in fx.CODE)
     rows = fx.frame(spark, [(1, text, "a.js"), (2, "def f():\n    if x:\n        y()\n\n    return\nz", "b.py"), (3, "{ open", "c.js"), (4, "", None)], "id long, text string, path string")
-    return rows.select("id", F.posexplode(trim.line_parents("text", "path")).alias("line", "parent"))
+    docs = _plain(spark, sf_dir).select((F.col("doc_id") + 1000000).alias("id"), F.concat(F.lit("while (on) {\n"), F.col("text"), F.lit("\n}")).alias("text"), F.lit("d.js").alias("path"))
+    return rows.unionByName(docs).select("id", F.posexplode(trim.line_parents("text", "path")).alias("line", "parent"))
 
 
 # Statistics and evaluation
 
 def _results(spark, sf_dir):
-    """Conversation turns after white-space normalization and redaction: one result a turn."""
+    """Conversation turns without the letters a and i, a stand-in for any rewrite: one result a turn."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), "turn", "role", "text")
     short = F.regexp_replace("text", "[ai]", "")
     done = F.length(short) < 0.9 * F.length("text")
@@ -496,28 +568,34 @@ def weighted_savings(spark, sf_dir):
     return stats.weighted_savings(arms)
 
 
-_STAGES = {"whitespace": "[ ]{2,}", "minify": "[\\n]", "prune": "[0-9]", "strip-comments": "[.]", "textpress": "[,]"}
-
+def _scenarios(spark, sf_dir):
+    """Two texts a document: its lines with blanks and remarks, and package metadata around it."""
+    docs = _plain(spark, sf_dir)
+    noisy = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(x, F.lit(_REMARK))), "\n")
+    url = F.concat(F.lit("https://registry.example/"), F.col("doc_id"), F.lit("/pkg.tgz"))
+    packed = F.concat(F.lit('{ "name": '), requests_json(F.col("text")), F.lit(', "_id": "n@1.0.0", "_resolved": "'), url, F.lit('" }'))
+    return docs.select("doc_id", F.explode(F.array(F.struct(F.lit("lines").alias("kind"), noisy.alias("text")), F.struct(F.lit("json").alias("kind"), packed.alias("text")))).alias("x")).select("doc_id", "x.*")
 
-def _configs() -> list[tuple]:
-    ladder = [(f"L{n}", n, list(s)) for n, s in cfg.LEVELS.items()]
-    presets = [(name, level or 0, list(s)) for name, (s, level) in cfg.PRESETS.items()]
-    out = [(f"no-{s}", 0, [x for x in cfg.PRESETS["aggressive"][0] if x != s]) for s in ("prune", "minify", "whitespace", "strip-comments", "textpress")]
-    return ladder + presets + out
 
-
-_MEASURED_SQL = " UNION ALL ".join(f"SELECT '{s}' AS stage, doc_id AS item, length(text) AS original, length(text) - length(regexp_replace(text, '{p}', '', 'g')) AS saved FROM documents" for s, p in _STAGES.items())
-_CONFIG_SQL = "(VALUES " + ", ".join(f"('{n}', {'NULL' if k is None else k}, {[*s]!r})" for n, k, s in _configs()) + ") AS c(config, level, stages)"
-_SWEEP_SQL = f"""WITH m AS ({_MEASURED_SQL}), b AS (SELECT stage, sum(saved) AS s FROM m GROUP BY stage), o AS (SELECT sum(length(text))::BIGINT AS original FROM documents),
-w AS (SELECT config, level, coalesce(sum(s), 0)::BIGINT AS saved FROM (SELECT config, level, unnest(stages) AS stage FROM {_CONFIG_SQL}) LEFT JOIN b USING (stage) GROUP BY config, level),
-v AS (SELECT config, level, saved, original, round(100.0 * saved / original, 6) AS percent FROM w, o) """
+_ROW_STAGES = ("cmd-strip", "strip-lines", "whitespace", "strip-comments", "minify", "prune", "toon")
+_FLAGS_SQL = "(VALUES " + ", ".join("(" + ", ".join([f"'{n}'", "NULL" if k is None else str(k), *(str(s in x).upper() for s in _ROW_STAGES[2:])]) + ")" for n, (k, x) in cfg.SWEEP.items()) + ") AS c(config, level, ws, cm, mi, pr, tn)"
+_SWEEP_SQL = f"""WITH d AS (SELECT doc_id, {_PLAIN_SQL} AS text FROM documents WHERE text IS NOT NULL), j AS (SELECT *, to_json(text)::VARCHAR AS q, 'https://registry.example/' || doc_id || '/pkg.tgz' AS url,
+  CASE WHEN regexp_matches(text, '^[A-Za-z_][A-Za-z0-9_.@:-]*(?: [A-Za-z0-9_.@:-]+)*$') AND text NOT IN ('true', 'false', 'null') AND NOT contains(text, chr(10)) THEN text ELSE to_json(text)::VARCHAR END AS cell FROM d),
+a AS (SELECT doc_id, list_aggregate(list_transform(string_split(text, chr(10)), lambda l: l || '{_REMARK}'), 'string_agg', chr(10)) AS raw,
+  list_aggregate(list_transform(string_split(text, chr(10)), lambda l: rtrim(l || '{_REMARK}')), 'string_agg', chr(10)) AS spaced, list_aggregate(list_transform(string_split(text, chr(10)), lambda l: rtrim(l)), 'string_agg', chr(10)) AS bare FROM d),
+b AS (SELECT doc_id, '{{ "name": ' || q || ', "_id": "n@1.0.0", "_resolved": "' || url || '" }}' AS raw, '{{"name":' || q || ',"_id":"n@1.0.0","_resolved":"' || url || '"}}' AS mini, '{{"name":' || q || '}}' AS pruned,
+  'name: ' || cell || chr(10) || '_id: n@1.0.0' || chr(10) || '_resolved: ' || url AS table3, 'name: ' || cell AS table1 FROM j),
+o AS (SELECT config, level, raw, CASE WHEN length(raw) >= 200 AND length(x) < 0.9 * length(raw) THEN x ELSE raw END AS kept FROM (SELECT config, level, raw, CASE WHEN cm THEN bare WHEN ws THEN spaced ELSE raw END AS x FROM a, {_FLAGS_SQL})
+  UNION ALL SELECT config, level, raw, CASE WHEN length(raw) >= 200 AND (mi OR pr OR tn) AND length(y) < length(raw) THEN CASE WHEN tn AND length(z) < length(y) THEN z ELSE y END ELSE raw END
+  FROM (SELECT config, level, raw, mi, pr, tn, CASE WHEN p THEN pruned ELSE mini END AS y, CASE WHEN p THEN table1 ELSE table3 END AS z FROM (SELECT *, pr AND length(pruned) < 0.95 * length(raw) AS p FROM b, {_FLAGS_SQL}))),
+v AS (SELECT config, level, sum(strlen(raw))::BIGINT AS original, sum(strlen(kept))::BIGINT AS compressed, round(100.0 * ((sum(strlen(raw)) - sum(strlen(kept))) / sum(strlen(raw))), 6) AS percent,
+  round(100.0 * ((sum({TOKENS.format('raw')}) - sum({TOKENS.format('kept')})) / sum({TOKENS.format('raw')})), 6) AS token_percent FROM o GROUP BY config, level) """
 
 
 def _sweep(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text", F.length("text").cast("long").alias("original"))
-    each = F.array(*[F.struct(F.lit(s).alias("stage"), (F.length("text") - F.length(F.regexp_replace("text", p, ""))).cast("long").alias("saved")) for s, p in _STAGES.items()])
-    measured = docs.withColumn("x", F.explode(each)).select("item", "original", "x.stage", "x.saved")
-    return stats.sweep(measured, fx.frame(spark, _configs(), "config string, level int, stages array<string>"))
+    strict(spark)
+    rewrite = lambda rows, stages: plans.rewrite_rows(rows, cfg.Config(stages=stages))
+    return stats.sweep(_scenarios(spark, sf_dir).select("text"), cfg.SWEEP, rewrite, _ROW_STAGES)
 
 
 @query(_SWEEP_SQL + "SELECT * FROM v")
@@ -525,14 +603,37 @@ def config_sweep(spark, sf_dir):
     return _sweep(spark, sf_dir)
 
 
-@query(_SWEEP_SQL + "SELECT level, percent, lag(percent) OVER (ORDER BY level) AS before, coalesce(percent + 0.01 < lag(percent) OVER (ORDER BY level), FALSE) AS falls FROM v WHERE starts_with(config, 'L')")
+@query(_SWEEP_SQL + "SELECT level, percent, lag(percent) OVER (ORDER BY level) AS before, coalesce(percent + 0.01 < lag(percent) OVER (ORDER BY level), FALSE) AS falls FROM v WHERE level IS NOT NULL")
 def ladder_monotonic(spark, sf_dir):
-    return stats.monotonic(_sweep(spark, sf_dir).where("config like 'L%'").select("level", "percent"))
+    return stats.monotonic(_sweep(spark, sf_dir).where("level is not null").select("level", "percent"))
 
 
-@query(_SWEEP_SQL + "SELECT config, percent, row_number() OVER (ORDER BY percent DESC, config) AS place, round(percent - (SELECT percent FROM v WHERE config = 'aggressive'), 6) AS delta FROM v")
+@query(_SWEEP_SQL + "SELECT config, percent, row_number() OVER (ORDER BY percent DESC, config) AS place, round(percent - (SELECT percent FROM v WHERE config = 'preset:aggressive'), 6) AS delta FROM v")
 def ranked_report(spark, sf_dir):
-    return stats.ranked_report(_sweep(spark, sf_dir).select("config", "percent"), "aggressive")
+    return stats.ranked_report(_sweep(spark, sf_dir).select("config", "percent"), "preset:aggressive")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE 0.5 END AS recall, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS definition_recall, doc_id % 3 = 0 AS no_trim FROM documents""")
+def trim_survival(spark, sf_dir):
+    """A definition that the query asks for and a line that it does not, late in a long listing: the first
+    survives the trim. Every third listing is short enough to stay as it is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 12).otherwise(300).alias("n"))
+    filler = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.lit("entry "), k, F.lit(" of listing "), F.col("doc_id"), F.lit(" holds nothing of note")))
+    gold = F.array(F.lit("export function parseToken(input) {"), F.lit("a remark of some length that shares not one word with the question asked"))
+    text = F.array_join(F.concat(filler, F.slice(gold, 1, 1), F.slice(filler, 1, 5), F.slice(gold, 2, 1), F.slice(filler, 1, 5)), "\n")
+    cut = trim.trim_udf(512)(text, F.lit("where does parseToken begin"), F.lit("notes.txt"))["trimmed"]
+    found = stats.survival(docs.select("doc_id", cut.alias("kept"), gold.alias("gold"), F.slice(gold, 1, 1).alias("definitions")), "kept", "gold", "definitions")
+    return found.select("doc_id", "recall", "definition_recall", "no_trim")
+
+
+@query("""SELECT source, control, treated, gate, CASE WHEN gate THEN round(savings, 2) ELSE 0.0 END AS score FROM (SELECT source, count(*) FILTER (doc_id % 3 <> 0) AS control, count(*) FILTER (doc_id % 4 <> 0) AS treated,
+count(*) FILTER (doc_id % 4 <> 0) >= count(*) FILTER (doc_id % 3 <> 0) - 1 AS gate, 100.0 * sum(n_chars // 3) / sum(n_chars) AS savings FROM documents GROUP BY source)""")
+def quality_gate(spark, sf_dir):
+    """Savings of a source count where the treatment loses one answer at most."""
+    runs = table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count_if(F.col("doc_id") % 3 != 0).alias("control"), F.count_if(F.col("doc_id") % 4 != 0).alias("treated"), (100.0 * F.sum(F.floor(F.col("n_chars") / 3)) / F.sum("n_chars")).alias("savings")
+    )
+    return stats.gated(runs).select("source", "control", "treated", "gate", "score")
 
 
 @query("""SELECT item, before, after, coalesce(after < before, FALSE) AS regressed FROM (SELECT source AS item, round(avg(n_chars), 6) AS before, round(avg(length(replace(text, chr(10), ''))), 6) AS after FROM documents GROUP BY source)""")
@@ -543,15 +644,22 @@ def two_arm_comparison(spark, sf_dir):
     return stats.two_arms(one.unionByName(two))
 
 
-@query(f"SELECT q, arm, count(CASE WHEN passed THEN 1 END) AS yes, count(CASE WHEN passed THEN 1 END) >= 2 AS agreed FROM {fx.values(fx.VOTES, 'q, arm, run, passed')} GROUP BY q, arm")
+@query(f"SELECT q, arm, count(CASE WHEN passed THEN 1 END) AS yes, count(CASE WHEN passed THEN 1 END) >= 2 AS agreed FROM (SELECT q, arm, passed FROM {fx.values(fx.VOTES, 'q, arm, run, passed')} UNION ALL SELECT source, lang, doc_id % 3 <> 0 FROM documents) GROUP BY q, arm")
 def majority_vote(spark, sf_dir):
-    return stats.majority(fx.frame(spark, fx.VOTES, "q string, arm string, run int, passed boolean"), ["q", "arm"])
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("q"), F.col("lang").alias("arm"), F.lit(1).alias("run"), (F.col("doc_id") % 3 != 0).alias("passed"))
+    return stats.majority(fx.frame(spark, fx.VOTES, "q string, arm string, run int, passed boolean").unionByName(docs), ["q", "arm"])
 
 
 @query(f"""SELECT id, coalesce(CASE kind WHEN 'contains' THEN contains(lower(answer), lower(expected)) WHEN 'regex' THEN regexp_matches(answer, expected)
-WHEN 'set' THEN len(list_filter(string_split(lower(expected), ', '), lambda x: contains(lower(answer), x))) >= least END, FALSE) AS passed FROM {fx.values(fx.ANSWERS, 'id, answer, expected, kind, least')}""")
+WHEN 'set' THEN len(list_filter(string_split(lower(expected), ', '), lambda x: contains(lower(answer), x))) >= least END, FALSE) AS passed FROM (SELECT * FROM {fx.values(fx.ANSWERS, 'id, answer, expected, kind, least')} UNION ALL
+SELECT 1000000 + doc_id, text, ['EST', 'the, de, in, un', '[a-z]+ [a-z]+[.]'][k], ['contains', 'set', 'regex'][k], 2 FROM (SELECT *, (doc_id % 3 + 1)::INT AS k FROM documents))""")
 def graders(spark, sf_dir):
-    return stats.graded(fx.frame(spark, fx.ANSWERS, "id long, answer string, expected string, kind string, least int")).select("id", "passed")
+    k = (F.col("doc_id") % 3 + 1).cast("int")
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), k)
+    docs = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") + 1000000).alias("id"), F.col("text").alias("answer"), pick("EST", "the, de, in, un", "[a-z]+ [a-z]+[.]").alias("expected"), pick("contains", "set", "regex").alias("kind"), F.lit(2).alias("least")
+    )
+    return stats.graded(fx.frame(spark, fx.ANSWERS, "id long, answer string, expected string, kind string, least int").unionByName(docs)).select("id", "passed")
 
 
 @query("SELECT count(*) AS files, sum(n_chars)::BIGINT AS original, sum(CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE n_chars // 2 END)::BIGINT AS compressed, count(CASE WHEN doc_id % 7 = 0 THEN 1 END) AS failed, round(100.0 * (sum(n_chars) - sum(CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE n_chars // 2 END)) / sum(n_chars), 6) AS percent FROM documents")
@@ -573,32 +681,42 @@ def store_counters(spark, sf_dir):
     return counts.join(F.broadcast(held)).select("hits", "misses", F.round(stats.store_hit_ratio(F.col("hits"), F.col("held")), 6).alias("ratio"))
 
 
+_PAIRED = f"(SELECT * FROM {fx.values(fx.PAIRS, 'id, a, b')} UNION ALL SELECT 1000000 + conv_id * 100 + turn, text, substr(text, 1, length(text) // 2) FROM conversations WHERE text IS NOT NULL)"
+
+
+def _pairs(spark, sf_dir):
+    """Short pairs, and every turn of the conversations with its first half."""
+    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    turns = spread(table(spark, sf_dir, "conversations").where("text is not null")).select((1000000 + F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("a"), half.alias("b"))
+    return fx.frame(spark, fx.PAIRS, "id long, a string, b string").unionByName(turns)
+
+
 _GRAMS = "list_distinct(list_transform(range(1, len({0}) + 2 - {1}), lambda i: list_aggregate({0}[i:i + {1} - 1], 'string_agg', ' ')))"
 
 
-@query(f"""WITH w AS (SELECT id, list_filter(regexp_split_to_array(lower(a), '[ \\t\\n\\r]+'), lambda x: x <> '') AS x, list_filter(regexp_split_to_array(lower(b), '[ \\t\\n\\r]+'), lambda x: x <> '') AS y FROM {fx.values(fx.PAIRS, 'id, a, b')}),
+@query(f"""WITH w AS (SELECT id, list_filter(regexp_split_to_array(lower(a), '[ \\t\\n\\r]+'), lambda x: x <> '') AS x, list_filter(regexp_split_to_array(lower(b), '[ \\t\\n\\r]+'), lambda x: x <> '') AS y FROM {_PAIRED}),
 g AS (SELECT id, {_GRAMS.format('x', 2)} AS x, {_GRAMS.format('y', 2)} AS y FROM w), s AS (SELECT id, len(x) AS m, len(y) AS n, len(list_intersect(x, y)) AS k FROM g),
 p AS (SELECT id, CASE WHEN n > 0 THEN k / n ELSE 0.0 END AS p, CASE WHEN m > 0 THEN k / m ELSE 0.0 END AS r FROM s)
 SELECT id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM p""")
 def ngram_overlap(spark, sf_dir):
     p, r, f = metrics.overlap(F.col("a"), F.col("b"), 2)
-    return fx.frame(spark, fx.PAIRS, "id long, a string, b string").select("id", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
+    return _pairs(spark, sf_dir).select("id", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
 
 
 _TRI = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
 
 
-@query(f"SELECT id, round(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END, 6) AS jaccard FROM (SELECT id, {_TRI.format('a')} AS x, {_TRI.format('b')} AS y FROM {fx.values(fx.PAIRS, 'id, a, b')})")
+@query(f"SELECT id, round(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END, 6) AS jaccard FROM (SELECT id, {_TRI.format('a')} AS x, {_TRI.format('b')} AS y FROM {_PAIRED})")
 def trigram_jaccard(spark, sf_dir):
-    return fx.frame(spark, fx.PAIRS, "id long, a string, b string").select("id", F.round(metrics.trigram_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    return _pairs(spark, sf_dir).select("id", F.round(metrics.trigram_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-_ENTITY_SQL = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, list_distinct(regexp_extract_all(a, '{p}')) AS x, list_distinct(regexp_extract_all(b, '{p}')) AS y FROM {fx.values(fx.PAIRS, 'id, a, b')}" for k, p in metrics.ENTITIES.items())
+_ENTITY_SQL = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, list_distinct(regexp_extract_all(a, '{p}')) AS x, list_distinct(regexp_extract_all(b, '{p}')) AS y FROM {_PAIRED}" for k, p in metrics.ENTITIES.items())
 
 
 @query(f"SELECT id, round(CASE WHEN sum(len(x)) = 0 THEN 1.0 ELSE sum(len(list_intersect(x, y))) / sum(len(x)) END, 6) AS recall FROM ({_ENTITY_SQL}) GROUP BY id")
 def entity_recall(spark, sf_dir):
-    return fx.frame(spark, fx.PAIRS, "id long, a string, b string").select("id", F.round(metrics.entity_recall(F.col("a"), F.col("b")), 6).alias("recall"))
+    return _pairs(spark, sf_dir).select("id", F.round(metrics.entity_recall(F.col("a"), F.col("b")), 6).alias("recall"))
 
 
 @query("""WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY doc_id, ch), t AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c)
@@ -613,9 +731,14 @@ def sentence_measures(spark, sf_dir):
     return docs.select("doc_id", metrics.sentence_count(F.col("text")).alias("sentences"), (metrics.action_count(F.lower("text")) > 0).alias("active"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES (1, 0.416667), (2, 1.0), (3, 1.0), (4, 0.2), (5, 0.0), (6, 1.0), (7, 0.4)) AS t(id, ratio) UNION ALL
+SELECT 1000000 + doc_id, round(CASE WHEN n = 0 THEN 1.0 ELSE (n - n // 3) / n END, 6) FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL)""")
 def lcs_ratio(spark, sf_dir):
-    return fx.frame(spark, fx.PAIRS, "id long, a string, b string").select("id", F.round(metrics.lcs_ratio("a", "b"), 6).alias("ratio"))
+    """Pairs, and every document with the words that are left of it once every third is taken out."""
+    kept = F.array_join(F.filter(metrics.words(F.col("text")), lambda x, i: (i + 1) % 3 != 0), " ")
+    docs = spread(table(spark, sf_dir, "documents").where("text is not null")).select((F.col("doc_id") + 1000000).alias("id"), F.col("text").alias("a"), kept.alias("b"))
+    rows = fx.frame(spark, fx.PAIRS, "id long, a string, b string").unionByName(docs)
+    return rows.select("id", F.round(metrics.lcs_ratio("a", "b"), 6).alias("ratio"))
 
 
 # The whole pass, and plans beside it
@@ -629,15 +752,32 @@ def _targets(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""SELECT d.doc_id AS ord, r.n AS redactions, length(d.text) AS original_len, TRUE AS shorter, TRUE AS explained FROM documents d JOIN ({_redact_sql('mask')}) r ON r.id = d.doc_id""")
 def compact_pipeline(spark, sf_dir):
-    """All blocks through the ladder's top but paraphrasing, with the user's newest words at hand."""
+    """All blocks through the ladder's top but paraphrasing, with the user's newest words at hand: what was
+    redacted, whether a replacement is shorter than the redacted text, and whether the rest says why it stays."""
     strict(spark)
     targets = _targets(spark, sf_dir)
     asked = targets.select("request_id").distinct().withColumn("user_text", F.lit("which lines are of interest"))
     config = cfg.Config(stages=cfg.LEVELS[9], disclosure_bytes=16384, trim_bytes=8192, trim_tokens=1024)
     done = plans.compact(targets, config, asked)
-    return done.select("ord", "method", "skipped", "redactions", "original_len", "compressed_len", F.sha2("compressed", 256).alias("sha"))
+    shorter = F.col("compressed").isNull() | (F.col("method") == "redact") | (F.col("compressed_len") < js_len(F.col("text")))
+    return done.select("ord", "redactions", "original_len", shorter.alias("shorter"), (F.col("method").isNotNull() | F.col("skipped").isNotNull()).alias("explained"))
+
+
+@query(f"""SELECT count(*) AS blocks, sum(length(text))::BIGINT AS original, sum({TOKENS.format('text')})::BIGINT AS tokens, count(*) FILTER (k > 1)::BIGINT AS repeats, 0::BIGINT AS longer, 0::BIGINT AS unsaid FROM (
+SELECT text, row_number() OVER (PARTITION BY source, lang, sha256(text) ORDER BY doc_id) AS k FROM documents) WHERE text IS NOT NULL""")
+def compact_accounts(spark, sf_dir):
+    """The whole pass adds up: all blocks are there, repeats of a long text are told, none grows, and each
+    that stays as it is says why. Nothing is redacted here, as a mark may be longer than its secret."""
+    strict(spark)
+    done = plans.compact(_targets(spark, sf_dir).where("text is not null"), cfg.Config(stages=cfg.LEVELS[4], redact=False, min_size=1))
+    longer, unsaid = F.col("compressed_len") >= F.col("original_len"), F.col("method").isNull() & F.col("skipped").isNull()
+    # A copy whose text is no longer than its reference stays, or is rewritten; its first is in the same request.
+    repeat = F.count_if((F.col("method") == "dedup") | F.col("__copy"))
+    first = done.groupBy(F.col("request_id").alias("__r"), F.sha2("text", 256).alias("__h")).agg(F.min("ord").alias("__first"))
+    done = done.join(first, (F.col("request_id") == F.col("__r")) & (F.sha2("text", 256) == F.col("__h"))).withColumn("__copy", F.col("ord") > F.col("__first"))
+    return done.agg(F.count("*").alias("blocks"), F.sum("original_len").alias("original"), F.sum("original_tokens").alias("tokens"), repeat.alias("repeats"), F.count_if(longer).alias("longer"), F.count_if(unsaid).alias("unsaid"))
 
 
 _FLAG_SQL = f"""WITH d AS (SELECT conv_id, turn, role, {_task_sql('text')} AS t, length(text) AS n FROM conversations WHERE role = 'user')
@@ -697,7 +837,8 @@ def decode_bodies(spark, sf_dir):
     return docs.select("doc_id", text.alias("t")).select("doc_id", F.octet_length("t").cast("long").alias("n"), F.sha2("t", 256).alias("sha"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{s}', {str(s in cfg.LOSSY_STAGES).upper()})" for n, stages in cfg.LEVELS.items() for s in stages) + ") AS t(level, stage, lossy)")
+@query("""SELECT l::INT AS level, stage, stage IN ('llmlingua', 'foundation-models', 'textpress', 'strip-comments', 'disclosure', 'bm25-trim') AS lossy FROM (SELECT unnest(range(1, 10)) AS l) JOIN (VALUES (1, 'minify'), (2, 'whitespace'), (2, 'strip-lines'),
+(3, 'cmd-strip'), (4, 'toon'), (4, 'dedup'), (4, 'diff'), (5, 'llmlingua'), (5, 'read-diff'), (5, 'prune'), (6, 'strip-comments'), (7, 'textpress'), (7, 'br-cache'), (8, 'disclosure'), (8, 'bm25-trim'), (9, 'graph'), (9, 'foundation-models')) AS s(first, stage) ON l >= first""")
 def stage_ladder(spark, sf_dir):
     rows = [(n, list(cfg.resolve({"LEVEL": str(n)}).stages)) for n in range(1, 10)]
     each = fx.frame(spark, rows, "level int, stages array<string>").select("level", F.explode("stages").alias("stage"))

@@ -33,7 +33,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     tool, parted, failed = F.concat(F.lit("t"), turn), turn % 3 == 1, turn % 5 == 4
     of = lambda kind, c: _json(type=F.lit(kind), text=c)
     result = _json(type=F.lit("tool_result"), tool_use_id=tool)
-    result = F.when(failed, _with(_with(result, "is_error", F.lit("true")), "content", _quoted(text))).when(parted, _with(result, "content", _list(of("text", text)))).otherwise(_with(result, "content", _quoted(text)))
+    result = F.when(failed, _with(_with(result, "is_error", F.lit("true")), "content", quoted(text))).when(parted, _with(result, "content", _list(of("text", text)))).otherwise(_with(result, "content", quoted(text)))
     call = _json(type=F.lit("tool_use"), id=F.concat(F.lit("t"), turn + 1), input=F.struct(F.concat(F.lit("/f"), (turn + 1) % 7).alias("file_path")))
     anthropic = (
         F.when(role == "user", _with(_json(role=role), "content", _list(result, of("text", text))))
@@ -41,12 +41,12 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     spoken = F.when(role == "system", "user").otherwise(role)
     chat = _json(role=F.lit("tool"), tool_call_id=tool)
-    chat = F.when(role == "user", _with(chat, "content", F.when(parted, _list(of("text", text))).otherwise(_quoted(text)))).otherwise(_json(role=spoken, content=text))
+    chat = F.when(role == "user", _with(chat, "content", F.when(parted, _list(of("text", text))).otherwise(quoted(text)))).otherwise(_json(role=spoken, content=text))
     output = _json(type=F.lit("function_call_output"), call_id=tool)
-    output = F.when(role == "user", _with(output, "output", F.when(parted, _list(of("input_text", text))).otherwise(_quoted(text)))).otherwise(
+    output = F.when(role == "user", _with(output, "output", F.when(parted, _list(of("input_text", text))).otherwise(quoted(text)))).otherwise(
         _with(_json(role=spoken), "content", _list(of("input_text", text)))
     )
-    answer = F.when(parted, _json(n=turn)).otherwise(_quoted(text))
+    answer = F.when(parted, _json(n=turn)).otherwise(quoted(text))
     gemini = F.when(role == "user", _with(_json(role=F.lit("function")), "parts", _list(_with(F.lit("{}"), "functionResponse", _with(F.lit("{}"), "response", answer))))).otherwise(
         _with(_json(role=F.when(role == "system", "user").otherwise("model")), "parts", _list(_json(text=text)))
     )
@@ -60,7 +60,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(F.col("conv_id").cast("string").alias("request_id"), name.alias("provider"), body.alias("body"))
 
 
-def _quoted(c: Column) -> Column:
+def quoted(c: Column) -> Column:
     """A JSON string."""
     return F.regexp_extract(_json(x=c), r"(?s)\A\{\"x\":(.*)\}\z", 1)
 
