@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import B_LEFT, B_RIGHT, JS_SPACE
+from .text import B_LEFT, B_RIGHT, JS_SPACE, let
 
-# Shapes of provider keys, in the order in which they apply.
+# Shapes of provider keys, in the order in which they apply. Where a key may end in a
+# hyphen, the boundary behind it is spelled out for both kinds of last character, as B_RIGHT alone takes
+# what comes before for a word character.
 TOKEN_RULES = (
     ("aws-access-key", f"{B_LEFT}(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[0-9A-Z]{{16}}{B_RIGHT}"),
     ("github-token", f"{B_LEFT}gh[pousr]_[A-Za-z0-9]{{36,}}{B_RIGHT}"),
@@ -33,14 +37,21 @@ def marker(label: str, mode: str) -> str:
 HINT = "AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|gh[pousr]_|github_pat_|sk-|AIza|xox[baprs]-|k_live_|ya29\\.|eyJ|PRIVATE KEY-----|(?:SECRET|TOKEN|PASSWORD|PASSWD|KEY|CREDENTIALS?|AUTH|PASSPHRASE)[" + JS_SPACE + "]*[:=]"
 
 
+def _step(pattern: str, put: str) -> Callable[[Column], Column]:
+    def step(s: Column) -> Column:
+        found = F.coalesce(F.regexp_count(s["t"], F.lit(pattern)), F.lit(0))
+        return F.struct(F.regexp_replace(s["t"], pattern, put).alias("t"), (s["n"] + found).alias("n"))
+
+    return step
+
+
 def redact(text: Column, mode: str = "mask") -> tuple[Column, Column]:
-    """(text, count): secrets masked or removed, and how many. Each rule sees what the one before left."""
+    """(text, count): secrets masked or removed, and how many. Each rule sees what the one before left,
+    which is bound once for its two uses: rules spelled out in each other double with every one."""
     hinted = text.rlike(HINT)
-    out, count = text, F.lit(0)
-    for label, pattern in TOKEN_RULES:
-        count = count + F.regexp_count(out, F.lit(pattern))
-        out = F.regexp_replace(out, pattern, marker(label, mode))
-    count = count + F.regexp_count(out, F.lit(ASSIGNMENT))
+    state = F.struct(text.alias("t"), F.lit(0).alias("n"))
     kept = "$1$2" if mode == "remove" else f"$1$2$3{marker('secret', mode)}$5"
-    done = F.regexp_replace(out, ASSIGNMENT, kept)
-    return F.when(hinted, done).otherwise(text), F.when(hinted, F.coalesce(count, F.lit(0))).otherwise(0).cast("long")
+    for pattern, put in [*((p, marker(label, mode)) for label, p in TOKEN_RULES), (ASSIGNMENT, kept)]:
+        state = let(state, _step(pattern, put))
+    done = F.when(hinted, state).otherwise(F.struct(text.alias("t"), F.lit(0).alias("n")))
+    return done["t"], done["n"].cast("long")

@@ -72,17 +72,22 @@ def rerank(lines: DataFrame, target: str, line: str, text: str, score: str, quer
 
 
 def ndcg(ranked: DataFrame, group: str, score: str, position: str, gold: str, k: int = 10) -> DataFrame:
-    """(group, ndcg): gain 1 for gold rows by score falling and position rising, over the ideal's."""
+    """(group, ndcg): gain 1 for gold rows by score falling and position rising, over the ideal's. Only the
+    k first rows of a group are ranked, and each task cuts its own rows to k before they are exchanged."""
     place = F.row_number().over(W.partitionBy(group).orderBy(F.col(score).desc(), F.col(position)))
-    top = ranked.withColumn("__r", place)
-    gain = F.when(F.col(gold) & (F.col("__r") <= k), 1 / F.log2(F.col("__r") + 1)).otherwise(0.0)
-    sums = top.groupBy(group).agg(F.sum(gain).alias("dcg"), F.least(F.count_if(gold), F.lit(k)).cast("int").alias("n"))
+    top = ranked.select(group, score, position, gold).withColumn("__r", place).where(F.col("__r") <= k)
+    gains = top.groupBy(group).agg(F.sum(F.when(F.col(gold), 1 / F.log2(F.col("__r") + 1)).otherwise(0.0)).alias("dcg"))
+    counts = ranked.groupBy(group).agg(F.least(F.count_if(gold), F.lit(k)).cast("int").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), F.lit(0.0), lambda a, x: a + 1 / F.log2(x + 1))
-    return sums.select(group, F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"))
+    return counts.join(gains, group).select(group, F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"))
 
 
 def recall_within(ranked: DataFrame, group: str, score: str, position: str, cost: str, gold: str, budget: int) -> DataFrame:
-    """(group, recall): share of gold rows among the head of the ranking whose costs sum to the budget."""
-    w = W.partitionBy(group).orderBy(F.col(score).desc(), F.col(position)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    kept = ranked.withColumn("__in", F.sum(cost).over(w) <= budget)
-    return kept.groupBy(group).agg(F.coalesce(F.try_divide(F.count_if(F.col(gold) & F.col("__in")), F.count_if(gold)), F.lit(0.0)).alias("recall"))
+    """(group, recall): share of gold rows among the head of the ranking whose costs sum to the budget.
+    Costs are at least 1, so no more than `budget` rows of a group can fit, and only those are ranked."""
+    order = W.partitionBy(group).orderBy(F.col(score).desc(), F.col(position))
+    head = ranked.select(group, score, position, cost, gold).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= budget)
+    spent = F.sum(cost).over(W.partitionBy(group).orderBy("__r").rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = head.withColumn("__in", spent <= budget).groupBy(group).agg(F.count_if(F.col(gold) & F.col("__in")).alias("__k"))
+    counts = ranked.groupBy(group).agg(F.count_if(gold).alias("__n"))
+    return counts.join(found, group).select(group, F.coalesce(F.try_divide(F.col("__k"), F.col("__n")), F.lit(0.0)).alias("recall"))

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import classify, commands, json_text, redact, rewrite
 from ..functions.text import js_len, token_estimate
 from ..operators import crossrow, disclosure, similarity, trim
+from ..workdir import materialize
 
 #: Models that paraphrase prose, in order of precedence: stage -> Column function. None is built in.
 PARAPHRASERS: dict[str, Callable[[Column], Column]] = {}
+#: Stages that look at other rows.
+ACROSS = ("dedup", "diff", "read-diff", "graph", "disclosure", "bm25-trim")
 NEURAL = ("llmlingua", "foundation-models", "textpress")
 
 
@@ -63,7 +65,8 @@ def rewrite_rows(df: DataFrame, config: Config = Config()) -> DataFrame:
 
 def compact(targets: DataFrame, config: Config = Config(), user_text: DataFrame | None = None) -> DataFrame:
     """Targets(request_id, session_key, ts, ord, path, text, skip) with text redacted and compressed,
-    method, skipped, redactions and lengths and tokens before and after.
+    method, skipped, redactions and lengths and tokens before and after. The redacted rows are written
+    to the shared folder once where a stage looks across rows.
 
     A block has one method, the first that applies of dedup, diff, read-diff, graph, disclosure,
     bm25-trim, the row's own rewrite, and redact. (request_id, ord) must be unique.
@@ -74,6 +77,8 @@ def compact(targets: DataFrame, config: Config = Config(), user_text: DataFrame
         clean, count = redact.redact(F.col("__raw"), config.redact_mode)
         rows = rows.withColumn("redactions", count).withColumn("text", clean)
     rows = rows.withColumn("skip", F.coalesce("skip", F.when(F.col("text").isNull(), "empty")))
+    if any(config.has(s) for s in ACROSS):
+        rows = materialize(rows, "redacted")  # each stage below would redact anew, once for every filter and use
     # Every stage starts from these rows and gives (request_id, ord, replacement) of the few it applies
     # to, so stages do not stack up in each other's plans.
     usable = rows.where("skip is null").select(*key, "session_key", "ts", "path", "text")
@@ -158,8 +163,3 @@ def rule_section(document: Column, rules: Column, title: str = "## Output rules"
     pattern = f"(?s)\\Q{title}\\E\\n.*?(?=\\n#{{1,2}} |\\z)"
     quoted = F.regexp_replace(section, "([\\\\$])", "\\\\$1")
     return F.when(document.rlike(pattern), F.regexp_replace(document, F.lit(pattern), quoted)).otherwise(F.concat(document, F.lit("\n\n"), section))
-
-
-def last_in_request(df: DataFrame) -> DataFrame:
-    """df with is_last: whether a block is the last of its request."""
-    return df.withColumn("is_last", F.col("ord") == F.max("ord").over(W.partitionBy("request_id")))
