@@ -2,49 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import sys
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Workers need no import path to this package: its functions travel by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+from ..workdir import materialize, shared_dir
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset and Spark runs in this process alone, as
-    in tests, a folder of this process; executors elsewhere could not see one."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        path = tempfile.mkdtemp(prefix="palimpsest-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _local[app] = "file://" + path
-    return _local[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back, which cuts lineage there.
-
-    The table survives lost executors; it is removed when the session's folder is.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "materialize", "partitions", "scan", "shared_dir", "union_all"]
 
 
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -474,7 +474,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
     sets = materialize(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
 
     # A group of more shingles than one task should hold meets as pairs of blocks.
-    large = met.groupBy("kind", "key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1")
+    large = materialize(met.groupBy("kind", "key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1"), "large")
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
     cells = met.join(large, ["kind", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cells = cells.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.select("kind", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id")
