@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -235,7 +235,7 @@ BAND_BITS, BAND_BUDGET, BAND_MISS = 28, 2, 1e-4
 BAND_NODE_SIZE = 1 << 16
 #: Texts of at most so many shingles also meet by the shingles themselves, as few votes make odd signatures.
 FEW_SHINGLES = 64
-#: Shingles that one task compares; groups of more are split into blocks and compared block by block.
+#: Shingles that one task compares; groups of more are cut into blocks.
 BLOCK_SHINGLES = 1 << 21
 BROADCAST_ROWS = 1 << 19
 
@@ -473,16 +473,23 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
     sets = texts.join(chosen, same).select("id", "text").mapInArrow(gather, "id long, shingles binary")
     sets = materialize(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
 
-    # A group of more shingles than one task should hold meets as pairs of blocks.
-    large = materialize(met.groupBy("kind", "key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1"), "large")
-    if large.count() <= BROADCAST_ROWS:
+    def links(cells: DataFrame) -> DataFrame:
+        """Links within each cell of cells(kind, key, low, high, id)."""
+        held = cells.join(sets, "id").select("kind", "key", "low", "high", "id", "shingles")
+        held = held.repartition(partitions(docs.sparkSession), "kind", "key", "low", "high").sortWithinPartitions("kind", "key", "low", "high")
+        return held.mapInArrow(compare, "a long, b long")
+
+    # A group of more shingles than one task should hold is cut into blocks.
+    group = ["kind", "key"]
+    large = materialize(met.groupBy(*group).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("blocks > 1"), "large")
+    n_large = large.count()
+    if n_large <= BROADCAST_ROWS:
         large = F.broadcast(large)
-    cells = met.join(large, ["kind", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("kind", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id")
-    cells = cells.join(sets, "id").select("kind", "key", "low", "high", "id", "shingles")
-    cells = cells.repartition(partitions(docs.sparkSession), "kind", "key", "low", "high").sortWithinPartitions("kind", "key", "low", "high")
-    roots = connected_components(cells.mapInArrow(compare, "a long, b long"))
+    cells = met.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    found = links(cells.select(*group, F.col("own").alias("low"), F.col("own").alias("high"), "id"))
+    if n_large:
+        found = across_blocks(materialize(found, "links"), materialize(cells.where("blocks > 1"), "cells"), links)
+    roots = connected_components(found)
     placed = distinct.join(roots, distinct["id"] == roots["node"], "left").select("sig", "who", F.coalesce("root", "id").alias("root"))
     placed = materialize(placed, "placed")
     lowest = placed.groupBy("root").agg(F.min("who").alias("low"))
@@ -490,6 +497,29 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
     return marked.join(placed, "sig").select(*row, F.col("low.doc_id").alias("component_id"), (who == F.col("low")).alias("stays"))
 
 
+def across_blocks(found: DataFrame, cells: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """found(a, b), the links within blocks, with links between the blocks of groups that have several,
+    cells(kind, key, blocks, own, id, n), so that all that is alike in a group is joined.
+
+    One text for each tree of a group is compared with the others first. Copies of one text, however
+    many, are a single tree after that, which no more links can change. Blocks meet in pairs only in
+    groups that are still apart.
+    """
+    group = ["kind", "key"]
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        roots = connected_components(edges)
+        return materialize(cells.join(roots, cells["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node"), "rooted")
+
+    trees = rooted(found).groupBy(*group, "root").agg(F.min(F.struct("id", "n")).alias("x")).select(*group, "x.*")
+    few = trees.groupBy(*group).agg(F.sum("n").alias("total")).where(F.col("total") <= BLOCK_SHINGLES)
+    leaders = trees.join(few, group).select(*group, F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high"), "id")
+    found = materialize(found.unionByName(links(leaders)), "links")
+    apart = rooted(found).groupBy(*group).agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select(*group)
+    both = cells.join(apart, group).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("own <> other")
+    return found.unionByName(links(both.select(*group, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id")))
+
+
 def text_hashes(text: Column) -> tuple[Column, Column]:
     """t1 and t2, hashes of a text of 64 bits each; a null text counts as empty."""
     whole = F.coalesce(text.cast("string"), F.lit(""))

@@ -235,6 +235,27 @@ def test_recall_of_near_copies(spark):
     assert all(got[i + 1] == i + 1 for i, s in pairs if s < 0.8) and any(s < 0.8 for _, s in pairs)
 
 
+def test_large_groups(spark, monkeypatch):
+    """A group of many near copies over many blocks, and one that a chain of them holds together."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 400)
+    rng = random.Random(21)
+    base = [f"{w}b" for w in words(rng, 120).split()]
+    rows = [(i, " ".join(edited(base, i % 3) + [f"end{i}"])) for i in range(30)]
+    chain = [f"{w}c{k}" for k, w in enumerate(words(rng, 400).split())]
+    rows += [(100 + k, " ".join(chain[6 * k : 6 * k + 100])) for k in range(30)]
+    texts = {i: t.split() for i, t in rows}
+    root = {i: i for i in texts}
+    for _ in texts:
+        for a in texts:
+            for b in texts:
+                if a < b and root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8:
+                    low, high = sorted((root[a], root[b]))
+                    root = {i: low if r == high else r for i, r in root.items()}
+        break
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root and len({root[i] for i in range(30)}) == 1 and len({root[100 + i] for i in range(30)}) == 1
+
+
 def test_near_dedup_stage(spark):
     """Rows that share a doc_id, or have none, are told apart by their texts; a row listed twice stays once."""
     rng = random.Random(2)
