@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import js_len
+from ..workdir import materialize
 
 IDLE_SECONDS = 7200
 GRAPH_LEAST = 512
@@ -88,8 +89,15 @@ def store_evict(entries: DataFrame, budget: int = STORE_BUDGET, buckets: int = 1
 
     The cut is closed in on by sums of ranges, each a few rows: ranges of last_access, finer ranges
     within the one that holds the cut, and there, for each time left, ranges of the hash, so a store
-    loaded at one time is no single range either. Only the last range is ordered row by row.
+    loaded at one time is no single range either. Only the last range is ordered row by row. All of this
+    reads hashes, sizes and times, written once; hash is unique.
     """
+    marks = materialize(entries.select("hash", "bytes", "last_access"), "marks")
+    return entries.join(_kept(marks, budget, buckets).select("hash", "kept"), "hash").select(*entries.columns, "kept")
+
+
+def _kept(entries: DataFrame, budget: int, buckets: int) -> DataFrame:
+    """Entries with kept, as store_evict has them."""
     rows = entries.withColumn("__t", F.col("last_access").cast("double"))
     inside, used = rows, F.lit(0).cast("long")
     for k in range(2):

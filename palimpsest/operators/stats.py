@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
+from ..workdir import materialize
 
 T_95 = 2.776  # two-sided 95 % quantile of Student's t with four degrees of freedom, for five runs
 REQUESTS, COMPRESSIBLE = 200, 0.6
@@ -71,10 +72,11 @@ def sweep(scenarios: DataFrame, configs: dict[str, tuple[int | None, tuple[str,
     """(config, level, original, compressed, percent, token_percent): what each configuration of name ->
     (level, stages) makes of scenarios(text), by rewriting them: rewrite(scenarios, stages) adds
     compressed, null where a text stays. counts names the stages that rewrite looks at; configurations
-    alike in these are rewritten once."""
+    alike in these are rewritten once, from scenarios written once."""
     alike: dict[tuple[str, ...], list[str]] = {}
     for name, (_, stages) in configs.items():
         alike.setdefault(tuple(s for s in counts if s in stages), []).append(name)
+    scenarios = materialize(scenarios.select("text"), "scenarios")
     frames = []
     for stages, names in alike.items():
         kept = F.coalesce("compressed", "text")
