@@ -156,20 +156,22 @@ def candidate_keys(host: str, path: str, lengths: list[int], labels: int) -> lis
     return [h + s for h in hosts for s in starts if h]
 
 
-def filter_urls(pages: DataFrame, block: list[str], allow: list[str], default: str = "allow", bits_per_key: float | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, block: list[str], allow: list[str], default: str = "allow", bits_per_key: float | None = None, bound: int | None = None) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule and verdict.
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest rule
-    wins, and of two equally long ones block. Where no candidate key is in a cascade, rule is null and
-    the verdict is `default`. Null and malformed urls have empty host and path and fit no rule. Only as
-    many labels of a host, from its end, are looked at as the longest listed host has.
+    wins, of equally long ones that of the longest host, and of a rule in both lists block. Where no
+    candidate key is in a cascade, rule is null and the verdict is `default`. Null and malformed urls have
+    empty host and path and fit no rule. Only as many labels of a host, from its end, are looked at as the
+    longest listed host has. Lists of more than `bound` rules take further passes, each with cascades of
+    its own, so no task holds more than these.
     """
+    bound = MAX_LISTED if bound is None else bound
     host, path = parse_url(F.col("url"))
     parsed = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
     split = [split_rule(r) for r in [*block, *allow]]
     lengths = sorted({len(p) for _, p in split}, reverse=True)
     labels = max((h.count(".") + 1 for h, _ in split), default=1)
-    normal = [[h + p for h, p in map(split_rule, rules)] for rules in (block, allow)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,24 +181,36 @@ def filter_urls(pages: DataFrame, block: list[str], allow: list[str], default: s
 
     universe = parsed.select("host", "path").mapInArrow(spread, "key string")
     most = pages.count() * labels * max(1, len(lengths)) if bits_per_key is None else 1
-    blocked, allowed = build_cascades(universe, normal, most, bits_per_key)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rules, verdicts = [], []
-            for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                rule, verdict = None, default
-                for key in sorted(candidate_keys(h, p, lengths, labels), key=len, reverse=True):
-                    stops = key in blocked
-                    if stops or key in allowed:
-                        rule, verdict = key, "block" if stops else "allow"
-                        break
-                rules.append(rule)
-                verdicts.append(verdict)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("page_id", "host", "path")), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())],
-                names=["page_id", "host", "path", "rule", "verdict"],
-            )
-
     kind = dict(parsed.dtypes)["page_id"]
-    return parsed.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
+    schema = f"page_id {kind}, host string, path string, rule string, verdict string"
+
+    def judged(rows: DataFrame, blocked: Cascade, allowed: Cascade) -> DataFrame:
+        """rows with the longer of the rule that they have and of one in the cascades."""
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rules, verdicts = [], []
+                for h, p, rule, verdict in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rule", "verdict"))):
+                    for key in sorted(candidate_keys(h, p, lengths, labels), key=len, reverse=True):
+                        if key in blocked:
+                            rule, verdict = key, "block"
+                            break
+                        if key == rule:  # no longer one here
+                            break
+                        if key in allowed:
+                            rule, verdict = key, "allow"
+                            break
+                    rules.append(rule)
+                    verdicts.append(verdict)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("page_id", "host", "path")), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())],
+                    names=["page_id", "host", "path", "rule", "verdict"],
+                )
+
+        return rows.mapInArrow(judge, schema)
+
+    out = parsed.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    normal = [[h + p for h, p in map(split_rule, rules)] for rules in (block, allow)]
+    for at in range(0, max(1, *map(len, normal)), bound):
+        out = judged(out, *build_cascades(universe, [x[at : at + bound] for x in normal], most, bits_per_key, bound))
+    return out
