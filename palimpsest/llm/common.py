@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workdir import materialize, shared_dir
+from ..workdir import materialize, remove, shared_dir, written
 
-__all__ = ["connected_components", "materialize", "partitions", "scan", "shared_dir", "union_all"]
+__all__ = ["connected_components", "materialize", "partitions", "remove", "scan", "shared_dir", "union_all", "written"]
 
 
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,9 +25,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternating large-star and small-star steps: each is one aggregation and one join on node, so a
     node of very high degree is pre-aggregated and its rows can be split by the skew join. Each round
-    is a written table. Rounds grow with the logarithm of the longest path.
+    is a written table, which takes the place of the one before. Rounds grow with the logarithm of the
+    longest path.
     """
-    pairs = materialize(
+    pairs, path = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
     )
     stamp = None
@@ -39,7 +40,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("x"), "m", "u")
         small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        pairs = materialize(small.where("u <> v").distinct(), "cc")
+        before = path
+        pairs, path = written(small.where("u <> v").distinct(), "cc")
+        remove(edges.sparkSession, before)
         now = pairs.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).cast("string")
         ).first()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, mixing, sharding, simhash
-from .common import materialize, scan
+from .common import materialize, remove, scan, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scan(spark, sf_dir, "documents")
+    docs, path = scan(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = path
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        if before:
+            remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

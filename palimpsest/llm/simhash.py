@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, partitions
+from .common import connected_components, materialize, partitions, remove, written
 
 NODE_SIZE = 8192
 MAX_DEPTH = 14
@@ -471,7 +471,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
         chosen = F.broadcast(chosen)
     same = (F.col("t1") == F.col("__1")) & (F.col("t2") == F.col("__2")) & F.col("doc_id").eqNullSafe(F.col("__d"))
     sets = texts.join(chosen, same).select("id", "text").mapInArrow(gather, "id long, shingles binary")
-    sets = materialize(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
+    sets, path = written(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
 
     def links(cells: DataFrame) -> DataFrame:
         """Links within each cell of cells(kind, key, low, high, id)."""
@@ -490,6 +490,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, width: int = 5, node
     if n_large:
         found = across_blocks(materialize(found, "links"), materialize(cells.where("blocks > 1"), "cells"), links)
     roots = connected_components(found)
+    remove(docs.sparkSession, path)  # all links are in the components' own table
     placed = distinct.join(roots, distinct["id"] == roots["node"], "left").select("sig", "who", F.coalesce("root", "id").alias("root"))
     placed = materialize(placed, "placed")
     lowest = placed.groupBy("root").agg(F.min("who").alias("low"))

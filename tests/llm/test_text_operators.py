@@ -5,13 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, exact_dedup, html_text, language_id, mixing, pipeline, secrets, sharding, simhash, suffix_dedup, url_filter
+from palimpsest.llm import common, decontaminate, exact_dedup, html_text, language_id, mixing, pipeline, secrets, sharding, simhash, suffix_dedup, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -431,12 +432,13 @@ def test_language_stage(spark):
     assert language_id.accepted(df, language_id.learn(df.where("doc_id < 50")), wanted=frozenset({"fr"})).count() == 0
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("bound", [None, 1, 2])
+def test_url_filter(spark, bound):
     block, allow = ["com/en/", "example.net/de/8", "org/es/"], ["example.com/en/7", "net/de/"]
     hosts = ["example.com", "a.EXAMPLE.com", "example.net", "m.example.net", "notcom", "x.org", "com", "", "bad..org"]
     paths = ["/en/7", "/en/71?q", "/en/8#f", "/de/8", "/de/9.html", "/es/", "/EN/7", "", "?x=/en/7"]
     rows = list(enumerate([f"{s}{h}{p}" for s in ("https://", "", "x://") for h in hosts for p in paths] + [None, "://com/en/"] * 2))
-    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), block, allow, bits_per_key=1.0)
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), block, allow, bits_per_key=1.0, bound=bound)
     for r in got.collect():
         url = rows[r.page_id][1]
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
@@ -450,6 +452,25 @@ def test_url_filter(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, *want)
 
 
+@pytest.mark.parametrize("bound", [None, 1])
+def test_url_filter_ties(spark, bound):
+    """A rule of both lists blocks, whichever pass looks at which; of equally long rules that of the longest host decides."""
+    pages = spark.createDataFrame([(1, "x://example.net/x"), (2, "x://b.cc/ab"), (3, "x://example.net/y")], "page_id long, url string")
+    for block, allow in ((["zz/", "example.net/x"], ["example.net/x", "b.cc/"]), (["example.net/x"], ["b.cc/", "example.net/x"])):
+        got = url_filter.filter_urls(pages, [*block, "cc/ab"], allow, bound=bound).collect()
+        assert {r.page_id: (r.rule, r.verdict) for r in got} == {1: ("example.net/x", "block"), 2: ("b.cc/", "allow"), 3: (None, "allow")}
+
+
+def test_components_keep_one_table(spark):
+    """Each round's table takes the place of the one before."""
+    def tables():
+        return set(Path(common.shared_dir(spark).removeprefix("file://")).glob("palimpsest-cc-*"))
+
+    before = tables()
+    roots = common.connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert {r.root for r in roots.collect()} == {0} and len(tables() - before) == 1
+
+
 def test_cascade(spark):
     listed = [f"k{i}" for i in range(0, 3000, 7)]
     universe = spark.createDataFrame([(f"k{i}",) for i in range(3000)] + [(None,), ("k1",)], "key string")
