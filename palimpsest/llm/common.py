@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workdir import materialize, remove, shared_dir, written
 
-__all__ = ["connected_components", "materialize", "partitions", "remove", "scan", "shared_dir", "union_all", "written"]
+__all__ = ["connected_components", "materialize", "partitions", "remove", "scan", "shared_dir", "slices", "union_all", "written"]
 
 
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,3 +62,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def slices(batch: pa.RecordBatch, column: str, cells: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose column, binary or lists without nulls, holds about so many bytes or items, and at least one row each."""
+    values = batch.column(column)
+    length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    width = length.to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(width) - width) // cells
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)

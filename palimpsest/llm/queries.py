@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language_id, mixing, secrets, sharding, simhash, suffix_dedup, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, html_text, language_id, mixing, secrets, sharding, simhash, suffix_dedup, url_filter
 from . import pipeline as stages
 from .common import scan
 
@@ -66,6 +67,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(scan(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
+    words = byte_bpe.vocabulary(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = byte_bpe.encode(docs, words).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids"
+    )
+    return byte_bpe.decode(coded, words).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -81,6 +91,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_jump_shards": op9_jump_shards,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
     "pipeline": pipeline,
 }
 
