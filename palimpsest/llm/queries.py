@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, language_id, mixing, secrets, sharding, simhash, suffix_dedup, url_filter
+from . import byte_bpe, decontaminate, divergence, exact_dedup, html_text, language_id, mixing, secrets, sharding, simhash, suffix_dedup, url_filter
 from . import pipeline as stages
 from .common import scan
 
@@ -76,6 +76,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(coded, words).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(scan(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op9_jump_shards": op9_jump_shards,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_source_divergence": op12_source_divergence,
     "pipeline": pipeline,
 }
 
@@ -154,5 +159,31 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept,
   sha256({_LOWER}) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY {_LOWER})
+""",
+    # Every group against every kept term, one by one.
+    "op12_source_divergence": """
+WITH d AS (SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT nr, lang, source, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS c FROM w GROUP BY lang, term HAVING count(DISTINCT nr) >= 3),
+c AS (SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS c FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (sum(coalesce(c.c, 0)) OVER (PARTITION BY g.lang, g.source) + count(*) OVER (PARTITION BY g.lang, g.source))::HUGEINT AS p
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (c + 1) // (sum(c) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang))::HUGEINT AS q FROM k),
+f AS (
+  SELECT a.lang, a.source, o.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM g a JOIN g o ON a.lang = o.lang AND a.source <> o.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = o.lang AND y.source = o.source AND y.term = x.term GROUP BY ALL),
+t AS (
+  SELECT p.lang, p.source, p.term AS item, (p.p - q.q) * (p.p - q.q) // q.q AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM f
+UNION ALL
+SELECT lang, source, 'term', item, value::BIGINT, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT FROM t
+QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 200
 """,
 }
