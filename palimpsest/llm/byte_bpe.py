@@ -17,6 +17,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import Broadcast
@@ -104,7 +105,13 @@ class Vocabulary:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self.pairs = PairTable(*(np.array(c, np.int64) for c in zip(*pairs))) if pairs else PairTable(*(np.zeros(0, np.int64),) * 3)
-        self.tokens = {r: t for t, r in ranks.items()}
+        self.ids = np.array(sorted(ranks.values()), np.int64)
+        self.tokens = np.array([t for t, _ in sorted(ranks.items(), key=lambda x: x[1])] + [b""], object)
+
+    def bytes_of(self, ids: np.ndarray) -> list[bytes]:
+        """The token of each id, b"" for ids that are not in the vocabulary."""
+        at = np.searchsorted(self.ids, ids) if self.ids[-1] != self.ids.size - 1 else np.clip(ids, 0, self.ids.size)
+        return self.tokens[np.where(np.append(self.ids, -1)[at] == ids, at, -1)].tolist()
 
 
 def engine_differences() -> dict[int, int]:
@@ -214,6 +221,18 @@ def merge_along(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     return out[out >= 0]
 
 
+class Numbers(dict):
+    """Numbers for pieces in order of first sight; new holds those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        return self.setdefault(piece, len(self))
+
+
 class Encoder:
     """Encodes texts block by block; pieces met before are looked up, as many as KNOWN_PIECES."""
 
@@ -224,7 +243,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat, self.end = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def pieces(self, text: str) -> Iterator[list[str]]:
@@ -239,16 +258,11 @@ class Encoder:
         while block := list(islice(found, BLOCK_PIECES)):
             yield block
 
-    def learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if not new:
-            return
+    def learn(self, new: list[str]) -> None:
         raw = [p.encode() for p in new]
-        whole = [self.vocabulary.ranks.get(b, -1) for b in raw]
-        flat, end = merge_rows([b if r < 0 else b"\0" for b, r in zip(raw, whole)], self.vocabulary)
-        is_whole = np.array(whole) >= 0
-        flat[end[:-1][is_whole]] = np.array(whole, np.int32)[is_whole]
-        self.known.update(zip(new, range(self.end.size - 1, self.end.size - 1 + len(new))))
+        whole = np.array([self.vocabulary.ranks.get(b, -1) for b in raw])
+        flat, end = merge_rows([b if r < 0 else b"\0" for b, r in zip(raw, whole.tolist())], self.vocabulary)
+        flat[end[:-1][whole >= 0]] = whole[whole >= 0]
         self.flat = np.concatenate([self.flat, flat])
         self.end = np.concatenate([self.end, self.end[-1] + end[1:]])
 
@@ -256,8 +270,10 @@ class Encoder:
         """(ids of the pieces in a row, number of ids of each piece)."""
         if len(self.known) > KNOWN_PIECES:
             self.forget()
-        self.learn(pieces)
-        code = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        code = np.array(list(map(self.known.__getitem__, pieces)), np.int64)
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
         size = self.end[code + 1] - self.end[code]
         behind = np.cumsum(size)
         shift = self.end[code] - (behind - size)
@@ -324,10 +340,13 @@ def decode(coded: DataFrame, words: Broadcast, ids: str = "ids", decoded: str =
     schema = T.StructType([*(given.schema[c] for c in own), T.StructField(decoded, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = words.value.tokens
         for batch in batches:
             for part in slices(batch, "__ids", 1 << 20):
-                texts = [b"".join([token.get(i, b"") for i in row]) for row in part.column("__ids").to_pylist()]
+                lists = part.column("__ids")
+                size = pc.list_value_length(lists).to_numpy()
+                tokens = words.value.bytes_of(lists.flatten().fill_null(-1).to_numpy())
+                end = np.cumsum(size).tolist()
+                texts = [b"".join(tokens[e - n : e]) for e, n in zip(end, size.tolist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(texts, pa.binary())], [*own, decoded])
 
     return given.mapInArrow(run, schema)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, divergence, exact_dedup, html_text, language_id, mixing, secrets, sharding, simhash, suffix_dedup, url_filter
+from . import byte_bpe, decontaminate, divergence, exact_dedup, html_text, language_id, mixing, periodic_runs, secrets, sharding, simhash, suffix_dedup, url_filter
 from . import pipeline as stages
+from ..functions.text import let
 from .common import scan
 
 # The rules of op8.
@@ -80,6 +81,30 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(scan(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+def repeated_tail(doc_id: Column, text: Column) -> Column:
+    """The text, or for one document in ten (by its doc_id) its words with the end said over and over."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def said(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        start = F.when(n > 0, g % n).otherwise(0)
+        plan = F.struct(start.alias("a"), (1 + F.floor((n - start) / (3 + g % 8))).alias("p"))
+        return let(plan, lambda at: F.array_join(F.transform(words, lambda w, i: F.when(i < at.a, w).otherwise(F.get(words, (at.a + (i - at.a) % at.p).cast("int")))), " "))
+
+    return F.when(h % 10 == 0, let(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), said)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents").select("doc_id", repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.collapse(docs)
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(r.length * b.period > b.length * r.period, r).otherwise(b))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -97,6 +122,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_source_divergence": op12_source_divergence,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 
