@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -32,8 +33,8 @@ MAX_VOCABULARY_BYTES = 1 << 26
 # Wider rows would cost the square of their length; they are merged along a list with a heap, with the same result.
 WIDEST = 512
 MATRIX_CELLS = 1 << 19
-BLOCK_PIECES = 1 << 17
-KNOWN_PIECES = 1 << 18
+BLOCK_PIECES = 1 << 18
+KNOWN_PIECES = 1 << 19
 NO_PAIR = np.int32(2**31 - 1)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -266,11 +267,13 @@ class Encoder:
         self.flat = np.concatenate([self.flat, flat])
         self.end = np.concatenate([self.end, self.end[-1] + end[1:]])
 
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, pieces: list[str], has_nul: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces in a row, number of ids of each piece)."""
         if len(self.known) > KNOWN_PIECES:
             self.forget()
-        code = np.array(list(map(self.known.__getitem__, pieces)), np.int64)
+        # pandas numbers a block's strings fast, but sees them only up to a NUL.
+        own, distinct = (slice(None), pieces) if has_nul else pd.factorize(np.array(pieces, object))
+        code = np.array(list(map(self.known.__getitem__, distinct)), np.int64)[own]
         if self.known.new:
             self.learn(self.known.new)
             self.known.new = []
@@ -282,18 +285,19 @@ class Encoder:
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
         out, count = [], np.zeros(len(texts), np.int64)
-        block, owner = [], []
+        block, owner, nul = [], [], []
 
         def flush():
-            ids, size = self.encode(block)
+            ids, size = self.encode(block, any(nul))
             out.append(ids)
             np.add.at(count, np.repeat([o for o, _ in owner], [n for _, n in owner]), size)
-            block.clear(), owner.clear()
+            block.clear(), owner.clear(), nul.clear()
 
         for k, text in enumerate(texts):
             for found in self.pieces(text):
                 block += found
                 owner.append((k, len(found)))
+                nul.append("\0" in text)
                 if len(block) >= BLOCK_PIECES:
                     flush()
         if block:

@@ -32,7 +32,7 @@ def texts():
     scripts = [range(32, 127), range(0x80, 0x3000), range(0x4E00, 0x9FFF), range(0x10000, 0x32000)]
     mixed = ["".join(chr(rng.choice(rng.choice(scripts))) for _ in range(rng.randrange(300))) for _ in range(150)]
     letters = ["".join(rng.choices("etaoinsh", k=rng.randrange(1, 60))) for _ in range(400)]
-    hand = ["", " ", "\n\n  x 's don't  I'LL  ", "<|endoftext|>", "\x00\x01   é 　 ", "a" * 3000, "=" * 700, "日本語" * 200, "  \t\r\n", "1234567890" * 30]
+    hand = ["\x00", "\x00\x01\x02 a\x00b a\x00c", "", " ", "\n\n  x 's don't  I'LL  ", "<|endoftext|>", "\x00\x01   é 　 ", "a" * 3000, "=" * 700, "日本語" * 200, "  \t\r\n", "1234567890" * 30]
     bounds = ["".join(rng.choices("abcdefgh+/09", k=n)) for n in (1, 2, 3, 511, 512, 513, 514, 2000)]
     return hand + bounds + mixed + [" ".join(letters)]
 
