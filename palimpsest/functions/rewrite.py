@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .text import js_len, lines
+from .text import JS_SPACE, js_len, let, lines
 
 NUMBERED = "^ +\\d+[\\t→]"
 ACCEPT = 0.9
@@ -31,70 +29,41 @@ def normalize_whitespace(c: Column) -> Column:
     return F.regexp_replace(F.array_join(trimmed, "\n"), "\n{3,}", "\n\n")
 
 
+# A closed block comment with the blanks before it at a line's start, or a closed markup comment; or all from
+# an open one on, which stays (group 1). Bodies are single characters, which Java repeats without recursion.
+_COMMENTS = "(?s)(?<![^\\n])[ \\t]*/\\*.*?\\*/|<!--.*?-->|((?:(?<![^\\n])[ \\t]*/\\*|<!--).*)"
+
+
+def _quoted(mark: str) -> str:
+    """A string up to its closing mark or the line's end; a mark after a backslash is no mark."""
+    return f"(?<!\\\\){mark}[^{mark}]*+(?:(?<=\\\\){mark}[^{mark}]*+)*+{mark}?+"
+
+
+def _before_comment(hash_opens: bool) -> str:
+    """The longest start of a line that holds no opener of a comment outside strings: possessive
+    throughout, so nothing is tried twice and no line is too long."""
+    marks = "'\"`/" + ("#" if hash_opens else "")
+    parts = (f"[^{marks}]++", f"(?<=\\\\)[{marks}]", "/(?!/)", *map(_quoted, "'\"`"))
+    return f"^((?:{'|'.join(parts)})*+)"
+
+
 def strip_markup_comments(c: Column) -> Column:
     """Without closed block comments at line starts and closed markup comments anywhere; the text from
     an unclosed one on is kept as it is."""
-    return strip_block_comments(c)
-
-
-def drop_block_comments(text: str) -> str:
-    out: list[str] = []
-    at, size = 0, len(text)
-    line_start = True
-    while at < size:
-        if line_start:
-            j = at
-            while j < size and text[j] in " \t":
-                j += 1
-            if text.startswith("/*", j):
-                close = text.find("*/", j + 2)
-                if close < 0:
-                    break
-                at, line_start = close + 2, False
-                continue
-        markup, line = text.find("<!--", at), text.find("\n", at)
-        if markup == at:
-            close = text.find("-->", at + 4)
-            if close < 0:
-                break
-            at, line_start = close + 3, False
-            continue
-        stop = min(x for x in (markup if markup >= 0 else size, line + 1 if line >= 0 else size))
-        out.append(text[at:stop])
-        at, line_start = stop, text[stop - 1] == "\n"
-    return "".join(out) + text[at:]
-
-
-def cut_line_comment(line: str) -> str:
-    quote = ""
-    for i, ch in enumerate(line):
-        if i and line[i - 1] == "\\":
-            continue
-        if ch in "'\"`":
-            if not quote:
-                quote = ch
-            elif quote == ch:
-                quote = ""
-            continue
-        if quote:
-            continue
-        if (ch == "/" and line[i + 1 : i + 2] == "/") or (ch == "#" and not line.startswith("#!")):
-            return line[:i].rstrip()
-    return line
-
-
-@F.pandas_udf(T.StringType())
-def strip_block_comments(text: pd.Series) -> pd.Series:
-    return text.map(drop_block_comments, na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def strip_comments(text: pd.Series) -> pd.Series:
-    """Without block, markup and line comments; runs of blank lines become one."""
-    import re
+    return F.regexp_replace(c, _COMMENTS, "$1")
+
+
+def cut_line_comment(line: Column) -> Column:
+    """A line up to its // or # outside strings, and its end trimmed where one is cut; # opens no comment
+    in a line that starts with #!."""
+    kept = F.when(F.startswith(line, F.lit("#!")), F.regexp_extract(line, _before_comment(False), 1)).otherwise(F.regexp_extract(line, _before_comment(True), 1))
+    return let(F.struct(line.alias("line"), kept.alias("kept")), lambda x: F.when(F.length(x.kept) < F.length(x.line), F.regexp_replace(x.kept, f"[{JS_SPACE}]++\\z", "")).otherwise(x.line))
 
-    blank = re.compile(r"\n\s*\n\s*\n")
-    return text.map(lambda t: blank.sub("\n\n", "\n".join(map(cut_line_comment, drop_block_comments(t).split("\n")))), na_action="ignore")
+
+def strip_comments(c: Column) -> Column:
+    """Without block, markup and line comments; runs of blank lines become one."""
+    plain = F.array_join(F.transform(lines(strip_markup_comments(c)), cut_line_comment), "\n")
+    return F.regexp_replace(plain, f"\n[{JS_SPACE}]*\n[{JS_SPACE}]*\n", "\n\n")
 
 
 def accepted(text: Column, rewritten: Column, share: float = ACCEPT) -> Column:

@@ -35,27 +35,30 @@ def tokens(c: Column) -> Column:
     return F.coalesce(F.filter(every, lambda w: F.length(w) >= 2), F.array().cast("array<string>"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str, query_id: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str, query_id: str | None, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """(target, query_id, line, score) of all lines that hold a term of a query.
 
     docs has a row for each line of a target; every line counts in N and the mean length. Only terms of
     queries are counted: tokens meet the distinct query terms before the frequencies are aggregated.
+    Without a query_id every target has a query of its own, in a row (target, query), and no other's.
     """
+    own = [target] if query_id is None else []
+    named = own or [query_id]
     toked = docs.select(target, line, tokens(F.col(text)).alias("toks"))
     toked = toked.withColumn("dl", F.size("toks"))
     sizes = toked.groupBy(target).agg(F.count("*").alias("n_lines"), F.avg("dl").alias("avgdl"))
-    terms = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
-    wanted = terms.select("term").distinct()
+    terms = queries.select(*named, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
+    wanted = terms.select(*own, "term").distinct()
     # The outer form, as the inner one makes the scan below filter by the tokens and so find them twice.
     each = toked.select(target, line, "dl", F.explode_outer("toks").alias("term")).where("term is not null")
-    tf = each.join(wanted, "term", "left_semi").groupBy(target, line, "dl", "term").agg(F.count("*").alias("f"))
+    tf = each.join(wanted, [*own, "term"], "left_semi").groupBy(target, line, "dl", "term").agg(F.count("*").alias("f"))
     # Counting by f keeps both readers of tf on one exchange.
     df = tf.groupBy(target, "term").agg(F.count_if(F.col("f") > 0).alias("df"))
     scored = tf.join(df, [target, "term"]).join(sizes, target)
     idf = F.log(1 + (F.col("n_lines") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * (F.col("dl") / F.col("avgdl")))))
-    weighed = scored.select(target, line, "term", part.alias("part")).join(terms, "term")
-    return weighed.groupBy(target, query_id, line).agg(F.sum("part").alias("score"))
+    weighed = scored.select(target, line, "term", part.alias("part")).join(terms, [*own, "term"])
+    return weighed.groupBy(*dict.fromkeys([target, *named, line])).agg(F.sum("part").alias("score"))
 
 
 def rerank(lines: DataFrame, target: str, line: str, text: str, score: str, query_terms: Column) -> DataFrame:

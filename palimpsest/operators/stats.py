@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
-from ..workdir import materialize
 
 T_95 = 2.776  # two-sided 95 % quantile of Student's t with four degrees of freedom, for five runs
 REQUESTS, COMPRESSIBLE = 200, 0.6
@@ -68,26 +66,24 @@ def weighted_savings(arms: DataFrame, control: str = "control", treated: str = "
     )
 
 
-def sweep(scenarios: DataFrame, configs: dict[str, tuple[int | None, tuple[str, ...]]], rewrite: Callable[[DataFrame, tuple[str, ...]], DataFrame], counts: tuple[str, ...]) -> DataFrame:
+def sweep(scenarios: DataFrame, configs: dict[str, tuple[int | None, tuple[str, ...]]], rewrite: Callable[[DataFrame, dict[str, tuple[str, ...]]], DataFrame], counts: tuple[str, ...]) -> DataFrame:
     """(config, level, original, compressed, percent, token_percent): what each configuration of name ->
-    (level, stages) makes of scenarios(text), by rewriting them: rewrite(scenarios, stages) adds
-    compressed, null where a text stays. counts names the stages that rewrite looks at; configurations
-    alike in these are rewritten once, from scenarios written once."""
+    (level, stages) makes of scenarios(text). rewrite(scenarios, name -> stages) adds a column of each
+    name, null where a text stays. counts names the stages that rewrite looks at: configurations alike in
+    these are one, and all are measured in one pass and one aggregate."""
     alike: dict[tuple[str, ...], list[str]] = {}
     for name, (_, stages) in configs.items():
         alike.setdefault(tuple(s for s in counts if s in stages), []).append(name)
-    scenarios = materialize(scenarios.select("text"), "scenarios")
-    frames = []
-    for stages, names in alike.items():
-        kept = F.coalesce("compressed", "text")
-        done = rewrite(scenarios, stages).select(
-            F.octet_length("text").alias("a"), F.octet_length(kept).alias("b"), token_estimate(F.col("text")).alias("c"), token_estimate(kept).alias("d")
-        )
-        sums = done.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "abcd"])
-        each = F.explode(F.array(*[F.struct(F.lit(n).alias("config"), F.lit(configs[n][0]).cast("int").alias("level")) for n in names])).alias("x")
-        frames.append(sums.select(each, *"abcd"))
+    variants = {f"__v{k}": stages for k, stages in enumerate(alike)}
+    done = rewrite(scenarios.select("text"), variants)
+    size, tokens = (lambda c: F.octet_length(c)), token_estimate
+    kept = {v: F.coalesce(v, "text") for v in variants}
+    measured = done.select(size(F.col("text")).alias("a"), tokens(F.col("text")).alias("c"), *[f(k).alias(v + x) for v, k in kept.items() for x, f in (("b", size), ("d", tokens))])
+    sums = measured.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in measured.columns])
+    row = lambda v, n: F.struct(F.lit(n).alias("config"), F.lit(configs[n][0]).cast("int").alias("level"), F.col(v + "b").alias("b"), F.col(v + "d").alias("d"))
+    each = sums.select("a", "c", F.inline(F.array(*[row(v, n) for v, names in zip(variants, alike.values()) for n in names])))
     share = lambda before, after: F.round(100.0 * F.coalesce(F.try_divide(F.col(before) - F.col(after), F.col(before)), F.lit(0.0)), 6)
-    return reduce(DataFrame.unionByName, frames).select("x.config", "x.level", F.col("a").alias("original"), F.col("b").alias("compressed"), share("a", "b").alias("percent"), share("c", "d").alias("token_percent"))
+    return each.select("config", "level", F.col("a").alias("original"), F.col("b").alias("compressed"), share("a", "b").alias("percent"), share("c", "d").alias("token_percent"))
 
 
 def survival(trimmed: DataFrame, kept: str, gold: str, definitions: str) -> DataFrame:

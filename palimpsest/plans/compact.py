@@ -18,6 +18,14 @@ PARAPHRASERS: dict[str, Callable[[Column], Column]] = {}
 #: Stages that look at other rows.
 ACROSS = ("dedup", "diff", "read-diff", "graph", "disclosure", "bm25-trim")
 NEURAL = ("llmlingua", "foundation-models", "textpress")
+#: Stages of text in the order they are applied, and those of JSON.
+TEXT_STEPS: dict[str, Callable[[Column], Column]] = {
+    "cmd-strip": lambda t: F.coalesce(F.col("__cmd"), t),
+    "strip-lines": rewrite.strip_line_numbers,
+    "whitespace": rewrite.normalize_whitespace,
+    "strip-comments": rewrite.strip_comments,
+}
+JSON_STEPS = ("minify", "prune", "toon")
 
 
 def rewrite_rows(df: DataFrame, config: Config = Config()) -> DataFrame:
@@ -27,40 +35,64 @@ def rewrite_rows(df: DataFrame, config: Config = Config()) -> DataFrame:
     a tenth goes; JSON is pruned, minified and laid out in columns. Else the first paraphraser whose
     stage is on and that is registered may try, but never on texts that must survive word for word.
     """
+    done = rewrite_each(df, {"__one": config})
+    return done.withColumn("compressed", F.col("__one.text")).withColumn("method", F.col("__one.method")).drop("__one")
+
+
+def rewrite_each(df: DataFrame, configs: dict[str, Config]) -> DataFrame:
+    """df(text) with content_class and for each configuration a column of its name, the struct (text,
+    method) that rewrite_rows makes of a row, null where nothing is gained.
+
+    The configurations' text stages form a trie: they come in one order, so configurations that begin
+    alike share those steps, and each node of the trie is worked out once a row from its parent.
+    """
     text = F.col("text")
+    sizes = {c.min_size for c in configs.values()}
+    if len(sizes) != 1:
+        raise ValueError("configurations of one pass have one least size")
     out = df.withColumn("content_class", classify.content_class(text))
-    large = classify.is_large_enough(text, config.min_size)
-    out = out.withColumn("__kind", F.when(large, F.col("content_class")))
-    step = text
-    name = F.lit(None).cast("string")
-    if config.has("cmd-strip"):
-        out = out.withColumn("__dialect", F.when(F.col("__kind") == "text", commands.dialect(text)))
+    out = out.withColumn("__kind", F.when(classify.is_large_enough(text, sizes.pop()), F.col("content_class")))
+    out = out.withColumn("__t", F.when(F.col("__kind") == "text", text))
+    if any(c.has("cmd-strip") for c in configs.values()):
+        out = out.withColumn("__dialect", commands.dialect(F.col("__t")))
         stripped = commands.strip_command(text, F.col("__dialect"))
         out = out.withColumn("__cmd", F.when(F.col("__dialect").isNotNull() & (js_len(stripped) < js_len(text)), stripped))
-        step, name = F.coalesce("__cmd", "text"), F.when(F.col("__cmd").isNotNull(), F.col("__dialect"))
-    if config.has("strip-lines"):
-        step = rewrite.strip_line_numbers(step)
-    if config.has("whitespace"):
-        step = rewrite.normalize_whitespace(step)
-    if config.has("strip-comments"):
-        step = rewrite.strip_comments(step)
-    out = out.withColumn("__text", F.when(F.col("__kind") == "text", step)).withColumn("__name", name)
-    ok = rewrite.accepted(text, F.col("__text"))
-    method = F.when(F.col("__name").isNotNull() & (js_len(F.col("__text")) == js_len(F.col("__cmd") if config.has("cmd-strip") else text)), F.concat(F.lit("cmd-strip:"), F.col("__name"))).otherwise("normalize")
-    result = F.when(ok, F.struct(F.col("__text").alias("text"), method.alias("method")))
-    if config.has("minify") or config.has("prune") or config.has("toon"):
+    paths = {name: tuple(s for s in TEXT_STEPS if config.has(s)) for name, config in configs.items()}
+    nodes = {path[:k]: "" for path in paths.values() for k in range(len(path) + 1)}
+    for k, node in enumerate(sorted(nodes, key=lambda n: (len(n), n))):
+        nodes[node] = f"__t{k}" if node else "__t"
+    for depth in range(1, len(TEXT_STEPS) + 1):
+        level = {column: TEXT_STEPS[node[-1]](F.col(nodes[node[:-1]])) for node, column in nodes.items() if len(node) == depth}
+        out = out.withColumns(level) if level else out
+    # The parts of the methods and of what is accepted, once a leaf.
+    leaves = {path: nodes[path] for path in paths.values()}
+    length = js_len(F.col("__cmd")) if "__cmd" in out.columns else None
+    made = {}
+    for path, column in leaves.items():
+        method = F.lit("normalize")
+        if path[:1] == ("cmd-strip",):
+            method = F.when(F.col("__cmd").isNotNull() & (js_len(F.col(column)) == length), F.concat(F.lit("cmd-strip:"), F.col("__dialect"))).otherwise(method)
+        made[f"{column}r"] = F.when(rewrite.accepted(text, F.col(column)), F.struct(F.col(column).alias("text"), method.alias("method")))
+    out = out.withColumns(made)
+    chains = {name: frozenset(s for s in JSON_STEPS if config.has(s)) for name, config in configs.items()}
+    order = sorted({c for c in chains.values() if c}, key=sorted)
+    if order:
         raw = F.when(F.col("__kind") == "json-lined", rewrite.strip_line_numbers(text)).when(F.col("__kind") == "json", text)
         safe = F.when(raw.isNotNull() & ~classify.has_unsafe_integer(raw), raw)
-        short = json_text.json_chain(frozenset(config.stages))(text, safe)
-        result = F.when(safe.isNotNull() & short["text"].isNotNull(), F.struct(short["text"].alias("text"), short["method"].alias("method"))).otherwise(result)
-    stage = next((s for s in NEURAL if config.has(s) and s in PARAPHRASERS), None)
-    out = out.withColumn("__result", result)
-    if stage:
-        tried = PARAPHRASERS[stage](F.col("__text"))
-        may = F.col("__result").isNull() & (F.col("__kind") == "text") & ~classify.is_verbatim(F.col("__text"))
-        out = out.withColumn("__result", F.when(may & rewrite.accepted(text, tried), F.struct(tried.alias("text"), F.lit(stage).alias("method"))).otherwise(F.col("__result")))
-    done = out.withColumn("compressed", F.col("__result.text")).withColumn("method", F.col("__result.method"))
-    return done.drop("__kind", "__dialect", "__cmd", "__text", "__name", "__result")
+        out = out.withColumn("__json", json_text.json_chains(order)(text, safe))
+    for name, config in configs.items():
+        result = F.col(f"{leaves[paths[name]]}r")
+        if chains[name]:
+            short = F.get(F.col("__json"), F.lit(order.index(chains[name])))
+            result = F.coalesce(F.when(short["text"].isNotNull(), F.struct(short["text"].alias("text"), short["method"].alias("method"))), result)
+        stage = next((s for s in NEURAL if config.has(s) and s in PARAPHRASERS), None)
+        out = out.withColumn(name, result)
+        if stage:
+            source = F.col(leaves[paths[name]])
+            tried = PARAPHRASERS[stage](source)
+            may = F.col(name).isNull() & (F.col("__kind") == "text") & ~classify.is_verbatim(source)
+            out = out.withColumn(name, F.when(may & rewrite.accepted(text, tried), F.struct(tried.alias("text"), F.lit(stage).alias("method"))).otherwise(F.col(name)))
+    return out.drop("__kind", "__dialect", "__cmd", "__json", *nodes.values(), *made)
 
 
 def compact(targets: DataFrame, config: Config = Config(), user_text: DataFrame | None = None) -> DataFrame:
@@ -104,9 +136,9 @@ def compact(targets: DataFrame, config: Config = Config(), user_text: DataFrame
             folded = disclosure.summarize(large, least=config.disclosure_bytes).where(js_len(F.col("summary")) < js_len(F.col("text")))
             steps.append(("disclosure", folded.select(*key, F.col("summary").alias("__new"))))
         if config.has("bm25-trim"):
-            cut = trim.trim_udf(config.trim_tokens)("text", "user_text", "path")["trimmed"]
             long = large.where((F.octet_length("text") > config.trim_bytes) & (F.length("user_text") > 0))
-            steps.append(("bm25-trim", long.select(*key, cut.alias("__new")).where("__new is not null")))
+            cut = trim.trim(long, key, "text", "user_text", "path", config.trim_tokens)
+            steps.append(("bm25-trim", cut.select(*key, F.col("trimmed").alias("__new"))))
     for k, (_, found) in enumerate(steps):
         rows = rows.join(found.withColumnRenamed("__new", f"__new{k}"), key, "left")
     chosen = [(name, F.col(f"__new{k}")) for k, (name, _) in enumerate(steps)]

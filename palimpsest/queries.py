@@ -12,7 +12,7 @@ from .queries_requests import quoted as requests_json
 from .catalogue import ORACLE_SQL, QUERIES, query, spread, strict, table
 from .functions import classify, commands, json_text, metrics, redact, rewrite
 from .functions.text import count_label, js_len, size_label, token_estimate
-from .operators import crossrow, disclosure, ranking, similarity, stats, trim
+from .operators import crossrow, disclosure, ranking, similarity, stats, structure, trim
 from .plans import compact as plans
 from .sources import requests
 from .streaming import sessions
@@ -496,20 +496,21 @@ def bm25_rerank(spark, sf_dir):
     return done.select("target", "line", F.round("score", 6).alias("score"), F.round("reranked", 6).alias("reranked"))
 
 
-@query(f"""WITH b AS (SELECT doc_id, {TOKENS.format('text')} AS tokens, len(string_split(text, chr(10)))::INT AS n FROM documents WHERE strlen(text) >= 4096)
+@query(f"""WITH b AS (SELECT doc_id, {TOKENS.format('text')} AS tokens, len(string_split(text, chr(10)))::INT AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
 SELECT doc_id, tokens, n AS lines, tokens > 512 AND n >= 10 AS may, TRUE AS fits, TRUE AS in_order FROM b""")
 def trim_budget(spark, sf_dir):
-    """Documents of 4 KiB and more, trimmed to 512 tokens for a benchmark item's words each: what is kept
+    """Documents trimmed to 512 tokens for a benchmark item's words each: what is kept
     and dropped adds up, fits the budget but for its markers, and keeps first line, last line and order."""
     asks = table(spark, sf_dir, "benchmark").agg(F.array_sort(F.collect_list("text")).alias("asks"))  # a benchmark's items, bounded
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").where(F.octet_length("text") >= 4096)).join(F.broadcast(asks))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).join(F.broadcast(asks))
     docs = docs.withColumn("q", F.element_at("asks", (F.col("doc_id") % F.size("asks") + 1).cast("int"))).drop("asks")
-    cut = docs.withColumn("cut", trim.trim_udf(512)("text", "q", F.lit(None).cast("string")))
+    docs = docs.withColumn("path", F.lit(None).cast("string"))
+    cut = docs.join(trim.trim(docs, ["doc_id"], "text", "q", "path", 512).drop("tokens"), "doc_id", "left")
     n = F.size(F.split("text", "\n", -1))
-    may, trimmed = (token_estimate(F.col("text")) > 512) & (n >= 10), F.col("cut.trimmed")
+    may, trimmed = (token_estimate(F.col("text")) > 512) & (n >= 10), F.col("trimmed")
     parts = F.split(trimmed, "\n", -1)
     # First and last lines stay even where they alone are over the budget.
-    fits = trimmed.isNull() | ((F.col("cut.kept_lines") + F.col("cut.dropped_lines") == n) & ((F.col("cut.used") <= 512) | (F.col("cut.kept_lines") <= 3)))
+    fits = trimmed.isNull() | ((F.col("kept_lines") + F.col("dropped_lines") == n) & ((F.col("used") <= 512) | (F.col("kept_lines") <= 3)))
     ends = trimmed.isNull() | ((F.get(parts, 0) == F.get(F.split("text", "\n", -1), 0)) & (F.element_at(parts, -1) == F.element_at(F.split("text", "\n", -1), -1)))
     return cut.select("doc_id", token_estimate(F.col("text")).alias("tokens"), n.alias("lines"), may.alias("may"), (fits & (may | trimmed.isNull())).alias("fits"), ends.alias("in_order"))
 
@@ -521,7 +522,7 @@ def block_parent(spark, sf_dir):
     text = "\n".join(line for _, line in fx.CODE)
     rows = fx.frame(spark, [(1, text, "a.js"), (2, "def f():\n    if x:\n        y()\n\n    return\nz", "b.py"), (3, "{ open", "c.js"), (4, "", None)], "id long, text string, path string")
     docs = _plain(spark, sf_dir).select((F.col("doc_id") + 1000000).alias("id"), F.concat(F.lit("while (on) {\n"), F.col("text"), F.lit("\n}")).alias("text"), F.lit("d.js").alias("path"))
-    return rows.unionByName(docs).select("id", F.posexplode(trim.line_parents("text", "path")).alias("line", "parent"))
+    return structure.line_parents(rows.unionByName(docs), ["id"])
 
 
 # Statistics and evaluation
@@ -594,7 +595,11 @@ v AS (SELECT config, level, sum(strlen(raw))::BIGINT AS original, sum(strlen(kep
 
 def _sweep(spark, sf_dir):
     strict(spark)
-    rewrite = lambda rows, stages: plans.rewrite_rows(rows, cfg.Config(stages=stages))
+
+    def rewrite(rows, variants):
+        done = plans.rewrite_each(rows, {name: cfg.Config(stages=stages) for name, stages in variants.items()})
+        return done.withColumns({name: F.col(f"{name}.text") for name in variants})
+
     return stats.sweep(_scenarios(spark, sf_dir).select("text"), cfg.SWEEP, rewrite, _ROW_STAGES)
 
 
@@ -621,8 +626,9 @@ def trim_survival(spark, sf_dir):
     filler = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.lit("entry "), k, F.lit(" of listing "), F.col("doc_id"), F.lit(" holds nothing of note")))
     gold = F.array(F.lit("export function parseToken(input) {"), F.lit("a remark of some length that shares not one word with the question asked"))
     text = F.array_join(F.concat(filler, F.slice(gold, 1, 1), F.slice(filler, 1, 5), F.slice(gold, 2, 1), F.slice(filler, 1, 5)), "\n")
-    cut = trim.trim_udf(512)(text, F.lit("where does parseToken begin"), F.lit("notes.txt"))["trimmed"]
-    found = stats.survival(docs.select("doc_id", cut.alias("kept"), gold.alias("gold"), F.slice(gold, 1, 1).alias("definitions")), "kept", "gold", "definitions")
+    docs = docs.select("doc_id", text.alias("text"), F.lit("where does parseToken begin").alias("q"), F.lit("notes.txt").alias("path"))
+    cut = docs.select("doc_id").join(trim.trim(docs, ["doc_id"], "text", "q", "path", 512), "doc_id", "left")
+    found = stats.survival(cut.select("doc_id", F.col("trimmed").alias("kept"), gold.alias("gold"), F.slice(gold, 1, 1).alias("definitions")), "kept", "gold", "definitions")
     return found.select("doc_id", "recall", "definition_recall", "no_trim")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import fixtures
 from palimpsest.config import Config
-from palimpsest.operators import crossrow, disclosure, ranking, similarity, stats, trim
+from palimpsest.operators import crossrow, disclosure, ranking, similarity, stats
 from palimpsest.plans import compact
 from palimpsest.sources import files, requests
 from palimpsest.streaming import sessions
@@ -151,65 +151,7 @@ def test_disclosure_round_trip(spark):
     assert rows[0][1] in out[1].expanded and out[1].rehydrated == 1 and out[2].missed == 1 and out[3].expanded == "none" and rows[0][1] not in out[4].expanded and out[5].expanded is None
 
 
-CODE = "\n".join(["import x", "class Store {", "  read(key) {", "    return this.map[key]", "  }", "", "  write(key) {", "    this.map[key] = 1", "  }", "}"] + [f"log line {i} with nothing of note" for i in range(60)] + ["end"])
-
-
-def test_trim_keeps_structure():
-    out = trim.trim(CODE, "write key map", budget=120, path="a.js")
-    assert out and "  write(key) {" in out["trimmed"] and "class Store {" in out["trimmed"] and out["trimmed"].startswith("import x") and out["trimmed"].endswith("end")
-    assert out["used"] <= 120 and out["kept_lines"] + out["dropped_lines"] == CODE.count("\n") + 1
-    assert "lines omitted" in out["trimmed"] and trim.trim(CODE, "write", budget=10**6) is None and trim.trim(None, "x") is None
-
-
-@pytest.mark.parametrize("seed", range(25))
-def test_structure(seed):
-    """Innermost blocks against a scan of all blocks."""
-    rng = random.Random(seed)
-    lines, depth = [], 0
-    for _ in range(rng.randrange(5, 40)):
-        kind = rng.randrange(4)
-        if kind == 0:
-            lines.append("  " * depth + "f() {")
-            depth += 1
-        elif kind == 1 and depth:
-            depth -= 1
-            lines.append("  " * depth + "}")
-        else:
-            lines.append("  " * depth + rng.choice(["x = '{'", "y // {", "z", "/* { */ w"]))
-    while depth:
-        depth -= 1
-        lines.append("  " * depth + "}")
-    blocks = trim.brace_blocks(lines)
-    parent = trim.Structure(len(lines), blocks).parent
-    for i in range(len(lines)):
-        around = [b for b in blocks if b[1] <= i <= b[2]]
-        assert parent[i] == (max(around, key=lambda b: (b[1], -b[2]))[0] if around else -1)
-    assert trim.brace_blocks(["{"]) is None and trim.brace_blocks(["}"]) is None and trim.brace_blocks(["/* {"]) is None
-
-
-def test_indent_blocks():
-    assert trim.indent_blocks("def f():\n  if x:\n    y\n\n  z\nw".split("\n")) == [(1, 2, 2, None), (0, 1, 4, None)]
-
-
-def test_scores_match_relational(spark):
-    lines = [line for _, line in fixtures.CODE]
-    ask = "where is parseToken and the token store"
-    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "t int, line int, text string")
-    scored = ranking.bm25(df, spark.createDataFrame([(1, ask)], "q int, ask string"), "t", "line", "text", "q", "ask")
-    whole = df.join(scored.select("t", "line", "score"), ["t", "line"], "left").fillna(0.0, ["score"])
-    got = ranking.rerank(whole, "t", "line", "text", "score", ranking.tokens(F.lit(ask))).orderBy("line").collect()
-    assert [r.score for r in got] == pytest.approx(trim.score_lines(lines, ask, rerank=False))
-    assert [r.reranked for r in got] == pytest.approx(trim.score_lines(lines, ask))
-    some = ["É straße ISO-8859 XMLParser __init__ HTTPserver v2Beta3", "getHTTPResponse_code", "a.b-c", "x", "", "snake_case camelCase"]
-    toks = spark.createDataFrame([(s,) for s in some], "x string").select(ranking.tokens(F.col("x")).alias("t")).collect()
-    assert [sorted(r.t) for r in toks] == [sorted(trim.tokenize(s)) for s in some]
-
-
-def test_retrieval_quality(spark):
-    """A definition asked for by name comes out on top, and the ideal order has NDCG 1."""
-    lines = [line for _, line in fixtures.CODE]
-    scores = trim.score_lines(lines, "parseToken")
-    assert max(range(len(lines)), key=scores.__getitem__) == 1
+def test_ideal_order(spark):
     rows = [("a", 3.0, 1, True), ("a", 2.0, 2, True), ("a", 1.0, 3, False), ("b", 1.0, 1, False), ("b", 0.5, 2, True)]
     got = {r.g: r.ndcg for r in ranking.ndcg(spark.createDataFrame(rows, "g string, s double, p int, gold boolean"), "g", "s", "p", "gold").collect()}
     assert got["a"] == pytest.approx(1) and got["b"] == pytest.approx(1 / math.log2(3))

@@ -133,9 +133,56 @@ def test_comments(spark, text, want):
     assert one(spark, text, rewrite.strip_comments) == want
 
 
-def test_comments_are_linear():
-    assert len(rewrite.drop_block_comments("/* x\n" * 100_000)) == 500_000
-    assert rewrite.drop_block_comments("<!-- a -->" * 100_000) == ""
+def slow_comment_cut(text):
+    """Comment stripping character by character."""
+    out, at = "", 0
+    while at < len(text):
+        line = text[text.rfind("\n", 0, at) + 1 : at]
+        blanks = len(text[at:]) - len(text[at:].lstrip(" \t"))
+        opener, closer = ("/*", "*/") if line == "" and text.startswith("/*", at + blanks) else ("<!--", "-->") if text.startswith("<!--", at) else (None, None)
+        if opener is None:
+            out, at = out + text[at], at + 1
+            continue
+        begin = at + (blanks if opener == "/*" else 0)
+        end = text.find(closer, begin + len(opener))
+        if end < 0:
+            return out + text[at:]
+        at = end + len(closer)
+    return out
+
+
+def slow_line_cut(line):
+    quote = None
+    for i, c in enumerate(line):
+        escaped = i > 0 and line[i - 1] == "\\"
+        if escaped:
+            pass
+        elif quote:
+            quote = None if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif line[i : i + 2] == "//" or (c == "#" and line[:2] != "#!"):
+            return line[:i].rstrip(" \t\r")
+    return line
+
+
+def test_comments_against_characters(spark):
+    rng = random.Random(11)
+    parts = ["/*", "*/", "<!--", "-->", "//", "#", "#!", "\\", "'", '"', "`", "\n", "\n", " ", "\t", "a", "b c", "/", "*"]
+    given = ["".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(given)), "id int, t string").repartition(4)
+    got = df.select("id", rewrite.strip_markup_comments(F.col("t")).alias("a"), F.array_join(F.transform(F.split("t", "\n"), rewrite.cut_line_comment), "\n").alias("b")).collect()
+    for r in got:
+        assert r.a == slow_comment_cut(given[r.id]), given[r.id]
+        assert r.b == "\n".join(map(slow_line_cut, given[r.id].split("\n"))), given[r.id]
+
+
+def test_comments_are_linear(spark):
+    """No length of text, line or string is too much for the expressions, open or closed."""
+    assert len(one(spark, "/* x\n" * 100_000, rewrite.strip_markup_comments)) == 500_000
+    assert one(spark, "<!-- a -->" * 100_000, rewrite.strip_markup_comments) == ""
+    for text in ("a 'b' \"c\" /d " * 40_000, "'" + "\\'" * 200_000, "'" * 300_001, "/ " * 300_000, "\\#" * 200_000, "`x" * 100_001):
+        assert one(spark, text, rewrite.strip_comments) == text
 
 
 def test_whitespace_is_linear(spark):
