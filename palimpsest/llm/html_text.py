@@ -2,22 +2,22 @@
 
 The DOM tree of every page is aligned with that of a reference page of its host by simple tree
 matching (Yang, 1991). A part that says the same on most aligned pages is the host's template and
-goes, inside an article as well as around it; slots that vary are content. Parts whose element or
-name says what they are (menus, adverts, forms, comments) go in any case. What is left is narrowed
-to the article, its title and its lead where a page has one.
+goes, inside an article as well as around it, whatever it is called; slots that vary are content.
+Varying parts whose element or name says what they are (adverts, forms, comments) go too. What is
+left is narrowed to the articles, their titles and leads where a page has them.
 
 Trees are arrays of nodes in page order, and all walks are loops, so neither deep nor wide pages
-exhaust a stack. Subtrees of equal shape match as wholes, and children are aligned sparsely.
+exhaust a stack. Sources are read in one pass, and subtrees are matched once for each pair of shapes.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +27,10 @@ from .url_filter import parse_url
 
 REFERENCE_BYTES = 64 << 20
 LEAST_SAME, LEAST_SHARE = 3, 0.5
-#: Children are all compared with each other up to FULL pairs, and beyond that within BAND places of the diagonal.
-FULL, BAND = 144, 4
-#: An article with this share of its text in links is a teaser; one beside a longer article if it has a link and is this much shorter.
-TEASER_LINKS, TEASER_LENGTH = 0.5, 0.25
+#: An article, or a part before one, with this share of its text in links is a teaser.
+TEASER_LINKS = 0.5
+#: Pairs of shapes whose matching a wrapper remembers.
+REMEMBERED = 1 << 16
 #: Hosts with more than one in HOT_SHARE pages are split where references are too large to broadcast.
 HOT_SHARE = 1000
 
@@ -49,16 +49,15 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend"}
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p".split())
 
 # Elements, roles and names that mark what is not main text. A name counts as a whole
-# token of class or id, alone or between the neutral words before and behind it.
+# token of class or id, alone or between the neutral words before and behind it, joined or run together.
 DROPPED = frozenset("nav footer aside form script style noscript template iframe svg button select input textarea dialog head title object canvas menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 NAMES = (
     "nav navbar navigation menu menubar footer sidebar sidebars aside ad ads advert adverts advertisement advertising sponsor sponsored promo "
     "banner cookie cookies consent notice notices alert popup modal overlay comment comments respond reply replies disqus "
-    "breadcrumb breadcrumbs share sharing social related newsletter subscribe signup widget widgets pagination pager masthead"
+    "breadcrumb breadcrumbs share sharing social related newsletter subscribe signup widget widgets pagination pager masthead adsbygoogle"
 ).split()
 BEFORE = "site page main top bottom global primary secondary header footer mobile side left right reader user site-wide".split()
 BEHIND = (
@@ -69,20 +68,24 @@ BEHIND = (
 HEADER_NAMES = frozenset({"header", "topbar", "head", "site-header", "page-header", "main-header", "top-bar", "header-bar"})
 MAIN_NAMES = frozenset("content main article post entry story maincontent articlebody main-content post-content entry-content article-content article-body story-body post-body".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.DOTALL)
+#: Names that a paragraph of an article may bear for what it is about.
+TOPICS = frozenset("social related reply respond alert signup share sharing".split())
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_ASIDE = re.compile(rf"(?:(?:{'|'.join(BEFORE)})[-_]+)*(?:{'|'.join(NAMES)})(?:[-_]+(?:{'|'.join(BEHIND)}|\d+))*")
+_ASIDE = re.compile(rf"(?:(?:{'|'.join(BEFORE)})[-_]*)*(?:{'|'.join(NAMES)})(?:[-_]*(?:{'|'.join(BEHIND)}|\d+))*")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parts", "kids", "parent", "at", "size", "shape", "text", "mains", "drop", "bulk", "linked")
+    __slots__ = ("tag", "attributes", "parts", "kids", "parent", "at", "size", "shape", "text", "said", "mains", "drop", "bulk", "linked")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None, at: int) -> None:
         self.tag, self.attributes, self.parent, self.at = tag, attributes, parent, at
         self.parts: list[Node | str] = []
         self.kids: list[Node] = []
         self.size = 1  # nodes of the subtree, which follow each other in page order
-        self.shape = self.text = 0  # hashes of the subtree's labels and of its words
+        self.shape = self.text = self.said = 0  # hashes of the subtree's labels, of its words that stay, and of all its words
         self.mains = self.bulk = self.linked = 0
         self.drop = False
 
@@ -94,68 +97,109 @@ class Node:
         return f"{a.get('class', '')} {a.get('id', '')}".lower().split() if a else []
 
 
+class Tags:
+    """Ends of a source's tags, found in time that grows with its length alone, whatever is left open."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last = source, {c: source.rfind(c) for c in "\"'>"}
+        self.open: set[int] = set()  # places outside strings from which no > outside strings follows
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends a tag whose name ends at `at`: the first one outside strings, or if there
+        is none the first one; -1 without any."""
+        seen, k = [], at
+        while k not in self.open:
+            m = _STOP.search(self.source, k)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            seen.append(k)
+            close = self.source.find(m[0], m.end()) if m.end() <= self.last[m[0]] else -1
+            if close < 0:
+                break
+            k = close + 1
+        self.open.update(seen)
+        return self.first(at)
+
+    def first(self, at: int) -> int:
+        return self.source.find(">", at) if at <= self.last[">"] else -1
+
+
 def parse(source: str) -> list[Node]:
     """The nodes of a lenient DOM tree in page order, its root first: unclosed and misplaced tags never
-    fail, and an unfinished last tag is no text."""
+    fail, and an unfinished last tag is no text. One pass; open elements are found by their names."""
     root = Node("#root", {}, None, 0)
-    nodes, stack, open_ = [root], [root], Counter()
-    at, size = 0, len(source)
-
-    def close(k: int) -> None:
-        open_.subtract(n.tag for n in stack[k:])
-        del stack[k:]
+    nodes, stack = [root], [root]
+    where: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
+    block_places: list[int] = []
+    tags, at, k, size = Tags(source), 0, 0, len(source)
 
-    while at < size:
-        m = _TOKEN.search(source, at)
-        end = m.start() if m else size
+    def text(end: int) -> None:
         if end > at:
             piece = source[at:end]
-            if not m and (cut := re.search(r"<[a-zA-Z/!?]", piece)):
-                piece = piece[: cut.start()]
-            if piece:
-                stack[-1].parts.append(entities.unescape(piece) if "&" in piece else piece)
-        if not m:
+            stack[-1].parts.append(entities.unescape(piece) if "&" in piece else piece)
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            where[stack.pop().tag].pop()
+        while block_places and block_places[-1] >= place:
+            block_places.pop()
+
+    def nearest(names) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
+    while True:
+        k = source.find("<", k)
+        if k < 0:
+            text(size)
+            break
+        following = source[k + 1 : k + 2]
+        if following in ("!", "?"):
+            is_comment = source.startswith("<!--", k)
+            end = source.find("-->", k + 4) if is_comment else tags.first(k)
+            text(k)
+            if end < 0:
+                break
+            k = at = end + (3 if is_comment else 1)
+            continue
+        if k > tags.last[">"] and (following == "/" or (following.isascii() and following.isalpha())):
+            text(k)
             break
-        at = m.end()
-        name = m[2]
-        if name is None:
+        m = _NAME.match(source, k)
+        if m is None:
+            k += 1
             continue
-        name = name.lower()
+        end = tags.end(m.end())
+        text(k)
+        if end < 0:
+            break
+        raw, name = source[m.end() : end], m[2].lower()
+        k = at = end + 1
         if m[1]:
-            if open_[name] > 0:
-                k = len(stack) - 1
-                while stack[k].tag != name:
-                    k -= 1
-                close(k)
+            if where.get(name):
+                close(where[name][-1])
             continue
-        if name in CLOSES_P and open_["p"] > 0:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+        if name in CLOSES_P and where.get("p") and block_places[-1] == where["p"][-1]:
+            close(block_places[-1])
         if name in ENDS:
             kinds, bounds = ENDS[name]
-            if any(open_[x] > 0 for x in kinds):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in kinds:
-                        close(k)
-                        break
-                    if stack[k].tag in bounds:
-                        break
-        raw = m[3]
+            inner = nearest(kinds)
+            if inner > nearest(bounds):
+                close(inner)
         found = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
         node = Node(name, found, stack[-1], len(nodes))
         nodes.append(node)
         stack[-1].parts.append(node)
         stack[-1].kids.append(node)
         if name in RAW:
-            ended = re.compile(f"</{re.escape(name)}[^>]*>", re.IGNORECASE).search(source, at)
-            at = ended.end() if ended else size
+            ended = re.compile(f"</{re.escape(name)}[^>]*>", re.IGNORECASE).search(source, at) if at <= tags.last[">"] else None
+            k = at = ended.end() if ended else size
         elif name not in VOID:
+            where.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                block_places.append(len(stack))
             stack.append(node)
-            open_[name] += 1
     return nodes
 
 
@@ -179,13 +223,15 @@ def is_aside(node: Node, inside: bool, mains: int) -> bool:
     if tag in ("body", "html", "main"):
         return False
     names = node.names()
+    if inside and tag == "p":
+        names = [n for n in names if n not in TOPICS]
     if any(_ASIDE.fullmatch(n) for n in names) or (not inside and tag != "h1" and HEADER_NAMES.intersection(names)):
         return tag == "article" or not whole
     return False
 
 
 def mark(nodes: list[Node]) -> list[Node]:
-    """Set size, shape, text, mains and drop of all nodes; dropped parts have no text."""
+    """Set size, shape, text, said, mains and drop of all nodes; dropped parts have no text, but say something."""
     for node in reversed(nodes):
         node.size = 1 + sum(k.size for k in node.kids)
         node.shape = hash((node.label(), *(k.shape for k in node.kids)))
@@ -205,6 +251,9 @@ def mark(nodes: list[Node]) -> list[Node]:
         words = [p.text if type(p) is Node else tuple(p.split()) for p in node.parts if type(p) is not Node or not p.drop]
         words = [w for w in words if w]
         node.text = 0 if node.drop or not words else words[0] if len(words) == 1 and type(words[0]) is int else hash(tuple(words))
+        every = [p.said if type(p) is Node else tuple(p.split()) for p in node.parts]
+        every = [w for w in every if w]
+        node.said = 0 if not every else every[0] if len(every) == 1 and type(every[0]) is int else hash(tuple(every))
     return nodes
 
 
@@ -219,94 +268,107 @@ def measure(nodes: list[Node]) -> None:
             node.bulk = node.linked = 0
 
 
-def heaviest(cells: list[tuple[int, int, int]]) -> list[int]:
-    """Numbers of the cells (row, column, weight), sorted by row, of the heaviest chain in which rows
-    and columns both rise."""
-    columns = sorted({c[1] for c in cells})
-    tree: list[tuple[int, int]] = [(0, -1)] * (len(columns) + 1)  # best total of the columns up to a place, and its cell
-    before = [-1] * len(cells)
-    best, k = (0, -1), 0
-    while k < len(cells):
-        end, found = k, []
-        while end < len(cells) and cells[end][0] == cells[k][0]:
-            at = place = bisect_left(columns, cells[end][1])
-            top = (0, -1)
-            while at:
-                top = max(top, tree[at])
-                at -= at & -at
-            before[end] = top[1]
-            found.append((place + 1, (top[0] + cells[end][2], end)))
-            end += 1
-        for at, total in found:
-            best = max(best, total)
-            while at < len(tree):
-                if total[0] > tree[at][0]:
-                    tree[at] = total
-                at += at & -at
-        k = end
-    out, k = [], best[1]
-    while k >= 0:
-        out.append(k)
-        k = before[k]
-    return out[::-1]
-
-
-def match(a: list[Node], b: list[Node], full: int = FULL, band: int = BAND) -> tuple[int, list[tuple[Node, Node]]]:
+Plan = tuple[int, int, int, list[tuple[int, int]]]
+
+
+def chain(weight: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """Weight and pairs (i, j) of the heaviest matching of two sequences in order, where i and j weigh
+    weight[x[i], y[j]]; exact, a row of all columns at a time. Only every so many rows are kept, and those
+    between are worked out again on the way back, so memory is about the root of x.size rows."""
+    every = int(x.size**0.5) + 1
+
+    def rows(first: int, row: np.ndarray, until: int) -> list[np.ndarray]:
+        out = [row]
+        for i in range(first, until):
+            new = np.zeros(y.size + 1, np.int32)
+            np.maximum.accumulate(np.maximum(out[-1][1:], out[-1][:-1] + weight[x[i], y]), out=new[1:])
+            out.append(new)
+        return out
+
+    kept = [np.zeros(y.size + 1, np.int32)]
+    for first in range(0, x.size, every):
+        kept.append(rows(first, kept[-1], min(first + every, x.size))[-1])
+    pairs, j = [], y.size
+    for block in range(len(kept) - 2, -1, -1):
+        first = block * every
+        best = rows(first, kept[block], min(first + every, x.size))
+        i = len(best) - 1
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((first + i, j))
+    return int(kept[-1][-1]), pairs[::-1]
+
+
+def plan_of(x: Node, y: Node, plans: dict[tuple[int, int], Plan]) -> Plan | list[tuple[Node, Node]]:
+    """How the children of two nodes of one label match best, or the pairs of children that must be planned
+    before. Children that begin or end both lists with equal shape match as wholes, which loses nothing."""
+    p, q = x.kids, y.kids
+    most = min(len(p), len(q))
+    low = 0
+    while low < most and p[low].shape == q[low].shape:
+        low += 1
+    high = 0
+    while high < most - low and p[-1 - high].shape == q[-1 - high].shape:
+        high += 1
+    total = 1 + sum(c.size for c in p[:low]) + sum(c.size for c in p[len(p) - high :])
+    p, q = p[low : len(p) - high], q[low : len(q) - high]
+    if not p or not q:
+        return total, low, high, []
+    kinds_p, kinds_q = ({n.shape: n for n in side} for side in (p, q))
+    labels: dict[tuple[str, str], list[Node]] = {}
+    for node in kinds_q.values():
+        labels.setdefault(node.label(), []).append(node)
+    wanted = [(m, n) for m in kinds_p.values() for n in labels.get(m.label(), ())]
+    missing = [(m, n) for m, n in wanted if m.shape != n.shape and (m.shape, n.shape) not in plans]
+    if missing:
+        return missing
+    of_p, of_q = ({shape: k for k, shape in enumerate(kinds)} for kinds in (kinds_p, kinds_q))
+    weight = np.zeros((len(of_p), len(of_q)), np.int32)
+    for m, n in wanted:
+        weight[of_p[m.shape], of_q[n.shape]] = m.size if m.shape == n.shape else plans[m.shape, n.shape][0]
+    got, pairs = chain(weight, np.array([of_p[n.shape] for n in p]), np.array([of_q[n.shape] for n in q]))
+    return total + got, low, high, [(low + i, low + j) for i, j in pairs]
+
+
+def match(a: list[Node], b: list[Node], plans: dict[tuple[int, int], Plan] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
     """Size and pairs of the largest simple tree matching of two marked trees.
 
-    Children that begin or end both lists with equal shape match as wholes, which loses nothing. The
-    others are compared in all pairs, or beyond `full` pairs within `band` places of the diagonal.
+    What two subtrees share depends on their shapes alone, so it is worked out once for each pair of
+    shapes; plans may be kept between pages. All pairs of children of one label count, near or far.
     """
     if a[0].label() != b[0].label():
         return 0, []
-    tasks, plans, k = [(a[0], b[0])], [], 0
-    while k < len(tasks):
-        x, y = tasks[k]
-        if x.shape == y.shape:
-            plans.append(None)
-        else:
-            p, q = x.kids, y.kids
-            most = min(len(p), len(q))
-            low = 0
-            while low < most and p[low].shape == q[low].shape:
-                low += 1
-            high = 0
-            while high < most - low and p[-1 - high].shape == q[-1 - high].shape:
-                high += 1
-            n, m = len(p) - low - high, len(q) - low - high
-            cells = []
-            for i in range(n):
-                middle = i * m // n
-                js = range(m) if n * m <= full else range(max(0, middle - band), min(m, middle + band + 1))
-                for j in js:
-                    if p[low + i].label() == q[low + j].label():
-                        cells.append((i, j, len(tasks)))
-                        tasks.append((p[low + i], q[low + j]))
-            plans.append((low, high, cells))
-        k += 1
-    total = [0] * len(tasks)
-    for k in range(len(tasks) - 1, -1, -1):  # pairs of children come after those of their parents
-        x, y = tasks[k]
-        if plans[k] is None:
-            total[k] = x.size
+    plans = {} if plans is None else plans
+    if len(plans) > REMEMBERED:
+        plans.clear()
+    todo = [(a[0], b[0])]
+    while todo:
+        x, y = todo[-1]
+        if x.shape == y.shape or (x.shape, y.shape) in plans:
+            todo.pop()
             continue
-        low, high, cells = plans[k]
-        chosen = [cells[c][2] for c in heaviest([(i, j, total[t]) for i, j, t in cells])] if cells else []
-        total[k] = 1 + sum(c.size for c in x.kids[:low]) + sum(c.size for c in x.kids[len(x.kids) - high :]) + sum(total[t] for t in chosen)
-        plans[k] = (low, high, chosen)
-    pairs, left = [], [0]
+        found = plan_of(x, y, plans)
+        if type(found) is list:
+            todo += found
+        else:
+            plans[x.shape, y.shape] = found
+    pairs, left, size = [], [(a[0], b[0])], a[0].size
+    if a[0].shape != b[0].shape:
+        size = plans[a[0].shape, b[0].shape][0]
     while left:
-        k = left.pop()
-        x, y = tasks[k]
-        if plans[k] is None:
+        x, y = left.pop()
+        if x.shape == y.shape:
             pairs += zip(a[x.at : x.at + x.size], b[y.at : y.at + y.size])
             continue
         pairs.append((x, y))
-        low, high, chosen = plans[k]
-        for p, q in [*zip(x.kids[:low], y.kids[:low]), *zip(x.kids[len(x.kids) - high :], y.kids[len(y.kids) - high :])]:
-            pairs += zip(a[p.at : p.at + p.size], b[q.at : q.at + q.size])
-        left += chosen
-    return total[0], pairs
+        _, low, high, chosen = plans[x.shape, y.shape]
+        left += [*zip(x.kids[:low], y.kids[:low]), *zip(x.kids[len(x.kids) - high :], y.kids[len(y.kids) - high :]), *((x.kids[i], y.kids[j]) for i, j in chosen)]
+    return size, pairs
 
 
 class Wrapper:
@@ -315,20 +377,21 @@ class Wrapper:
     def __init__(self, source: str | None, constant: list[int] | None = None) -> None:
         self.nodes = mark(parse(source or ""))
         self.constant = frozenset(constant or ())
+        self.plans: dict[tuple[int, int], Plan] = {}
 
     def evidence(self, page: list[Node]) -> Iterator[tuple[int, bool]]:
         """(place, whether the text is the same) of the aligned blocks. A page that says all the same as
         the reference is a copy of it, which tells nothing of template and content."""
         if page[0].text != self.nodes[0].text:
-            for r, p in match(self.nodes, page)[1]:
-                if r.text and p.text and p.tag in BLOCK:
-                    yield r.at, r.text == p.text
+            for r, p in match(self.nodes, page, self.plans)[1]:
+                if r.said and p.said and p.tag in BLOCK:
+                    yield r.at, r.said == p.said
 
     def template(self, page: list[Node]) -> list[Node]:
         """The blocks of a page that say what the host's pages say in that place."""
         if not self.constant:
             return []
-        return [p for r, p in match(self.nodes, page)[1] if r.at in self.constant and p.text and r.text == p.text and not p.mains]
+        return [p for r, p in match(self.nodes, page, self.plans)[1] if r.at in self.constant and p.said and r.said == p.said and not p.mains]
 
 
 def drop_template(nodes: list[Node], template: list[Node]) -> None:
@@ -367,11 +430,10 @@ def roots_of(nodes: list[Node]) -> list[Node]:
 
     articles = outermost(lambda n: n.tag == "article" or n.attributes.get("itemprop") == "articleBody")
     if articles:
-        longest = max(n.bulk for n in articles)
-        kept = [n for n in articles if not (n.linked >= TEASER_LINKS * n.bulk or (n.linked and n.bulk < TEASER_LENGTH * longest))]
+        kept = [n for n in articles if n.linked < TEASER_LINKS * n.bulk]
         if kept:
             out = []
-            for article in kept:  # titles and leads that stand before it in the main element
+            for article in kept:  # titles, leads and other texts that stand before it in the main element
                 chain, node = [], article
                 while node.parent is not None and node.tag != "main":
                     node = node.parent
@@ -379,8 +441,8 @@ def roots_of(nodes: list[Node]) -> list[Node]:
                 if node.tag == "main":
                     below = [article, *chain]
                     for inner, outer in zip(below, below[1:]):
-                        chain_kids = outer.kids[: outer.kids.index(inner)]
-                        out += [n for n in chain_kids if n.tag in HEADINGS and not n.drop and n.bulk]
+                        ahead = outer.kids[: outer.kids.index(inner)]
+                        out += [n for n in ahead if not n.drop and n.bulk and not n.mains and n.linked < TEASER_LINKS * n.bulk]
                 out.append(article)
             return sorted(dict.fromkeys(out), key=lambda n: n.at)
         for n in articles:  # teasers of other pages, where there is more than them

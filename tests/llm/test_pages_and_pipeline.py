@@ -102,6 +102,62 @@ def test_deep_and_wide_pages():
         assert time.perf_counter() - began < 3
 
 
+def test_hostile_markup_is_linear():
+    """A megabyte of tags, strings or raw elements that nothing closes, and of elements that none ends, takes about a second."""
+    n = 1_000_000
+    parts = ["<a ", "<a x='", "<a x=\"'", "<a \">\" ", "<a '>\" ", "</script", "<script ", "<!-- ", "<! ", "<? ", "< ", "<", "<a=", "&lt;", "</", "<a\n"]
+    pages = [p * (n // len(p)) for p in parts] + ["<a " * 300_000 + ">", "<p><td>" + "<b>" * 60_000 + "<h1></h1>" * 60_000, "<ul>" + "<i>" * 60_000 + "<li>x" * 60_000, "<script>" + "</script" * 120_000]
+    for page in pages:
+        began = time.perf_counter()
+        html_text.parse(page)
+        assert time.perf_counter() - began < 4, page[:20]
+
+
+def test_tags_end_outside_strings():
+    """The scanner against a plain automaton, from every tag of random markup."""
+    rng = random.Random(3)
+    for _ in range(3000):
+        source = "<a" + "".join(rng.choices("\"'><ab= ", weights=[3, 3, 2, 3, 1, 1, 1, 1], k=rng.randrange(30)))
+        tags = html_text.Tags(source)
+        for at in [k + 2 for k in range(len(source)) if source.startswith("<a", k)]:
+            quote, end = "", -1
+            for k in range(at, len(source)):
+                c = source[k]
+                if quote:
+                    quote = "" if c == quote else quote
+                elif c == ">":
+                    end = k
+                    break
+                elif c in "\"'":
+                    quote = c
+            assert tags.end(at) == (end if end >= 0 else source.find(">", at)), (source, at)
+
+
+def test_nothing_else_is_dropped():
+    text = lambda html: html_text.extract(html, html_text.Wrapper(None))
+    long, short = "<article><p>" + "A long story. " * 30 + "</p></article>", '<article><p>A short one, after <a href="/x">that</a>.</p></article>'
+    assert text(long + short).endswith("A short one, after that.")
+    assert text("<main><h1>T</h1><div class=lead>A lead in a div.</div><article><p>Body.</p></article></main>") == "T\n\nA lead in a div.\n\nBody."
+    assert text('<article><p class="social">On social matters.</p><p class="alert">An alert.</p></article>') == "On social matters.\n\nAn alert."
+    for gone in ('<ol class="commentlist"><li>First!</li></ol>', '<ins class="adsbygoogle">Buy</ins>', '<div class="usercomments">Hm</div>', '<p class="advert">Buy</p>', '<div class="adslot">Buy</div>', '<div id="sidebarlinks">x</div>'):
+        assert text(f"<article><p>Kept.</p>{gone}</article>") == "Kept."
+
+
+def test_long_lists_align(spark):
+    """More blocks in front than any band: the template goes whole, however far it is moved."""
+    template = "".join(f"<div><p>House rule number {i}</p>{'<b>x</b>' * (i % 3)}</div>" for i in range(20))
+    moved = lambda i: "".join(f"<div><p>Item {i} {k}</p>{'<i>y</i>' * (1 + k % 3)}</div>" for k in range(3 * i))
+    got = pages_of(spark, "m.example", [f"<body>{moved(i)}{template}</body>" for i in range(8)])
+    assert all("House rule" not in t for t in got.values()) and all(f"Item {i} {3 * i - 1}" in got[i] for i in range(1, 8))
+
+
+def test_template_decides_before_names(spark):
+    """Parts of no telling name, and a copy of their words in an article that varies, are told apart by place."""
+    pages = [f"<div class=zone1>{'Fresh every day'}</div><article><h1>Tale {i}</h1><p>Fresh every day</p><p>{'word ' * i}</p></article><div class=zone2>Line {i % 2}</div>" for i in range(10)]
+    got = pages_of(spark, "z.example", pages)
+    assert all(got[i].startswith(f"Tale {i}") and "Line" not in got[i] for i in range(10))
+
+
 def brute_matching(a, b):
     if a.label() != b.label():
         return 0
@@ -129,6 +185,10 @@ def test_tree_matching():
         up = {x.at: y.at for x, y in pairs}
         assert all(up[x.parent.at] == y.parent.at for x, y in pairs if x.parent)
         assert sorted(up.values()) == [up[k] for k in sorted(up)]  # page order is kept
+    for _ in range(60):  # long lists of children, moved and mixed
+        a, b = (html_text.mark(html_text.parse("".join(tree(1) for _ in range(rng.randrange(25, 40))))) for _ in range(2))
+        size, pairs = html_text.match(a, b)
+        assert size == len(pairs) == brute_matching(a[0], b[0])
     a = html_text.mark(html_text.parse("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>"))
     assert html_text.match(a, html_text.mark(html_text.parse("<p>")))[0] == 1
 
