@@ -18,24 +18,21 @@ The shares of a group add up to at most SCALE + 2 V, so sums of squares stay bel
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import let
-from .common import materialize, remove, written
+from .common import materialize, remove, slices, written
 
 SCALE = 1_000_000_000
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def terms(text: Column) -> Column:
-    """Runs of letters and of whatever is not ASCII, A to Z lower-cased (lower() does that alone to an
-    ASCII run, at a fraction of the cost of translate)."""
-    is_ascii = lambda t: F.octet_length(t) == F.char_length(t)
-    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    return F.transform(found, lambda t: F.when(is_ascii(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER)))
+# Runs of letters and of whatever is not ASCII are terms; A to Z become lower case, all else parts them.
+KEPT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+#: A task hands on its counts when it holds so many.
+HELD = 1 << 19
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -49,17 +46,40 @@ def apart(p: Column, q: Column) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, df): occurrences, and documents that have the term.
+    """(lang, source, term, n, df) of docs(lang, source, text): occurrences, and documents that have the term.
 
-    A document's terms are sorted, and the first of equal ones counts the document, so both counts are
-    one aggregation with partial sums and no document is shuffled.
+    Each task counts its own documents, up to HELD terms at a time, and only counts are exchanged.
     """
-    marked = let(
-        F.array_sort(terms(F.col("text"))),
-        lambda found: F.transform(found, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (t == F.get(found, i - 1)), 0).otherwise(1).alias("new"))),
-    )
-    each = docs.select("lang", "source", F.explode(marked).alias("t")).select("lang", "source", "t.term", "t.new")
-    return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("new").cast("long").alias("df"))
+    given = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, df) in held.items():
+                rows = len(n)
+                numbers = [pa.array(v, pa.int64()) for v in (list(n.values()), list(map(df.__getitem__, n)))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows), pa.array([source] * rows), pa.array(list(n), pa.binary()), *numbers], ["lang", "source", "term", "n", "df"])
+            held.clear()
+
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 24):
+                for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                    found = text.translate(KEPT).split()
+                    if found:
+                        n, df = held.setdefault((lang, source), (Counter(), Counter()))
+                        before = len(n)
+                        n.update(found)
+                        df.update(set(found))
+                        size += len(n) - before
+                    if size > HELD:
+                        yield from emit()
+                        size = 0
+        yield from emit()
+
+    each = given.mapInArrow(count, "lang string, source string, term binary, n long, df long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).withColumn("term", F.col("term").cast("string"))
 
 
 def audit(docs: DataFrame, least_docs: int = 3, top: int = 200, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
