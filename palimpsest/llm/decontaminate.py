@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Pairs of neighbouring words of the test items are seeds. An alignment that scores `least` keeps at
-least `needed` of an item's pairs whole, so one of its rarest pairs, by document frequency over the
-corpus, is among them: those are its triggers, and the most frequent ones are none. A document that
-holds a trigger, and enough of the item's pairs within the reach of an alignment, is aligned with the
-item word by word, so a paraphrased or edited copy scores by how much of the item it keeps. Both
-filters follow from the score, so no pair of document and item that scores `least` is lost.
+Pairs of neighbouring words of the test items are seeds, and the words themselves where items are
+short. An alignment that scores `least` keeps at least `needed` of an item's pairs whole and matches at
+least that share of its words, so one of its rarest pairs and one of its rarest words, by document
+frequency over the corpus, is among them: those are its triggers, and the most frequent ones are none. A
+document that holds a trigger, and enough of the item's seeds within the reach of an alignment, is
+aligned with the item word by word, so a paraphrased or edited copy scores by how much of the item it
+keeps. All filters follow from the score, so no pair of document and item that scores `least` is lost.
 """
 
 from __future__ import annotations
@@ -43,6 +44,11 @@ def needed(n: int, least: float) -> int:
     return max(0, math.ceil((2 * least - 1) * n - 1 - 1e-9))
 
 
+def matched(n: int, least: float) -> int:
+    """Words of an item of n words that an alignment of this score matches, as each one adds 2 of 2n."""
+    return math.ceil(least * n - 1e-9)
+
+
 def reach(n: int, least: float) -> int:
     """Words of a document that an alignment of this score with an item of n words can cover."""
     return n + int((MATCH - MATCH * least) * n + 1e-9)
@@ -63,7 +69,7 @@ def lists(pairs: list[tuple[int, int]], n: int) -> tuple[np.ndarray, np.ndarray]
 
 class Seeds:
     """The distinct items as word codes, and their seeds: codes of word pairs, and of single words for
-    items so short that no pair need be left whole."""
+    items so short that no more than one pair need be left whole."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], least: float = LEAST_SCORE) -> None:
         if not 0.5 < least <= 1:
@@ -78,35 +84,46 @@ class Seeds:
         self.word = {w: k + 1 for k, w in enumerate(vocabulary)}
         self.base = len(vocabulary) + 1
         self.coded = [np.array([self.word[w] for w in words], np.int64) for words in ids]
-        self.needed = np.array([max(1, needed(x.size, least)) for x in self.coded], np.int64)
+        # Places that an alignment has at least: matched words where words are seeds, and else whole pairs.
+        self.needed = np.array([matched(x.size, least) if self.short(x) else needed(x.size, least) for x in self.coded], np.int64)
         self.reach = np.array([reach(x.size, least) for x in self.coded], np.int64)
         own = [(code, k) for k, x in enumerate(self.coded) for code in self.of_item(x)]
         self.codes = np.array(sorted({code for code, _ in own}), np.int64)
-        number = {code: k for k, code in enumerate(self.codes.tolist())}
-        self.ptr, self.items = lists([(number[code], k) for code, k in own], self.codes.size)
+        self.item_ptr, self.item_seeds = lists(list(zip((k for _, k in own), np.searchsorted(self.codes, [code for code, _ in own]).tolist())), len(self.coded))
         self.single = bool(self.codes.size) and int(self.codes[0]) < self.base
         self.rank(np.zeros(self.codes.size, np.int64))
 
+    def short(self, coded: np.ndarray) -> bool:
+        return needed(coded.size, self.least) <= 1
+
     def of_item(self, coded: np.ndarray) -> list[int]:
         pairs = (coded[:-1] * self.base + coded[1:]).tolist()
-        return pairs + coded.tolist() if not needed(coded.size, self.least) else pairs
+        return pairs + coded.tolist() if self.short(coded) else pairs
 
     def rank(self, frequency: np.ndarray) -> None:
         """Choose the triggers of every item by the document frequency of each seed."""
-        triggers = []
-        for k, x in enumerate(self.coded):
-            codes = self.of_item(x)
-            at = np.searchsorted(self.codes, np.array(codes, np.int64))
-            pairs, words = at[: x.size - 1], at[x.size - 1 :]
-            spare = int(self.needed[k]) - 1  # so many of the pairs that stay whole may be no triggers
-            kinds, count = np.unique(pairs, return_counts=True)
+
+        def rarest(seeds: np.ndarray, spare: int) -> list[int]:
+            """All kinds but the most frequent ones that together come no more than `spare` times."""
+            kinds, count = np.unique(seeds, return_counts=True)
+            out = []
             for seed, n in sorted(zip(kinds.tolist(), count.tolist()), key=lambda s: (-frequency[s[0]], s[0])):
                 if n <= spare:
                     spare -= n
                 else:
-                    triggers.append((seed, k))
-            if words.size:  # all words are matched where no pair is whole: the rarest will do
-                triggers.append((min(words.tolist(), key=lambda s: (frequency[s], s)), k))
+                    out.append(seed)
+            return out
+
+        triggers = []
+        for k, x in enumerate(self.coded):
+            at = np.searchsorted(self.codes, np.array(self.of_item(x), np.int64))
+            pairs, words = at[: x.size - 1], at[x.size - 1 :]
+            whole = needed(x.size, self.least)
+            ways = [rarest(pairs, whole - 1)] if whole else []
+            if words.size:
+                ways.append(rarest(words, matched(x.size, self.least) - 1))
+            best = min(ways, key=lambda way: sum(int(frequency[s]) for s in way))
+            triggers += [(seed, k) for seed in best]
         self.trigger_ptr, self.trigger_items = lists(triggers, self.codes.size)
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,15 +181,19 @@ def leaks_in(words: list[bytes], seeds: Seeds) -> list[tuple[int, float, int, in
     ids, at, seed = seeds.hits(words)
     if not at.size:
         return []
-    wanted = np.unique(ragged(seeds.trigger_ptr, seeds.trigger_items, seed)[1])
+    # Items come first, from the triggers among the document's kinds of seeds, and then their seeds alone.
+    order = np.argsort(seed, kind="stable")
+    seed, at = seed[order], at[order]
+    kinds, begin = np.unique(seed, return_index=True)
+    wanted = np.unique(ragged(seeds.trigger_ptr, seeds.trigger_items, kinds)[1])
     if not wanted.size:
         return []
-    of, item = ragged(seeds.ptr, seeds.items, seed)
-    chosen = np.zeros(len(seeds.coded), bool)
-    chosen[wanted] = True
-    chosen = chosen[item]
+    of, own = ragged(seeds.item_ptr, seeds.item_seeds, wanted)
+    there = np.minimum(np.searchsorted(kinds, own), kinds.size - 1)
+    real = kinds[there] == own
+    row, place = ragged(np.append(begin, seed.size), at, there[real])
     # A pair and a single word may be seeds at one place, which counts once.
-    key = np.unique(item[chosen] * np.int64(ids.size + 1) + at[of[chosen]])
+    key = np.unique(wanted[of[real][row]] * np.int64(ids.size + 1) + place)
     item, place = key // (ids.size + 1), key % (ids.size + 1)
     last = np.arange(key.size) + seeds.needed[item] - 1
     fits = last < key.size
@@ -211,7 +232,10 @@ def parts_of(benchmark: DataFrame, bound: int) -> list[list[tuple[int | None, st
 def seed_frequency(docs: DataFrame, seeds: Seeds) -> np.ndarray:
     """Documents that hold each seed, over the whole corpus; at most one row a seed comes back."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(seeds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = sent.value
         total = np.zeros(max(1, seeds.codes.size), np.int64)
         for batch in batches:
             for text in batch.column("text"):
@@ -244,8 +268,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE
     more than `bound` bytes in all take further passes over docs.
     """
 
-    def search(seeds: Seeds) -> DataFrame:
+    def search(found: Seeds) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(found)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seeds = sent.value
             for batch in batches:
                 rows = [
                     (doc, i, *leak[1:])
@@ -268,8 +295,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, bou
     """docs without the rows whose text holds a test item, named or not; all columns stay and nothing is
     shuffled."""
 
-    def without(rows: DataFrame, seeds: Seeds) -> DataFrame:
+    def without(rows: DataFrame, found: Seeds) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(found)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seeds = sent.value
             for batch in batches:
                 keep = [not leaks_in(words_of(t.as_py()), seeds) for t in batch.column("text")]
                 yield batch.filter(pa.array(keep, pa.bool_()))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -608,6 +609,45 @@ def test_common_seeds():
             assert got == {x for x in want if x[1] >= 0.6 - 1e-9}
 
 
+def test_frequent_pairs_trigger_no_short_item():
+    """2,000 items of six words share a pair that every document holds; and 1,000 longer ones a pair that comes 1,000 times."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    short = [(i, f"{word()} of the {word()} {word()} {word()}") for i in range(2000)]
+    seeds = decontaminate.Seeds(short)
+    frequency = np.ones(seeds.codes.size, np.int64)
+    frequent = {seeds.word[b"of"], seeds.word[b"the"], seeds.word[b"of"] * seeds.base + seeds.word[b"the"]}
+    frequency[np.isin(seeds.codes, list(frequent))] = 10**9
+    seeds.rank(frequency)
+    text = decontaminate.words_of("of the " * 30 + short[7][1] + " of the")
+    began = time.perf_counter()
+    assert [f[0] for f in decontaminate.leaks_in(text, seeds)] == [k for k, ids in enumerate(seeds.ids) if 7 in ids]
+    assert time.perf_counter() - began < 0.1
+    long = [(i, " ".join([word() for _ in range(6)] + ["of", "the"] + [word() for _ in range(8)])) for i in range(4000)]
+    seeds = decontaminate.Seeds(long)
+    frequency = np.where(np.isin(seeds.codes, [seeds.word[b"of"] * seeds.base + seeds.word[b"the"]]), 10**9, 1)
+    seeds.rank(frequency)
+    text = decontaminate.words_of("of the " * 1000 + long[3][1] + " of the" * 1000)
+    began = time.perf_counter()
+    assert {i for f in decontaminate.leaks_in(text, seeds) for i in seeds.ids[f[0]]} == {3}
+    assert time.perf_counter() - began < 0.5
+
+
+def test_short_items_against_all_pairs():
+    """Every score at or over the least, for items of 1 to 12 words of few kinds, whatever the seeds' frequencies."""
+    rng = random.Random(23)
+    kinds = [f"w{k}" for k in range(7)]
+    for least in (0.6, 0.51, 0.75, 1.0):
+        items = [(i, " ".join(rng.choices(kinds, k=rng.randrange(1, 13)))) for i in range(40)]
+        seeds = decontaminate.Seeds(items, least)
+        for _ in range(40):
+            seeds.rank(np.array([rng.choice([0, 1, 5, 1000]) for _ in seeds.codes], np.int64))
+            text = decontaminate.words_of(" ".join(rng.choices([*kinds, "x", "y"], k=rng.randrange(30))))
+            got = {(i, round(f[1], 9)) for f in decontaminate.leaks_in(text, seeds) for i in seeds.ids[f[0]]}
+            want = {(i, round(brute_alignment(decontaminate.words_of(t), text), 9)) for i, t in items}
+            assert got == {x for x in want if x[1] >= least - 1e-9}
+
+
 @pytest.mark.parametrize("run", [
     lambda d: suffix_dedup.remove_repeats(d), lambda d: mixing.mix(d), lambda d: simhash.near_duplicates(d), lambda d: exact_dedup.dedup(d),
     lambda d: sharding.shard(d), lambda d: language_id.identify(d, language_id.learn(d)),
