@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import B_LEFT, JS_SPACE
+from ..workdir import materialize
 
 K1, B = 1.5, 0.75
+BLOCKS_AN_OCTAVE = 8
 DEFINITION_BOOST, COMMENT_PENALTY, COHERENCE = 1.6, 0.6, 0.25
 # What a line that defines a name, and one that is a comment, look like.
 DEFINES = (
@@ -44,21 +46,67 @@ def bm25(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str,
     """
     own = [target] if query_id is None else []
     named = own or [query_id]
+    terms = query_terms(queries, named, query)
+    weighed = impacts(docs, terms.select(*own, "term").distinct(), target, line, text, k1, b).join(terms, [*own, "term"])
+    return weighed.groupBy(*dict.fromkeys([target, *named, line])).agg(F.sum("part").alias("score"))
+
+
+def query_terms(queries: DataFrame, named: list[str], query: str) -> DataFrame:
+    """(named, term): the distinct terms of each query."""
+    return queries.select(*named, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
+
+
+def impacts(docs: DataFrame, wanted: DataFrame, target: str, line: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(target, line, dl, term, part): what each wanted term, (term) or (target, term), adds to the score of a
+    line of dl tokens."""
     toked = docs.select(target, line, tokens(F.col(text)).alias("toks"))
     toked = toked.withColumn("dl", F.size("toks"))
     sizes = toked.groupBy(target).agg(F.count("*").alias("n_lines"), F.avg("dl").alias("avgdl"))
-    terms = queries.select(*named, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
-    wanted = terms.select(*own, "term").distinct()
     # The outer form, as the inner one makes the scan below filter by the tokens and so find them twice.
     each = toked.select(target, line, "dl", F.explode_outer("toks").alias("term")).where("term is not null")
-    tf = each.join(wanted, [*own, "term"], "left_semi").groupBy(target, line, "dl", "term").agg(F.count("*").alias("f"))
+    tf = each.join(wanted, wanted.columns, "left_semi").groupBy(target, line, "dl", "term").agg(F.count("*").alias("f"))
     # Counting by f keeps both readers of tf on one exchange.
     df = tf.groupBy(target, "term").agg(F.count_if(F.col("f") > 0).alias("df"))
     scored = tf.join(df, [target, "term"]).join(sizes, target)
     idf = F.log(1 + (F.col("n_lines") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * (F.col("dl") / F.col("avgdl")))))
-    weighed = scored.select(target, line, "term", part.alias("part")).join(terms, [*own, "term"])
-    return weighed.groupBy(*dict.fromkeys([target, *named, line])).agg(F.sum("part").alias("score"))
+    return scored.select(target, line, "dl", "term", part.alias("part"))
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str, query_id: str, query: str, k: int = 10, digits: int = 6, k1: float = K1, b: float = B) -> DataFrame:
+    """(target, query_id, line, score): the k lines of each target and query with the highest scores, equal
+    ones by line, without scoring every line that shares a term.
+
+    Scores are rounded to `digits`, so the order of sums cannot change ranks. The heads of the postings, the
+    k strongest lines of each term, are scored first: the k-th score of a query among them is its bar.
+    Postings stand in blocks of lines of about one length, whose strongest impact is known: impacts fall
+    with length, so a block's bound is close. In each block, a query's weakest terms that together stay
+    below its bar bring no line in by themselves: only the postings of its other terms are gathered, and of
+    those lines only the ones that reach the bar with the weak terms at their strongest are looked up in
+    the weak terms' postings. A null or empty query has no lines, and a null text no terms.
+    """
+    slack, place = 10.0**-digits, [target, query_id]
+    terms = query_terms(queries, [query_id], query)
+    block = F.floor(F.log2("dl") * BLOCKS_AN_OCTAVE).cast("int")
+    postings = materialize(impacts(docs, terms.select("term").distinct(), target, line, text, k1, b).withColumn("block", block).drop("dl"), "postings")
+    best = lambda by, score: F.row_number().over(W.partitionBy(*by).orderBy(F.col(score).desc(), line))
+    heads = postings.withColumn("__r", best([target, "term"], "part")).where(F.col("__r") <= k)
+    seeds = heads.join(terms, "term").select(*place, line).distinct()
+    first = seeds.join(terms, query_id).join(postings, [target, "term", line]).groupBy(*place, line).agg(F.sum("part").alias("score"))
+    first = first.withColumn("__r", best(place, "score")).where(F.col("__r") <= k)
+    bars = first.groupBy(*place).agg(F.when(F.count("*") >= k, F.min("score") - slack).otherwise(0.0).alias("bar"))
+    strong = postings.groupBy(target, "term", "block").agg(F.max("part").alias("most")).join(terms, "term").join(bars, place)
+    inside = W.partitionBy(*place, "block")
+    summed = F.sum("most").over(inside.orderBy("most", "term").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = strong.withColumn("leads", summed >= F.col("bar"))
+    rest = F.coalesce(F.sum(F.when(~F.col("leads"), F.col("most"))).over(inside), F.lit(0.0))
+    plan = materialize(ranked.withColumn("rest", rest).drop("most"), "terms")  # a row a query, term and block
+    gathered = postings.join(plan.where("leads").drop("leads"), [target, "term", "block"])
+    gathered = gathered.groupBy(*place, line).agg(F.sum("part").alias("part"), F.max("bar").alias("bar"), F.max("rest").alias("rest"), F.first("block").alias("block"))
+    hopeful = materialize(gathered.where(F.col("part") + F.col("rest") >= F.col("bar")).select(*place, line, "block", "part"), "hopeful")
+    weak = hopeful.drop("part").join(plan.where(~F.col("leads")).select(*place, "term", "block"), [*place, "block"]).join(postings.drop("block"), [target, "term", line])
+    whole = hopeful.select(*place, line, "part").unionByName(weak.select(*place, line, "part")).groupBy(*place, line).agg(F.round(F.sum("part"), digits).alias("score"))
+    return whole.withColumn("__r", best(place, "score")).where(F.col("__r") <= k).drop("__r")
 
 
 def rerank(lines: DataFrame, target: str, line: str, text: str, score: str, query_terms: Column) -> DataFrame:

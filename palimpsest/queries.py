@@ -454,10 +454,8 @@ def _labelled(spark, sf_dir):
 
 @query(_RANKED_SQL + "SELECT item_id, doc_id, score FROM r WHERE p <= 10")
 def bm25_topk(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id"))
-    return bm25_scores(spark, sf_dir).withColumn("p", place).where("p <= 10").drop("p")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("target", F.lit(1))
+    return ranking.bm25_top(docs, table(spark, sf_dir, "benchmark"), "target", "doc_id", "text", "item_id", "text").select("item_id", "doc_id", "score")
 
 
 @query(_RANKED_SQL + """SELECT item_id, round(CASE WHEN min(k) > 0 THEN sum(CASE WHEN gold AND p <= 10 THEN 1 / log2(p + 1) ELSE 0 END) / min(list_sum(list_transform(range(1, k + 1), lambda i: 1 / log2(i + 1)))) ELSE 0.0 END, 6) AS ndcg
@@ -832,7 +830,7 @@ SELECT d.session_key, d.ord, d.sha, f.ref_id, coalesce(d.ord > f.first, FALSE) A
 def stream_session_refs(spark, sf_dir):
     """Graph references over a stream of the documents table, as the batch operator gives them."""
     rows = _stream(spark, sf_dir, "documents").select(F.col("source").alias("session_key"), F.col("doc_id").alias("ord"), "text")
-    return sessions.drained(sessions.stream_graph_refs(rows), "refs")
+    return sessions.drained(sessions.stream_graph_refs(rows), "refs", timed=True)
 
 
 @query("SELECT doc_id, strlen(text) AS n, sha256(text) AS sha FROM documents")
@@ -874,8 +872,15 @@ def stream_read_diffs(spark, sf_dir):
     """Eight reads a session of one file, each with a document's number over lines that stay, as a stream."""
     text = F.concat(F.lit("id "), F.col("doc_id"), F.lit(" of the listing\n" + "\n".join(_SAME)))
     docs = _stream(spark, sf_dir, "documents")
-    rows = docs.select(F.floor(F.col("doc_id") / 8).cast("string").alias("session_key"), F.lit("/listing").alias("path"), F.col("doc_id").alias("ord"), text.alias("text"))
-    return sessions.drained(sessions.stream_read_diff(rows), "diffs")
+    rows = docs.select(F.floor(F.col("doc_id") / 8).cast("string").alias("session_key"), F.lit("/listing").alias("path"), F.timestamp_seconds("doc_id").alias("at"), F.col("doc_id").alias("ord"), text.alias("text"))
+    return sessions.drained(sessions.stream_read_diff(closed(rows)), "diffs").select("session_key", "path", "ord", "compressed")
+
+
+def closed(rows: DataFrame) -> DataFrame:
+    """rows of a source that is read at once, with one more of a day later for each, of no session: they
+    bring the watermark past all others."""
+    ends = F.array(F.struct("session_key", "at"), F.struct(F.lit(None).cast("string").alias("session_key"), (F.col("at") + F.expr("INTERVAL 1 DAY")).alias("at")))
+    return rows.withColumn("__e", F.explode(ends)).withColumn("session_key", F.col("__e.session_key")).withColumn("at", F.col("__e.at")).drop("__e")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

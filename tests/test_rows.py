@@ -17,7 +17,6 @@ from palimpsest.config import Config
 from palimpsest.operators import crossrow, disclosure, ranking, similarity, stats
 from palimpsest.plans import compact
 from palimpsest.sources import files, requests
-from palimpsest.streaming import sessions
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -262,37 +261,3 @@ def test_files(spark, tmp_path):
     assert got == {"a.json": ("json", "toon"), "b.md": ("markdown", None)}
     files.write_files(found, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and (tmp_path / "a.json").read_text().startswith("{\n")
-
-
-def run_stream(spark, build, rows, schema, tmp_path, name):
-    for k, part in enumerate(rows):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
-    (tmp_path / "all").mkdir()
-    for k in range(len(rows)):
-        source = spark.readStream.schema(schema).parquet(str(tmp_path / "all"))
-        for f in (tmp_path / f"in{k}").glob("*.parquet"):
-            f.rename(tmp_path / "all" / f"{k}-{f.name}")
-        out = sessions.drained(build(source), name, str(tmp_path / name))
-    return out.collect()
-
-
-def test_stream_refs_survive_restart(spark, tmp_path):
-    rows = [[("s", 1, "a" * 600), ("s", 2, "b" * 600), ("t", 3, "a" * 600)], [("s", 4, "a" * 600), ("s", 5, None), ("s", 6, "c" * 600)]]
-    got = {r.ord: (r.ref_id, r.is_ref) for r in run_stream(spark, sessions.stream_graph_refs, rows, "session_key string, ord long, text string", tmp_path, "refs")}
-    assert got == {1: (1, False), 2: (2, False), 3: (1, False), 4: (1, True), 5: (None, False), 6: (3, False)}
-
-
-def test_idle_sessions_end(spark, tmp_path):
-    """State goes once a session has been idle: a text seen before is new again."""
-    rows = [[("s", 1, "a" * 600)], [("s", 2, "a" * 600)]]
-    build = lambda source: sessions.stream_graph_refs(source, idle_ms=1)
-    got = {r.ord: (r.ref_id, r.is_ref) for r in run_stream(spark, build, rows, "session_key string, ord long, text string", tmp_path, "idle")}
-    assert got == {1: (1, False), 2: (1, False)}
-
-
-def test_stream_read_diff(spark, tmp_path):
-    old = "\n".join(f"line {i} of the file" for i in range(30))
-    new = old.replace("line 7 of", "line seven of")
-    rows = [[("s", "/f", 1, old), ("s", "/g", 2, old)], [("s", "/f", 3, new), ("s", "/g", 4, old), ("t", "/f", 5, new)]]
-    got = {r.ord: r.compressed for r in run_stream(spark, sessions.stream_read_diff, rows, "session_key string, path string, ord long, text string", tmp_path, "diffs")}
-    assert [o for o in sorted(got) if got[o]] == [3] and similarity.apply_hunks(old, got[3].split("\n", 1)[1]) == new
