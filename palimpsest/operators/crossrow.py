@@ -87,48 +87,48 @@ def store_lookup(entries: DataFrame, asked: DataFrame, access: str) -> tuple[Dat
 def store_evict(entries: DataFrame, budget: int = STORE_BUDGET, buckets: int = 1024) -> DataFrame:
     """Entries with kept: by last access, newest first, as many as fit the budget; ties by hash.
 
-    The cut is closed in on by sums of ranges, each a few rows: ranges of last_access, finer ranges
-    within the one that holds the cut, and there, for each time left, ranges of the hash, so a store
-    loaded at one time is no single range either. Only the last range is ordered row by row. All of this
-    reads hashes, sizes and times, written once; hash is unique.
+    The cut is closed in on by sums of ranges, each at most `buckets` rows that come back: ranges of
+    last_access, and finer ranges within the one that holds the cut. There, for each time left, ranges of
+    the hash follow, so a store loaded at one time is no single range either. Only the last range is
+    ordered row by row. All of this reads hashes, sizes and times, written once; hash is unique.
     """
     marks = materialize(entries.select("hash", "bytes", "last_access"), "marks")
-    return entries.join(_kept(marks, budget, buckets).select("hash", "kept"), "hash").select(*entries.columns, "kept")
-
-
-def _kept(entries: DataFrame, budget: int, buckets: int) -> DataFrame:
-    """Entries with kept, as store_evict has them."""
-    rows = entries.withColumn("__t", F.col("last_access").cast("double"))
-    inside, used = rows, F.lit(0).cast("long")
-    for k in range(2):
-        bounds = inside.agg(F.min("__t").alias(f"__lo{k}"), F.max("__t").alias(f"__hi{k}"))
-        width = F.greatest(F.col(f"__hi{k}") - F.col(f"__lo{k}"), F.lit(1e-9))
-        place = F.least(F.floor((F.col(f"__hi{k}") - F.col("__t")) / width * buckets), F.lit(buckets - 1)).cast("long")
-        spread = lambda df, b=bounds, p=place, k=k: df.crossJoin(F.broadcast(b)).withColumn(f"__b{k}", p)  # noqa: E731  one row
-        rows, inside = spread(rows), spread(inside)
-        edge = _edge(inside, f"__b{k}", used, budget, k)
-        rows, inside = rows.crossJoin(F.broadcast(edge)), inside.crossJoin(F.broadcast(edge)).where(f"__b{k} = __e{k}")
-        used = F.col(f"__from{k}")
-    place = F.struct((-F.col("__t")).alias("t"), F.substring("hash", 1, 3).alias("h"))
-    rows, inside = rows.withColumn("__b2", place), inside.withColumn("__b2", place)
-    edge = _edge(inside, "__b2", used, budget, 2)
-    rows, inside = rows.crossJoin(F.broadcast(edge)), inside.crossJoin(F.broadcast(edge)).where("__b2 = __e2")
-    before, at = F.lit(False), F.lit(True)  # whether a row is before, or in, the range that holds the cut
-    for k in range(3):
-        before = before | (at & F.coalesce(F.col(f"__b{k}") < F.col(f"__e{k}"), F.lit(True)))
-        at = at & F.coalesce(F.col(f"__b{k}") == F.col(f"__e{k}"), F.lit(False))
-    run = F.sum("bytes").over(W.partitionBy("__b2").orderBy("hash").rowsBetween(W.unboundedPreceding, W.currentRow))
-    names = entries.columns
-    return rows.where(~at).select(*names, before.alias("kept")).unionByName(inside.select(*names, (F.col("__from2") + run <= budget).alias("kept")))
-
-
-def _edge(rows: DataFrame, place: str, used: Column, budget: int, k: int) -> DataFrame:
-    """One row: the first range of rows(place, bytes) that does not fit the budget whole, and what comes
-    before it; nulls if all fit. The sums of ranges are few rows."""
-    sums = rows.groupBy(place).agg(F.sum("bytes").alias("__n"), F.first(used).alias("__used"))
-    before = F.col("__used") + F.coalesce(F.sum("__n").over(W.orderBy(place).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = sums.withColumn("__from", before).where(F.col("__from") + F.col("__n") > budget).agg(F.min(F.struct(F.col(place).alias("b"), "__from")).alias("x"))
-    return first.select(F.col("x.b").alias(f"__e{k}"), F.col("x.__from").alias(f"__from{k}"))
+    return entries.join(_kept(marks, budget, buckets), "hash").select(*entries.columns, "kept")
+
+
+def _kept(marks: DataFrame, budget: int, buckets: int) -> DataFrame:
+    """(hash, kept) of marks(hash, bytes, last_access), as store_evict has them."""
+    rows = marks.select("hash", "bytes", F.col("last_access").cast("double").alias("t"))
+    before, at, used = F.lit(False), F.lit(True), 0  # whether a row is before, or in, the range that holds the cut
+    for _ in range(2):
+        low, high = rows.where(at).agg(F.min("t"), F.max("t")).first()
+        if low is None:
+            break
+        place = F.least(F.floor((high - F.col("t")) / max(high - low, 1e-9) * buckets), F.lit(buckets - 1)).cast("long")
+        edge = None
+        for k, size in sorted(tuple(r) for r in rows.where(at).groupBy(place).agg(F.sum("bytes")).collect()):
+            if used + size > budget:
+                edge = k
+                break
+            used += size
+        if edge is None:
+            return rows.select("hash", F.lit(True).alias("kept"))
+        before, at = before | (at & (place < edge)), at & (place == edge)
+    inside = rows.where(at).withColumn("place", F.struct((-F.col("t")).alias("t"), F.substring("hash", 1, 3).alias("h")))
+    inside = inside.crossJoin(F.broadcast(_edge(inside, used, budget)))  # one row
+    run = F.sum("bytes").over(W.partitionBy("place").orderBy("hash").rowsBetween(W.unboundedPreceding, W.currentRow))
+    last = inside.where("place = edge").select("hash", (F.col("from") + run <= budget).alias("kept"))
+    rest = inside.where("edge is null or place <> edge").select("hash", F.coalesce(F.col("place") < F.col("edge"), F.lit(True)).alias("kept"))
+    return rows.where(~at).select("hash", before.alias("kept")).unionByName(rest).unionByName(last)
+
+
+def _edge(rows: DataFrame, used: int, budget: int) -> DataFrame:
+    """One row (edge, from): the first range of rows(place, bytes) that does not fit the budget whole, and
+    what comes before it; nulls if all fit. The sums of ranges are few rows."""
+    sums = rows.groupBy("place").agg(F.sum("bytes").alias("n"))
+    before = used + F.coalesce(F.sum("n").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = sums.withColumn("from", before).where(F.col("from") + F.col("n") > budget).agg(F.min(F.struct("place", "from")).alias("x"))
+    return first.select(F.col("x.place").alias("edge"), F.col("x.from").alias("from"))
 
 
 def sessions(df: DataFrame, key: str, time: str, tie: str, idle: int = IDLE_SECONDS) -> DataFrame:

@@ -58,7 +58,7 @@ def rehydrate(df: DataFrame, store: DataFrame, key: str, text: str = "text") ->
     """(key, expanded, rehydrated, missed): references in df(key, text) replaced by the texts of
     store(hash, text). A reference already expanded in the same text stays; key must be unique."""
     refs = df.withColumn("hash", F.explode(references(F.col(text)))).select(key, "hash")
-    hits = refs.join(store.select("hash", F.col("text").alias("body")), "hash", "left")
+    hits = held(refs, store)
     found = hits.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(F.col("body").isNotNull(), F.struct("hash", "body")))).alias("bodies"),
         F.count("body").alias("rehydrated"), F.count_if(F.col("body").isNull()).alias("missed"),
@@ -69,3 +69,17 @@ def rehydrate(df: DataFrame, store: DataFrame, key: str, text: str = "text") ->
         key, F.when(F.size("bodies") > 0, _expand(F.col(text), F.col("bodies"))).otherwise(F.col(text)).alias("expanded"),
         F.coalesce("rehydrated", zero).alias("rehydrated"), F.coalesce("missed", zero).alias("missed"),
     )
+
+
+def save_store(entries: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """entries(hash, text, ...) as a table of that name, dealt into buckets by hash and sorted within each,
+    replacing one of that name. Look-ups in it move the hashes asked for and never the texts held: see
+    rehydrate. More buckets suit larger stores; a bucket should be some hundred MB."""
+    entries.repartition(buckets, "hash").write.format("parquet").bucketBy(buckets, "hash").sortBy("hash").mode("overwrite").saveAsTable(table)
+    return entries.sparkSession.table(table)
+
+
+def held(references: DataFrame, store: DataFrame) -> DataFrame:
+    """references(hash, ...) with body, the text of store(hash, text) or null. Where the store is a table of
+    save_store only the references are exchanged, into its buckets."""
+    return references.hint("shuffle_merge").join(store.select("hash", F.col("text").alias("body")).hint("shuffle_merge"), "hash", "left")

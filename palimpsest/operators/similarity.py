@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.text import js_len, lines
 
 LEAST_SIMILARITY, DIFF_LEAST, DIFF_SHARE = 0.5, 200, 0.5
+MAX_EDITS = 4096
 
 
 def line_jaccard(a: Column, b: Column) -> Column:
@@ -63,7 +68,9 @@ def pairs_of(texts: DataFrame, least: float) -> DataFrame:
 
 
 def edit_script(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
-    """Changed ranges (a from, a to, b from, b to) by Myers' greedy algorithm, common ends apart."""
+    """Changed ranges (a from, a to, b from, b to) by Myers' greedy algorithm, common ends apart. What takes
+    more than MAX_EDITS steps is one change of all between the ends: the way back holds a number for each
+    step and diagonal, some 4 * MAX_EDITS^2 bytes at most."""
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
         low += 1
@@ -72,26 +79,32 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
         high += 1
     x, y = a[low : len(a) - high], b[low : len(b) - high]
     n, m = len(x), len(y)
-    frontier, trace = {1: 0}, []
-    for d in range(n + m + 1):
-        trace.append(dict(frontier))
+    limit = min(n + m, MAX_EDITS)
+    frontier, trace, mid = array("q", [-1]) * (2 * limit + 5), [], limit + 2  # places of -limit - 2 to limit + 2
+    frontier[mid + 1] = 0
+    for d in range(limit + 1):
+        trace.append(frontier[mid - d - 1 : mid + d + 2])
         for k in range(-d, d + 1, 2):
-            i = frontier.get(k + 1, -1) if k == -d or (k != d and frontier.get(k - 1, -1) < frontier.get(k + 1, -1)) else frontier.get(k - 1, -1) + 1
+            left, right = frontier[mid + k - 1], frontier[mid + k + 1]
+            i = right if k == -d or (k != d and left < right) else left + 1
             while i < n and i - k < m and x[i] == y[i - k]:
                 i += 1
-            frontier[k] = i
+            frontier[mid + k] = i
             if i >= n and i - k >= m:
                 break
         else:
             continue
         break
+    else:
+        return [(low, low + n, low, low + m)]
     i, j, steps = n, m, []
     for d in range(len(trace) - 1, -1, -1):
         if not (i or j):
             break
         v, k = trace[d], i - j
-        down = k == -d or (k != d and v.get(k - 1, -1) < v.get(k + 1, -1))
-        p = v.get(k + 1, 0) if down else v.get(k - 1, 0)
+        left, right = v[k + d], v[k + d + 2]  # of k - 1 and k + 1, the first place being that of -d - 1
+        down = k == -d or (k != d and left < right)
+        p = right if down else left
         q = p - (k + 1 if down else k - 1)
         while i > p + (not down) and j > q + down and i and j:
             i, j = i - 1, j - 1
@@ -170,9 +183,39 @@ def first_base(df: DataFrame, group: str, order: str, text: str = "text") -> Dat
     old = texts.select(F.col("g").alias("ga"), F.col("id").alias("ia"), F.col("text").alias("old"))
     new = texts.select(F.col("g").alias("gb"), F.col("id").alias("ib"), "last", "hash", F.col("text").alias("new")).where(js_len(F.col("new")) >= DIFF_LEAST)
     tried = both.join(new, F.col("g").eqNullSafe(F.col("gb")) & (F.col("b") == F.col("ib"))).where("a < last")
-    tried = tried.join(old, F.col("g").eqNullSafe(F.col("ga")) & (F.col("a") == F.col("ia"))).withColumn("patch", hunks("old", "new"))
-    bases = tried.where(js_len(F.col("patch")) < DIFF_SHARE * js_len(F.col("new"))).select(F.col("g").alias("gb"), "hash", F.struct(F.col("a").alias("base"), "similarity", "patch").alias("x"))
-    bases = bases.groupBy("gb", "hash").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    tried = tried.join(old, F.col("g").eqNullSafe(F.col("ga")) & (F.col("a") == F.col("ia"))).select("gb", "hash", F.col("a").alias("base"), "similarity", "old", "new")
+    bases = _first_short(tried)
     rows = df.where(F.col(text).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.sha2(F.col(text), 256).alias("h"))
-    found = rows.join(bases, F.col("g").eqNullSafe(F.col("gb")) & (F.col("h") == F.col("hash"))).withColumn("x", F.get("xs", 0)).where("x.base < o")
-    return found.select(F.col("g").alias(group), F.col("o").alias(order), "x.base", "x.similarity", "x.patch")
+    found = rows.join(bases, F.col("g").eqNullSafe(F.col("gb")) & (F.col("h") == F.col("hash"))).where("base < o")
+    return found.select(F.col("g").alias(group), F.col("o").alias(order), "base", "similarity", "patch")
+
+
+def _first_short(tried: DataFrame) -> DataFrame:
+    """(gb, hash, base, similarity, patch) of tried(gb, hash, base, similarity, old, new): for each new text
+    the smallest base whose hunks are short enough. Candidates pass in order of base, one at a time, and
+    none is diffed after the first that serves."""
+    spark = tried.sparkSession
+    place = ["gb", "hash", "base"]
+    dealt = tried.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gb", "hash").sortWithinPartitions(*place)
+    schema = T.StructType([*(tried.schema[c] for c in (*place, "similarity")), T.StructField("patch", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, served = None, False
+        for batch in batches:
+            patches = []
+            for group, hash_, old, new in zip(*(batch.column(c) for c in ("gb", "hash", "old", "new"))):
+                key = (group.as_py(), hash_.as_py())
+                if key != now:
+                    now, served = key, False
+                patch = None if served else unified_hunks(old.as_py(), new := new.as_py())
+                served = served or utf16(patch) < DIFF_SHARE * utf16(new)
+                patches.append(patch if patch is not None and served else None)
+            out = pa.array(patches, pa.string())
+            kept = batch.select([*place, "similarity"]).append_column("patch", out)
+            yield kept.filter(out.is_valid())
+
+    return dealt.mapInArrow(run, schema)
+
+
+def utf16(text: str) -> int:
+    return len(text.encode("utf-16-le", "surrogatepass")) // 2

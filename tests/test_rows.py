@@ -156,6 +156,37 @@ def test_ideal_order(spark):
     assert got["a"] == pytest.approx(1) and got["b"] == pytest.approx(1 / math.log2(3))
 
 
+def test_bucketed_store(spark):
+    """Texts come back from a bucketed store whose side of the plan has no exchange; a second save replaces the first."""
+    texts = [f"text {i} " * 2000 for i in range(40)]
+    folded = disclosure.summarize(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), least=1000)
+    held = {r.id: (r.hash, r.original_bytes) for r in folded.collect()}
+    ask = spark.createDataFrame([(i, f"see <{disclosure.TAG}:{h}:{n}> and <{disclosure.TAG}:{'0' * 64}:9>") for i, (h, n) in held.items()], "id int, text string")
+    try:
+        for _ in range(2):
+            store = disclosure.save_store(folded.select("hash", "text"), "kept_texts", buckets=8)
+        found = disclosure.rehydrate(ask, store, "id")
+        assert {r.id: texts[r.id] in r.expanded and r.rehydrated == 1 and r.missed == 1 for r in found.collect()} == {i: True for i in held}
+        refs = ask.select(F.explode(disclosure.references(F.col("text"))).alias("hash"))
+        plan = disclosure.held(refs, store)._jdf.queryExecution().executedPlan().toString()
+        join = plan[plan.index("SortMergeJoin") :]
+        assert join.count("Exchange") == 1 and "Bucketed: true" in join and "Exchange" not in join[join.index("FileScan") - 400 : join.index("FileScan")]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kept_texts")
+
+
+def test_long_scripts_stay_bounded(monkeypatch):
+    """What takes more steps than the bound is one change, and still gives the new text."""
+    rng = random.Random(2)
+    old, new = ([f"{rng.randrange(50)}" for _ in range(400)] for _ in range(2))
+    whole = similarity.edit_script(old, new)
+    monkeypatch.setattr(similarity, "MAX_EDITS", 20)
+    assert len(similarity.edit_script(old, new)) == 1 < len(whole)
+    assert similarity.apply_hunks("\n".join(old), similarity.unified_hunks("\n".join(old), "\n".join(new))) == "\n".join(new)
+    near = [*old[:200], "x", *old[200:]]
+    assert similarity.edit_script(old, near) == [(200, 200, 200, 201)]
+
+
 MALFORMED = ["", "{", "null", "7", "[]", '"x"', "{}", '{"messages":null}', '{"messages":{}}', '{"messages":[]}', '{"messages":[null]}', '{"messages":[1,"a",[]]}', '{"messages":[{"role":"user"}]}', '{"messages":[{"role":"user","content":5}]}',
              '{"messages":[{"role":"user","content":[null,1,"x",{}]}]}', '{"messages":[{"role":"tool","content":{"a":1}}]}', '{"input":"x"}', '{"input":[null,{"type":"function_call_output"}]}', '{"input":[{"type":"function_call_output","output":[null,{"type":"input_text"}]}]}',
              '{"contents":[null]}', '{"contents":[{"parts":null}]}', '{"contents":[{"parts":[null,{"functionResponse":null},{"functionResponse":{}}]}]}', '{"messages":[{"role":"user","content":[{"type":"tool_result","content":[null,{"type":"text"}]}]}]}']

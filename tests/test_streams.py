@@ -5,8 +5,8 @@ import random
 
 import pytest
 
-from palimpsest.operators import similarity
-from palimpsest.streaming import sessions
+from palimpsest.operators import crossrow, similarity
+from palimpsest.streaming import sessions, store
 
 
 def feed(spark, rows, schema, tmp_path, k, side="all"):
@@ -128,3 +128,27 @@ def test_stream_tool_paths(spark, tmp_path):
         began, path = of.get((r, u), (None, None))
         want.append((text, path if began is not None and 0 <= (at - began).total_seconds() <= 3600 else None))
     assert [g for g in got if g[0] != "z"] == sorted(want, key=str) and {p is None for _, p in want} == {True, False}
+
+
+def test_store_is_kept_between_batches(spark, tmp_path):
+    """After every batch the store holds what eviction over all rows so far keeps; a repeated batch changes nothing."""
+    rng = random.Random(8)
+    texts = [f"text {i} " + "x" * rng.randrange(20, 400) for i in range(60)] + ["short", None]
+    schema, path, every = "text string, access long", str(tmp_path / "store"), []
+    for k in range(5):
+        rows = [(rng.choice(texts), rng.randrange(100 * k, 100 * k + 160)) for _ in range(25)]
+        every += rows
+        feed(spark, rows, schema, tmp_path, k)
+        store.keep_store(source(spark, schema, tmp_path), path, 4000, least=20, buckets=4, slot=16)
+        entries = crossrow.store_entries(spark.createDataFrame(every, schema), "text", "access", 20).drop("shard")
+        want = {(r.hash, r.text, r.last_access) for r in crossrow.store_evict(entries, 4000).where("kept").collect()}
+        got = {(r.hash, r.text, r.last_access) for r in store.read_store(spark, path).collect()}
+        assert got == want and sum(len(t) for _, t, _ in got) <= 4000
+        assert sum(store.state(spark, path)["slots"].values()) == sum(len(t) for _, t, _ in got)
+    assert len(want) < len({t for t, _ in every})
+    again = spark.createDataFrame(rows, schema)
+    before = store.state(spark, path)
+    store.upsert(again, before["batch"], path, 4000, least=20, buckets=4, slot=16)
+    assert store.state(spark, path) == before and {(r.hash, r.text, r.last_access) for r in store.read_store(spark, path).collect()} == want
+    store.upsert(again.limit(0), before["batch"] + 1, path, 4000, least=20, buckets=4, slot=16)
+    assert {(r.hash, r.text, r.last_access) for r in store.read_store(spark, path).collect()} == want
