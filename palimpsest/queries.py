@@ -15,7 +15,8 @@ from .functions.text import count_label, js_len, size_label, token_estimate
 from .operators import crossrow, disclosure, ranking, similarity, stats, structure, trim
 from .plans import compact as plans
 from .sources import requests
-from .streaming import sessions
+from .streaming import sessions, store
+from .workdir import new_path
 
 TOKENS = "greatest(1, ceil(length({0}) / 4.0))::BIGINT"
 
@@ -876,10 +877,29 @@ def stream_read_diffs(spark, sf_dir):
     return sessions.drained(sessions.stream_read_diff(closed(rows)), "diffs").select("session_key", "path", "ord", "compressed")
 
 
+@query("""SELECT r.event_id, c.props AS path FROM events r LEFT JOIN events c ON c.event_type = 'click' AND c.user_id = r.user_id AND c.ts <= r.ts AND c.ts >= r.ts - INTERVAL 1 HOUR WHERE r.event_type = 'purchase'""")
+def stream_tool_paths(spark, sf_dir):
+    """Purchases as results and clicks as calls of two streams: what each purchase follows within an hour, null for none."""
+    events = _stream(spark, sf_dir, "events").select("event_id", "event_type", "props", F.col("user_id").cast("string").alias("session_key"), F.col("ts").cast("timestamp").alias("at"))
+    key = F.col("session_key").alias("request_id"), F.lit("any").alias("tool_use_id"), "at"
+    results = closed(events.where("event_type = 'purchase'")).select(*key, "event_id")
+    calls = closed(events.where("event_type = 'click'")).select(*key, F.col("props").alias("path"))
+    return sessions.drained(sessions.stream_tool_paths(results, calls), "paths").where("request_id <> '(end)'").select("event_id", "path")
+
+
+@query("""WITH e AS (SELECT sha256(text) AS hash, max(doc_id) AS last_access, min(strlen(text))::BIGINT AS bytes FROM documents WHERE strlen(text) >= 1024 GROUP BY 1)
+SELECT hash, bytes, last_access FROM (SELECT *, sum(bytes) OVER (ORDER BY last_access DESC, hash) AS n FROM e) WHERE n <= 500000""")
+def stream_store(spark, sf_dir):
+    """Documents as a stream into a store of 500,000 bytes, and what it holds in the end."""
+    path = new_path(spark, "store")
+    store.keep_store(_stream(spark, sf_dir, "documents").select("text", F.col("doc_id").alias("access")), path, 500_000, least=1024, buckets=16, slot=256)
+    return store.read_store(spark, path).select("hash", "bytes", "last_access")
+
+
 def closed(rows: DataFrame) -> DataFrame:
-    """rows of a source that is read at once, with one more of a day later for each, of no session: they
-    bring the watermark past all others."""
-    ends = F.array(F.struct("session_key", "at"), F.struct(F.lit(None).cast("string").alias("session_key"), (F.col("at") + F.expr("INTERVAL 1 DAY")).alias("at")))
+    """rows of a source that is read at once, with one more long after for each, of session (end): they
+    bring the watermark past all others. (A null session would be filtered out before the watermark.)"""
+    ends = F.array(F.struct("session_key", "at"), F.struct(F.lit("(end)").alias("session_key"), (F.col("at") + F.expr("INTERVAL 1000 DAY")).alias("at")))
     return rows.withColumn("__e", F.explode(ends)).withColumn("session_key", F.col("__e.session_key")).withColumn("at", F.col("__e.at")).drop("__e")
 
 
