@@ -23,7 +23,9 @@ TOKENS = "greatest(1, ceil(length({0}) / 4.0))::BIGINT"
 
 # Sources
 
-@query(f"""WITH b AS (SELECT * FROM {fx.values([r for r in fx.BODIES if r[1] in ('anthropic', 'openai') and r[0] in ('r1', 'r2', 'r3')], 'request_id, provider, body')}),
+@query(f"""WITH b AS (SELECT request_id || '-' || item_id AS request_id, provider,
+  replace(body, '"messages":[', '"messages":[' || json_object('role', CASE WHEN provider = 'anthropic' THEN 'user' ELSE 'tool' END, 'content', i.text)::VARCHAR || ',') AS body
+  FROM {fx.values([r for r in fx.BODIES if r[0] in ('r1', 'r2', 'r3')], 'request_id, provider, body')}, benchmark i),
 m AS (SELECT request_id, provider, g.i::INT AS msg_idx, json_extract(body, '$.messages[' || g.i || ']') AS m FROM b, LATERAL (SELECT unnest(range(json_array_length(body, '$.messages')::BIGINT)) AS i) g),
 w AS (SELECT request_id, provider, msg_idx, -1 AS block_idx, -1 AS sub_idx, m->>'$.role' AS role, m->>'$.content' AS text, NULL AS skip FROM m WHERE json_type(m, '$.content') = 'VARCHAR'
   AND m->>'$.role' = CASE WHEN provider = 'anthropic' THEN 'user' ELSE 'tool' END),
@@ -37,8 +39,12 @@ UNION ALL SELECT request_id, provider, msg_idx, block_idx, -1, role, b->>'$.cont
 UNION ALL SELECT request_id, provider, msg_idx, block_idx, sub_idx, role, s->>'$.text', NULL FROM s WHERE s->>'$.type' = 'text'""")
 def extract_messages(spark, sf_dir):
     strict(spark)
-    rows = [r for r in fx.BODIES if r[0] in ("r1", "r2", "r3")]
-    found = requests.extract(fx.frame(spark, rows, "request_id string, provider string, body string"))
+    """Three bodies of many shapes, each with every benchmark item's text as one message more."""
+    shapes = F.broadcast(fx.frame(spark, [r for r in fx.BODIES if r[0] in ("r1", "r2", "r3")], "request_id string, provider string, body string"))  # three rows
+    role = F.when(F.col("provider") == "anthropic", "user").otherwise("tool")
+    more = F.concat(F.lit('"messages":['), F.to_json(F.struct(role.alias("role"), F.col("text").alias("content"))), F.lit(","))
+    held = table(spark, sf_dir, "benchmark").crossJoin(shapes).select(F.concat_ws("-", "request_id", "item_id").alias("request_id"), "provider", F.replace("body", F.lit('"messages":['), more).alias("body"))
+    found = requests.extract(held)
     return found.select("request_id", "provider", "msg_idx", "block_idx", "sub_idx", "role", "text", "skip")
 
 
@@ -842,12 +848,14 @@ def decode_bodies(spark, sf_dir):
     return docs.select("doc_id", text.alias("t")).select("doc_id", F.octet_length("t").cast("long").alias("n"), F.sha2("t", 256).alias("sha"))
 
 
-@query("""SELECT l::INT AS level, stage, stage IN ('llmlingua', 'foundation-models', 'textpress', 'strip-comments', 'disclosure', 'bm25-trim') AS lossy FROM (SELECT unnest(range(1, 10)) AS l) JOIN (VALUES (1, 'minify'), (2, 'whitespace'), (2, 'strip-lines'),
-(3, 'cmd-strip'), (4, 'toon'), (4, 'dedup'), (4, 'diff'), (5, 'llmlingua'), (5, 'read-diff'), (5, 'prune'), (6, 'strip-comments'), (7, 'textpress'), (7, 'br-cache'), (8, 'disclosure'), (8, 'bm25-trim'), (9, 'graph'), (9, 'foundation-models')) AS s(first, stage) ON l >= first""")
+@query("""SELECT c.conv_id, l::INT AS level, stage, stage IN ('llmlingua', 'foundation-models', 'textpress', 'strip-comments', 'disclosure', 'bm25-trim') AS lossy FROM (SELECT unnest(range(1, 10)) AS l) JOIN (VALUES (1, 'minify'), (2, 'whitespace'), (2, 'strip-lines'),
+(3, 'cmd-strip'), (4, 'toon'), (4, 'dedup'), (4, 'diff'), (5, 'llmlingua'), (5, 'read-diff'), (5, 'prune'), (6, 'strip-comments'), (7, 'textpress'), (7, 'br-cache'), (8, 'disclosure'), (8, 'bm25-trim'), (9, 'graph'), (9, 'foundation-models')) AS s(first, stage) ON l >= first JOIN (SELECT DISTINCT conv_id FROM conversations) c ON c.conv_id % 9 + 1 = l""")
 def stage_ladder(spark, sf_dir):
+    """Every conversation at a level of its own number, and the stages that it then gets."""
     rows = [(n, list(cfg.resolve({"LEVEL": str(n)}).stages)) for n in range(1, 10)]
-    each = fx.frame(spark, rows, "level int, stages array<string>").select("level", F.explode("stages").alias("stage"))
-    return each.withColumn("lossy", F.col("stage").isin(*cfg.LOSSY_STAGES))
+    levels = F.broadcast(fx.frame(spark, rows, "level int, stages array<string>"))  # nine rows
+    asked = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("level", (F.col("conv_id") % 9 + 1).cast("int"))
+    return asked.join(levels, "level").select("conv_id", "level", F.explode("stages").alias("stage")).withColumn("lossy", F.col("stage").isin(*cfg.LOSSY_STAGES))
 
 
 @query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS total FROM (

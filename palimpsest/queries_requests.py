@@ -123,14 +123,17 @@ def write_back_bodies(spark, sf_dir):
     return targets.unionByName(users)
 
 
-@query("""SELECT * FROM (VALUES ('r4', 'openai-responses', 1, -1, -1, 'tool', 'output', 'f', 'out', FALSE, NULL), ('r4', 'openai-responses', 2, 0, -1, 'tool', 'output', NULL, 'p', FALSE, NULL),
+@query("""SELECT t.request_id || '-' || item_id AS request_id, provider, msg_idx, block_idx, sub_idx, role, block_type, tool_use_id, CASE WHEN t.text IN ('out', 'plain') THEN i.text ELSE t.text END AS text, was_object, skip
+FROM (VALUES ('r4', 'openai-responses', 1, -1, -1, 'tool', 'output', 'f', 'out', FALSE, NULL), ('r4', 'openai-responses', 2, 0, -1, 'tool', 'output', NULL, 'p', FALSE, NULL),
 ('r5', 'gemini', 1, 0, -1, 'function', 'response', NULL, '{' || chr(10) || '  "b": 1,' || chr(10) || '  "a": [' || chr(10) || '    1,' || chr(10) || '    2.5' || chr(10) || '  ]' || chr(10) || '}', TRUE, NULL),
-('r5', 'gemini', 1, 1, -1, 'function', 'response', NULL, 'plain', FALSE, NULL)) AS t(request_id, provider, msg_idx, block_idx, sub_idx, role, block_type, tool_use_id, text, was_object, skip)""")
+('r5', 'gemini', 1, 1, -1, 'function', 'response', NULL, 'plain', FALSE, NULL)) AS t(request_id, provider, msg_idx, block_idx, sub_idx, role, block_type, tool_use_id, text, was_object, skip), benchmark i""")
 def extract_odd_bodies(spark, sf_dir):
-    """Bodies that are broken, of another shape, or with empty members give what they hold, and no error."""
+    """Bodies that are broken, of another shape, or with empty members give what they hold, and no error; each
+    once for every benchmark item, whose text stands in it."""
     strict(spark)
-    rows = [r for r in fx.BODIES if r[0] not in ("r1", "r2", "r3")]
-    return requests.extract(fx.frame(spark, rows, "request_id string, provider string, body string"))
+    shapes = F.broadcast(fx.frame(spark, [r for r in fx.BODIES if r[0] not in ("r1", "r2", "r3")], "request_id string, provider string, body string"))  # six rows
+    body = F.replace(F.replace("body", F.lit('"out"'), quoted(F.col("text"))), F.lit('"plain"'), quoted(F.col("text")))
+    return requests.extract(table(spark, sf_dir, "benchmark").crossJoin(shapes).select(F.concat_ws("-", "request_id", "item_id").alias("request_id"), "provider", body.alias("body")))
 
 
 _ROUTED = f"""(SELECT method, url FROM {fx.values(fx.URLS, 'method, url')} UNION ALL SELECT CASE WHEN page_id % 5 = 0 THEN 'GET' ELSE 'POST' END,
