@@ -218,31 +218,31 @@ _RESULTS = "array<struct<text: string, method: string>>"
 
 
 def json_chains(variants: list[frozenset[str]]):
-    """Column function (original, raw) -> for each set of stages a struct (text, method): prune, minify
+    """Column function (length, raw) -> for each set of stages a struct (text, method): prune, minify
     and columnar text in that order as the stages allow; the shortest wins, and nulls if none is shorter
-    than the original. A text is parsed and pruned once for all sets; null where raw is null."""
+    than the original's length. A text is parsed and pruned once for all sets; null where raw is null."""
 
     @F.pandas_udf(_RESULTS)
-    def run(original: pd.Series, raw: pd.Series) -> pd.Series:
-        return pd.Series([None if text is None else [dict(zip(("text", "method"), best)) for best in _shortest(whole, text, variants)] for whole, text in zip(original, raw)], dtype=object)
+    def run(length: pd.Series, raw: pd.Series) -> pd.Series:
+        return pd.Series([None if text is None else [dict(zip(("text", "method"), best)) for best in _shortest(whole, text, variants)] for whole, text in zip(length, raw)], dtype=object)
 
     return run
 
 
-def _shortest(whole: str, text: str, variants: list[frozenset[str]]) -> list[tuple[str | None, str | None]]:
+def _shortest(whole: int, text: str, variants: list[frozenset[str]]) -> list[tuple[str | None, str | None]]:
     none = (None, None)
     try:
         values = {False: parse(text)}
         if any("prune" in v for v in variants) and (short := pruned(text)) is not None:
             values[True] = parse(short)
         plain = {p: dump(v) for p, v in values.items()}
-        tables = {p: columnar(plain[p]) for p in {"prune" in v and True in values for v in variants if "toon" in v} if js_length(plain[p]) < js_length(whole)}
+        tables = {p: columnar(plain[p]) for p in {"prune" in v and True in values for v in variants if "toon" in v} if js_length(plain[p]) < whole}
     except (ValueError, RecursionError):
         return [none] * len(variants)
     out = []
     for stages in variants:
         p = "prune" in stages and True in values
-        best = (plain[p], "minify") if js_length(plain[p]) < js_length(whole) else none
+        best = (plain[p], "minify") if js_length(plain[p]) < whole else none
         table = tables.get(p) if best[0] is not None and "toon" in stages else None
         out.append((table, "toon") if table is not None and js_length(table) < js_length(plain[p]) else best)
     return out

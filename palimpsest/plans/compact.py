@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import classify, commands, json_text, redact, rewrite
-from ..functions.text import js_len, token_estimate
+from ..functions.text import js_len, let, token_estimate
 from ..operators import crossrow, disclosure, similarity, trim
 from ..workdir import materialize
 
@@ -55,14 +55,19 @@ def rewrite_each(df: DataFrame, configs: dict[str, Config]) -> DataFrame:
     out = out.withColumn("__t", F.when(F.col("__kind") == "text", text))
     if any(c.has("cmd-strip") for c in configs.values()):
         out = out.withColumn("__dialect", commands.dialect(F.col("__t")))
-        stripped = commands.strip_command(text, F.col("__dialect"))
-        out = out.withColumn("__cmd", F.when(F.col("__dialect").isNotNull() & (js_len(stripped) < js_len(text)), stripped))
+        shorter = let(commands.strip_command(text, F.col("__dialect")), lambda x: F.when(js_len(x) < js_len(text), x))
+        out = out.withColumn("__cmd", F.when(F.col("__dialect").isNotNull(), shorter))
     paths = {name: tuple(s for s in TEXT_STEPS if config.has(s)) for name, config in configs.items()}
     nodes = {path[:k]: "" for path in paths.values() for k in range(len(path) + 1)}
     for k, node in enumerate(sorted(nodes, key=lambda n: (len(n), n))):
         nodes[node] = f"__t{k}" if node else "__t"
     for depth in range(1, len(TEXT_STEPS) + 1):
-        level = {column: TEXT_STEPS[node[-1]](F.col(nodes[node[:-1]])) for node, column in nodes.items() if len(node) == depth}
+        level = {}
+        for node, column in nodes.items():
+            if len(node) == depth:
+                level[column] = TEXT_STEPS[node[-1]](F.col(nodes[node[:-1]]))
+                if depth > 1 and node[0] == "cmd-strip" and node[1:] in nodes:  # most texts are of no dialect, and the same without that step
+                    level[column] = F.when(F.col("__cmd").isNull(), F.col(nodes[node[1:]])).otherwise(level[column])
         out = out.withColumns(level) if level else out
     # The parts of the methods and of what is accepted, once a leaf.
     leaves = {path: nodes[path] for path in paths.values()}
@@ -79,7 +84,7 @@ def rewrite_each(df: DataFrame, configs: dict[str, Config]) -> DataFrame:
     if order:
         raw = F.when(F.col("__kind") == "json-lined", rewrite.strip_line_numbers(text)).when(F.col("__kind") == "json", text)
         safe = F.when(raw.isNotNull() & ~classify.has_unsafe_integer(raw), raw)
-        out = out.withColumn("__json", json_text.json_chains(order)(text, safe))
+        out = out.withColumn("__json", json_text.json_chains(order)(js_len(text), safe))
     for name, config in configs.items():
         result = F.col(f"{leaves[paths[name]]}r")
         if chains[name]:

@@ -241,3 +241,26 @@ def test_trim(spark):
     assert len(got) > 15
     kept = got[1].trimmed
     assert "  write(key) {" in kept and "class Store {" in kept and kept.startswith("import x") and kept.endswith("end") and got[1].used <= 120
+
+
+def test_top_by_bounds(spark, monkeypatch):
+    """Equal to ranking all scores, ties by line; with a rare term in each query few pairs are looked at closely."""
+    rng = random.Random(12)
+    common = [f"word{k}" for k in range(12)]
+    rows = [(t, i, " ".join(rng.choices(common, weights=[1 / (k + 1) for k in range(12)], k=rng.randrange(1, 40)) + rng.choices([f"rare{r}" for r in range(60)], k=rng.randrange(2)))) for t in range(2) for i in range(900)]
+    rows += [(0, 900 + i, rows[3][2]) for i in range(15)] + [(0, 950, None), (0, 951, "")]
+    asks = [(k, f"{rng.choice(common)} {rng.choice(common)} rare{k} rare{k + 1}") for k in range(40)] + [(90, "word1 word0"), (91, "absent"), (92, None), (93, "")]
+    docs, queries = spark.createDataFrame(rows, "t int, line int, text string").repartition(3), spark.createDataFrame(asks, "q int, ask string")
+    whole = {}
+    for r in ranking.bm25(docs, queries, "t", "line", "text", "q", "ask").collect():
+        whole.setdefault((r.t, r.q), []).append((-round(r.score, 6), r.line))
+    held = []
+    real = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, name: held.append((name, out := real(df, name))) or out)
+    for k in (1, 10, 5000):
+        got = {}
+        for r in ranking.bm25_top(docs, queries, "t", "line", "text", "q", "ask", k).collect():
+            got.setdefault((r.t, r.q), []).append((-r.score, r.line))
+        assert {key: sorted(v) for key, v in got.items()} == {key: sorted(v)[:k] for key, v in whole.items()}
+    hopeful = [df.where("q < 90").count() for name, df in held if name == "hopeful"]
+    assert hopeful[1] < 0.1 * sum(len(v) for key, v in whole.items() if key[1] < 90)
