@@ -892,7 +892,8 @@ def stream_read_diffs(spark, sf_dir):
     text = F.concat(F.lit("id "), F.col("doc_id"), F.lit(" of the listing\n" + "\n".join(_SAME)))
     docs = _stream(spark, sf_dir, "documents")
     rows = docs.select(F.floor(F.col("doc_id") / 8).cast("string").alias("session_key"), F.lit("/listing").alias("path"), F.timestamp_seconds("doc_id").alias("at"), F.col("doc_id").alias("ord"), text.alias("text"))
-    return sessions.drained(sessions.stream_read_diff(closed(rows)), "diffs").select("session_key", "path", "ord", "compressed")
+    found = sessions.drained(sessions.stream_read_diff(closed(rows)), "diffs")
+    return found.where("session_key <> '(end)'").select("session_key", "path", "ord", "compressed")
 
 
 @query("""SELECT r.event_id, c.props AS path FROM events r LEFT JOIN events c ON c.event_type = 'click' AND c.user_id = r.user_id AND c.ts <= r.ts AND c.ts >= r.ts - INTERVAL 1 HOUR WHERE r.event_type = 'purchase'""")
@@ -916,7 +917,7 @@ def stream_store(spark, sf_dir):
 
 def closed(rows: DataFrame) -> DataFrame:
     """rows of a source that is read at once, with one more long after for each, of session (end): they
-    bring the watermark past all others. (A null session would be filtered out before the watermark.)"""
+    bring the watermark past all others, and are to be left out of what comes out. (A null session would be filtered out before the watermark.)"""
     ends = F.array(F.struct("session_key", "at"), F.struct(F.lit("(end)").alias("session_key"), (F.col("at") + F.expr("INTERVAL 1000 DAY")).alias("at")))
     return rows.withColumn("__e", F.explode(ends)).withColumn("session_key", F.col("__e.session_key")).withColumn("at", F.col("__e.at")).drop("__e")
 
