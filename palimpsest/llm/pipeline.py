@@ -40,17 +40,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item, nor an edited copy of one."""
+    """Documents that hold no test item, nor an edited copy of one. Null and empty texts hold none and stay;
+    each row is judged by itself, so rows that repeat stay or go together; without items all rows stay."""
     return decontaminate.clean(docs, scan(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix at target weights: a document is repeated as often as the mix takes it."""
+    """The mix at target weights: a document is repeated as often as the mix takes it. A null source is one
+    more source; texts without a word, null ones among them, are never taken; documents of equal odds and
+    number, such as repeated rows, come in or stay out together; no documents give no rows."""
     return mixing.mixed(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with size, text_crc32, law, shard, slot and grown_shard."""
+    """All rows with size, text_crc32, law, shard, slot and grown_shard, which replace columns of these
+    names. A null doc_id is one more key, and a null text of one byte; repeated rows share a shard and get
+    neighbouring slots; no rows give none."""
     return sharding.shard(docs)
 
 

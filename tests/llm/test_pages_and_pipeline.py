@@ -371,3 +371,19 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         stage_in = stage(spark, stage_in, str(tmp_path))
         assert stage_in.columns == frame.columns
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    """No documents give no rows; no test items keep all; null and empty texts, and rows without an id, pass or go as stated."""
+    docs, items = "doc_id long, text string, lang string, source string, n_chars long", "item_id long, text string"
+    rng = random.Random(6)
+    rows = [(i, words(rng, 30), "en", f"s{i % 3}", 100) for i in range(30)] + [(40, None, None, None, None), (41, "", "en", "s0", 0), (None, words(rng, 20), None, None, 9)]
+    for name, given, bench in (("none", [], [(1, "a test item of some words here")]), ("items", rows, []), ("both", [], [])):
+        spark.createDataFrame(given, docs).coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(bench, items).coalesce(1).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    for name in ("none", "both"):
+        out = pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.count() == 0 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
+    got = pipeline.run(spark, f"{tmp_path}/items").collect()
+    assert len({r.doc_id for r in got}) > 20  # each source is mixed to its weight
+    assert all(r.text for r in got) and {40, 41}.isdisjoint({r.doc_id for r in got})
