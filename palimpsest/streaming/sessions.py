@@ -83,27 +83,33 @@ class _Reads(StatefulProcessor):
         self.last = handle.getValueState("last", "at long, text string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        watermark, timed = timerValues.getCurrentWatermarkInMs(), {t - 1 for t in self.handle.listTimers()}
+        watermark, least = timerValues.getCurrentWatermarkInMs(), None
         for batch in rows:
+            # A batch holds rows of other keys too: one null number would make floats of all.
+            batch = batch.assign(ord=batch["ord"].astype(object).where(batch["numbered"], None))
             late = batch["millis"] < watermark  # what has this time has not come out yet
             if late.any():
                 yield self.given(key, [(at, ord_, None, True) for at, ord_ in zip(batch["micros"][late], batch["ord"][late])])
             on_time = batch[~late]
             if len(on_time):
                 self.waiting.appendList(list(on_time[["micros", "ord", "text"]].itertuples(index=False, name=None)))
-                for at in set(on_time["millis"].tolist()) - timed:
-                    timed.add(at)
-                    self.handle.registerTimer(at + 1)
+                first = int(on_time["millis"].min())
+                least = first if least is None else min(least, first)
+        # A key has one timer for its earliest read, not one a read: each timer that comes goes through all that wait.
+        if least is not None and not any(t <= least + 1 for t in self.handle.listTimers()):
+            self.handle.registerTimer(least + 1)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """All reads up to the watermark, by time and then number; the timers of the others will come. A
+        """All reads up to the watermark, by time and then number, and a timer for the first of the others. A
         read that is null stands for no text, which is not compared and stays nobody's last."""
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
+        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1] is not None, r[1] or 0)) if self.waiting.exists() else []
         ready = [r for r in held if r[0] // 1000 < watermark]
         rest = held[len(ready) :]
         if ready:
             self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
         last_at, last = self.last.get() if self.last.exists() else (None, None)
         out = []
         for at, ord_, text in ready:
@@ -112,16 +118,18 @@ class _Reads(StatefulProcessor):
             out.append((at, ord_, f"[diff from prior read of {key[1]}]:\n{patch}" if patch is not None and len(patch) < self.share * len(text) else None, False))
             if text is not None:
                 last_at, last = at, text
-        if ready and last is not None:
-            self.last.update((last_at, last))
-            self.handle.registerTimer(last_at // 1000 + self.idle_ms + 1)
-        elif last is not None and not rest and watermark > last_at // 1000 + self.idle_ms:
+        ends = last_at // 1000 + self.idle_ms if last is not None else None
+        if last is not None and not rest and watermark > ends:
             self.last.clear()
-        yield self.given(key, out)
+        elif ready and last is not None:
+            self.last.update((last_at, last))
+            self.handle.registerTimer(ends + 1)
+        if out:
+            yield self.given(key, out)
 
     def given(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame([(key[0], key[1], *r) for r in rows], columns=["session_key", "path", "at", "ord", "compressed", "late"])
-        return out.assign(at=pd.to_datetime(out["at"].astype("int64"), unit="us"), late=out["late"].astype(bool))
+        return out.assign(at=pd.to_datetime(out["at"].astype("int64"), unit="us"), ord=pd.array([r[1] for r in rows], dtype="Int64"), late=out["late"].astype(bool))
 
     def close(self) -> None:
         pass
@@ -139,7 +147,7 @@ def stream_graph_refs(rows: DataFrame, least: int = GRAPH_LEAST, idle_ms: int =
 
 def stream_read_diff(rows: DataFrame, delay: str = "10 minutes", idle_ms: int = IDLE_MS, share: float = 0.5) -> DataFrame:
     """(session_key, path, at, ord, compressed, late) of a stream of rows(session_key, path, at, ord, text):
-    hunks to the session's last text of the same path by time `at` and then ord, where that is not more than
+    hunks to the session's last text of the same path by time `at` and then ord (null first), where that is not more than
     idle_ms before and the hunks are under `share` of the new text, else null.
 
     Reads come out once the watermark, `delay` behind the latest time seen, has passed them, in an order
@@ -148,7 +156,7 @@ def stream_read_diff(rows: DataFrame, delay: str = "10 minutes", idle_ms: int =
     A read without a time is dropped."""
     marked = rows.where("at is not null").withWatermark("at", delay)
     # Plain numbers bear no watermark, so late rows reach the state as well.
-    plain = marked.select("session_key", "path", F.unix_micros("at").alias("micros"), F.unix_millis("at").alias("millis"), F.col("ord").cast("long").alias("ord"), "text")
+    plain = marked.select("session_key", "path", F.unix_micros("at").alias("micros"), F.unix_millis("at").alias("millis"), F.coalesce(F.col("ord").cast("long"), F.lit(0)).alias("ord"), F.col("ord").isNotNull().alias("numbered"), "text")
     return plain.groupBy("session_key", "path").transformWithStateInPandas(_Reads(idle_ms, share), READS, "append", "EventTime")
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from palimpsest.operators import crossrow, similarity
@@ -152,3 +153,78 @@ def test_store_is_kept_between_batches(spark, tmp_path):
     assert store.state(spark, path) == before and {(r.hash, r.text, r.last_access) for r in store.read_store(spark, path).collect()} == want
     store.upsert(again.limit(0), before["batch"] + 1, path, 4000, least=20, buckets=4, slot=16)
     assert {(r.hash, r.text, r.last_access) for r in store.read_store(spark, path).collect()} == want
+
+
+class _Held:
+    """One key's timers and states, as the processor of reads asks for them."""
+
+    def __init__(self):
+        self.timers, self.states, self.read = set(), {}, 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        return _State(self, name)
+
+    getValueState = getListState  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+
+class _State:
+    def __init__(self, held, name):
+        self.held, self.name = held, name
+
+    def exists(self):
+        return self.name in self.held.states
+
+    def get(self):
+        kept = self.held.states[self.name]
+        self.held.read += len(kept) if self.name == "waiting" else 0
+        return kept
+
+    def appendList(self, rows):  # noqa: N802
+        self.held.states.setdefault(self.name, []).extend(rows)
+
+    def put(self, rows):
+        self.held.states[self.name] = rows
+
+    update = put
+
+    def clear(self):
+        self.held.states.pop(self.name, None)
+
+
+class _Now:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+
+def test_reads_wait_on_one_timer():
+    """A key's reads are gone through once a watermark, not once for each read that waits."""
+    held, reads = _Held(), sessions._Reads(10_000_000, 0.5)
+    reads.init(held)
+    n = 500
+    rows = pd.DataFrame({"micros": [1000 * i for i in range(n)], "millis": range(n), "ord": range(n), "numbered": True, "text": [f"text {i}" for i in range(n)]})
+    list(reads.handleInputRows(("s", "/f"), iter([rows[250:], rows[:250]]), _Now(0)))
+    out = []
+    for watermark in (200, 400, 10**6):
+        for at in sorted(t for t in held.timers if t <= watermark):
+            held.timers.discard(at)
+            out += [f for f in reads.handleExpiredTimer(("s", "/f"), _Now(watermark), None)]
+    assert [o for f in out for o in f["ord"]] == list(range(n))
+    assert held.read <= n + (n - 200) + (n - 400)
+
+
+def test_reads_without_a_number(spark, tmp_path):
+    """A read without a number leaves the numbers of others as they are, however large, and comes first of its time."""
+    rows = [("s", "/f", clock(5), 2**60 + 1, "x" * 50), ("s", "/f", clock(5), None, "y" * 50), ("t", "/f", clock(6), 7, "z"), ("end", "/", clock(10**6), -1, "x")]
+    for k, part in enumerate((rows[:3], rows[3:])):
+        feed(spark, part, READS, tmp_path, k)
+    got = sessions.drained(sessions.stream_read_diff(source(spark, READS, tmp_path), delay="1 day"), "diffs").collect()
+    assert {(r.session_key, r.ord) for r in got} == {("s", 2**60 + 1), ("s", None), ("t", 7)}
