@@ -6,6 +6,7 @@ import random
 import pandas as pd
 import pytest
 
+from palimpsest import queries
 from palimpsest.operators import crossrow, similarity
 from palimpsest.streaming import sessions, store
 
@@ -221,6 +222,14 @@ def test_reads_wait_on_one_timer():
     assert held.read <= n + (n - 200) + (n - 400)
 
 
+def test_a_stream_is_closed_by_one_row(spark, tmp_path):
+    """One row that closes, however many there are: a row each would meet all others of its key."""
+    feed(spark, [(f"s{i}", clock(i), i) for i in range(50)], "session_key string, at timestamp, ord long", tmp_path, 0)
+    rows = queries.closed(spark.readStream.schema("session_key string, at timestamp, ord long").parquet(str(tmp_path / "all")))
+    got = sessions.drained(rows, "closed").collect()
+    assert len(got) == 51 and [(r.session_key, r.ord) for r in got if r["at"] > clock(10**8)] == [("(end)", None)]
+
+
 def test_reads_without_a_number(spark, tmp_path):
     """A read without a number leaves the numbers of others as they are, however large, and comes first of its time."""
     rows = [("s", "/f", clock(5), 2**60 + 1, "x" * 50), ("s", "/f", clock(5), None, "y" * 50), ("t", "/f", clock(6), 7, "z"), ("end", "/", clock(10**6), -1, "x")]
