@@ -60,6 +60,14 @@ def size_label(n: Column) -> Column:
     )
 
 
+def kilobytes_label(n: Column) -> Column:
+    """A whole number of bytes in KB with one decimal, as C prints n / 1024: ties go to the even digit."""
+    return let(
+        F.struct(F.floor(n * 10 / 1024).alias("whole"), (n * 10 % 1024).alias("rest")),
+        lambda x: let(x.whole + F.when((x.rest > 512) | ((x.rest == 512) & (x.whole % 2 == 1)), 1).otherwise(0), lambda t: F.format_string("%d.%d KB", F.floor(t / 10), t % 10)),
+    )
+
+
 def count_label(n: Column) -> Column:
     """A count for people: thousands as k with one decimal."""
     return F.when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(F.format_string("%d", n.cast("long")))

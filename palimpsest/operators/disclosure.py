@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +25,16 @@ def _ends(head: int, tail: int):
     return run
 
 
-def summarize(df: DataFrame, text: str = "text", least: int = LEAST_BYTES, head: int = HEAD_BYTES, tail: int = TAIL_BYTES) -> DataFrame:
-    """Rows of df with at least `least` bytes, with hash, original_bytes, summary and summary_bytes."""
+def summarize(df: DataFrame, text: str = "text", least: int = LEAST_BYTES, head: int = HEAD_BYTES, tail: int = TAIL_BYTES, label: Callable[[Column], Column] = size_label) -> DataFrame:
+    """Rows of df with at least `least` bytes, with hash, original_bytes, summary and summary_bytes; label
+    says how sizes are put."""
     size = F.octet_length(text).cast("long")
     held = df.where(size >= least).withColumn("hash", F.sha2(F.col(text), 256)).withColumn("original_bytes", size)
     held = held.withColumn("__ends", _ends(head, tail)(F.col(text)))
     omitted = F.greatest(F.lit(0).cast("long"), F.col("original_bytes") - F.octet_length("__ends.head") - F.octet_length("__ends.tail"))
     mark = F.concat(F.lit(f"<{TAG}:"), F.col("hash"), F.lit(":"), F.col("original_bytes").cast("string"), F.lit(">"))
-    line = F.concat(F.lit("[folded v1] "), size_label(F.col("original_bytes")), F.lit(", sha256:"), F.substring("hash", 1, 12), F.lit("... - quote "), mark, F.lit(" to expand"))
-    body = F.concat(line, F.lit("\n"), F.col("__ends.head"), F.lit("\n[... "), size_label(omitted), F.lit(" omitted ...]\n"), F.col("__ends.tail"), F.lit("\n"), mark)
+    line = F.concat(F.lit("[folded v1] "), label(F.col("original_bytes")), F.lit(", sha256:"), F.substring("hash", 1, 12), F.lit("... - quote "), mark, F.lit(" to expand"))
+    body = F.concat(line, F.lit("\n"), F.col("__ends.head"), F.lit("\n[... "), label(omitted), F.lit(" omitted ...]\n"), F.col("__ends.tail"), F.lit("\n"), mark)
     return held.withColumn("summary", body).withColumn("summary_bytes", F.octet_length("summary").cast("long")).drop("__ends")
 
 

@@ -11,7 +11,7 @@ from . import queries_requests  # noqa: F401  registers its queries
 from .queries_requests import quoted as requests_json
 from .catalogue import ORACLE_SQL, QUERIES, query, spread, strict, table
 from .functions import classify, commands, json_text, metrics, redact, rewrite
-from .functions.text import count_label, js_len, size_label, token_estimate
+from .functions.text import count_label, js_len, kilobytes_label, size_label, token_estimate
 from .operators import crossrow, disclosure, ranking, similarity, stats, structure, trim
 from .plans import compact as plans
 from .sources import requests
@@ -404,7 +404,7 @@ FROM (SELECT *, '<fold-ref:v1:' || hash || ':' || n || '>' AS mark FROM (SELECT
 
 @query(_FOLD_SQL.format(size="printf('%.1f KB', n / 1024.0)"))
 def disclosure_summary(spark, sf_dir):
-    folded = disclosure.summarize(table(spark, sf_dir, "documents").select("doc_id", "text"), least=8192)
+    folded = disclosure.summarize(table(spark, sf_dir, "documents").select("doc_id", "text"), least=8192, label=kilobytes_label)
     return folded.select("doc_id", "hash", "original_bytes", F.substring_index("summary", "\n", 1).alias("line"))
 
 

@@ -12,7 +12,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest import fixtures
+from palimpsest import fixtures, queries
 from palimpsest.config import Config
 from palimpsest.operators import crossrow, disclosure, ranking, similarity, stats
 from palimpsest.plans import compact
@@ -292,3 +292,15 @@ def test_files(spark, tmp_path):
     assert got == {"a.json": ("json", "toon"), "b.md": ("markdown", None)}
     files.write_files(found, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and (tmp_path / "a.json").read_text().startswith("{\n")
+
+
+def test_disclosure_summary_sizes(spark, tmp_path):
+    """Sizes in KB as C prints them: ties to the even digit, and no MB."""
+    import duckdb
+
+    sizes = [8192 + 128 * k for k in range(16)] + [8243, 10 * 1024 + 51, 1024 * 1024 + 256, 3 * 1024 * 1024 + 768]
+    spark.createDataFrame([(k, "x" * n) for k, n in enumerate(sizes)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.line) for r in queries.disclosure_summary(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.sql(f"SELECT doc_id, line FROM ({queries.ORACLE_SQL['disclosure_summary']})").fetchall())
