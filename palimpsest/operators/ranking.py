@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import B_LEFT, JS_SPACE
+from ..functions.text import B_LEFT, JS_SPACE, let
 from ..workdir import materialize
 
 K1, B = 1.5, 0.75
 BLOCKS_AN_OCTAVE = 1
 DEFINITION_BOOST, COMMENT_PENALTY, COHERENCE = 1.6, 0.6, 0.25
+SEVERAL = "_|[a-z0-9][A-Z]|[A-Z]{2}[a-z]"
 # What a line that defines a name, and one that is a comment, look like.
 DEFINES = (
     f"{B_LEFT}(?:export\\s+(?:default\\s+)?)?(?:async\\s+)?(?:function|class|def|const|let|var|type|interface|enum|struct|impl|trait|fn|func|module|namespace)\\s+"
@@ -28,14 +29,17 @@ def tokens(c: Column) -> Column:
 
     def of(word: Column) -> Column:
         # Only words with an underscore or a change of case have parts; most texts have few of them.
-        several = word.rlike("_|[a-z0-9][A-Z]|[A-Z]{2}[a-z]")
+        several = word.rlike(SEVERAL)
         spaced = F.regexp_replace(F.regexp_replace(word, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
         parts = F.split(F.lower(spaced), "[ _]+", -1)
         return F.when(several, F.concat(F.array(F.lower(word)), parts)).otherwise(F.array(F.lower(word)))
 
     # Words are taken out, not split apart: Java tests a negated class several times as slowly.
-    every = F.flatten(F.transform(F.regexp_extract_all(joined, F.lit("[A-Za-z0-9_]+"), F.lit(0)), of))
-    return F.coalesce(F.filter(every, lambda w: F.length(w) >= 2), F.array().cast("array<string>"))
+    words = lambda x, least: F.regexp_extract_all(x, F.lit(f"[A-Za-z0-9_]{{{least},}}"), F.lit(0))
+    whole = lambda x: F.filter(F.flatten(F.transform(words(x, 1), of)), lambda w: F.length(w) >= 2)
+    # A text none of whose words have parts, as most lines are, is not gone through word by word.
+    every = let(joined, lambda x: F.when(x.rlike(SEVERAL), whole(x)).otherwise(F.transform(words(x, 2), F.lower)))
+    return F.coalesce(every, F.array().cast("array<string>"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str, query_id: str | None, query: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -126,6 +130,44 @@ def rerank(lines: DataFrame, target: str, line: str, text: str, score: str, quer
     return own.withColumn("reranked", F.when(count >= 3, F.col("__s") + lift).otherwise(F.col("__s"))).drop("__s")
 
 
+def line_scores(lines: str, terms: str, k1: float = K1, b: float = B) -> Column:
+    """The BM25 scores of one text's lines (an array column) for its own distinct terms (an array column), as
+    bm25 gives them without a query_id, 0 where a line holds none: an array, worked out within the row."""
+
+    def counted(asked: Column) -> Column:
+        return F.transform(lines, lambda x: let(tokens(x), lambda toks: F.struct(F.size(toks).alias("dl"), F.filter(toks, lambda w: F.array_contains(asked, w)).alias("hits"))))
+
+    def scored(rows: Column, asked: Column) -> Column:
+        n, total = F.size(rows), F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + r.dl)
+        some = F.filter(rows, lambda r: F.size(r.hits) > 0)
+        df = lambda s, t: F.size(F.filter(s, lambda r: F.array_contains(r.hits, t)))
+        idf = let(some, lambda s: F.transform(asked, lambda t: F.struct(t.alias("term"), let(df(s, t), lambda d: F.log(1 + (n - d + 0.5) / (d + 0.5))).alias("idf"))))
+        return let(F.struct(idf.alias("terms"), F.try_divide(total, n).alias("avgdl")), lambda g: F.transform(rows, lambda r: F.when(F.size(r.hits) == 0, 0.0).otherwise(summed(g, r))))
+
+    def summed(g: Column, r: Column) -> Column:
+        base = k1 * (1 - b + b * (r.dl / g.avgdl))
+        part = lambda t: let(F.size(F.filter(r.hits, lambda w: w == t.term)), lambda f: F.when(f > 0, t.idf * (f * (k1 + 1) / (f + base))).otherwise(0.0))
+        return F.aggregate(g.terms, F.lit(0.0), lambda a, t: a + part(t))
+
+    return let(F.col(terms), lambda asked: let(counted(asked), lambda rows: scored(rows, asked)))
+
+
+def reranked_lines(lines: str, scores: str, terms: str) -> Column:
+    """rerank of one text's lines and scores (array columns) for its terms, worked out within the row. A score
+    of 0 stays one whatever the line is, so most lines are not looked at."""
+
+    def own(x: Column, s: Column, asked: Column) -> Column:
+        name = F.regexp_extract(x, DEFINES, 1)
+        defines = (F.length(name) > 0) & F.arrays_overlap(tokens(name), asked)
+        return F.when(s > 0, s * F.when(defines, DEFINITION_BOOST).otherwise(1.0) * F.when(x.rlike(COMMENT), COMMENT_PENALTY).otherwise(1.0)).otherwise(0.0)
+
+    def lifted(every: Column) -> Column:
+        near = lambda i: F.coalesce(F.get(every, i), F.lit(0.0))
+        return F.when(F.size(every) >= 3, F.transform(every, lambda s, i: s + COHERENCE * F.greatest(near(i - 1), near(i + 1)))).otherwise(every)
+
+    return let(F.col(terms), lambda asked: let(F.zip_with(lines, scores, lambda x, s: own(x, s, asked)), lifted))
+
+
 def ndcg(ranked: DataFrame, group: str, score: str, position: str, gold: str, k: int = 10) -> DataFrame:
     """(group, ndcg): gain 1 for gold rows by score falling and position rising, over the ideal's. Only the
     k first rows of a group are ranked, and each task cuts its own rows to k before they are exchanged."""

@@ -11,7 +11,7 @@ from . import queries_requests  # noqa: F401  registers its queries
 from .queries_requests import quoted as requests_json
 from .catalogue import ORACLE_SQL, QUERIES, query, spread, strict, table
 from .functions import classify, commands, json_text, metrics, redact, rewrite
-from .functions.text import count_label, js_len, kilobytes_label, size_label, token_estimate
+from .functions.text import count_label, js_len, kilobytes_label, let, size_label, token_estimate
 from .operators import crossrow, disclosure, ranking, similarity, stats, structure, trim
 from .plans import compact as plans
 from .sources import requests
@@ -637,10 +637,10 @@ def ranked_report(spark, sf_dir):
 def trim_survival(spark, sf_dir):
     """A definition that the query asks for and a line that it does not, late in a long listing: the first
     survives the trim. Every third listing is short enough to stay as it is."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 12).otherwise(300).alias("n"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", F.when(F.col("doc_id") % 3 == 0, 12).otherwise(300).alias("n"))
     filler = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.lit("entry "), k, F.lit(" of listing "), F.col("doc_id"), F.lit(" holds nothing of note")))
     gold = F.array(F.lit("export function parseToken(input) {"), F.lit("a remark of some length that shares not one word with the question asked"))
-    text = F.array_join(F.concat(filler, F.slice(gold, 1, 1), F.slice(filler, 1, 5), F.slice(gold, 2, 1), F.slice(filler, 1, 5)), "\n")
+    text = let(filler, lambda f: F.array_join(F.concat(f, F.slice(gold, 1, 1), F.slice(f, 1, 5), F.slice(gold, 2, 1), F.slice(f, 1, 5)), "\n"))
     docs = docs.select("doc_id", text.alias("text"), F.lit("where does parseToken begin").alias("q"), F.lit("notes.txt").alias("path"))
     cut = docs.select("doc_id").join(trim.trim(docs, ["doc_id"], "text", "q", "path", 512), "doc_id", "left")
     found = stats.survival(cut.select("doc_id", F.col("trimmed").alias("kept"), gold.alias("gold"), F.slice(gold, 1, 1).alias("definitions")), "kept", "gold", "definitions")

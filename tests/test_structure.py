@@ -264,3 +264,15 @@ def test_top_by_bounds(spark, monkeypatch):
         assert {key: sorted(v) for key, v in got.items()} == {key: sorted(v)[:k] for key, v in whole.items()}
     hopeful = [df.where("q < 90").count() for name, df in held if name == "hopeful"]
     assert hopeful[1] < 0.1 * sum(len(v) for key, v in whole.items() if key[1] < 90)
+
+
+def test_scores_within_the_row(spark):
+    """Scores of a text's lines as arrays equal the plain version, and a trim deals no lines out."""
+    texts = [CODE, "one\ntwo", "", "// parseToken here\nfunction parseToken(a) {\nmy_token x.y-z HTTPServer\n\nclass Zero", "K one Kelvin\nparse_token"]
+    ask = "where is parseToken or the write key map, x_y and HTTPServer one"
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("x", F.split("text", "\n", -1)).withColumn("terms", F.array_distinct(ranking.tokens(F.lit(ask))))
+    df = df.withColumn("s", ranking.line_scores("x", "terms"))
+    for r in df.withColumn("r", ranking.reranked_lines("x", "s", "terms")).collect():
+        assert r.s == pytest.approx(slow_scores(r.x, ask, False)) and r.r == pytest.approx(slow_scores(r.x, ask, True))
+    given = spark.createDataFrame([(1, CODE, "write key map", "a.js")], "id int, text string, query string, path string")
+    assert "posexplode" not in trim.trim(given, ["id"], budget=120)._jdf.queryExecution().optimizedPlan().toString()
