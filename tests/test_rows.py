@@ -304,3 +304,25 @@ def test_disclosure_summary_sizes(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == set(con.sql(f"SELECT doc_id, line FROM ({queries.ORACLE_SQL['disclosure_summary']})").fetchall())
+
+
+def test_bodies_by_slices():
+    """No more than a slice of a batch's values are Python objects at a time; nulls and empty batches go through."""
+    import pyarrow as pa
+
+    class Batch:
+        def __init__(self, values):
+            self.values, self.most = values, 0
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, start, n):
+            part = pa.array(self.values[start : start + n], pa.string())
+            self.most = max(self.most, len(part))
+            return part
+
+    batch = Batch([None if k % 7 == 0 else f"text {k}" for k in range(1000)])
+    out = requests.by_slices(lambda t: None if t is None else t.upper(), pa.string(), batch)
+    assert out.to_pylist() == [None if t is None else t.upper() for t in batch.values] and batch.most <= 256
+    assert requests.by_slices(str, pa.string(), pa.array([], pa.string())).to_pylist() == []
