@@ -5,13 +5,13 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import by_slices
 from ..functions.text import js_len, lines
 
 LEAST_SIMILARITY, DIFF_LEAST, DIFF_SHARE = 0.5, 200, 0.5
@@ -69,8 +69,8 @@ def pairs_of(texts: DataFrame, least: float) -> DataFrame:
 
 def edit_script(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
     """Changed ranges (a from, a to, b from, b to) by Myers' greedy algorithm, common ends apart. What takes
-    more than MAX_EDITS steps is one change of all between the ends: the way back holds a number for each
-    step and diagonal, some 4 * MAX_EDITS^2 bytes at most."""
+    more than MAX_EDITS steps is one change of all between the ends: the way back holds a number of four bytes
+    for each step and every second diagonal, some 2 * MAX_EDITS^2 bytes at most."""
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
         low += 1
@@ -80,10 +80,10 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
     x, y = a[low : len(a) - high], b[low : len(b) - high]
     n, m = len(x), len(y)
     limit = min(n + m, MAX_EDITS)
-    frontier, trace, mid = array("q", [-1]) * (2 * limit + 5), [], limit + 2  # places of -limit - 2 to limit + 2
+    frontier, trace, mid = array("i", [-1]) * (2 * limit + 5), [], limit + 2  # places of -limit - 2 to limit + 2
     frontier[mid + 1] = 0
     for d in range(limit + 1):
-        trace.append(frontier[mid - d - 1 : mid + d + 2])
+        trace.append(frontier[mid - d - 1 : mid + d + 2 : 2])  # a step reads only the diagonals beside its own
         for k in range(-d, d + 1, 2):
             left, right = frontier[mid + k - 1], frontier[mid + k + 1]
             i = right if k == -d or (k != d and left < right) else left + 1
@@ -102,7 +102,7 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
         if not (i or j):
             break
         v, k = trace[d], i - j
-        left, right = v[k + d], v[k + d + 2]  # of k - 1 and k + 1, the first place being that of -d - 1
+        left, right = v[(k + d) // 2], v[(k + d) // 2 + 1]  # of k - 1 and k + 1, the first place being that of -d - 1
         down = k == -d or (k != d and left < right)
         p = right if down else left
         q = p - (k + 1 if down else k - 1)
@@ -160,14 +160,14 @@ def apply_hunks(old: str, hunks: str) -> str:
     return "\n".join(out + a[at:])
 
 
-@F.pandas_udf(T.StringType())
-def hunks(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([unified_hunks(a, b) if a is not None and b is not None else None for a, b in zip(old, new)])
+@F.arrow_udf(T.StringType())
+def hunks(old: pa.Array, new: pa.Array) -> pa.Array:
+    return by_slices(lambda a, b: unified_hunks(a, b) if a is not None and b is not None else None, pa.string(), old, new)
 
 
-@F.pandas_udf(T.StringType())
-def restored(old: pd.Series, patch: pd.Series) -> pd.Series:
-    return pd.Series([apply_hunks(a, p) if a is not None and p is not None else None for a, p in zip(old, patch)])
+@F.arrow_udf(T.StringType())
+def restored(old: pa.Array, patch: pa.Array) -> pa.Array:
+    return by_slices(lambda a, p: apply_hunks(a, p) if a is not None and p is not None else None, pa.string(), old, patch)
 
 
 def first_base(df: DataFrame, group: str, order: str, text: str = "text") -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import gzip
 import json
 import zlib
-from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
@@ -17,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import by_slices
 from ..functions.json_text import dump, dump_pretty, parse
 
 MAX_BODY, DECODED_TIMES = 10_485_760, 5
-SLICE = 256
 
 # Providers in order of matching, with what their request paths begin with.
 ROUTES = (
@@ -124,14 +123,6 @@ def gzip_text(text: pa.Array) -> pa.Array:
     return by_slices(lambda t: None if t is None else gzip.compress(t.encode()), pa.binary(), text)
 
 
-def by_slices(one: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
-    """one(row's values) for every row of a batch; the values of a few rows at a time are Python's, so a
-    batch of large bodies is held once, not once more as objects."""
-    cuts = ([c.slice(k, SLICE).to_pylist() for c in columns] for k in range(0, len(columns[0]), SLICE))
-    parts = [pa.array([one(*row) for row in zip(*cut)], kind) for cut in cuts]
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
-
-
 def _get(c: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(c, path, kind)
 
