@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import B_LEFT, JS_SPACE, let
 from ..workdir import materialize
+from . import postings as P
 
 K1, B = 1.5, 0.75
 BLOCKS_AN_OCTAVE = 1
@@ -49,6 +52,9 @@ def bm25(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str,
     queries are counted: tokens meet the distinct query terms before the frequencies are aggregated.
     Without a query_id every target has a query of its own, in a row (target, query), and no other's.
     """
+    if query_id is not None and (held := _held(docs, queries, target, line, text, query_id, query)):
+        counts, of, by = held
+        return P.scored(counts, target, line, queries.schema[query_id], of, by, k1, b).select(target, query_id, line, "score")
     own = [target] if query_id is None else []
     named = own or [query_id]
     terms = query_terms(queries, named, query)
@@ -56,6 +62,36 @@ def bm25(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str,
     return weighed.groupBy(*dict.fromkeys([target, *named, line])).agg(F.sum("part").alias("score"))
 
 
+def bm25_head(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str, query_id: str, query: str, cut: Callable[[int], P.Cut], digits: int = 6, marks: DataFrame | None = None, cost: str | None = None, gold: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(target, query_id, line, score) of bm25, scores rounded, without pairs that a cut of postings tells not to
+    be in the head of their query's ranking. marks(line, cost, gold) gives lines what is named, and leaves out
+    lines that it does not have; with gold there is rest: see postings.scored. With several targets nothing is cut.
+    """
+    more = [c for c in (cost, gold) if c is not None]
+    if held := _held(docs, queries, target, line, text, query_id, query):
+        counts, of, by = held
+        counts = counts if marks is None else counts.join(marks.select(line, *more), line)
+        pairs = P.scored(counts, target, line, queries.schema[query_id], of, by, k1, b, cut if len(of.targets) == 1 else None, cost, gold)
+    else:
+        pairs = bm25(docs, queries, target, line, text, query_id, query, k1, b)
+        pairs = pairs if marks is None else pairs.join(marks.select(line, *more), line)
+        pairs = pairs if gold is None else pairs.withColumn("rest", F.lit(None).cast("long"))
+    return pairs.select(target, query_id, line, F.round("score", digits).alias("score"), *more, *(["rest"] if gold is not None else []))
+
+
+def _held(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str, query_id: str, query: str) -> tuple[DataFrame, P.Stats, P.Asked] | None:
+    """The lines' counts of asked terms, written once, with what scores them within a task. None where the
+    queries' terms, or the numbers of all targets, are too many to hold there, or where a line is in several rows."""
+    by = P.asked(query_terms(queries, [query_id], query).select(query_id, "term"))
+    if by is None:
+        return None
+    counts = materialize(P.counted(docs, target, line, tokens(F.col(text)), by.terms), "counts")
+    of = P.stats(counts, target, len(by.terms))
+    if of is None or not counts.groupBy(target, line).count().where("count > 1").isEmpty():
+        return None
+    return counts, of, by
+
+
 def query_terms(queries: DataFrame, named: list[str], query: str) -> DataFrame:
     """(named, term): the distinct terms of each query."""
     return queries.select(*named, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
@@ -94,7 +130,12 @@ def bm25_top(docs: DataFrame, queries: DataFrame, target: str, line: str, text:
     slack, place = 10.0**-digits, [target, query_id]
     terms = query_terms(queries, [query_id], query)
     block = F.floor(F.log2("dl") * BLOCKS_AN_OCTAVE).cast("int")
-    postings = materialize(impacts(docs, terms.select("term").distinct(), target, line, text, k1, b).withColumn("block", block).drop("dl"), "postings")
+    if held := _held(docs, queries, target, line, text, query_id, query):
+        counts, of, by = held
+        parts = P.weighed(counts, target, line, of, by.terms, k1, b)
+    else:
+        parts = impacts(docs, terms.select("term").distinct(), target, line, text, k1, b)
+    postings = materialize(parts.withColumn("block", block).drop("dl"), "postings")
     best = lambda by, score: F.row_number().over(W.partitionBy(*by).orderBy(F.col(score).desc(), line))
     heads = postings.withColumn("__r", best([target, "term"], "part")).where(F.col("__r") <= k)
     seeds = heads.join(terms, "term").select(*place, line).distinct()
@@ -168,23 +209,34 @@ def reranked_lines(lines: str, scores: str, terms: str) -> Column:
     return let(F.col(terms), lambda asked: let(F.zip_with(lines, scores, lambda x, s: own(x, s, asked)), lifted))
 
 
-def ndcg(ranked: DataFrame, group: str, score: str, position: str, gold: str, k: int = 10) -> DataFrame:
+def _listed(ranked: DataFrame, gold: str, rest: str | None) -> tuple[DataFrame, Column]:
+    """The rows that are ranked, and the number of gold ones: a row with `rest` stands for so many that are not listed."""
+    if rest is None:
+        return ranked, F.count_if(gold)
+    return ranked.where(F.col(rest).isNull()), F.count_if(gold) + F.coalesce(F.sum(rest), F.lit(0).cast("long"))
+
+
+def ndcg(ranked: DataFrame, group: str, score: str, position: str, gold: str, k: int = 10, rest: str | None = None) -> DataFrame:
     """(group, ndcg): gain 1 for gold rows by score falling and position rising, over the ideal's. Only the
-    k first rows of a group are ranked, and each task cuts its own rows to k before they are exchanged."""
+    k first rows of a group are ranked, and each task cuts its own rows to k before they are exchanged.
+    Rows with a number in rest stand for so many gold rows below the k first."""
+    listed, golds = _listed(ranked, gold, rest)
     place = F.row_number().over(W.partitionBy(group).orderBy(F.col(score).desc(), F.col(position)))
-    top = ranked.select(group, score, position, gold).withColumn("__r", place).where(F.col("__r") <= k)
+    top = listed.select(group, score, position, gold).withColumn("__r", place).where(F.col("__r") <= k)
     gains = top.groupBy(group).agg(F.sum(F.when(F.col(gold), 1 / F.log2(F.col("__r") + 1)).otherwise(0.0)).alias("dcg"))
-    counts = ranked.groupBy(group).agg(F.least(F.count_if(gold), F.lit(k)).cast("int").alias("n"))
+    counts = ranked.groupBy(group).agg(F.least(golds, F.lit(k)).cast("int").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), F.lit(0.0), lambda a, x: a + 1 / F.log2(x + 1))
     return counts.join(gains, group).select(group, F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"))
 
 
-def recall_within(ranked: DataFrame, group: str, score: str, position: str, cost: str, gold: str, budget: int) -> DataFrame:
+def recall_within(ranked: DataFrame, group: str, score: str, position: str, cost: str, gold: str, budget: int, rest: str | None = None) -> DataFrame:
     """(group, recall): share of gold rows among the head of the ranking whose costs sum to the budget.
-    Costs are at least 1, so no more than `budget` rows of a group can fit, and only those are ranked."""
+    Costs are at least 1, so no more than `budget` rows of a group can fit, and only those are ranked. Rows
+    with a number in rest stand for so many gold rows that do not fit."""
+    listed, golds = _listed(ranked, gold, rest)
     order = W.partitionBy(group).orderBy(F.col(score).desc(), F.col(position))
-    head = ranked.select(group, score, position, cost, gold).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= budget)
+    head = listed.select(group, score, position, cost, gold).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= budget)
     spent = F.sum(cost).over(W.partitionBy(group).orderBy("__r").rowsBetween(W.unboundedPreceding, W.currentRow))
     found = head.withColumn("__in", spent <= budget).groupBy(group).agg(F.count_if(F.col(gold) & F.col("__in")).alias("__k"))
-    counts = ranked.groupBy(group).agg(F.count_if(gold).alias("__n"))
+    counts = ranked.groupBy(group).agg(golds.alias("__n"))
     return counts.join(found, group).select(group, F.coalesce(F.try_divide(F.col("__k"), F.col("__n")), F.lit(0.0)).alias("recall"))

@@ -12,11 +12,11 @@ from .queries_requests import quoted as requests_json
 from .catalogue import ORACLE_SQL, QUERIES, query, spread, strict, table
 from .functions import classify, commands, json_text, metrics, redact, rewrite
 from .functions.text import count_label, js_len, kilobytes_label, let, size_label, token_estimate
-from .operators import crossrow, disclosure, ranking, similarity, stats, structure, trim
+from .operators import crossrow, disclosure, postings, ranking, similarity, stats, structure, trim
 from .plans import compact as plans
 from .sources import requests
 from .streaming import sessions, store
-from .workdir import new_path
+from .workdir import materialize, new_path
 
 TOKENS = "greatest(1, ceil(length({0}) / 4.0))::BIGINT"
 
@@ -453,19 +453,24 @@ def bm25_scores(spark, sf_dir):
 _RANKED_SQL = f"WITH s AS ({_BM25_SQL}), r AS (SELECT item_id, doc_id, score, coalesce(quality = 1, FALSE) AS gold, {TOKENS.format('text')} AS cost, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS p FROM s LEFT JOIN labels USING (doc_id) JOIN documents USING (doc_id)) "
 
 
-def _labelled(spark, sf_dir):
+def _labelled(spark, sf_dir, cut):
+    """The head of each item's ranking by a cut, with cost and gold; written once, as it is counted and ranked."""
+    docs = table(spark, sf_dir, "documents")
     gold = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("g"))
-    cost = table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("cost"))
-    return bm25_scores(spark, sf_dir).join(gold, "doc_id", "left").join(cost, "doc_id").withColumn("gold", F.coalesce("g", F.lit(False)))
+    marks = docs.select("doc_id", token_estimate(F.col("text")).alias("cost")).join(gold, "doc_id", "left").withColumn("gold", F.coalesce("g", F.lit(False)))
+    lines = spread(docs.select("doc_id", "text")).withColumn("target", F.lit(1))
+    return materialize(ranking.bm25_head(lines, table(spark, sf_dir, "benchmark"), "target", "doc_id", "text", "item_id", "text", cut, marks=marks, cost="cost", gold="gold"), "ranked")
 
 
 @query(_RANKED_SQL + "SELECT item_id, doc_id, score FROM r WHERE p <= 10")
 def bm25_topk(spark, sf_dir):
-    """All pairs scored; each task cuts its own to ten a query before they are exchanged."""
+    """All pairs scored; each task keeps what may be among its ten best a query."""
     from pyspark.sql import Window as W
 
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("target", F.lit(1))
+    scored = ranking.bm25_head(docs, table(spark, sf_dir, "benchmark"), "target", "doc_id", "text", "item_id", "text", postings.best(10, 1e-6))
     place = F.row_number().over(W.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id"))
-    return bm25_scores(spark, sf_dir).withColumn("p", place).where("p <= 10").drop("p")
+    return scored.withColumn("p", place).where("p <= 10").select("item_id", "doc_id", "score")
 
 
 @query(_RANKED_SQL + "SELECT item_id, doc_id, score FROM r WHERE p <= 10")
@@ -478,13 +483,13 @@ def bm25_topk_bounded(spark, sf_dir):
 @query(_RANKED_SQL + """SELECT item_id, round(CASE WHEN min(k) > 0 THEN sum(CASE WHEN gold AND p <= 10 THEN 1 / log2(p + 1) ELSE 0 END) / min(list_sum(list_transform(range(1, k + 1), lambda i: 1 / log2(i + 1)))) ELSE 0.0 END, 6) AS ndcg
 FROM (SELECT *, least(count(CASE WHEN gold THEN 1 END) OVER (PARTITION BY item_id), 10) AS k FROM r) GROUP BY item_id""")
 def ndcg_at_10(spark, sf_dir):
-    return ranking.ndcg(_labelled(spark, sf_dir), "item_id", "score", "doc_id", "gold").select("item_id", F.round("ndcg", 6).alias("ndcg"))
+    return ranking.ndcg(_labelled(spark, sf_dir, postings.best(10, 1e-6)), "item_id", "score", "doc_id", "gold", rest="rest").select("item_id", F.round("ndcg", 6).alias("ndcg"))
 
 
 @query(_RANKED_SQL + """SELECT item_id, round(coalesce(count(CASE WHEN gold AND spent <= 4096 THEN 1 END) / nullif(count(CASE WHEN gold THEN 1 END), 0), 0.0), 6) AS recall
 FROM (SELECT *, sum(cost) OVER (PARTITION BY item_id ORDER BY p) AS spent FROM r) GROUP BY item_id""")
 def recall_budget(spark, sf_dir):
-    found = ranking.recall_within(_labelled(spark, sf_dir), "item_id", "score", "doc_id", "cost", "gold", 4096)
+    found = ranking.recall_within(_labelled(spark, sf_dir, postings.affordable(4096, 1e-6)), "item_id", "score", "doc_id", "cost", "gold", 4096, "rest")
     return found.select("item_id", F.round("recall", 6).alias("recall"))
 
 

@@ -276,3 +276,49 @@ def test_scores_within_the_row(spark):
         assert r.s == pytest.approx(slow_scores(r.x, ask, False)) and r.r == pytest.approx(slow_scores(r.x, ask, True))
     given = spark.createDataFrame([(1, CODE, "write key map", "a.js")], "id int, text string, query string, path string")
     assert "posexplode" not in trim.trim(given, ["id"], budget=120)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_within_tasks(spark, monkeypatch):
+    """Pairs are scored without an exchange, and equal those of the joins, which take over where terms are too many
+    or a line is in two rows; nulls, repeated queries and targets without a token too."""
+    from palimpsest.operators import postings
+
+    rng = random.Random(7)
+    vocabulary = [f"word{k}" for k in range(40)] + ["snake_case", "camelCase", "a.b-c"]
+    rows = [(t, i, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 30)))) for t in range(3) for i in range(120)]
+    rows += [(0, 500, None), (0, 501, ""), (None, 502, "word1 word2"), (7, 1, ""), (7, 2, None)]
+    asks = [(k, " ".join(rng.choices(vocabulary, k=5))) for k in range(25)] + [(3, "word1 word2 case"), (None, "word3 word4"), (90, None), (91, "absent")]
+    docs, queries = spark.createDataFrame(rows, "t int, line int, text string").repartition(3), spark.createDataFrame(asks, "q int, ask string")
+    read = lambda df: sorted(((r.t, r.line, r.q is None, r.q or 0, round(r.score, 9)) for r in df.collect()))
+    within = ranking.bm25(docs, queries, "t", "line", "text", "q", "ask")
+    assert "Exchange" not in within._jdf.queryExecution().executedPlan().toString()
+    twice = docs.union(docs.where("line = 5"))
+    double = read(ranking.bm25(twice, queries, "t", "line", "text", "q", "ask"))
+    monkeypatch.setattr(postings, "MOST_TERMS", 0)
+    joined = ranking.bm25(docs, queries, "t", "line", "text", "q", "ask")
+    assert len(read(within)) > 3000 and read(within) == read(joined)
+    assert double == read(ranking.bm25(twice, queries, "t", "line", "text", "q", "ask"))
+
+
+def test_heads_are_enough(spark):
+    """The head by a cut gives the same NDCG and recall as all pairs, with ties, a line that costs more than the
+    budget and gold ones far behind, and most pairs are left out."""
+    from palimpsest.operators import postings
+
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(20)]
+    rows = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(20)], k=rng.randrange(1, 40)))) for i in range(3000)]
+    rows += [(5000 + i, rows[3][1]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "line int, text string").withColumn("t", F.lit(1)).repartition(2)
+    queries = spark.createDataFrame([(k, " ".join(rng.sample(words, 3))) for k in range(20)], "q int, ask string")
+    marks = spark.createDataFrame([(i, 5000 if i % 50 == 0 else 1 + i % 9, None if i % 11 == 0 else i % 3 == 0) for i, _ in rows if i != 17], "line int, cost long, gold boolean")
+    scored = ranking.bm25(docs, queries, "t", "line", "text", "q", "ask").withColumn("score", F.round("score", 6))
+    whole = scored.join(marks, "line").persist()
+    head = lambda cut: ranking.bm25_head(docs, queries, "t", "line", "text", "q", "ask", cut, marks=marks, cost="cost", gold="gold").persist()
+    best, near = head(postings.best(10, 1e-6)), head(postings.affordable(60, 1e-6))
+    pairs = whole.count()
+    assert best.count() < pairs / 4 and near.count() < pairs / 2
+    same = lambda a, b: {r.q: r[1] for r in a.collect()} == {r.q: r[1] for r in b.collect()}
+    assert same(ranking.ndcg(whole, "q", "score", "line", "gold"), ranking.ndcg(best, "q", "score", "line", "gold", rest="rest"))
+    assert same(ranking.recall_within(whole, "q", "score", "line", "cost", "gold", 60), ranking.recall_within(near, "q", "score", "line", "cost", "gold", 60, "rest"))
+    assert best.where("rest is null").exceptAll(whole.select("t", "q", "line", "score", "cost", "gold", F.lit(None).cast("long"))).count() == 0
