@@ -25,10 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores: a small file of one row group is one
-    task otherwise. Inputs of many files are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df over at least as many partitions as there are cores: a file of one row group is one task, however
+    many partitions it counts as. Inputs of at least as many files as cores are left as they are."""
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(max(cores, parts)) if parts < cores or len(df.inputFiles()) < cores else df
 
 
 def strict(spark: SparkSession) -> None:

@@ -67,7 +67,7 @@ def is_json(c: Column) -> Column:
 def has_unsafe_integer(c: Column) -> Column:
     """Whether a number outside strings, without fraction and exponent, has 16 or more digits and lies
     beyond 2^53 - 1."""
-    bare = F.regexp_replace(c, '"(?:[^"\\\\]|\\\\[\\s\\S])*+(?:"|\\z)', '""')
+    bare = F.regexp_replace(c, '"[^"\\\\]*+(?:\\\\[\\s\\S][^"\\\\]*+)*+(?:"|\\z)', '""')
     numbers = F.regexp_extract_all(bare, F.lit("-?\\d*(?:\\.\\d*)?(?:[eE][+-]?\\d*)?"), F.lit(0))
     whole = F.filter(numbers, lambda x: x.rlike("^-?\\d{16,}\\z"))
     big = F.exists(whole, lambda x: F.coalesce(F.abs(x.try_cast("decimal(38,0)")) > F.lit(9007199254740991).cast("decimal(38,0)"), F.lit(True)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import JS_SPACE, js_len, let, lines
+from .text import JS_SPACE, JS_SPACES, js_len, let, lines
 
 NUMBERED = "^ +\\d+[\\t→]"
 ACCEPT = 0.9
@@ -49,15 +49,15 @@ def _before_comment(hash_opens: bool) -> str:
 
 def strip_markup_comments(c: Column) -> Column:
     """Without closed block comments at line starts and closed markup comments anywhere; the text from
-    an unclosed one on is kept as it is."""
-    return F.regexp_replace(c, _COMMENTS, "$1")
+    an unclosed one on is kept as it is. A text without an opener is not gone through."""
+    return F.when(c.contains("/*") | c.contains("<!--"), F.regexp_replace(c, _COMMENTS, "$1")).otherwise(c)
 
 
 def cut_line_comment(line: Column) -> Column:
     """A line up to its // or # outside strings, and its end trimmed where one is cut; # opens no comment
     in a line that starts with #!."""
     kept = F.when(F.startswith(line, F.lit("#!")), F.regexp_extract(line, _before_comment(False), 1)).otherwise(F.regexp_extract(line, _before_comment(True), 1))
-    return let(F.struct(line.alias("line"), kept.alias("kept")), lambda x: F.when(F.length(x.kept) < F.length(x.line), F.regexp_replace(x.kept, f"[{JS_SPACE}]++\\z", "")).otherwise(x.line))
+    return let(F.struct(line.alias("line"), kept.alias("kept")), lambda x: F.when(F.length(x.kept) < F.length(x.line), F.rtrim(x.kept, F.lit(JS_SPACES))).otherwise(x.line))
 
 
 def strip_comments(c: Column) -> Column:

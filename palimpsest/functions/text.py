@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 #: White space as ECMAScript has it; Java's \s is ASCII only.
 JS_SPACE = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+#: The same as characters.
+JS_SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Word boundaries by ASCII word characters; Java's \b follows Unicode.
 B_LEFT, B_RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def js_len(c: Column) -> Column:
-    """Length in UTF-16 units, which the size gates count in."""
-    return F.floor(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    """Length in UTF-16 units, which the size gates count in. Only texts beyond ASCII are encoded for it."""
+    return F.when(F.octet_length(c) == F.length(c), F.length(c)).otherwise(F.floor(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int"))
 
 
 def token_estimate(c: Column) -> Column:

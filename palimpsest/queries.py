@@ -139,7 +139,7 @@ _REMARK = " " * 40 + "// a remark on the line" + " " * 20
 
 def _plain(spark, sf_dir):
     text = F.regexp_replace(F.translate("text", "\"'`#/\\*<>{}[]\r", ""), "\n+", "\n")
-    return spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.alias("text")))
+    return spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", text.alias("text"))
 
 
 _RULES_SQL = [(label, pattern) for label, pattern in (

@@ -215,3 +215,39 @@ def test_config():
     assert config.resolve({"MIN_SIZE": "50px", "OUTPUT_MODE": "loud", "REDACT": "false"}).min_size == 50
     assert all(set(config.LEVELS[n]) < set(config.LEVELS[n + 1]) for n in range(1, 9)) and len(config.ALL_STAGES) == 17
     assert config.read_settings("# c\na = 'b'\nnope\nc=d=e") == {"a": "b", "c": "d=e"}
+
+
+def test_one_row_group_is_dealt_out(spark, tmp_path):
+    """A file that counts as many partitions and has one row group is not one task."""
+    from palimpsest.catalogue import spread
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(20000).selectExpr("id", "sha2(string(id), 256) as x").coalesce(1).write.parquet(path)
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = spark.read.parquet(path)
+        cores = spark.sparkContext.defaultParallelism
+        assert df.rdd.getNumPartitions() > cores
+        assert spread(df).select(F.spark_partition_id()).distinct().count() >= cores
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+
+
+def test_lengths_are_not_counted_by_character(spark):
+    """Lengths in UTF-16 units; no character of a text is a Python object, and no ASCII text is encoded."""
+    from palimpsest.functions import commands, json_text, rewrite
+    from palimpsest.functions.text import JS_SPACES, js_len
+
+    class Text(str):
+        def __iter__(self):
+            raise AssertionError("gone through by character")
+
+    for text in ("", "abc", "é€", "a😀b😀", "\ud800"):
+        assert json_text.js_length(Text(text)) == len(text.encode("utf-16-le", "surrogatepass")) // 2
+    rows = [(0, ""), (1, "abc"), (2, "é€"), (3, "a😀b😀"), (4, None), (5, "x = 1 // y"), (6, f"x = 1{JS_SPACES[2:]}# y"), (7, "a\n /* b */\nc <!-- d --> e"), (8, "a /* b"), (9, "\r added 3 packages"), (10, "x\nadded 3 packages")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r.id: r for r in df.select("id", js_len(F.col("t")).alias("n"), rewrite.strip_comments(F.col("t")).alias("c"), commands.dialect(F.col("t")).alias("d")).collect()}
+    assert [got[k].n for k in range(5)] == [0, 3, 2, 6, None]
+    assert [got[k].c for k in range(4, 9)] == [None, "x = 1", "x = 1", "a\n\nc  e", "a /* b"]
+    assert [got[k].d for k in (4, 5, 9, 10)] == [None, None, None, "npm"]
