@@ -18,23 +18,29 @@ def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
+def marked(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with __hash and __len of its texts, unless it has them. A table that keeps them is compared by
+    them, and its texts are neither read nor exchanged for it."""
+    return df if "__hash" in df.columns else df.withColumns({"__hash": F.sha2(F.col(text), 256), "__len": js_len(F.col(text))})
+
+
 def dedup_within(df: DataFrame, group: str, order: str, text: str = "text", message: str | None = None, block: str | None = None) -> DataFrame:
     """df with first_ord, marker and is_dup: a later copy of a text within its group refers to the
     first, unless the reference would be no shorter. Null texts are no copies.
 
     The first of a text is an aggregate by (group, hash) with partial aggregation, joined back, so a
-    text that a third of the rows share is never sorted in one task.
+    text that a third of the rows share is never sorted in one task. df may be marked.
     """
-    keyed = df.withColumn("__hash", F.sha2(F.col(text), 256))
+    keyed = marked(df, text)
     place = F.struct(F.col(order).alias("ord"), F.col(message or order).alias("msg"), F.col(block or order).alias("blk"))
-    first = keyed.where(F.col(text).isNotNull()).groupBy(F.col(group).alias("__g"), F.col("__hash").alias("__h")).agg(F.min(place).alias("__first"), F.count("*").alias("__n"))
+    first = keyed.where("__hash is not null").groupBy(F.col(group).alias("__g"), F.col("__hash").alias("__h")).agg(F.min(place).alias("__first"), F.count("*").alias("__n"))
     first = first.where("__n > 1").drop("__n")
     joined = keyed.join(first, keyed[group].eqNullSafe(first["__g"]) & (keyed["__hash"] == first["__h"]), "left")
     marker = F.format_string("[same content as message %d, block %d]", F.col("__first.msg").cast("long"), F.col("__first.blk").cast("long"))
     later = F.col(order) > F.col("__first.ord")
-    dup = F.coalesce(later & (js_len(marker) < js_len(F.col(text))), F.lit(False))
+    dup = F.coalesce(later & (js_len(marker) < F.col("__len")), F.lit(False))
     return joined.withColumn("is_dup", dup).withColumn("marker", F.when(F.col("is_dup"), marker)).withColumn("first_ord", F.coalesce("__first.ord", F.col(order))).drop(
-        "__hash", "__g", "__h", "__first"
+        "__hash", "__len", "__g", "__h", "__first"
     )
 
 
@@ -50,10 +56,9 @@ def graph_refs(df: DataFrame, session: str, order: str, text: str = "text", leas
     """df with sha, ref_id and is_ref: texts of `least` or more units are numbered in their session in
     order of first sight, and repeats refer to that number.
 
-    First sights are an aggregate by (session, hash); only they are numbered.
+    First sights are an aggregate by (session, hash); only they are numbered. df may be marked.
     """
-    sha = F.when(js_len(F.col(text)) >= least, F.substring(F.sha2(F.col(text), 256), 1, 12))
-    keyed = df.withColumn("sha", sha)
+    keyed = marked(df, text).withColumn("sha", F.when(F.col("__len") >= least, F.substring("__hash", 1, 12))).drop(*{"__hash", "__len"}.difference(df.columns))
     first = keyed.where("sha is not null").groupBy(F.col(session).alias("__s"), F.col("sha").alias("__sha")).agg(F.min(order).alias("__first"))
     first = first.withColumn("ref_id", F.row_number().over(W.partitionBy("__s").orderBy("__first")).cast("long"))
     joined = keyed.join(first, keyed[session].eqNullSafe(first["__s"]) & (keyed["sha"] == first["__sha"]), "left")

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.batches import by_slices
-from ..functions.text import js_len, lines
+from ..functions.text import js_len, let, lines
+from ..workdir import materialize
+from . import crossrow
 
 LEAST_SIMILARITY, DIFF_LEAST, DIFF_SHARE = 0.5, 200, 0.5
 MAX_EDITS = 4096
+LENGTH_BITS = 20
+LONGEST = (1 << LENGTH_BITS) - 1
 
 
 def line_jaccard(a: Column, b: Column) -> Column:
@@ -25,46 +29,87 @@ def line_jaccard(a: Column, b: Column) -> Column:
     return F.when(apart, 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
+def marked(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with __hash, __len and __lines, unless it has them: a number for each distinct line of a text, 44
+    bits of its hash and then its length up to LONGEST. What is alike in texts, and how long what is not at
+    least is, can be told from these; texts are fetched only for the pairs that may count."""
+    if "__lines" in df.columns:
+        return df
+    number = lambda x: F.shiftleft(F.xxhash64(x), LENGTH_BITS).bitwiseOR(F.least(F.length(x), F.lit(LONGEST)).cast("long"))
+    return crossrow.marked(df, text).withColumn("__lines", F.transform(F.array_distinct(lines(F.col(text))), number))
+
+
+def least_new(new: str, old: str) -> Column:
+    """At least so many characters of the one text are in lines that the other has not: both by __lines."""
+    return F.aggregate(F.array_except(new, old), F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(F.lit(LONGEST).cast("long")))
+
+
 def distinct_texts(df: DataFrame, key: str, text: str, group: str | None) -> DataFrame:
-    """(g, id, text, last, hash): one row for each distinct text of a group, id its smallest key and last
-    its largest. A null group is one of its own; without a group all rows are one."""
+    """(g, id, last, hash, len, lines): one row for each distinct text of a group, id its smallest key and last
+    its largest; written once, without the texts. A null group is one of its own; without a group all rows are one."""
     own = F.lit(None).cast("string") if group is None else F.col(group)
-    held = df.where(F.col(text).isNotNull()).select(own.alias("g"), F.col(key).alias("k"), F.col(text).alias("text"), F.sha2(F.col(text), 256).alias("hash"))
-    return held.groupBy("g", "hash").agg(F.min("k").alias("id"), F.max("k").alias("last"), F.first("text").alias("text"))
+    held = marked(df, text).where("__hash is not null").select(own.alias("g"), F.col(key).alias("k"), F.col("__hash").alias("hash"), F.col("__len").alias("len"), F.col("__lines").alias("lines"))
+    once = held.groupBy("g", "hash").agg(F.min("k").alias("id"), F.max("k").alias("last"), F.first("len").alias("len"), F.first("lines").alias("lines"))
+    return materialize(once, "texts")
 
 
 def similar_pairs(df: DataFrame, key: str, text: str = "text", least: float = LEAST_SIMILARITY, group: str | None = None) -> DataFrame:
     """(a, b, similarity) of the pairs a < b of distinct texts whose line sets are over `least` alike,
     preceded by the group where one is named: texts are compared within their group alone.
 
-    Copies collapse to their smallest key before the join. Lines are ordered by how few texts hold
-    them, and two sets that alike share one of the first |A| - floor(least |A|) lines of each (prefix
-    filter); only such pairs are compared in full. A line that all texts share is never in a prefix
-    unless a text has few others. Keys are unique within a group.
+    Copies collapse to their smallest key before the join. See candidates for which pairs are compared in
+    full. Keys are unique within a group.
     """
-    out = pairs_of(distinct_texts(df, key, text, group), least)
+    pairs = materialize(candidates(distinct_texts(df, key, text, group), least), "pairs")
+    own = F.lit(None).cast("string") if group is None else F.col(group)
+    held = texts_of(df.select(own.alias("g"), F.col(key).alias("id"), F.col(text).alias("text")), pairs)
+    one, two = (held.select(F.col("g").alias(f"g{x}"), F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+    both = pairs.join(one, F.col("g").eqNullSafe(F.col("ga")) & (F.col("a") == F.col("ia"))).join(two, F.col("g").eqNullSafe(F.col("gb")) & (F.col("b") == F.col("ib")))
+    out = both.withColumn("similarity", _alike("ta", "tb")).where(F.col("similarity") > least).select("g", "a", "b", "similarity")
     return out.drop("g") if group is None else out.withColumnRenamed("g", group)
 
 
-def pairs_of(texts: DataFrame, least: float) -> DataFrame:
-    """(g, a, b, similarity) over distinct texts(g, id, text)."""
-    sets = texts.select("g", "id", js_len(F.col("text")).alias("len"), F.array_distinct(lines(F.col("text"))).alias("lines"))
-    hashed = sets.select("g", "id", "len", F.size("lines").alias("n"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"))
-    each = hashed.select("g", "id", "len", "n", F.explode("hs").alias("h"))
-    rarity = each.groupBy("h").agg(F.count("*").alias("df"))
-    placed = each.join(rarity, "h").withColumn("r", F.row_number().over(W.partitionBy("g", "id").orderBy("df", "h")))
-    prefix = placed.where(F.col("r") <= F.col("n") - F.floor(F.col("n") * least)).select("g", "id", "len", "n", "h")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.id") < F.col("b.id")) & (F.abs(F.col("a.len") - F.col("b.len")) <= F.greatest("a.len", "b.len") * 0.5)
-    fits = fits & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least)
+def _alike(a: str, b: str) -> Column:
+    """Jaccard similarity of the line sets of two texts, whatever their lengths."""
+    sets = F.struct(F.array_distinct(lines(F.col(a))).alias("x"), F.array_distinct(lines(F.col(b))).alias("y"))
+    return let(sets, lambda s: let(F.size(F.array_intersect(s.x, s.y)), lambda n: n / (F.size(s.x) + F.size(s.y) - n)))
+
+
+def texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(g, id, text) of those rows(g, id, text) that pairs(g, a, b), a written table, name; written once.
+    Few pairs go to the rows, and the other texts stay where they are."""
+    wanted = pairs.select("g", F.col("a").alias("id")).union(pairs.select("g", F.col("b").alias("id"))).distinct().select(F.col("g").alias("__g"), F.col("id").alias("__id"))
+    wanted = materialize(wanted, "wanted")
+    return materialize(rows.join(wanted, F.col("g").eqNullSafe(F.col("__g")) & (F.col("id") == F.col("__id")), "left_semi"), "compared")
+
+
+def candidates(texts: DataFrame, least: float) -> DataFrame:
+    """(g, a, b): pairs a < b of distinct_texts, among them all whose line sets are over `least` alike, and
+    no others but by equal hashes of different lines.
+
+    Lines are ordered by how few texts of the group hold them, those of one text first and so left out. Two
+    sets over `least` alike share more than so many lines, by their sizes; the first that they share is
+    followed by all the others, so it stands before so many in both. The smaller set of a pair need bring
+    only lines before what it would share with one of its own size (prefix and positional filters): a line
+    that very many texts share pairs only texts that have hardly any rarer one.
+    """
+    each = texts.select("g", "id", "len", F.size("lines").alias("n"), F.explode("lines").alias("h"))
+    rarity = each.groupBy(F.col("g").alias("__g"), F.col("h").alias("__h")).agg(F.count("*").alias("df")).where("df > 1")
+    placed = each.join(rarity, F.col("g").eqNullSafe(F.col("__g")) & (F.col("h") == F.col("__h")))
+    placed = placed.withColumn("rest", F.row_number().over(W.partitionBy("g", "id").orderBy(F.desc("df"), F.desc("h"))))  # lines from this one on
+    share, slack = least / (1 + least), 1e-9
+    prefix = placed.where(F.col("rest") > F.col("n") * least - slack).select("g", "id", "len", "n", "h", "rest")
+    a, b = prefix.where(F.col("rest") > F.col("n") * (2 * share) - slack).alias("a"), prefix.alias("b")
+    fits = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
+    fits = fits & (F.least("a.rest", "b.rest") > (F.col("a.n") + F.col("b.n")) * share - slack)
+    fits = fits & (F.abs(F.col("a.len") - F.col("b.len")) <= F.greatest("a.len", "b.len") * 0.5)
     same = (F.col("a.h") == F.col("b.h")) & F.col("a.g").eqNullSafe(F.col("b.g"))
-    pairs = a.join(b, same & fits).select(F.col("a.g").alias("g"), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    one = sets.select(F.col("g").alias("ga"), F.col("id").alias("ia"), F.col("lines").alias("la"))
-    two = sets.select(F.col("g").alias("gb"), F.col("id").alias("ib"), F.col("lines").alias("lb"))
-    scored = pairs.join(one, F.col("g").eqNullSafe(F.col("ga")) & (F.col("a") == F.col("ia"))).join(two, F.col("g").eqNullSafe(F.col("gb")) & (F.col("b") == F.col("ib")))
-    both = F.size(F.array_intersect("la", "lb"))
-    scored = scored.withColumn("similarity", both / (F.size("la") + F.size("lb") - both))
-    return scored.where(F.col("similarity") > least).select("g", "a", "b", "similarity")
+    met = a.join(b, same & fits).select(F.col("a.g").alias("g"), F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    one, two = (texts.select(F.col("g").alias(f"g{x}"), F.col("id").alias(f"i{x}"), F.col("lines").alias(f"l{x}")) for x in "ab")
+    met = met.join(one, F.col("g").eqNullSafe(F.col("ga")) & (F.col("a") == F.col("ia"))).join(two, F.col("g").eqNullSafe(F.col("gb")) & (F.col("b") == F.col("ib")))
+    both = F.size("la") - F.size(F.array_except("la", "lb"))  # at least the lines they share
+    met = met.withColumn("both", both)
+    return met.where(F.col("both") / (F.size("la") + F.size("lb") - F.col("both")) > least).select("g", "a", "b")
 
 
 def edit_script(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
@@ -177,15 +222,18 @@ def first_base(df: DataFrame, group: str, order: str, text: str = "text") -> Dat
     Only texts of one group are paired, and each pair of distinct texts is diffed once: the base of a
     row is the first row that has a text, and whether a text serves as base is the pair's matter alone.
     """
+    df = marked(df, text)
     texts = distinct_texts(df, order, text, group)
-    pairs = pairs_of(texts, LEAST_SIMILARITY)
-    both = pairs.select("g", "a", "b", "similarity").union(pairs.select("g", F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    old = texts.select(F.col("g").alias("ga"), F.col("id").alias("ia"), F.col("text").alias("old"))
-    new = texts.select(F.col("g").alias("gb"), F.col("id").alias("ib"), "last", "hash", F.col("text").alias("new")).where(js_len(F.col("new")) >= DIFF_LEAST)
-    tried = both.join(new, F.col("g").eqNullSafe(F.col("gb")) & (F.col("b") == F.col("ib"))).where("a < last")
-    tried = tried.join(old, F.col("g").eqNullSafe(F.col("ga")) & (F.col("a") == F.col("ia"))).select("gb", "hash", F.col("a").alias("base"), "similarity", "old", "new")
-    bases = _first_short(tried)
-    rows = df.where(F.col(text).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.sha2(F.col(text), 256).alias("h"))
+    pairs = candidates(texts, LEAST_SIMILARITY)
+    both = pairs.union(pairs.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
+    new = texts.where(F.col("len") >= DIFF_LEAST).select(F.col("g").alias("__g"), "id", "last", "hash")
+    tried = materialize(both.join(new, F.col("g").eqNullSafe(F.col("__g")) & (F.col("b") == F.col("id"))).where("a < last").select("g", "hash", "a", "b"), "pairs")
+    held = texts_of(df.select(F.col(group).alias("g"), F.col(order).alias("id"), F.col(text).alias("text")), tried)
+    old, new = (held.select(F.col("g").alias(f"g{x}"), F.col("id").alias(f"i{x}"), F.col("text").alias(x)) for x in ("old", "new"))
+    tried = tried.join(old, F.col("g").eqNullSafe(F.col("gold")) & (F.col("a") == F.col("iold"))).join(new, F.col("g").eqNullSafe(F.col("gnew")) & (F.col("b") == F.col("inew")))
+    tried = tried.withColumn("similarity", _alike("old", "new")).where(F.col("similarity") > LEAST_SIMILARITY)
+    bases = _first_short(tried.select(F.col("g").alias("gb"), "hash", F.col("a").alias("base"), "similarity", "old", "new"))
+    rows = df.where("__hash is not null").select(F.col(group).alias("g"), F.col(order).alias("o"), F.col("__hash").alias("h"))
     found = rows.join(bases, F.col("g").eqNullSafe(F.col("gb")) & (F.col("h") == F.col("hash"))).where("base < o")
     return found.select(F.col("g").alias(group), F.col("o").alias(order), "base", "similarity", "patch")
 

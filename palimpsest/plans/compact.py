@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import classify, commands, json_text, redact, rewrite
-from ..functions.text import js_len, let, token_estimate
+from ..functions.text import js_len, let
 from ..operators import crossrow, disclosure, similarity, trim
 from ..workdir import materialize
 
@@ -109,34 +110,33 @@ def compact(targets: DataFrame, config: Config = Config(), user_text: DataFrame
     bm25-trim, the row's own rewrite, and redact. (request_id, ord) must be unique.
     """
     key = ["request_id", "ord"]
-    rows = targets.withColumn("__raw", F.col("text")).withColumn("redactions", F.lit(0).cast("long"))
+    rows = targets.withColumn("__before", js_len(F.col("text")).cast("long")).withColumn("redactions", F.lit(0).cast("long"))
     if config.redact:
-        clean, count = redact.redact(F.col("__raw"), config.redact_mode)
-        rows = rows.withColumn("redactions", count).withColumn("text", clean)
+        clean, count = redact.redact(F.col("text"), config.redact_mode)
+        rows = rows.withColumns({"redactions": count, "text": clean})
     rows = rows.withColumn("skip", F.coalesce("skip", F.when(F.col("text").isNull(), "empty")))
     if any(config.has(s) for s in ACROSS):
-        rows = materialize(rows, "redacted")  # each stage below would redact anew, once for every filter and use
+        rows = materialize(similarity.marked(rows), "redacted")  # each stage below would redact anew, once for every filter and use
     # Every stage starts from these rows and gives (request_id, ord, replacement) of the few it applies
-    # to, so stages do not stack up in each other's plans.
-    usable = rows.where("skip is null").select(*key, "session_key", "ts", "path", "text")
+    # to, so stages do not stack up in each other's plans. Those that compare do so by the marks.
+    usable = rows.where("skip is null")
     steps: list[tuple[str, DataFrame]] = []
     if config.has("dedup"):
-        found = crossrow.dedup_within(usable.select(*key, "text"), "request_id", "ord").where("is_dup")
+        found = crossrow.dedup_within(usable.select(*key, "__hash", "__len"), "request_id", "ord").where("is_dup")
         steps.append(("dedup", found.select(*key, F.col("marker").alias("__new"))))
     if config.has("diff"):
-        patch = similarity.first_base(usable.select(*key, "text"), "request_id", "ord")
+        patch = similarity.first_base(usable.select(*key, "text", "__hash", "__len", "__lines"), "request_id", "ord")
         steps.append(("diff", patch.select(*key, F.format_string("[diff from message block %d]:\n%s", F.col("base").cast("long"), F.col("patch")).alias("__new"))))
     if config.has("read-diff"):
-        seen = crossrow.prior_version(usable.where("path is not null and session_key is not null"), ["session_key", "path"], "ts", "text", "ord")
-        seen = seen.where("prior <> text").withColumn("__hunks", similarity.hunks("prior", "text")).where(js_len(F.col("__hunks")) < 0.5 * js_len(F.col("text")))
-        steps.append(("read-diff", seen.select(*key, F.concat(F.lit("[diff from prior read of "), F.col("path"), F.lit("]:\n"), F.col("__hunks")).alias("__new"))))
+        steps.append(("read-diff", _read_diffs(usable, key)))
     if config.has("graph"):
-        refs = crossrow.graph_refs(usable.where("session_key is not null").withColumn("__order", F.struct("ts", "request_id", "ord")), "session_key", "__order").where("is_ref")
-        mark = F.format_string('<text-ref id="%d" sha="%s" size="%d"/>', F.col("ref_id"), F.col("sha"), js_len(F.col("text")).cast("long"))
+        refs = usable.where("session_key is not null").select(*key, "session_key", "__hash", "__len", F.struct("ts", "request_id", "ord").alias("__order"))
+        refs = crossrow.graph_refs(refs, "session_key", "__order").where("is_ref")
+        mark = F.format_string('<text-ref id="%d" sha="%s" size="%d"/>', F.col("ref_id"), F.col("sha"), F.col("__len").cast("long"))
         steps.append(("graph", refs.select(*key, mark.alias("__new"))))
     if user_text is not None and (config.has("disclosure") or config.has("bm25-trim")):
-        calm = user_text.where(classify.task_type(F.col("user_text")) != "dangerous")
-        large = usable.where(F.octet_length("text") >= min(config.disclosure_bytes, config.trim_bytes)).join(calm, "request_id")
+        calm = materialize(user_text.where(classify.task_type(F.col("user_text")) != "dangerous"), "asked")
+        large = usable.where(F.octet_length("text") >= min(config.disclosure_bytes, config.trim_bytes)).select(*key, "path", "text").join(calm, "request_id")
         if config.has("disclosure"):
             folded = disclosure.summarize(large, least=config.disclosure_bytes).where(js_len(F.col("summary")) < js_len(F.col("text")))
             steps.append(("disclosure", folded.select(*key, F.col("summary").alias("__new"))))
@@ -144,24 +144,44 @@ def compact(targets: DataFrame, config: Config = Config(), user_text: DataFrame
             long = large.where((F.octet_length("text") > config.trim_bytes) & (F.length("user_text") > 0))
             cut = trim.trim(long, key, "text", "user_text", "path", config.trim_tokens)
             steps.append(("bm25-trim", cut.select(*key, F.col("trimmed").alias("__new"))))
-    for k, (_, found) in enumerate(steps):
-        rows = rows.join(found.withColumnRenamed("__new", f"__new{k}"), key, "left")
-    chosen = [(name, F.col(f"__new{k}")) for k, (name, _) in enumerate(steps)]
+    rows = rows.drop("__hash", "__len", "__lines")
+    chosen = []
+    if steps:
+        every = [found.where("__new is not null").select(*key, F.struct(F.lit(k).alias("rank"), F.lit(name).alias("method"), F.col("__new").alias("text")).alias("__new")) for k, (name, found) in enumerate(steps)]
+        first = reduce(DataFrame.unionByName, every).groupBy(*key).agg(F.min("__new").alias("__new"))
+        rows = rows.join(materialize(first, "replaced"), key, "left")  # written, so few replacements go to the rows
+        chosen = [F.when(F.col("__new").isNotNull(), F.struct("__new.method", "__new.text"))]
     rows = rewrite_rows(rows, config)
-    chosen.append(("row", F.col("compressed")))
-    choice = F.coalesce(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("method"), c.alias("text"))) for n, c in chosen])
+    chosen.append(F.when(F.col("compressed").isNotNull(), F.struct(F.lit("row").alias("method"), F.col("compressed").alias("text"))))
+    choice = F.coalesce(*chosen)
     rows = rows.withColumn("__c", F.when(F.col("skip").isNull(), choice))
     own = F.when(F.col("__c.method") == "row", F.col("method")).otherwise(F.col("__c.method"))
     rows = rows.withColumn("method", F.coalesce(own, F.when((F.col("redactions") > 0) & F.col("skip").isNull(), "redact")))
     rows = rows.withColumn("compressed", F.when(F.col("method") == "redact", F.col("text")).otherwise(F.col("__c.text")))
-    length = lambda c: js_len(F.col(c)).cast("long")
+    rows = rows.withColumn("compressed_len", js_len(F.col("compressed")).cast("long"))
+    estimate = lambda n: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(n) / 4).cast("long"))
     return rows.select(
         *[c for c in targets.columns if c != "skip"], "skip", "content_class", "redactions", "method", "compressed",
-        F.coalesce("skip", F.when(F.col("method").isNull(), "no gain")).alias("skipped"), length("__raw").alias("original_len"), length("compressed").alias("compressed_len"),
-        token_estimate(F.col("__raw")).alias("original_tokens"), token_estimate(F.col("compressed")).alias("compressed_tokens"),
+        F.coalesce("skip", F.when(F.col("method").isNull(), "no gain")).alias("skipped"), F.col("__before").alias("original_len"), "compressed_len",
+        estimate("__before").alias("original_tokens"), estimate("compressed_len").alias("compressed_tokens"),
     )
 
 
+def _read_diffs(usable: DataFrame, key: list[str]) -> DataFrame:
+    """(key, __new): what a read of a path says against the session's read of it before, where that is
+    under half as long. Hunks hold every line that is new, so most reads are passed over by their marks;
+    texts are fetched for the others alone."""
+    seen = usable.where("path is not null and session_key is not null").withColumn("__seen", F.struct(*key, "__hash", "__lines"))
+    seen = seen.select(*key, "session_key", "path", "ts", "__hash", "__len", "__lines", "__seen")
+    seen = crossrow.prior_version(seen, ["session_key", "path"], "ts", "__seen", "ord").where("prior.__hash <> __hash")
+    seen = seen.where(similarity.least_new("__lines", "prior.__lines") < 0.5 * F.col("__len"))
+    pairs = materialize(seen.select(F.col("path").alias("__path"), F.struct(*key).alias("a"), F.struct(*(f"prior.{k}" for k in key)).alias("b"), F.lit(0).alias("g")), "reads")
+    held = similarity.texts_of(usable.select(F.lit(0).alias("g"), F.struct(*key).alias("id"), "text"), pairs)
+    new, old = (held.select(F.col("id").alias(c), F.col("text").alias(t)) for c, t in (("a", "text"), ("b", "prior")))
+    found = pairs.join(new, "a").join(old, "b").withColumn("__hunks", similarity.hunks("prior", "text")).where(js_len(F.col("__hunks")) < 0.5 * js_len(F.col("text")))
+    return found.select("a.*", F.concat(F.lit("[diff from prior read of "), F.col("__path"), F.lit("]:\n"), F.col("__hunks")).alias("__new"))
+
+
 def by_distinct_text(df: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """run(df of distinct texts) joined back to all rows of df(text, ...), so a costly function sees
     each text once. run gets (hash, text) and must keep hash."""

@@ -799,11 +799,16 @@ def compact_accounts(spark, sf_dir):
     strict(spark)
     done = plans.compact(_targets(spark, sf_dir).where("text is not null"), cfg.Config(stages=cfg.LEVELS[4], redact=False, min_size=1))
     longer, unsaid = F.col("compressed_len") >= F.col("original_len"), F.col("method").isNull() & F.col("skipped").isNull()
-    # A copy whose text is no longer than its reference stays, or is rewritten; its first is in the same request.
-    repeat = F.count_if((F.col("method") == "dedup") | F.col("__copy"))
-    first = done.groupBy(F.col("request_id").alias("__r"), F.sha2("text", 256).alias("__h")).agg(F.min("ord").alias("__first"))
-    done = done.join(first, (F.col("request_id") == F.col("__r")) & (F.sha2("text", 256) == F.col("__h"))).withColumn("__copy", F.col("ord") > F.col("__first"))
-    return done.agg(F.count("*").alias("blocks"), F.sum("original_len").alias("original"), F.sum("original_tokens").alias("tokens"), repeat.alias("repeats"), F.count_if(longer).alias("longer"), F.count_if(unsaid).alias("unsaid"))
+    # A copy whose text is no longer than its reference stays, or is rewritten; its first is in the same request. Copies are
+    # counted as groups of a request's equal texts, so blocks are not joined with what they are part of.
+    told = F.when(F.col("method") == "dedup", F.col("ord"))
+    each = done.groupBy("request_id", F.sha2("text", 256)).agg(
+        F.count("*").alias("n"), F.min("ord").alias("first"), F.min(told).alias("told"), F.sum("original_len").alias("original"), F.sum("original_tokens").alias("tokens"),
+        F.count_if(longer).alias("longer"), F.count_if(unsaid).alias("unsaid"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    repeats = F.col("n") - 1 + F.when(F.col("told") == F.col("first"), 1).otherwise(0)
+    return each.agg(total("n").alias("blocks"), F.sum("original").alias("original"), F.sum("tokens").alias("tokens"), total(repeats).alias("repeats"), total("longer").alias("longer"), total("unsaid").alias("unsaid"))
 
 
 _FLAG_SQL = f"""WITH d AS (SELECT conv_id, turn, role, {_task_sql('text')} AS t, length(text) AS n FROM conversations WHERE role = 'user')

@@ -359,3 +359,19 @@ def test_bodies_by_slices():
     out = requests.by_slices(lambda t: None if t is None else t.upper(), pa.string(), batch)
     assert out.to_pylist() == [None if t is None else t.upper() for t in batch.values] and batch.most <= 256
     assert requests.by_slices(str, pa.string(), pa.array([], pa.string())).to_pylist() == []
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8])
+def test_candidates_of_a_line_that_all_texts_share(spark, least):
+    """No alike pair is lost, and texts that share no more than one very frequent line are no pairs to compare."""
+    rng = random.Random(7)
+    rows = [(k % 2, k, "\n".join(dict.fromkeys(rng.choice("abcdefghij") * 9 for _ in range(rng.randrange(1, 7))))) for k in range(80)]
+    rows += [(2, 1000 + k, f"one line that all share\nthe second of {k}\nthe third of {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "g int, id long, text string")
+    first = {}
+    for g, k, t in rows:
+        first.setdefault((g, t), k)
+    want = {(min(a, b), max(a, b)) for ((g, s), a), ((h, t), b) in itertools.combinations(first.items(), 2) if g == h and slow_jaccard(s, t) > least}
+    met = {(r.a, r.b) for r in similarity.candidates(similarity.distinct_texts(df, "id", "text", "g"), least).collect()}
+    assert met == want and not any(a >= 1000 for a, _ in met)
+    assert {(r.a, r.b) for r in similarity.similar_pairs(df, "id", least=least, group="g").collect()} == want
