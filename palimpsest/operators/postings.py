@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 # What is held at once: rows of (query, term), numbers of (target, term), and cells of lines by queries.
 MOST_TERMS, MOST_STATS, CELLS = 1 << 20, 1 << 22, 1 << 20
 DL, TERMS, COUNTS = "__dl", "__terms", "__f"
+BLOCKS = 32  # of lines whose lengths are of one power of two
 
 #: (scores of a slice, lines by queries; their costs) -> which of them may be in the head of a ranking.
 Cut = Callable[[np.ndarray, np.ndarray | None], np.ndarray]
@@ -165,6 +166,109 @@ def scored(counts: DataFrame, target: str, line: str, query_id: T.StructField, o
     return counts.mapInArrow(run, schema)
 
 
+def _block(dl: np.ndarray) -> np.ndarray:
+    """The block of lines of so many tokens, at least one: from a half of its longest on."""
+    return np.frexp(dl)[1] - 1
+
+
+def bounded(of: Stats, by: Asked) -> bool:
+    """Whether what says where each query's terms may lead is few enough numbers for strongest and hopeful."""
+    return len(of.targets) * BLOCKS * len(by.item) <= MOST_STATS and len(of.targets) * len(by.ids) <= MOST_STATS
+
+
+def strongest(counts: DataFrame, target: str, line: str, of: Stats, width: int, k1: float, b: float, k: int) -> DataFrame:
+    """(target, line, term, block, part) of counted rows: of each task, the k strongest lines of each term, where
+    block is null, and the strongest part of each term and block, where line is null."""
+    schema = T.StructType([counts.schema[target], T.StructField(line, counts.schema[line].dataType), T.StructField("term", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("part", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.zeros(len(of.targets) * width * BLOCKS)
+        key, parts, at = np.empty(0, np.int64), np.empty(0), pa.array([], kinds[1])
+        for batch in batches:
+            row, term, part = _parts(batch, target, of, width, k1, b)
+            t = pc.index_in(batch.column(target), value_set=pa.array(of.targets, kinds[0])).to_numpy(zero_copy_only=False)
+            own = t[row] * np.int64(width) + term
+            np.maximum.at(most, own * BLOCKS + _block(batch.column(DL).to_numpy(zero_copy_only=False)[row]), part)
+            own, part, place = np.concatenate([key, own]), np.concatenate([parts, part]), np.concatenate([np.arange(len(key)), len(key) + row])
+            order = np.lexsort((-part, own))
+            first = np.searchsorted(own[order], own[order])
+            kept = order[np.arange(len(order)) - first < k]
+            held = pa.concat_arrays([at, batch.column(line)])
+            key, parts, at = own[kept], part[kept], held.take(pa.array(place[kept]))
+        some = np.flatnonzero(most)
+        ids = pa.array(of.targets, kinds[0])
+        for at_, key_, block, part in ((at, key, pa.nulls(len(key), kinds[3]), parts), (pa.nulls(len(some), kinds[1]), some // BLOCKS, pa.array(some % BLOCKS, kinds[3]), most[some])):
+            if len(key_):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(key_ // width)), at_, pa.array(key_ % width, kinds[2]), block, pa.array(part)], names=schema.names)
+
+    return counts.mapInArrow(run, schema)
+
+
+def leads(most: np.ndarray, bars: np.ndarray, by: Asked) -> tuple[np.ndarray, np.ndarray]:
+    """Of the strongest parts (target, block, term) and the bars (target, query): which terms of a query may
+    lead a line of a block to its bar (target, block, place in by.item), and what the others can add at most
+    (target, block, query). The weakest terms that together stay below the bar lead nowhere."""
+    term = np.repeat(np.arange(len(by.terms)), np.diff(by.start))
+    lead, rest = np.zeros((*most.shape[:2], len(term)), bool), np.zeros((*most.shape[:2], len(by.ids)))
+    for t, block in np.ndindex(*most.shape[:2]):
+        part = most[t, block, term]
+        order = np.lexsort((term, part, by.item))
+        item, run = by.item[order], np.cumsum(part[order])
+        begins = np.searchsorted(item, item)
+        run = run - (run - part[order])[begins]
+        lead[t, block, order] = (run >= bars[t][item] - 1e-9) & (part[order] > 0)
+        rest[t, block] = np.bincount(by.item[~lead[t, block]], part[~lead[t, block]], len(by.ids))
+    return lead, rest
+
+
+def hopeful(counts: DataFrame, target: str, line: str, query_id: T.StructField, of: Stats, by: Asked, lead: np.ndarray, rest: np.ndarray, bars: np.ndarray, k1: float, b: float) -> DataFrame:
+    """(target, line, query_id, score) of the pairs of counted rows and queries whose score reaches the bar.
+
+    In slices as in scored, but only leading terms are summed at first; the others are looked up for the
+    pairs that reach the bar with these at their strongest."""
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in (counts.schema[target], counts.schema[line], query_id)] + [T.StructField("score", T.DoubleType())])
+    kinds, width, pairs = [to_arrow_type(f.dataType) for f in schema], len(by.ids), len(by.item)
+    reach = np.diff(by.start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(by.ids, kinds[2])
+        flat = lead.reshape(-1)
+        sets = [(np.concatenate([[0], np.cumsum(x)]), np.tile(by.item, lead.shape[0] * BLOCKS)[x]) for x in (flat, ~flat)]
+        for batch in batches:
+            row, term, part = _parts(batch, target, of, len(by.terms), k1, b)
+            t = pc.index_in(batch.column(target), value_set=pa.array(of.targets, kinds[0])).to_numpy(zero_copy_only=False)
+            dl = batch.column(DL).to_numpy(zero_copy_only=False)
+            place = t.astype(np.int64) * BLOCKS + _block(np.maximum(dl, 1))  # a line without a token has no postings
+            first = np.searchsorted(row, np.arange(len(batch) + 1))  # of each row's postings
+            sums = np.concatenate([[0], np.cumsum(reach[term])])[first]
+            low = 0
+            while low < len(batch):
+                high = min(low + max(1, CELLS // width), int(np.searchsorted(sums, sums[low] + CELLS, "right")) - 1)
+                high = min(max(high, low + 1), len(batch))
+                shape = (high - low, width)
+
+                def summed(own: np.ndarray, which: int) -> np.ndarray:
+                    """What the terms that lead (0), or the others (1), of these postings add to each line and query."""
+                    ends, items = sets[which]
+                    base = place[row[own]] * pairs
+                    start = ends[base + by.start[term[own]]]
+                    r = ends[base + by.start[term[own] + 1]] - start
+                    at = np.repeat(start - (np.cumsum(r) - r), r) + np.arange(r.sum())
+                    return np.bincount(np.repeat((row[own] - low) * width, r) + items[at], np.repeat(part[own], r), shape[0] * width).reshape(shape)
+
+                own = np.arange(first[low], first[high])
+                score, bar = summed(own, 0), bars[t[low:high]]
+                may = (score > 0) & (score + rest.reshape(-1, width)[place[low:high]] >= bar - 1e-9)
+                score += np.where(may, summed(own[may.any(1)[row[own] - low]], 1), 0)
+                i, q = np.nonzero(may & (score >= bar - 1e-9))
+                rows = pa.array(low + i)
+                yield pa.RecordBatch.from_arrays([batch.column(target).take(rows), batch.column(line).take(rows), ids.take(pa.array(q)), pa.array(score[i, q])], names=schema.names)
+                low = high
+
+    return counts.mapInArrow(run, schema)
+
+
 def best(k: int, slack: float) -> Callable[[int], Cut]:
     """A cut that leaves out what `slack` or more below the k-th highest score of its query so far is."""
 

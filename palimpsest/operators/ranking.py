@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from ..functions.text import B_LEFT, JS_SPACE, let
 from ..workdir import materialize
@@ -126,12 +128,15 @@ def bm25_top(docs: DataFrame, queries: DataFrame, target: str, line: str, text:
     those lines only the ones that reach the bar with the weak terms at their strongest are looked up in
     the weak terms' postings. It pays where queries hold rare terms; where all terms are about as strong,
     bounds are loose and bm25 with a rank is faster. A null or empty query has no lines, a null text no terms.
+    Where the bounds are few enough to be held, tasks go by them line by line and no postings are exchanged.
     """
     slack, place = 10.0**-digits, [target, query_id]
     terms = query_terms(queries, [query_id], query)
     block = F.floor(F.log2("dl") * BLOCKS_AN_OCTAVE).cast("int")
     if held := _held(docs, queries, target, line, text, query_id, query):
         counts, of, by = held
+        if P.bounded(of, by):
+            return _top_within(counts, target, line, queries.schema[query_id], of, by, k, digits, k1, b)
         parts = P.weighed(counts, target, line, of, by.terms, k1, b)
     else:
         parts = impacts(docs, terms.select("term").distinct(), target, line, text, k1, b)
@@ -158,6 +163,30 @@ def bm25_top(docs: DataFrame, queries: DataFrame, target: str, line: str, text:
     return whole.withColumn("__r", best(place, "score")).where(F.col("__r") <= k).drop("__r")
 
 
+def _top_within(counts: DataFrame, target: str, line: str, query_id: StructField, of: P.Stats, by: P.Asked, k: int, digits: int, k1: float, b: float) -> DataFrame:
+    """bm25_top of counted rows. The strongest lines, the bars and the bounds are few numbers; with them each
+    task goes through its own lines."""
+    slack, width, place = 10.0**-digits, len(by.terms), [target, query_id.name]
+    best = lambda by, score: F.row_number().over(W.partitionBy(*by).orderBy(F.col(score).desc(), line))
+    found = materialize(P.strongest(counts, target, line, of, width, k1, b, k), "strongest")
+    heads = found.where("block is null").withColumn("__r", best([target, "term"], "part")).where(F.col("__r") <= k)
+    seeds = materialize(heads.select(F.col(target).alias("__t"), F.col(line).alias("__l")).distinct(), "seeds")
+    first = counts.join(seeds, (F.col(target) == F.col("__t")) & F.col(line).eqNullSafe(F.col("__l")), "left_semi")
+    first = P.scored(first, target, line, query_id, of, by, k1, b, P.best(k, slack) if len(of.targets) == 1 else None)
+    first = first.withColumn("__r", best(place, "score")).where(F.col("__r") <= k)
+    targets, items = {v: n for n, v in enumerate(of.targets)}, {v: n for n, v in enumerate(by.ids)}
+    bars = np.zeros((len(targets), len(items)))
+    for r in first.groupBy(*place).agg(F.min("score"), F.count("*").alias("n")).where(F.col("n") >= k).collect():  # a row a target and query at most
+        bars[targets[r[0]], items[r[1]]] = r[2] - slack
+    most = np.zeros((len(targets), P.BLOCKS, width))
+    for r in found.where("block is not null").groupBy(target, "block", "term").agg(F.max("part")).collect():  # no more than MOST_STATS
+        most[targets[r[0]], r[1], r[2]] = r[3]
+    lead, rest = P.leads(most, bars, by)
+    pairs = materialize(P.hopeful(counts, target, line, query_id, of, by, lead, rest, bars, k1, b), "hopeful")
+    ranked = pairs.select(*place, line, F.round("score", digits).alias("score"))
+    return ranked.withColumn("__r", best(place, "score")).where(F.col("__r") <= k).drop("__r")
+
+
 def rerank(lines: DataFrame, target: str, line: str, text: str, score: str, query_terms: Column) -> DataFrame:
     """lines (all lines of each target, score 0 where none) with reranked: definitions of query terms
     count more, comments less, and neighbours lift a line by a quarter where there are three lines."""

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,3 +323,20 @@ def test_heads_are_enough(spark):
     assert same(ranking.ndcg(whole, "q", "score", "line", "gold"), ranking.ndcg(best, "q", "score", "line", "gold", rest="rest"))
     assert same(ranking.recall_within(whole, "q", "score", "line", "cost", "gold", 60), ranking.recall_within(near, "q", "score", "line", "cost", "gold", 60, "rest"))
     assert best.where("rest is null").exceptAll(whole.select("t", "q", "line", "score", "cost", "gold", F.lit(None).cast("long"))).count() == 0
+
+
+def test_top_by_bounds_exchanges_no_postings(spark):
+    """Bounds are held and used within tasks: the terms that lead are few, and the plan has no join of postings."""
+    from palimpsest.operators import postings
+
+    rows = [(k, f"plain words of line{k % 50} " + ("rare" if k % 100 == 7 else "")) for k in range(400)]
+    docs = spark.createDataFrame(rows, "line int, text string").withColumn("t", F.lit(1))
+    queries = spark.createDataFrame([(1, "plain rare words"), (2, "line3 of")], "q int, ask string")
+    top = ranking.bm25_top(docs, queries, "t", "line", "text", "q", "ask", 4)
+    assert "Join" not in top._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.q, r.line) for r in top.collect()} == {(1, k) for k in (7, 107, 207, 307)} | {(2, k) for k in (3, 53, 103, 153)}
+    by = postings.Asked(["plain", "rare"], [1], np.array([0, 1, 2]), np.array([0, 0]))
+    most = np.zeros((1, postings.BLOCKS, 2))
+    most[0, 2] = 0.1, 5.0
+    lead, rest = postings.leads(most, np.array([[4.0]]), by)
+    assert lead[0, 2].tolist() == [False, True] and rest[0, 2, 0] == pytest.approx(0.1) and not lead[0, 3].any()
