@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +37,12 @@ def marker(label: str, mode: str) -> str:
 #: Something that every rule's matches have in them; texts without it need no rule.
 HINT = "AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|gh[pousr]_|github_pat_|sk-|AIza|xox[baprs]-|k_live_|ya29\\.|eyJ|PRIVATE KEY-----|(?:SECRET|TOKEN|PASSWORD|PASSWD|KEY|CREDENTIALS?|AUTH|PASSPHRASE)[" + JS_SPACE + "]*[:=]"
 
+#: Parts of these: every text with a match has one of them, and they are found many times as fast as an alternation.
+PARTS = (
+    "AKIA", "ASIA", "AGPA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "AIza", "xox", "k_live_", "ya29.", "eyJ",
+    "SECRET", "TOKEN", "PASSW", "KEY", "CREDENTIAL", "AUTH", "PASSPHRASE",
+)
+
 
 def _step(pattern: str, put: str) -> Callable[[Column], Column]:
     def step(s: Column) -> Column:
@@ -48,7 +55,7 @@ def _step(pattern: str, put: str) -> Callable[[Column], Column]:
 def redact(text: Column, mode: str = "mask") -> tuple[Column, Column]:
     """(text, count): secrets masked or removed, and how many. Each rule sees what the one before left,
     which is bound once for its two uses: rules spelled out in each other double with every one."""
-    hinted = text.rlike(HINT)
+    hinted = reduce(Column.__or__, [text.contains(part) for part in PARTS]) & text.rlike(HINT)
     state = F.struct(text.alias("t"), F.lit(0).alias("n"))
     kept = "$1$2" if mode == "remove" else f"$1$2$3{marker('secret', mode)}$5"
     for pattern, put in [*((p, marker(label, mode)) for label, p in TOKEN_RULES), (ASSIGNMENT, kept)]:
