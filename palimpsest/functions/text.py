@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as ECMAScript has it; Java's \s is ASCII only.
@@ -30,6 +30,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df, with the column of that name worked out once a row: what filters and columns do with it stays above a
+    generator, where Spark would else put its expression in their place, as often as they name it."""
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.inline_outer(F.array(F.struct(name)))).select(*df.columns)
+
+
 def lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 

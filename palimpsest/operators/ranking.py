@@ -17,7 +17,9 @@ from . import postings as P
 K1, B = 1.5, 0.75
 BLOCKS_AN_OCTAVE = 1
 DEFINITION_BOOST, COMMENT_PENALTY, COHERENCE = 1.6, 0.6, 0.25
-SEVERAL = "_|[a-z0-9][A-Z]|[A-Z]{2}[a-z]"
+# An underscore or a change of case, told by the character that few words have. \w and \p{Alnum} are ASCII in Java, and
+# a table there, where a class of ranges is several calls a character.
+SEVERAL = "[A-Z_](?:(?<=_|[a-z0-9][A-Z])|(?<=[A-Z]{2})(?=[a-z]))"
 # What a line that defines a name, and one that is a comment, look like.
 DEFINES = (
     f"{B_LEFT}(?:export\\s+(?:default\\s+)?)?(?:async\\s+)?(?:function|class|def|const|let|var|type|interface|enum|struct|impl|trait|fn|func|module|namespace)\\s+"
@@ -29,24 +31,36 @@ COMMENT = f"^[{JS_SPACE}]*(?://|#|\\*|/\\*|--|<!--|;)"
 def tokens(c: Column) -> Column:
     """Lower-case tokens of two or more characters: words joined over . _ and -, and the camel-case and
     underscore parts of those that have several."""
-    joint = "([A-Za-z0-9])[._\\-]+([A-Za-z0-9])"
-    joined = F.regexp_replace(F.regexp_replace(c, joint, "$1_$2"), joint, "$1_$2")
-
-    def of(word: Column) -> Column:
-        # Only words with an underscore or a change of case have parts; most texts have few of them.
-        several = word.rlike(SEVERAL)
-        spaced = F.regexp_replace(F.regexp_replace(word, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
-        parts = F.split(F.lower(spaced), "[ _]+", -1)
-        return F.when(several, F.concat(F.array(F.lower(word)), parts)).otherwise(F.array(F.lower(word)))
-
     # Words are taken out, not split apart: Java tests a negated class several times as slowly.
-    words = lambda x, least: F.regexp_extract_all(x, F.lit(f"[A-Za-z0-9_]{{{least},}}"), F.lit(0))
+    words = lambda x, least: F.regexp_extract_all(x, F.lit(f"\\w{{{least},}}"), F.lit(0))
+    # Only words with an underscore or a change of case have parts; most texts have few of them.
+    of = lambda word: F.when(word.rlike(SEVERAL), F.concat(F.array(F.lower(word)), _parts(word))).otherwise(F.array(F.lower(word)))
     whole = lambda x: F.filter(F.flatten(F.transform(words(x, 1), of)), lambda w: F.length(w) >= 2)
     # A text none of whose words have parts, as most lines are, is not gone through word by word.
-    every = let(joined, lambda x: F.when(x.rlike(SEVERAL), whole(x)).otherwise(F.transform(words(x, 2), F.lower)))
+    every = let(_joined(c), lambda x: F.when(x.rlike(SEVERAL), whole(x)).otherwise(F.transform(words(x, 2), F.lower)))
     return F.coalesce(every, F.array().cast("array<string>"))
 
 
+def _joined(c: Column) -> Column:
+    """c with words that . _ and - stand between joined by an underscore."""
+    joint = "(\\p{Alnum})[._\\-]+(\\p{Alnum})"
+    once = F.regexp_replace(F.regexp_replace(c, joint, "$1_$2"), joint, "$1_$2")
+    return F.when(c.rlike("[._\\-]"), once).otherwise(c)
+
+
+def _parts(word: Column) -> Column:
+    spaced = F.regexp_replace(F.regexp_replace(word, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
+    return F.split(F.lower(spaced), "[ _]+", -1)
+
+
+def _token_count(c: Column) -> Column:
+    """size(tokens(c)), with only the words taken out that have a capital or an underscore: no others have parts."""
+    marked = lambda x: F.regexp_extract_all(x, F.lit("(?<!\\w)[a-z0-9]*+[A-Z_]\\w*+"), F.lit(0))
+    parts = lambda word: F.when(word.rlike(SEVERAL), F.size(F.filter(_parts(word), lambda w: F.length(w) >= 2))).otherwise(0)
+    more = lambda x: F.when(x.rlike(SEVERAL), F.aggregate(marked(x), F.lit(0), lambda a, word: a + parts(word))).otherwise(0)
+    return let(_joined(c), lambda x: F.regexp_count(x, F.lit("\\w{2,}")) + more(x))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, target: str, line: str, text: str, query_id: str | None, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """(target, query_id, line, score) of all lines that hold a term of a query.
 
@@ -201,25 +215,36 @@ def rerank(lines: DataFrame, target: str, line: str, text: str, score: str, quer
 
 
 def line_scores(lines: str, terms: str, k1: float = K1, b: float = B) -> Column:
-    """The BM25 scores of one text's lines (an array column) for its own distinct terms (an array column), as
-    bm25 gives them without a query_id, 0 where a line holds none: an array, worked out within the row."""
+    """The BM25 scores of one text's lines (an array column, no line with a line end) for its own distinct terms (an
+    array column), as bm25 gives them without a query_id, 0 where a line holds none: an array, worked out within the row.
+
+    Terms that the text does not show are left out first, and only lines that show one are tokenised; the
+    tokens of the others are counted all at once."""
+
+    def looked(text: Column, asked: Column) -> Column:
+        low = F.lower(_joined(text))
+        return let(low, lambda y: F.struct(F.split(y, "\n", -1).alias("lines"), F.filter(asked, lambda t: F.rlike(y, t)).alias("terms")))
 
-    def counted(asked: Column) -> Column:
-        return F.transform(lines, lambda x: let(tokens(x), lambda toks: F.struct(F.size(toks).alias("dl"), F.filter(toks, lambda w: F.array_contains(asked, w)).alias("hits"))))
+    def counted(low: Column, asked: Column) -> Column:
+        hits = lambda toks: F.filter(toks, lambda w: F.array_contains(asked, w))
+        held = lambda x: let(tokens(x), lambda toks: F.struct(F.size(toks).alias("dl"), hits(toks).alias("hits")))
+        return F.transform(lines, lambda x, i: F.when(F.exists(asked, lambda t: F.contains(F.get(low, i), t)), held(x)))
 
     def scored(rows: Column, asked: Column) -> Column:
-        n, total = F.size(rows), F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + r.dl)
-        some = F.filter(rows, lambda r: F.size(r.hits) > 0)
+        n, some = F.size(rows), F.filter(rows, lambda r: F.size(r.hits) > 0)
+        others = F.array_join(F.filter(lines, lambda x, i: F.get(rows, i).isNull()), "\n")
+        total = F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + F.coalesce(r.dl, F.lit(0))) + let(others, _token_count)
         df = lambda s, t: F.size(F.filter(s, lambda r: F.array_contains(r.hits, t)))
         idf = let(some, lambda s: F.transform(asked, lambda t: F.struct(t.alias("term"), let(df(s, t), lambda d: F.log(1 + (n - d + 0.5) / (d + 0.5))).alias("idf"))))
-        return let(F.struct(idf.alias("terms"), F.try_divide(total, n).alias("avgdl")), lambda g: F.transform(rows, lambda r: F.when(F.size(r.hits) == 0, 0.0).otherwise(summed(g, r))))
+        return let(F.struct(idf.alias("terms"), F.try_divide(total, n).alias("avgdl")), lambda g: F.transform(rows, lambda r: F.when(F.size(r.hits) > 0, summed(g, r)).otherwise(0.0)))
 
     def summed(g: Column, r: Column) -> Column:
         base = k1 * (1 - b + b * (r.dl / g.avgdl))
         part = lambda t: let(F.size(F.filter(r.hits, lambda w: w == t.term)), lambda f: F.when(f > 0, t.idf * (f * (k1 + 1) / (f + base))).otherwise(0.0))
         return F.aggregate(g.terms, F.lit(0.0), lambda a, t: a + part(t))
 
-    return let(F.col(terms), lambda asked: let(counted(asked), lambda rows: scored(rows, asked)))
+    seen = lambda asked: let(F.array_join(lines, "\n", ""), lambda text: looked(text, asked))
+    return let(F.col(terms), lambda asked: let(seen(asked), lambda w: let(counted(w.lines, w.terms), lambda rows: scored(rows, w.terms))))
 
 
 def reranked_lines(lines: str, scores: str, terms: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import B_RIGHT, JS_SPACE, let, lines
+from ..functions.text import B_RIGHT, JS_SPACE, let, lines, once
 
 # File extensions of languages with braces and with indentation, and openers of indented blocks.
 BRACE_FILES = tuple("js jsx mjs cjs ts tsx mts cts java c h cc cpp hpp cs go rs swift kt kts scala php dart zig".split())
@@ -32,8 +32,9 @@ TOKENS = "|".join([_string('"', "\\n"), _string("'", "\\n"), _string("`", ""), "
 def language(text: Column, path: Column) -> Column:
     """brace or indent by the path's extension, else by the first lines; null if neither shows."""
     ending = F.when(F.contains(path, F.lit(".")), F.lower(F.substring_index(path, ".", -1)))
-    first = F.slice(lines(text), 1, LOOKED_AT)
-    counted = let(first, lambda x: F.struct(F.size(F.filter(x, lambda y: y.rlike(OPENS_BRACE))).alias("brace"), F.size(F.filter(x, lambda y: y.rlike(OPENS_INDENT))).alias("indent")))
+    first = F.slice(F.split(text, "\n", LOOKED_AT + 1), 1, LOOKED_AT)
+    shows = lambda x, mark, opens: F.size(F.filter(x, lambda y: F.contains(y, F.lit(mark)) & y.rlike(opens)))  # noqa: E731  # few lines have the mark
+    counted = let(first, lambda x: F.struct(shows(x, "{", OPENS_BRACE).alias("brace"), shows(x, ":", OPENS_INDENT).alias("indent")))
     shown = let(counted, lambda n: F.when((n.brace >= LEAST_OPENERS) & (n.brace > n.indent), "brace").when(n.indent >= LEAST_OPENERS, "indent"))
     enough = F.size(F.split(text, "\n", LEAST_LINES)) >= LEAST_LINES
     return F.when(ending.isin(*BRACE_FILES), "brace").when(ending.isin(*INDENT_FILES), "indent").when(enough, shown)
@@ -79,10 +80,20 @@ def indent_blocks(texts: DataFrame, key: list[str], text: str = "text") -> DataF
     return found.select(*key, F.col("line").alias("head"), (F.col("line") + 1).alias("first"), "last", F.lit(None).cast("int").alias("closer"))
 
 
+def kinds(texts: DataFrame, key: list[str], text: str = "text", path: str = "path") -> DataFrame:
+    """(key, text, kind) of texts in languages that have blocks, each looked at once."""
+    found = once(texts.select(*key, F.col(text).alias("text"), language(F.col(text), F.col(path)).alias("kind")), "kind")
+    return found.where("kind is not null")
+
+
 def blocks(texts: DataFrame, key: list[str], text: str = "text", path: str = "path") -> DataFrame:
     """(key, head, first, last, closer) of the texts' blocks in their languages."""
-    kinds = texts.select(*key, F.col(text).alias("text"), language(F.col(text), F.col(path)).alias("kind"))
-    return brace_blocks(kinds.where("kind = 'brace'"), key).unionByName(indent_blocks(kinds.where("kind = 'indent'"), key))
+    return blocks_of(kinds(texts, key, text, path), key)
+
+
+def blocks_of(known: DataFrame, key: list[str]) -> DataFrame:
+    """blocks of texts whose kinds are known. It goes through them twice."""
+    return brace_blocks(known.where("kind = 'brace'"), key).unionByName(indent_blocks(known.where("kind = 'indent'"), key))
 
 
 def tree_nodes(first: Column, last: Column) -> Column:

@@ -642,10 +642,11 @@ def ranked_report(spark, sf_dir):
 def trim_survival(spark, sf_dir):
     """A definition that the query asks for and a line that it does not, late in a long listing: the first
     survives the trim. Every third listing is short enough to stay as it is."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", F.when(F.col("doc_id") % 3 == 0, 12).otherwise(300).alias("n"))
-    filler = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.lit("entry "), k, F.lit(" of listing "), F.col("doc_id"), F.lit(" holds nothing of note")))
-    gold = F.array(F.lit("export function parseToken(input) {"), F.lit("a remark of some length that shares not one word with the question asked"))
-    text = let(filler, lambda f: F.array_join(F.concat(f, F.slice(gold, 1, 1), F.slice(f, 1, 5), F.slice(gold, 2, 1), F.slice(f, 1, 5)), "\n"))
+    marks = ["export function parseToken(input) {", "a remark of some length that shares not one word with the question asked"]
+    gold, every = F.array(*map(F.lit, marks)), [f"entry {k} of listing % holds nothing of note" for k in range(1, 301)]
+    short, long = (F.lit("\n".join([*every[:n], marks[0], *every[:5], marks[1], *every[:5]])) for n in (12, 300))
+    text = F.replace(F.when(F.col("doc_id") % 3 == 0, short).otherwise(long), F.lit("%"), F.col("doc_id").cast("string"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id"))
     docs = docs.select("doc_id", text.alias("text"), F.lit("where does parseToken begin").alias("q"), F.lit("notes.txt").alias("path"))
     cut = docs.select("doc_id").join(trim.trim(docs, ["doc_id"], "text", "q", "path", 512), "doc_id", "left")
     found = stats.survival(cut.select("doc_id", F.col("trimmed").alias("kept"), gold.alias("gold"), F.slice(gold, 1, 1).alias("definitions")), "kept", "gold", "definitions")

@@ -279,6 +279,32 @@ def test_scores_within_the_row(spark):
     assert "posexplode" not in trim.trim(given, ["id"], budget=120)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_trim_works_a_text_out_once(spark):
+    """A text that an expression makes is made once a row, and the trimmed one put together once, whatever is asked of them."""
+    made = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(80)), lambda k: F.concat(F.lit("entry "), k, F.lit(" of marked lines"))), "\n")
+    given = spark.range(1, 4).select("id", made.alias("text"), F.lit("entry 70").alias("query"), F.lit("a.txt").alias("path"))
+    done = trim.trim(given, ["id"], budget=60)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("of marked lines") == 1 and plan.count("lines omitted") == 1
+    text = "\n".join(f"entry {k} of marked lines" for k in range(1, 81))
+    assert {r.id: r.trimmed for r in done.collect()} == {i: slow_trim(text, "entry 70", "a.txt", 60) for i in (1, 2, 3)}
+
+
+def test_scores_of_few_lines(spark):
+    """Most lines are not tokenised, only counted: scores equal those of tokens taken out of every line, and a change of
+    case is found where it was."""
+    rng = random.Random(8)
+    bits = ["where", "parseToken", "parse-token", "a.b.c", "x", "_", "__init__", "HTTPServer", "Zero", "k\u212a1", "\u0130x", "ABc", "A1b", "9Z", "..", "-", "caf\u00e9Bar", "snake_case.py", "zz", ""]
+    texts = ["\n".join(rng.choice([" ", "", ".", "-"]).join(rng.choices(bits, k=rng.randrange(7))) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    asks = ["parseToken", "nothing of it", "", "zz b.c init", "k1 ix server where 9z"]
+    df = spark.createDataFrame([(t, a) for t in texts for a in asks], "text string, ask string")
+    df = df.select("ask", F.split("text", "\n", -1).alias("x"), F.array_distinct(ranking.tokens(F.col("ask"))).alias("terms")).withColumn("s", ranking.line_scores("x", "terms"))
+    for r in df.collect():
+        assert r.s == pytest.approx(slow_scores(r.x, r.ask, False)), (r.x, r.ask)
+    shown = spark.createDataFrame([("".join(rng.choices("aB9_ Cd\u00e9", k=rng.randrange(6))),) for _ in range(600)], "x string")
+    assert shown.where(F.col("x").rlike("_|[a-z0-9][A-Z]|[A-Z]{2}[a-z]") != F.col("x").rlike(ranking.SEVERAL)).isEmpty()
+
+
 def test_scores_within_tasks(spark, monkeypatch):
     """Pairs are scored without an exchange, and equal those of the joins, which take over where terms are too many
     or a line is in two rows; nulls, repeated queries and targets without a token too."""
