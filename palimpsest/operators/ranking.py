@@ -45,7 +45,7 @@ def _joined(c: Column) -> Column:
     """c with words that . _ and - stand between joined by an underscore."""
     joint = "(\\p{Alnum})[._\\-]+(\\p{Alnum})"
     once = F.regexp_replace(F.regexp_replace(c, joint, "$1_$2"), joint, "$1_$2")
-    return F.when(c.rlike("[._\\-]"), once).otherwise(c)
+    return F.when(F.contains(c, F.lit(".")) | F.contains(c, F.lit("_")) | F.contains(c, F.lit("-")), once).otherwise(c)
 
 
 def _parts(word: Column) -> Column:
@@ -57,7 +57,8 @@ def _token_count(c: Column) -> Column:
     """size(tokens(c)), with only the words taken out that have a capital or an underscore: no others have parts."""
     marked = lambda x: F.regexp_extract_all(x, F.lit("(?<!\\w)[a-z0-9]*+[A-Z_]\\w*+"), F.lit(0))
     parts = lambda word: F.when(word.rlike(SEVERAL), F.size(F.filter(_parts(word), lambda w: F.length(w) >= 2))).otherwise(0)
-    more = lambda x: F.when(x.rlike(SEVERAL), F.aggregate(marked(x), F.lit(0), lambda a, word: a + parts(word))).otherwise(0)
+    may = lambda x: ((x != F.lower(x)) | F.contains(x, F.lit("_"))) & x.rlike(SEVERAL)
+    more = lambda x: F.when(may(x), F.aggregate(marked(x), F.lit(0), lambda a, word: a + parts(word))).otherwise(0)
     return let(_joined(c), lambda x: F.regexp_count(x, F.lit("\\w{2,}")) + more(x))
 
 
